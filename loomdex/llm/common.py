@@ -41,7 +41,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str) -> Iterator[pa.Record
             yield batch.slice(start)
 
 
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function, schema) -> DataFrame:
     """``mapInArrow`` with this package sent along."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
