@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomdex.llm import byte_bpe, language, mixing, simhash, toxicity
+from loomdex.llm import byte_bpe, language, mixing, progressive_jpeg, simhash, toxicity
 from loomdex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.identify(docs, language.learn(docs))
+
+
+@query
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return progressive_jpeg.store_texts(table(spark, sf_dir, "documents"))
