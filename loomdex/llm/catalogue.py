@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import byte_bpe, chat, language, mixing, progressive_jpeg, simhash, top_k, toxicity
+from loomdex.llm import byte_bpe, chat, html_text, language, mixing, progressive_jpeg, simhash, surrogates, top_k, toxicity
 from loomdex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,13 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(length(r) + length(t) + 14) AS BIGINT) AS formatted_chars
 FROM safe GROUP BY conv_id
 """
+
+
+@query
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.detect(table(spark, sf_dir, "documents"))
