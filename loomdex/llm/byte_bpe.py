@@ -61,9 +61,6 @@ class ByteBpe:
         return tiktoken.Encoding("ranks", pat_str=self.pattern, mergeable_ranks=self.ranks, special_tokens={})
 
     def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-            self.newer.clear()
         self.newer.update(p for p in pieces if not p.isascii() and any(unicodedata.category(c) == "Cn" for c in p))
         written = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in pieces]
         for p, e in zip(pieces, self.model.encode_batch_fast(written, add_special_tokens=False), strict=True):
@@ -73,10 +70,12 @@ class ByteBpe:
         split = [self.find(t) for t in texts]
         distinct = set().union(*split) if split else set()
         missing = [p for p in distinct if p not in self.known]
+        if len(self.known) + len(missing) > CACHE_PIECES:
+            self.known.clear()
+            self.newer.clear()
+            missing = list(distinct)
         if missing:
             self._learn(missing)
-            if len(self.known) <= len(missing):  # the memory began anew
-                self._learn([p for p in distinct if p not in self.known])
         ids = self.known.__getitem__
         if self.newer:
             return [self.reference.encode_ordinary(t) if not self.newer.isdisjoint(s) else list(chain.from_iterable(map(ids, s))) for t, s in zip(texts, split, strict=True)]
