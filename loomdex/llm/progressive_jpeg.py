@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from loomdex.llm.common import blobs, map_batches, slices
 
@@ -462,13 +463,14 @@ def features(rgb: np.ndarray) -> str:
 
 def decode(media: DataFrame, column: str = "media") -> DataFrame:
     """The rows with height, width and the full-resolution RGB tensor (row-major bytes) of each stream; null stays null."""
-    schema = media.schema.add("height", "int").add("width", "int").add("rgb", "binary")
+    extra = [T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()), T.StructField("rgb", T.BinaryType())]
+    schema = T.StructType([*media.schema.fields, *extra])
 
     def run(batches):
         for b in batches:
             found = [None if s is None else Image(s).rgb() for s in b.column(column).to_pylist()]
-            extra = [pa.array([None if x is None else x.shape[k] for x in found], pa.int32()) for k in (0, 1)]
-            columns = [*b.columns, *extra, pa.array([None if x is None else x.tobytes() for x in found], pa.binary())]
+            sizes = [pa.array([None if x is None else x.shape[k] for x in found], pa.int32()) for k in (0, 1)]
+            columns = [*b.columns, *sizes, pa.array([None if x is None else x.tobytes() for x in found], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*b.schema.names, "height", "width", "rgb"])
 
     return map_batches(media, run, schema)
