@@ -232,8 +232,7 @@ def person(s: str, key: bytes, gender: str = "") -> str:
 
 _MARKED = re.compile(
     r"""(?P<email>[^\W_][\w.+%-]{0,63}@(?:[^\W_](?:[\w-]{0,61}[^\W_])?\.)+[^\W\d_]{2,24}\b)
-|(?P<secret>(?<![^\W_])(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?<![^\W_])(?:ghp_|gho_|github_pat_|sk-|xox[abprs]-)[0-9A-Za-z_-]{16,}|(?<![^\W_])eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{4,}
-  |(?<![^\W_])[0-9a-f]{32,}(?![^\W_])|(?<![^\W_])[0-9A-F]{32,}(?![^\W_]))
+|(?P<secret>(?<![^\W_])[0-9a-f]{32,}(?![^\W_])|(?<![^\W_])[0-9A-F]{32,}(?![^\W_]))
 |(?P<hexadecimal>(?<![^\W_:])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![^\W_])|(?<![^\W_:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![^\W_])|(?<![^\W_:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![^\W_]))
 |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
 |(?P<ipv4>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
@@ -242,6 +241,8 @@ _MARKED = re.compile(
 |(?P<card>(?<![\w-])\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?![\w-])|(?<![^\W_])\d{9,}(?![^\W_]))""",
     re.X,
 )
+_ISSUED = re.compile(r"(?<![^\W_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?:ghp_|gho_|github_pat_|sk-|xox[abprs]-)[0-9A-Za-z_-]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{4,})")
+_ISSUERS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "xox", "eyJ")
 _ASSIGNED = re.compile(r"""(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b["']?\s{0,3}[:=]\s{0,3})(["']?)(?P<v>[^\s"']{8,})""")
 _HINT = re.compile(r"[0-9@\u0660-\u0669\u06F0-\u06F9\uFF10-\uFF19]")
 _SIGN = re.compile(r"[:=]")
@@ -260,6 +261,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
             start, end = max(start, at), len(text) if end < 0 else end
             found += [(*(x.span("v") if pattern is _ASSIGNED else x.span()), "secret" if pattern is _ASSIGNED else x.lastgroup, "") for x in pattern.finditer(text, start, end)]
             at = end
+    if any(c in text for c in _ISSUERS):
+        found += [(*m.span(), "secret", "") for m in _ISSUED.finditer(text)]
     if any(c in text for c in _CUES):
         found += [(*m.span("n"), "person", TITLES.get(m["t"] or "", "")) for m in _TITLE.finditer(text)]
     found.sort(key=lambda e: (e[0], -e[1]))

@@ -76,7 +76,7 @@ class Machine:
         return self.__dict__ | {"known": {}}
 
 
-def informative(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, most: int, least_rows: int = 4, least_gain: float = 15.0) -> np.ndarray:
+def informative(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: int = 3, least_gain: float = 10.0) -> np.ndarray:
     """The terms whose presence is most dependent on the label (log-likelihood ratio), at most ``most``."""
     size = 1 << BITS
     count = lambda pick: np.bincount(np.concatenate([rows[i] for i in pick] or [np.zeros(0, np.int64)]), minlength=size).astype(float)
@@ -100,7 +100,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, features: int
     if not len(y) or y.min() == y.max():
         share = float(np.average(y, weights=weight)) if len(y) else 0.0
         return Machine(np.zeros(0, int), float(np.clip(np.log(max(share, 1e-26) / max(1 - share, 1e-26)), -60, 60)), np.zeros(0), np.zeros((0, rank)))
-    keys = informative(rows, y, weight, features)
+    keys = informative(rows, y, features)
+    if not len(keys):
+        share = np.average(y, weights=weight)
+        return Machine(keys, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
     place = np.full(1 << BITS, -1)
     place[keys] = np.arange(len(keys))
     own = [p[p >= 0] for p in (place[r] for r in rows)]
