@@ -13,8 +13,16 @@ PACKAGE = Path(__file__).resolve().parent
 _shipped: set[str] = set()
 
 
+#: Rows and bytes of one Arrow batch between the JVM and Python: long texts must not multiply by ten thousand rows.
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it wherever they run."""
+    """Send this package to the executors once per application, so that Python workers can import it wherever they run, and bound the session's Arrow batches."""
+    rows = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
+    if rows > BATCH_ROWS or rows <= 0:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
