@@ -78,8 +78,13 @@ class Machine:
 
 def informative(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: int = 3, least_gain: float = 10.0) -> np.ndarray:
     """The terms whose presence is most dependent on the label (log-likelihood ratio), at most ``most``."""
-    size = 1 << BITS
-    count = lambda pick: np.bincount(np.concatenate([rows[i] for i in pick] or [np.zeros(0, np.int64)]), minlength=size).astype(float)
+
+    def count(pick):
+        total = np.zeros(1 << BITS)
+        for at in range(0, len(pick), 256):
+            total += np.bincount(np.concatenate([rows[i] for i in pick[at : at + 256]]), minlength=len(total))
+        return total
+
     pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     a, b = count(pos), count(neg)
     n1, n0 = len(pos), len(neg)
@@ -95,7 +100,7 @@ def informative(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: in
     return best[gain[best] >= least_gain]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, features: int = 4096, rank: int = 4, steps: int = 300, rate: float = 0.05, l2: float = 1e-3, seed: int = 7) -> Machine:
+def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, features: int = 2048, rank: int = 4, steps: int = 100, rate: float = 0.05, l2: float = 1e-3, seed: int = 7) -> Machine:
     """Adam on the weighted logistic loss over all given rows."""
     if not len(y) or y.min() == y.max():
         share = float(np.average(y, weights=weight)) if len(y) else 0.0
@@ -139,7 +144,7 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(crc_of_id(doc_id), F.lit(3)) == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, **options) -> Machine:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 8_000, **options) -> Machine:
     """A machine from the labels of ids that are not held out."""
     own = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
     have = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -153,11 +158,13 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, **options) -
             found = [np.array(sorted(terms(t)), np.int32).tobytes() for t in blobs(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "terms"])
 
-    rows = map_batches(docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long"), "y", "text"), run, "doc_id long, y int, terms binary").collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.terms)))
-    y = np.array([r.y for r in rows], float)
+    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long"), "y", "text")
+    got = map_batches(picked, run, "doc_id long, y int, terms binary").toArrow()
+    found = got.column("terms").to_pylist()
+    order = sorted(range(len(found)), key=lambda i, ids=got.column("doc_id").to_pylist(): (ids[i], found[i]))
+    y = got.column("y").to_numpy()[order].astype(float)
     drawn = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-    return fit([np.frombuffer(r.terms, np.int32).astype(np.int64) for r in rows], y, np.array([have[int(c)] / drawn[int(c)] for c in y]), **options)
+    return fit([np.frombuffer(found[i], np.int32) for i in order], y, np.array([have[int(c)] / drawn[int(c)] for c in y]), **options)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
