@@ -67,9 +67,9 @@ class IgnoreRules:
                 return out
         return False
 
-    def ignores(self, path: str) -> bool:
+    def ignores(self, path: str, folder: bool = False) -> bool:
         parts = path.split("/")
-        return any(self._decide("/".join(parts[:k]), True) for k in range(1, len(parts))) or self._decide(path, False)
+        return any(self._decide("/".join(parts[:k]), True) for k in range(1, len(parts))) or self._decide(path, folder)
 
 
 def ignore_rules(root: Path) -> IgnoreRules | None:
@@ -91,6 +91,6 @@ def source_files(root: str | Path) -> list[str]:
     for folder, folders, names in os.walk(root):
         at = Path(folder).relative_to(root).as_posix()
         under = "" if at == "." else at + "/"
-        folders[:] = sorted(x for x in folders if x not in IGNORED_FOLDERS and not (rules and rules.ignores(f"{under}{x}/.")))
+        folders[:] = sorted(x for x in folders if x not in IGNORED_FOLDERS and not (rules and rules.ignores(under + x, True)))
         found += [f"{under}{n}" for n in names if n not in IGNORED_FILES and Path(n).suffix.lower() in LANGUAGES and not (rules and rules.ignores(under + n))]
     return sorted(found)
