@@ -15,9 +15,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
 import unicodedata
+from array import array
 from functools import cached_property, lru_cache
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame
 from loomdex.llm.common import blobs, map_batches, slices
 
 CACHE_PIECES = 1 << 18
+assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are packed as the machine packs them"
 
 
 def byte_characters() -> list[str]:
@@ -49,7 +52,7 @@ class ByteBpe:
         merges = [(written[t[:k]], written[t[k:]]) for t in sorted(ranks, key=ranks.get) for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         self.model = Tokenizer(models.BPE(vocab={written[t]: i for t, i in ranks.items()}, merges=merges, ignore_merges=True))
         self.table = {ord(c): chars[b] for b, c in enumerate(map(chr, range(256)))}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
         self.newer: set[str] = set()  # pieces with characters younger than Python's Unicode tables
         self.ranks, self.pattern = ranks, pattern
 
@@ -64,9 +67,10 @@ class ByteBpe:
         self.newer.update(p for p in pieces if not p.isascii() and any(unicodedata.category(c) == "Cn" for c in p))
         written = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in pieces]
         for p, e in zip(pieces, self.model.encode_batch_fast(written, add_special_tokens=False), strict=True):
-            self.known[p] = tuple(e.ids)
+            self.known[p] = array("I", e.ids).tobytes()
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_packed(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian 32-bit integers."""
         split = [self.find(t) for t in texts]
         distinct = set().union(*split) if split else set()
         missing = [p for p in distinct if p not in self.known]
@@ -78,8 +82,11 @@ class ByteBpe:
             self._learn(missing)
         ids = self.known.__getitem__
         if self.newer:
-            return [self.reference.encode_ordinary(t) if not self.newer.isdisjoint(s) else list(chain.from_iterable(map(ids, s))) for t, s in zip(texts, split, strict=True)]
-        return [list(chain.from_iterable(map(ids, s))) for s in split]
+            return [array("I", self.reference.encode_ordinary(t)).tobytes() if not self.newer.isdisjoint(s) else b"".join(map(ids, s)) for t, s in zip(texts, split, strict=True)]
+        return [b"".join(map(ids, s)) for s in split]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [np.frombuffer(x, "<u4").tolist() for x in self.encode_packed(texts)]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -147,10 +154,10 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
         bpe = load(vocabulary)
         for b in slices(batches, "text"):
             n, ids_sha, back_sha = [], [], []
-            for ids in bpe.encode_batch([t.decode() for t in blobs(b.column("text"))]):
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest())
-                back_sha.append(hashlib.sha256(bpe.decode_bytes(ids)).hexdigest())
+            for packed in bpe.encode_packed([t.decode() for t in blobs(b.column("text"))]):
+                n.append(len(packed) // 4)
+                ids_sha.append(hashlib.sha256(packed).hexdigest())
+                back_sha.append(hashlib.sha256(bpe.decode_bytes(np.frombuffer(packed, "<u4").tolist())).hexdigest())
             columns = [b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
