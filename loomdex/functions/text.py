@@ -133,7 +133,7 @@ def page_cost(rendered: Column, is_file: Column | None = None) -> Column:
 def recency(last_access: Column, now: Column) -> Column:
     """1 / (1 + hours since the last access); 0 for no time."""
     hours = F.greatest(F.lit(0.0), (F.unix_micros(now) - F.unix_micros(last_access)) / F.lit(3_600_000_000.0))
-    return F.coalesce(1 / (1 + hours), F.lit(0.0))
+    return F.when(last_access.isNull() | now.isNull(), 0.0).otherwise(1 / (1 + hours))
 
 
 def locality(anchor_file: Column, anchor_line: Column, file: Column, line: Column, granularity: Column, has_related: Column) -> Column:
