@@ -22,7 +22,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--warehouse")
     p.add_argument("--lang", default="en", choices=["en", "zh"])
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("scan", "update", "doctor", "version", "history-document"):
+    for name in ("scan", "update", "doctor", "version", "history-document", "serve"):
         sub.add_parser(name)
     for name in ("query", "history", "callers", "callees", "plan-context"):
         q = sub.add_parser(name)
@@ -135,6 +135,10 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             return int(bool(found))
         elif a.command == "overview":
             print(index.overview(a.max_tokens))
+        elif a.command == "serve":
+            from loomdex.server import serve
+
+            serve(index)
         elif a.command == "history-document":
             print(index.history_document())
         elif a.command == "details":

@@ -55,16 +55,16 @@ def frontmatter(text: str) -> tuple[dict[str, Any], str]:
     """The mapping between the first two ``---`` lines, and what follows them."""
     lines = text.splitlines()
     if not lines or lines[0].strip() != "---":
-        raise PlanError("PLAN_SCHEMA_INVALID", "Plan must start with YAML frontmatter.", "frontmatter")
+        raise PlanError("PLAN_SCHEMA_INVALID", "the first line is no frontmatter ruler", "frontmatter")
     if "---" not in lines[1:]:
-        raise PlanError("PLAN_SCHEMA_INVALID", "YAML frontmatter is not closed.", "frontmatter")
+        raise PlanError("PLAN_SCHEMA_INVALID", "the frontmatter has no end", "frontmatter")
     end = lines.index("---", 1)
     try:
         data = yaml.safe_load("\n".join(lines[1:end]))
     except yaml.YAMLError as e:
-        raise PlanError("PLAN_SCHEMA_INVALID", f"Invalid YAML frontmatter: {e}", "frontmatter") from e
+        raise PlanError("PLAN_SCHEMA_INVALID", f"the frontmatter is no YAML: {e}", "frontmatter") from e
     if not isinstance(data, dict):
-        raise PlanError("PLAN_SCHEMA_INVALID", "YAML frontmatter must be a mapping.", "frontmatter")
+        raise PlanError("PLAN_SCHEMA_INVALID", "the frontmatter is no mapping", "frontmatter")
     return data, "\n".join(lines[end + 1 :])
 
 
@@ -103,18 +103,18 @@ def references(value: Any) -> list[str]:
 
 def parse(text: str, path: str = "plan.md") -> Plan:
     if len(text.encode("utf-8", "replace")) > MOST_BYTES:
-        raise PlanError("PLAN_TOO_LARGE", f"Plan exceeds {MOST_BYTES} bytes.", path=path)
+        raise PlanError("PLAN_TOO_LARGE", f"more than {MOST_BYTES} bytes", path=path)
     data, rest = frontmatter(text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n"))
     parts = sections(rest)
     plan = Plan(path, data, rest, parts, table(parts.get("tasks", "")), table(parts.get("batches", "")))
     if not plan.tasks:
-        plan.issues.append(("PLAN_TASKS_MISSING", "The Tasks section must contain a valid task table.", None))
+        plan.issues.append(("PLAN_TASKS_MISSING", "no task table was found", None))
     for t in plan.tasks:
         t["files"], t["symbols"] = references(t.get("files", "")), references(t.get("symbols", ""))
         number = t.get("#", "0")
         t["number"] = int(number) if re.fullmatch(r"\s*[+-]?\d+\s*", number) else 0
         if not re.fullmatch(r"\s*[+-]?\d+\s*", number):
-            plan.issues.append(("PLAN_SCHEMA_INVALID", f"Task number is not an integer: {number}", "tasks"))
+            plan.issues.append(("PLAN_SCHEMA_INVALID", f"no number: {number}", "tasks"))
     return plan
 
 

@@ -62,9 +62,18 @@ def test_lint(spark):
     assert {(c, f) for _, c, f in codes(lint.lint(frame(spark, state)))} == {("INVALID_TRANSITION", "batches"), ("PLAN_STATE_CONFLICT", "batches[B1].status"), ("PLAN_STATE_CONFLICT", "batches[B2].status")}
     assert {c for _, c, _ in codes(lint.lint(frame(spark, plan("x"), plan("x"))))} == {"PLAN_ID_DUPLICATE"}
     head, body = records.frontmatter(plan("p4"))
-    del head["owner"], head["testing"]
+    del head["owner"], head["created"]
     missing = lint.lint(frame(spark, workflow.document(head, body))).collect()
-    assert [(r.code, r.message) for r in missing] == [("PLAN_SCHEMA_INVALID", "Missing frontmatter fields: owner, testing")]
+    assert [(r.code, r.message) for r in missing] == [("PLAN_SCHEMA_INVALID", "frontmatter lacks created, owner")]
+    tests = [{"test_id": "a", "disposition": "implement", "files": [], "gate_id": "none"}, {"test_id": "a", "disposition": "omit"}, {"disposition": "odd"}]
+    gates = [{"id": "g", "kind": "command", "blocking": True, "command": []}, {"id": "g", "kind": "odd", "blocking": "x"}, {"kind": "review", "blocking": False}]
+    head, _ = records.frontmatter(plan("p6"))
+    deals = plan("p6", testing={"approach": "test-with-change", "tests": tests, "manual_checks": [{"artifact": ""}]}, engineering=head["engineering"] | {"gates": gates})
+    assert [(c, f) for _, c, f in codes(lint.lint(frame(spark, deals)))] == [
+        ("GATE_COMMAND_INVALID", "engineering.gates.g.command"), ("PLAN_SCHEMA_INVALID", "engineering.gates..id"), ("PLAN_SCHEMA_INVALID", "engineering.gates.g.blocking"), ("PLAN_SCHEMA_INVALID", "engineering.gates.g.id"), ("PLAN_SCHEMA_INVALID", "engineering.gates.g.kind"),
+        ("PLAN_SCHEMA_INVALID", "testing.tests[].disposition"), ("PLAN_SCHEMA_INVALID", "testing.tests[].test_id"), ("PLAN_SCHEMA_INVALID", "testing.tests[a].test_id"), ("TEST_CONTRACT_MISMATCH", "testing.manual_checks[0].artifact"), ("TEST_CONTRACT_MISMATCH", "testing.tests[a].files"),
+        ("TEST_CONTRACT_MISMATCH", "testing.tests[a].gate_id"), ("TEST_CONTRACT_MISMATCH", "testing.tests[a].reason"),
+    ]
     wrong = plan("p5", schema_version=2, revision=0, revision_type="x", reapproval_required="no", files="a", change_control={"mode": "x"}, content_hash="pending", approval={})
     assert {f for _, _, f in codes(lint.lint(frame(spark, wrong)))} == {"schema_version", "revision", "revision_type", "reapproval_required", "files", "change_control.mode", "content_hash", "approval"}
 
@@ -139,3 +148,46 @@ def test_difference():
     a = records.parse(plan())
     same = lambda t: workflow.difference(a, records.parse(t))
     assert same(plan()) == "none" and same(plan().replace("| pending | gate", "| done | gate")) == "state" and same(plan(symbols=["x"])) == "semantic" and same(plan().replace("Unit tests.", "Unit  tests.")) == "formatting" and same(plan(status="blocked")) == "state"
+
+
+def test_stale_marks_reports_and_contracts(spark, tmp_path):
+    from loomdex.plans import upkeep
+
+    plans = tmp_path / "plans"
+    w = workflow.Workflow.create(plans, "p1", "Title")
+    (tmp_path / "a.py").write_text("x")
+    head, body = records.frontmatter(w.path.read_text())
+    head["testing"]["tests"] = [{"test_id": "t", "batch": "B1", "disposition": "implement", "files": ["tests/*.py::case"], "gate_id": "unit-tests"}]
+    w.path.write_text(workflow.document(head, body.replace("| 1 | B1 | none | none", "| 1 | B1 | a.py | none")))
+    w.approve("me")
+    w.batch("B1", "start")
+    files = lambda h: spark.createDataFrame([("a.py", h)], "path string, hash string")
+    current = upkeep.current_fingerprints(records.read(spark, str(plans)), files("1")).first().current
+    w.gate("B1", "unit-tests", "passed", current)
+    assert upkeep.unmet_contracts(w.plan, "B1", tmp_path) == ["t"]
+    (tmp_path / "tests").mkdir()
+    (tmp_path / "tests" / "x.py").write_text("")
+    assert upkeep.unmet_contracts(w.plan, "B1", tmp_path) == [] and not upkeep.resolves("../x", tmp_path) and upkeep.resolves("tests", tmp_path)
+    w.batch("B1", "complete")
+    w.batch("B1", "reopen")
+    w.batch("B1", "start")
+    w.gate("B1", "unit-tests", "passed", current)
+    head, body = records.frontmatter(w.path.read_text())
+    head["status"] = "executing"
+    w.path.write_text(workflow.document(head, workflow._set_cell(body, "batches", "batch", "B1", "status", "passed")))
+    assert upkeep.stale_evidence(spark, str(plans), files("1")).count() == 0
+    found = upkeep.stale_evidence(spark, str(plans), files("2"))
+    assert [(r.plan_id, r.batch, r.gate) for r in found.collect()] == [("p1", "B1", "unit-tests")]
+    report = upkeep.write_report(found, tmp_path / "out" / "stale.json", ["plan_id", "batch", "gate"])
+    assert '"items":[{"batch":"B1"' in report.read_text()
+    done = upkeep.mark_stale(plans, found.collect())
+    assert [m["batch"] for m in done["marked"]] == ["B1"] and w.plan.batches[0]["status"] == "stale"
+    assert [m["code"] for m in upkeep.mark_stale(plans, found.collect())["skipped"]] == ["BATCH_NOT_PASSED"] and [m["code"] for m in upkeep.mark_stale(tmp_path / "none", found.collect())["skipped"]] == ["PLAN_NOT_FOUND"]
+    assert upkeep.latest_snapshot(w.state)[0] == w.plan.frontmatter["revision"] and upkeep.latest_snapshot(tmp_path) is None
+    assert upkeep.config(tmp_path) == {"allow_update_plan_state": True}
+    (tmp_path / "loomdex.config.json").write_text('{"allow_update_plan_state": false}')
+    assert upkeep.config(tmp_path) == {"allow_update_plan_state": False}
+    for bad in ("[]", "{", '{"allow_update_plan_state": 1}'):
+        (tmp_path / "loomdex.config.json").write_text(bad)
+        with pytest.raises(PlanError):
+            upkeep.config(tmp_path)
