@@ -2,7 +2,7 @@
 
 Detection reads whole texts: addresses of mail, telephone numbers, IPv4, IPv6 and hardware addresses, social-security-like numbers, IBANs,
 payment-card-like and other long digit strings, secrets (quoted or assigned tokens, long hexadecimal strings, known key prefixes), and names
-after titles or introducing phrases.
+after titles or introducing phrases, or that begin with a listed given name and go on with a capital.
 
 A surrogate is a permutation of the entity within its own form, so no table of entities has to be built, joined or kept: the characters of each
 alphabet (digits of one script, hexadecimal digits, lower- and upper-case letters of one script) are a number in that base, which goes through a keyed
@@ -194,10 +194,7 @@ TITLES = {t: g for g, ts in {"f": "Mrs Ms Miss Frau Mme Madame Mlle Sra Señora
 _BY_NAME = {n: k for k, names in NAMES.items() for n in names}
 _TITLE = re.compile(rf"\b(?:(?P<t>{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ \t]+|(?:[Mm]y name is|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Nn]ame:)[ \t]+)(?P<n>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \t][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})")
 
-
-def script_of(name: str) -> str:
-    c = ord(name[0])
-    return "cyrillic" if 0x400 <= c < 0x530 else "greek" if 0x370 <= c < 0x400 else "latin"
+_CALLED = re.compile(rf"\b(?:{'|'.join(sorted(_BY_NAME))})(?:[ \t][^\W\d_a-zа-яα-ω][^\W\d_]+){{1,2}}")
 
 
 @lru_cache(maxsize=64)
@@ -265,6 +262,8 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         found += [(*m.span(), "secret", "") for m in _ISSUED.finditer(text)]
     if any(c in text for c in _CUES):
         found += [(*m.span("n"), "person", TITLES.get(m["t"] or "", "")) for m in _TITLE.finditer(text)]
+    if any(n in text for n in _BY_NAME):
+        found += [(*m.span(), "person", _BY_NAME[re.match(r"\w+", m[0])[0]][1]) for m in _CALLED.finditer(text)]
     found.sort(key=lambda e: (e[0], -e[1]))
     out, end = [], 0
     for e in found:

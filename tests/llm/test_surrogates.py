@@ -50,6 +50,8 @@ def test_names_keep_gender_and_script():
     firsts = [e[4].split()[0] for e in found]
     assert firsts[0] in s.NAMES["latin", "m"] and firsts[1] in s.NAMES["latin", "f"] and firsts[2] in s.NAMES["cyrillic", "m"] and firsts[4] in s.NAMES["greek", "m"]
     assert s.replace("Mr. John Smith")[1][0][4] == found[0][4]
+    said = s.replace("then Maria Lopez came, with Paul and Anna")[1]
+    assert [e[3] for e in said] == ["Maria Lopez"] and said[0][4].split()[0] in s.NAMES["latin", "f"]
     for names in s.NAMES.values():
         assert sorted(map(s.surrogate, names, ["person"] * len(names))) == sorted(names)
 
