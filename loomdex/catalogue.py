@@ -524,3 +524,66 @@ def stale_evidence(spark, d):  # J21, A14, P15
     e = table(spark, d, "events").select((F.col("user_id") % 10).alias("batch"), F.col("event_type").alias("gate"), F.when(F.col("value") > 20, "passed").otherwise("failed").alias("outcome"), (F.col("event_id") % 7).cast("string").alias("print"), F.col("event_id").alias("seq"))
     now = spark.range(10).select(F.col("id").alias("batch"), (F.col("id") % 7).cast("string").alias("current"))
     return evidence.stale(e, now, ["batch", "gate"], ["batch"], "print").select("batch", "gate", "outcome", "print")
+
+
+# ---------------------------------------------------------------- sources and plans, over texts made from the tables
+
+
+def _sources(spark, d):
+    """One small source for each part: Python, TypeScript and Go in turn."""
+    key, other = F.col("p_partkey").cast("string"), ((F.col("p_partkey") * 7) % 1000).cast("string")
+    py = F.concat(F.lit("from .m"), other, F.lit(" import g\n\ndef f"), key, F.lit("(a, b=1) -> int:\n    \"\"\"The "), "p_name", F.lit(".\"\"\"\n    return f"), other, F.lit("(a)\n"))
+    ts = F.concat(F.lit("import { g } from './m"), other, F.lit("';\n/** The "), "p_name", F.lit(". */\nexport function f"), key, F.lit("(a: number): number { return f"), other, F.lit("(a); }\n"))
+    go = F.concat(F.lit("package p\nimport \"m"), other, F.lit("\"\n// The "), "p_name", F.lit(".\nfunc f"), key, F.lit("(a int) int { return f"), other, F.lit("(a) }\n"))
+    form = lambda *x: F.when(F.col("p_partkey") % 3 == 0, x[0]).when(F.col("p_partkey") % 3 == 1, x[1]).otherwise(x[2])
+    return table(spark, d, "part").select(F.concat(F.lit("p"), key, form(F.lit(".py"), F.lit(".ts"), F.lit(".go"))).alias("path"), form(py, ts, go).cast("binary").alias("content"))
+
+
+@query("""SELECT 'p' || k || CASE m WHEN 0 THEN '.py' WHEN 1 THEN '.ts' ELSE '.go' END AS file, 'p' || k || '.f' || k AS qualified_name, 'function' AS kind, CASE m WHEN 0 THEN 'def f' || k || '(a, b=1) -> int' WHEN 1 THEN 'function f' || k || '(a: number): number' ELSE 'func f' || k || '(a int) int' END AS signature,
+  'The ' || p_name || '.' AS description, CASE m WHEN 2 THEN 4 ELSE 3 END AS line FROM (SELECT *, CAST(p_partkey AS VARCHAR) AS k, p_partkey % 3 AS m FROM part)""")
+def extract_symbols(spark, d):  # S5-S8, S13, S14, X11, L6
+    from loomdex.sources import extract
+
+    return extract.symbols_table(extract.extract_contents(_sources(spark, d))).select("file", "qualified_name", "kind", "signature", "description", "line")
+
+
+@query("""SELECT 'p' || k AS module, CASE m WHEN 0 THEN '.m' || o WHEN 1 THEN './m' || o ELSE 'm' || o END AS source, 'p' || k || '.f' || k AS src_qname, 'f' || o AS callee_raw FROM (SELECT CAST(p_partkey AS VARCHAR) AS k, p_partkey % 3 AS m, CAST((p_partkey * 7) % 1000 AS VARCHAR) AS o FROM part)""")
+def extract_edges(spark, d):  # S9-S12, K4
+    from loomdex.sources import extract
+
+    got = extract.extract_contents(_sources(spark, d))
+    return extract.imports_table(got).join(extract.calls_table(got).select("file", "src_qname", "callee_raw"), "file").select(F.regexp_replace("file", r"\.\w+$", "").alias("module"), "source", "src_qname", "callee_raw")
+
+
+def _plans(spark, d):
+    """A plan for each nation, whose batches are its region's and whose tasks name suppliers as files; every fifth has a status that there isn't."""
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"), F.col("n_regionkey").cast("string").alias("r"), F.when(F.col("n_nationkey") % 5 == 0, "odd").otherwise("draft").alias("status"))
+    body = F.concat(F.lit("---\nid: plan-"), "k", F.lit("\nstatus: "), "status", F.lit("\nrevision: 1\n---\n## Tasks\n| # | Batch | Files | Symbols | Risk | Status | Validation |\n|---|---|---|---|---|---|---|\n| 1 | B"), "r", F.lit(" | s/"), "k", F.lit(".py, none | m.f"), "k", F.lit(" | low | pending | gate x |\n| 2 | B9 | `t.py` | - | odd | done | works |\n## Batches\n| Batch | Status |\n|---|---|\n| B"), "r", F.lit(" | pending |\n"))
+    return n.select(F.concat(F.lit("plans/"), "k", F.lit(".md")).alias("path"), body.alias("text"))
+
+
+@query("""SELECT 'plan-' || CAST(n_nationkey AS VARCHAR) AS plan_id, 1 AS number, 'B' || CAST(n_regionkey AS VARCHAR) AS batch, 's/' || CAST(n_nationkey AS VARCHAR) || '.py' AS files, 'm.f' || CAST(n_nationkey AS VARCHAR) AS symbols FROM nation
+  UNION ALL SELECT 'plan-' || CAST(n_nationkey AS VARCHAR), 2, 'B9', 't.py', '' FROM nation""")
+def plan_tasks(spark, d):  # S15-S19
+    from loomdex.plans import records
+
+    return records.tasks(records.from_texts(_plans(spark, d))).select("plan_id", "number", "batch", F.array_join("files", ",").alias("files"), F.array_join("symbols", ",").alias("symbols"))
+
+
+@query("""WITH p AS (SELECT 'plan-' || CAST(n_nationkey AS VARCHAR) AS plan_id, n_nationkey % 5 = 0 AS odd FROM nation)
+  SELECT plan_id, unnest(['tasks[2].risk', 'tasks[2].batch', 'tasks[2].validation']) AS field, unnest(['PLAN_SCHEMA_INVALID', 'PLAN_SCHEMA_INVALID', 'PLAN_VAGUE_VALIDATION']) AS code FROM p""")
+def plan_task_lint(spark, d):  # P4, P7
+    from loomdex.plans import lint, records
+
+    found = lint.lint(records.from_texts(_plans(spark, d)))
+    return found.where("field like 'tasks[%'").select("plan_id", "field", "code")
+
+
+@query("""SELECT kind, ref, batch, count(*) AS plans FROM (SELECT 'symbol' AS kind, 'm.f' || CAST(n_nationkey AS VARCHAR) AS ref, 'B' || CAST(n_regionkey AS VARCHAR) AS batch FROM nation WHERE n_nationkey % 5 <> 0 AND n_nationkey IN (1, 2, 3, 5)
+  UNION ALL SELECT 'file', 't.py', 'B9' FROM nation WHERE n_nationkey % 5 <> 0) GROUP BY 1, 2, 3""")
+def plan_direct_impact(spark, d):  # P18, J14, L8
+    from loomdex.plans import impact, records
+
+    plans = records.from_texts(_plans(spark, d).withColumn("text", F.replace(F.col("text"), F.lit("status: draft"), F.lit("status: executing"))))
+    found = impact.impact(plans, records.tasks(plans), ["t.py"], ["m.f1", "m.f2", "m.f3", "m.f5"], None, None).where("level = 'direct'")
+    return found.groupBy("kind", "ref", "batch").agg(F.count("*").alias("plans"))

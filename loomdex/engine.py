@@ -16,7 +16,7 @@ from datetime import datetime, timedelta, timezone
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,8 +156,8 @@ class Index:
         return self.spark.read.schema(extract.SCHEMA).parquet(str(path)), path
 
     def _log(self, rows: DataFrame, run: int, ts: datetime) -> int:
-        """Append a run's changes, numbered in order of file and place."""
-        numbered = rows.withColumn("seq", F.row_number().over(Window.orderBy("file", "at", "symbol")))
+        """Append a run's changes, numbered in order of file and place: ranges of files in parallel, so numbers ascend but have gaps."""
+        numbered = rows.repartitionByRange("file").sortWithinPartitions("file", "at", "symbol").withColumn("seq", F.monotonically_increasing_id())
         path = self.home / f"changes/run_id={run}"
         columns = [f.name for f in self._schema("changes").fields if f.name != "run_id"]
         numbered.withColumn("ts", F.lit(ts).cast("timestamp")).select(*columns).write.mode("overwrite").parquet(str(path))

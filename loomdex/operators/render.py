@@ -28,9 +28,8 @@ def kept_rows(rows: DataFrame, most: int | None) -> DataFrame:
     """The rows that an overview of ``most`` tokens shows: by in-degree, each that still fits; all without a budget."""
     if most is None:
         return rows
-    priced = rows.withColumn("cost", text.estimate_tokens(F.col("line"))).withColumn("less", -F.col("in_degree")).withColumn("doc", F.lit("overview"))
-    kept = working_set.greedy(priced, most - FIXED_TOKENS, ["doc"], ["less", "path"], "cost", "path").select("path")
-    return rows.join(kept, "path", "left_semi")
+    priced = rows.withColumn("cost", text.estimate_tokens(F.col("line"))).withColumn("less", -F.col("in_degree"))
+    return rows.where(F.col("path").isin(working_set.greedy_walk(priced, most - FIXED_TOKENS, ["less", "path"], "cost", "path")))
 
 
 def directory_diagram(files: DataFrame) -> list[str]:

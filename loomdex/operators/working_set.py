@@ -69,6 +69,27 @@ def greedy(rows: DataFrame, room: int, keys: list[str], order: list[str], cost:
     return rows.groupBy(*keys).agg(folded.alias("f")).select(*keys, F.explode("f.kept").alias(name))
 
 
+def greedy_walk(rows: DataFrame, room: int, order: list[str], cost: str = "cost", name: str = "name", chunk: int = 10_000) -> list:
+    """``greedy`` over one list of any length: names in order, kept on the driver, for ``room`` bounds how many there can be.
+
+    Each round takes the next ``chunk`` rows that could still fit; the first of them always does, so rounds are few. ``order`` must be unique.
+    """
+    kept: list = []
+    after = None
+    while True:
+        left = rows.where(F.col(cost) <= room)
+        if after is not None:
+            left = left.where(F.struct(*order) > F.struct(*[F.lit(after[c]).cast(rows.schema[c].dataType).alias(c) for c in order]))
+        part = left.orderBy(*order).limit(chunk).select(*{*order, cost, name}).collect()
+        if not part:
+            return kept
+        for r in part:
+            if r[cost] <= room:
+                room -= r[cost]
+                kept.append(r[name])
+        after = part[-1]
+
+
 def usage(ws: DataFrame, total: int = TOTAL, pages: int = PAGES, keys: list[str] = [*SCOPE]) -> DataFrame:  # noqa: B006
     """Tokens and pages of each scope and what they are over the budget."""
     used = ws.groupBy(*keys).agg(F.sum("tokens").alias("usage"), F.count("*").alias("pages"))

@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 TABLES: dict[str, str] = {
     "files": "path string, language string, hash string, mtime double, size long, role string, parsed_at timestamp",
     "symbols": "file string, qualified_name string, name string, kind string, signature string, params string, returns string, description string, role string, line int, end_line int, language string, bases array<string>, body string, docstring string, seq int",
     "imports": "file string, source string, names array<string>, seq int",
     "refs": "src_file string, dst_file string, symbol string, count long",
-    "changes": "run_id long, seq int, ts timestamp, file string, symbol string, change_type string, old_value string, new_value string, detail string",
+    "changes": "run_id long, seq long, ts timestamp, file string, symbol string, change_type string, old_value string, new_value string, detail string",
     "raw_calls": "file string, src_qname string, callee_raw string, line int, seq int",
     "call_edges": "src_qname string, dst_qname string, count long",
     "pages": "page_id string, file string, version string, granularity string, loaded_at timestamp, load_count long, index_version long",
@@ -19,7 +17,3 @@ TABLES: dict[str, str] = {
 KINDS = ("function", "class", "method", "interface", "type_alias")
 CHANGE_TYPES = ("added", "removed", "signature_changed", "signature_stable", "renamed")
 ROLES = ("controller", "service", "model", "util", "test", "entry", "module", "component")
-
-
-def struct(name: str) -> T.StructType:
-    return T.StructType.fromDDL(TABLES[name]) if hasattr(T.StructType, "fromDDL") else T._parse_datatype_string(TABLES[name])

@@ -136,6 +136,7 @@ def test_working_set(spark):
     assert pages(working_set.rendered(own, F.lit(360))) == {"c", "d"} and pages(working_set.rendered(own, F.lit(1))) == {"d"}
     rows = spark.createDataFrame([("k", 1, "x", 60), ("k", 2, "y", 50), ("k", 3, "z", 40), ("k", 4, "w", 1)], "k string, o int, name string, cost int")
     assert {r.name for r in working_set.greedy(rows, 100, ["k"], ["o"]).collect()} == {"x", "z"}
+    assert [working_set.greedy_walk(rows, room, ["o"], chunk=c) for room in (100, 0, 41, 999) for c in (1, 2, 100)] == [["x", "z"]] * 3 + [[]] * 3 + [["z", "w"]] * 3 + [["x", "y", "z", "w"]] * 3
     src = spark.createDataFrame([("p", "\n".join(["abc"] * 10)), ("q", "x" * 9000)], "page_id string, source string")
     assert {r.page_id: r.excerpt.count("\n") for r in working_set.excerpt(src, 6).collect()} == {"p": 2, "q": 0}
 
