@@ -2,10 +2,11 @@
 
 A text's features are the 2-, 3- and 4-grams of its lower-cased UTF-8 bytes, anything that is no letter being a space, hashed to
 ``BUCKETS`` counts; the square roots of their shares make a vector of length one. Machines with squared hinge loss are solved by Newton steps in
-the dual. Between families, and between the languages of a family, every pair has a machine; the class with the largest sum of clipped
-margins wins, ties to the name that sorts first.
+the dual. Between the languages of a family every pair has a machine; the language with the largest sum of clipped margins wins, ties to the name
+that sorts first. Two families are a pair too; of more, each has a machine against the rest.
 
-Learning uses a bounded sample (``sample`` texts over all languages, equal parts, rows by hash of their id); every text is predicted whole.
+Learning uses a bounded sample (``sample`` texts over all languages, equal parts, ids by hash, of rows that repeat an id and a language the first
+text); every text is predicted whole.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; a null doc_id is held out; rows whose lang is null are not learned
 from; a single learned language is given to every other text with score 1; without any, all is ``und``; empty tables, repeated rows and other
@@ -102,13 +103,28 @@ class Duel:
         return self.classes[best], 1 / (1 + float(np.exp(-4 * least)))
 
 
+class Rest:
+    """One machine for each class against all others, for many classes: families may be as many as languages."""
+
+    def __init__(self, x: np.ndarray, names: np.ndarray):
+        self.classes = sorted(set(names.tolist()))
+        own = [machine(x, np.where(names == c, 1.0, -1.0)) for c in self.classes]
+        self.weights, self.bias = np.stack([w for w, _ in own], axis=1), np.array([b for _, b in own])
+
+    def decide(self, v: np.ndarray) -> tuple[str, float]:
+        margins = v @ self.weights + self.bias
+        best = int(margins.argmax())
+        second = float(np.partition(margins, -2)[-2])
+        return self.classes[best], 1 / (1 + float(np.exp(-2 * (float(margins[best]) - second))))
+
+
 class Identifier:
     """Families, then the languages of each."""
 
     def __init__(self, x: np.ndarray, langs: list[str]):
         names = np.array(langs, object)
         families = np.array([family(s) for s in langs], object)
-        self.top = Duel(x, families) if langs else None
+        self.top = (Duel if len(set(families.tolist())) <= 2 else Rest)(x, families) if langs else None
         self.within = {f: Duel(x[families == f], names[families == f]) for f in sorted(set(families.tolist()))}
 
     def predict(self, text: bytes) -> tuple[str, float]:
@@ -138,7 +154,7 @@ def learn(docs: DataFrame, sample: int = 1_600) -> Identifier:
             found = [vector(t).astype(np.float16).tobytes() for t in blobs(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(found, pa.binary())], ["doc_id", "lang", "v"])
 
-    picked = own.where(draw < share[F.col("lang")]).select(F.col("doc_id").cast("long"), "lang", "text")
+    picked = own.where(draw < share[F.col("lang")]).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "lang").agg(F.min("text").alias("text"))
     rows = sorted(map_batches(picked, run, "doc_id long, lang string, v binary").collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.v)))
     x = np.array([np.frombuffer(r.v, np.float16) for r in rows], np.float32).reshape(-1, BUCKETS)
     return Identifier(x, [r.lang for r in rows])

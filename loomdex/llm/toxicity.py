@@ -5,8 +5,8 @@ machine scores sigmoid(w0 + sum of w_i + sum over pairs of <v_i, v_j>): a term c
 mention of a group, can count for more or less than its two terms, which additive weights can't say. Presence counts, not frequency, so one
 insult in a very long text weighs as much as in a short one.
 
-Learning uses a bounded sample of labelled rows (``sample`` parameter; rows by hash of their id, positives up to a third of it, weighted
-back to their share), keeps the ``features`` terms whose presence tells most about the label, and trains on the driver. Every text is scored
+Learning uses a bounded sample of labelled rows (``sample`` parameter; ids by hash, positives up to a third of it, weighted back to their
+share; of rows that repeat an id the first text counts), keeps the ``features`` terms whose presence tells most about the label, and trains on the driver. Every text is scored
 whole on the executors. The sampled ids are broadcast: at most about ``sample`` pairs of numbers.
 
 Defined cases: null or empty text is scored by w0 alone; a doc_id with several labels takes their mean; labels without a document, and null
@@ -158,7 +158,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 8_000, **options) ->
             found = [np.array(sorted(terms(t)), np.int32).tobytes() for t in blobs(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "terms"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select(F.col("doc_id").cast("long"), "y", "text")
+    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "y").agg(F.min("text").alias("text"))
     got = map_batches(picked, run, "doc_id long, y int, terms binary").toArrow()
     found = got.column("terms").to_pylist()
     order = sorted(range(len(found)), key=lambda i, ids=got.column("doc_id").to_pylist(): (ids[i], found[i]))

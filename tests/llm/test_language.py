@@ -42,6 +42,16 @@ def test_families_decide_first(spark, docs_of):
     assert language.family("pt-BR") == "romance" and language.family("tlh") == "tlh"
 
 
+def test_three_families(spark, docs_of):
+    rng = random.Random(6)
+    extra = [(9000 + i, " ".join(rng.choice("ja nein ez egy hogy nem volt csak már vagy mint ha is még akkor víz ház".split()) for _ in range(20)), "hu", "s") for i in range(150)]
+    docs = docs_of(corpus() + extra)
+    model = language.learn(docs)
+    assert model.top.classes == ["germanic", "romance", "uralic"] and isinstance(model.top, language.Rest)
+    got = {r.doc_id: r for r in language.identify(docs, model).collect() if r.held_out}
+    assert np.mean([got[i].lang_pred == lang for i, _, lang, _ in corpus() + extra if i in got]) > 0.97 and all(0 <= r.score <= 1 for r in got.values())
+
+
 def test_one_language_or_none(spark, docs_of):
     one = docs_of([(i, "hello there", "en", "s") for i in range(20)])
     assert {(r.lang_pred, r.score) for r in language.identify(one, language.learn(one)).collect()} == {("en", 1.0)}
