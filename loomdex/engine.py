@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from loomdex.functions import text
 from loomdex.operators import changes, graph, quality, render, resolve, search, working_set
-from loomdex.plans import impact, records
+from loomdex.plans import impact, records, upkeep
 from loomdex.schema import TABLES
 from loomdex.sources import extract, walk
 
@@ -271,6 +271,20 @@ class Index:
         loose = records.tasks(plans)
         return impact.impact(plans.where("code is null"), loose, files, symbols, self.table("symbols") if have else None, self.table("call_edges") if have else None, **limits)
 
+    def update_plans(self, folder: str, run: int | None = None) -> dict[str, Any]:
+        """After an update: what it touches in the open plans and which evidence it made stale, as reports; batches are marked where the project allows it."""
+        log = self.table("changes").where(F.col("run_id") == (run or self.meta["version"]))
+        touched = log.select("file", "symbol").distinct().orderBy("file", "symbol").limit(10_000).collect()
+        plans, files = records.read(self.spark, folder), self.table("files")
+        out = self.home / "plans"
+        found = self.impact(plans, sorted({r.file for r in touched}), sorted({r.symbol for r in touched}))
+        reports = [upkeep.write_report(found, out / "impact-report.json", ["plan_id", "level", "batch", "kind", "ref", "changed_ref"])]
+        stale = upkeep.stale_evidence(self.spark, folder, files)
+        reports.append(upkeep.write_report(stale, out / "stale-report.json", ["plan_id", "batch", "gate"]))
+        allowed = upkeep.config(self.root)["allow_update_plan_state"]
+        marks = upkeep.mark_stale(folder, stale.collect()) if allowed else {"marked": [], "skipped": []}
+        return marks | {"allow_update_plan_state": allowed, "reports": [r.as_posix() for r in reports]}
+
     def doctor(self) -> DataFrame:
         """Problems of the index; none if all is well."""
         self.require()

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions.udf import canonical_json
-from loomdex.plans import evidence, records, workflow
+from loomdex.operators import graph
+from loomdex.plans import evidence, lint, records, workflow
 from loomdex.plans.records import Plan, PlanError
 
 CONFIG = "loomdex.config.json"
@@ -118,3 +119,26 @@ def unmet_contracts(plan: Plan, batch: str, root: str | Path) -> list[str]:
     tests = (plan.frontmatter.get("testing") or {}).get("tests") or []
     own = [t for t in tests if isinstance(t, dict) and str(t.get("batch", "")) == batch and t.get("disposition") in ("implement", "reuse")]
     return [str(t.get("test_id")) for t in own if not t.get("files") or not resolves(str(t["files"][0]), root)]
+
+
+def check(spark: SparkSession, folder: str, files: DataFrame | None = None) -> list[tuple[str, str, str]]:
+    """(code, plan, what) of everything wrong with a folder's plans: lint, circles of dependencies, results of gates or batches that there aren't,
+    projections that are not what their plan says. Sorted; none if all is well.
+    """
+    plans = records.read(spark, folder)
+    found = [(r.code, r.plan_id or r.path, r.field or r.message) for r in lint.lint(plans, files).collect()]
+    edges = records.dependencies(plans).select(F.concat_ws("\x1f", "plan_id", "src").alias("src"), F.concat_ws("\x1f", "plan_id", "dst").alias("dst"))
+    found += [("DEPENDENCY_CYCLE", *r.node.split("\x1f")) for r in graph.cycle_nodes(edges).collect()]
+    for path in sorted(Path(folder).glob("*.md")):
+        flow = workflow.Workflow(path)
+        try:
+            plan = flow.plan
+        except PlanError:
+            continue
+        gates = {g.get("id") for g in (plan.frontmatter.get("engineering") or {}).get("gates") or [] if isinstance(g, dict)}
+        batches = {b.get("batch") for b in plan.batches}
+        found += [("EVIDENCE_UNBOUND", plan.id, f"{e['batch']}/{e['gate']}") for e in flow.log() if e["kind"] == "gate" and (e.get("gate") not in gates or e.get("batch") not in batches)]
+        kept = flow.state / "projection.json"
+        if kept.exists() and json.loads(kept.read_text("utf-8")) != json.loads(canonical_json(flow.projection())):
+            found.append(("PROJECTION_DRIFT", plan.id, kept.as_posix()))
+    return sorted(set(found))

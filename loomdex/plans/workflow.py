@@ -109,10 +109,14 @@ class Workflow:
         self.project()
         return data["revision"]
 
-    def project(self) -> dict[str, Any]:
-        """What readers of the plan need, as JSON beside its events."""
+    def projection(self) -> dict[str, Any]:
+        """What readers of the plan need."""
         p = self.plan
-        out = {"plan_id": p.id, "status": p.status, "revision": p.frontmatter.get("revision"), "content_hash": p.frontmatter.get("content_hash"), "batches": [{"batch": b.get("batch"), "status": b.get("status")} for b in p.batches], "tasks": len(p.tasks)}
+        return {"plan_id": p.id, "status": p.status, "revision": p.frontmatter.get("revision"), "content_hash": p.frontmatter.get("content_hash"), "batches": [{"batch": b.get("batch"), "status": b.get("status")} for b in p.batches], "tasks": len(p.tasks)}
+
+    def project(self) -> dict[str, Any]:
+        """Write the projection as JSON beside the events."""
+        out = self.projection()
         self.state.mkdir(parents=True, exist_ok=True)
         (self.state / "projection.json").write_text(canonical_json(out) + "\n", encoding="utf-8")
         return out
@@ -156,7 +160,7 @@ class Workflow:
                 raise PlanError("DEPENDENCY_OPEN", f"Batch {batch} waits for {', '.join(undone)}.", "batches", plan.path)
         if step == "complete" and (lacking := self.missing_gates(batch)):
             raise PlanError("GATE_EVIDENCE_MISSING", f"Gates without a pass: {', '.join(lacking)}.", "gates", plan.path)
-        body = _set_cell(plan.body, "batches", "batch", batch, "status", after)
+        body = _noted(_set_cell(plan.body, "batches", "batch", batch, "status", after), f"- {now()} {batch}: {row.get('status')} → {after}")
         if step == "start":
             plan.frontmatter["status"] = "executing"
         if step == "complete" and all((after if b is row else b.get("status")) in ("passed", "skipped") for b in plan.batches):
@@ -233,6 +237,17 @@ def _set_cell(body: str, section: str, key: str, value: str, column: str, to: st
     return "\n".join(lines)
 
 
+def _noted(body: str, note: str, section: str = "execution notes") -> str:
+    """The body with a line added at the end of a section, or of the document where there is none."""
+    lines = body.rstrip("\n").split("\n")
+    heads = [(i, m[1].casefold()) for i, x in enumerate(lines) if (m := re.match(r"^#{1,6}\s+(.+?)\s*#*\s*$", x))]
+    at = next((k for k, (_, name) in enumerate(heads) if name == section), None)
+    end = len(lines) if at is None or at + 1 == len(heads) else heads[at + 1][0]
+    while end and not lines[end - 1].strip():
+        end -= 1
+    return "\n".join([*lines[:end], note, *lines[end:]]) + "\n"
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """The events of all plans below a folder."""
     return spark.read.schema(EVENTS).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").json(f"{folder.rstrip('/')}/.state/*")

@@ -130,6 +130,31 @@ def test_command_line(spark, tmp_path, capsys):
         run("unknown")
 
 
+def test_update_touches_plans(spark, tmp_path):
+    from loomdex.plans import records, upkeep, workflow
+
+    root, plans = tmp_path / "repo", tmp_path / "repo" / "plans"
+    write(root, {"a.py": "def f(): pass\n", "b.py": "def g(): pass\n"})
+    i = Index(spark, root, tmp_path / "w")
+    i.scan()
+    w = workflow.Workflow.create(plans, "p1", "Title")
+    head, body = records.frontmatter(w.path.read_text())
+    w.path.write_text(workflow.document(head, body.replace("| 1 | B1 | none | none", "| 1 | B1 | a.py | a.f").replace("| B1 | pending | none |", "| B1 | pending | none |\n| B2 | pending | B1 |")))
+    w.approve("me")
+    w.batch("B1", "start")
+    w.gate("B1", "unit-tests", "passed", upkeep.current_fingerprints(records.read(spark, str(plans)), i.table("files")).first().current)
+    w.batch("B1", "complete")
+    write(root, {"b.py": "def g(x): pass\n"})
+    i.update()
+    assert i.update_plans(str(plans))["marked"] == []
+    write(root, {"a.py": "def f(x): pass\n"})
+    i.update()
+    done = i.update_plans(str(plans))
+    assert [(m["batch"], m["gates"]) for m in done["marked"]] == [("B1", ["unit-tests"])] and w.plan.batches[0]["status"] == "stale"
+    report = (tmp_path / "w" / "plans" / "impact-report.json").read_text()
+    assert '"level":"direct"' in report and '"ref":"a.f"' in report
+
+
 def test_full_scan_logs_every_symbol_again(spark, tmp_path):
     write(tmp_path / "repo", {"a.py": "def f(): pass\n"})
     i = Index(spark, tmp_path / "repo", tmp_path / "w")

@@ -134,6 +134,7 @@ def test_workflow(spark, tmp_path):
     w.path.write_text(workflow.document(head, body))
     assert w.run_gate("B1", "unit-tests", tmp_path) == "passed" and len(w.log()[-1]["detail"]) == workflow.GATE_OUTPUT
     w.batch("B1", "complete")
+    assert "B1: in-progress → passed" in w.plan.sections["execution notes"]
     assert w.plan.status == "done" and w.plan.batches[0]["status"] == "passed" and w.project()["status"] == "done"
     w.batch("B1", "reopen")
     assert w.plan.status == "executing" and w.missing_gates("B1") == []
@@ -180,6 +181,9 @@ def test_stale_marks_reports_and_contracts(spark, tmp_path):
     assert [(r.plan_id, r.batch, r.gate) for r in found.collect()] == [("p1", "B1", "unit-tests")]
     report = upkeep.write_report(found, tmp_path / "out" / "stale.json", ["plan_id", "batch", "gate"])
     assert '"items":[{"batch":"B1"' in report.read_text()
+    assert ("PROJECTION_DRIFT", "p1", (w.state / "projection.json").as_posix()) in upkeep.check(spark, str(plans))
+    w.project()
+    assert {c for c, *_ in upkeep.check(spark, str(plans))} <= {"PLAN_STATE_CONFLICT"}
     done = upkeep.mark_stale(plans, found.collect())
     assert [m["batch"] for m in done["marked"]] == ["B1"] and w.plan.batches[0]["status"] == "stale"
     assert [m["code"] for m in upkeep.mark_stale(plans, found.collect())["skipped"]] == ["BATCH_NOT_PASSED"] and [m["code"] for m in upkeep.mark_stale(tmp_path / "none", found.collect())["skipped"]] == ["PLAN_NOT_FOUND"]
