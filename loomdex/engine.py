@@ -305,7 +305,7 @@ class Index:
         return render.details(self.table("symbols"), self.table("files"))
 
     def history_document(self) -> str:
-        return render.history(self.table("changes"))
+        return render.history(self.table("changes"), lang=self.lang)
 
     # ---------------------------------------------------------------- working set
 

@@ -104,14 +104,22 @@ def write_details(docs: DataFrame, folder: str | Path) -> list[str]:
     return sorted(written)
 
 
-def history(log: DataFrame, minutes: int = 30) -> str:
+#: What the history document says, by language.
+TITLES = {
+    "en": {"title": "History", "none": "No changes yet.", "gap": "{} minutes passed since the update before; edits between may be missing."},
+    "zh": {"title": "变更历史", "none": "暂无变更。", "gap": "距上次更新已过 {} 分钟；其间的修改可能缺失。"},
+}
+
+
+def history(log: DataFrame, minutes: int = 30, lang: str = "en") -> str:
     """The last update's changes by file, with a warning where updates were far apart."""
+    said_in = TITLES.get(lang, TITLES["en"])
     last = log.agg(F.max("run_id")).first()[0]
     if last is None:
-        return "# History\n\nNo changes yet.\n"
+        return f"# {said_in['title']}\n\n{said_in['none']}\n"
     runs = log.groupBy("run_id").agg(F.max("ts").alias("ts")).withColumn("all", F.lit(1))
     gap = changes.gaps(runs, ["all"], "ts", minutes).where(F.col("run_id") == last).first()
     said = F.concat(F.lit("- "), "change_type", F.lit(" `"), "symbol", F.lit("`"), F.when(F.col("change_type") == "renamed", F.concat(F.lit(" (was `"), "old_value", F.lit("`)"))).when(F.col("change_type") == "signature_changed", F.concat(F.lit(": `"), "old_value", F.lit("` → `"), "new_value", F.lit("`"))).otherwise(""), F.when(F.coalesce("detail", F.lit("")) != "", F.concat(F.lit(" "), "detail")).otherwise(""))
     rows = log.where(F.col("run_id") == last).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("seq", said.alias("said")))).alias("rows")).orderBy("file").select("file", F.array_join("rows.said", "\n").alias("body")).collect()
-    warning = [f"> {gap.gap_seconds // 60} minutes passed since the update before; edits between may be missing.", ""] if gap else []
-    return "\n".join(["# History", "", *warning, *[f"## {r.file}\n\n{r.body}\n" for r in rows]])
+    warning = ["> " + said_in["gap"].format(gap.gap_seconds // 60), ""] if gap else []
+    return "\n".join([f"# {said_in['title']}", "", *warning, *[f"## {r.file}\n\n{r.body}\n" for r in rows]])

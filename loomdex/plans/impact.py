@@ -72,8 +72,10 @@ def impact(plans: DataFrame, tasks: DataFrame, files: list[str], symbols: list[s
     loose = planned_symbols.join(seen, ["plan_id", "ref"], "left_anti").withColumn("key", F.concat_ws("\x1f", "plan_id", "batch", "ref"))
     alike = token_overlap(loose, changed.where("kind = 'symbol'").select(F.col("ref").alias("changed_ref")).withColumn("_c", F.col("changed_ref")), "key", "ref", "changed_ref", "_c")
     alike = loose.join(alike, "key").select("plan_id", "batch", "ref", "task", "changed_ref", F.concat(F.lit("lexical overlap: "), "overlap").alias("reason"), F.lit("symbol").alias("kind"), F.lit(0.55).alias("confidence"))
-    same = basename_match(changed.where("kind = 'file'").select(F.col("ref").alias("path")).crossJoin(plans.select("plan_id")), planned_files.select("ref"), "path", "ref", ["plan_id"])
-    same = planned_files.groupBy("plan_id", "ref").agg(F.min(F.struct("batch", "task")).alias("at")).select("plan_id", "ref", "at.batch", "at.task").join(same, ["plan_id", "ref"])
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    moved = changed.where("kind = 'file'").select(F.col("ref").alias("path"), name("ref").alias("_name"))
+    met = planned_files.withColumn("_name", name("ref")).join(moved, "_name").where("ref <> path")
+    same = met.groupBy("plan_id", "path").agg(F.min(F.struct("ref", "batch", "task")).alias("at")).select("plan_id", "path", "at.*")
     same = same.select("plan_id", "batch", "ref", "task", F.col("path").alias("changed_ref"), F.lit("same file basename in a different path").alias("reason"), F.lit("file").alias("kind"), F.lit(0.5).alias("confidence"))
     rank = F.row_number().over(Window.partitionBy("plan_id").orderBy(F.desc("confidence"), "batch", "ref", "changed_ref"))
     maybe = alike.unionByName(same).withColumn("_n", rank).where(F.col("_n") <= possible)
