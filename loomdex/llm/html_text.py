@@ -1,8 +1,9 @@
 """HTML extraction by layout: a tree with implied tags, visibility rules, and a renderer that emits all visible text.
 
 The tree builder reads tags with one pattern and supplies what HTML leaves out: end tags of p, li, dt, dd, option, rows and cells where another
-begins, tables' rows, and elements still open at the end. The renderer skips what is not shown (head matter, script, style, template, ``hidden``,
-``display:none``, ``visibility:hidden``, closed ``details`` but for their summary, hidden inputs) and keeps everything else: navigation, footers and
+begins, tables' rows, the body's begin, and elements still open at the end. The renderer skips what is not shown (head matter, script, style, template, ``hidden``,
+``display:none`` and ``visibility:hidden`` in attributes or in simple rules of style sheets, closed ``details`` but for their summary, closed
+dialogs, hidden inputs) and keeps everything else: navigation, footers and
 boxes too. Inline white space collapses; blocks are set apart by line breaks and the larger ones by an empty line; list items carry bullets or
 numbers and are indented by depth; ``pre`` keeps its spacing; the cells of a table's rows are padded to columns of equal width.
 
@@ -27,11 +28,13 @@ from loomdex.llm.common import blobs, map_batches, slices
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_NOTE, _RULE, _SIMPLE = re.compile(r"/\*.*?\*/", re.S), re.compile(r"([^{}]+)\{([^{}]*)\}"), re.compile(r"[a-z][a-z0-9-]*(?:\.[\w-]+)?|[.#][\w-]+")
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _words = lambda s: frozenset(s.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 RAW = _words("script style textarea title xmp iframe noembed noframes")
-UNSEEN = _words("head script style template title meta link base noembed noframes iframe object audio video canvas svg math datalist")
+UNSEEN = _words("head script style template title meta link base noembed noframes iframe object audio video canvas datalist desc defs metadata symbol rp")
+IN_HEAD = _words("title meta link base style script noscript template head")
 WIDE = _words("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset")
 BLOCK = WIDE | _words("html body address article aside center dd details dialog dir div dt figcaption footer form header hgroup legend li main menu nav search section summary tr caption option optgroup")
 #: What a start tag closes, and the elements above which it does not look.
@@ -80,8 +83,12 @@ def parse(source: str) -> Node:
         if found:
             pop_to(min(found))
 
+    sheets: list[str] = []
+
     def text(s: str) -> None:
         if s:
+            if stack[-1].tag == "head" and not s.isspace():
+                pop_to(len(stack) - 1)  # the body begins
             stack[-1].children.append(html.unescape(s) if "&" in s else s)
 
     at, size = 0, len(source)
@@ -105,6 +112,8 @@ def parse(source: str) -> Node:
                 stack[-1].children.append(Node(tag))
             continue
         attributes = {a.lower(): html.unescape(x or y or z) for a, x, y, z in _ATTRIBUTE.findall(m[3])} if m[3].strip(" /\n\t") else {}
+        if tag not in IN_HEAD and where.get("head") and not where.get("template"):
+            pop_to(where["head"][-1])
         if tag in WIDE or tag in BLOCK and tag not in ("option", "optgroup", "tr", "caption"):
             if where.get("p") and tag not in ("html", "body"):
                 close(frozenset("p"), _BOUND)
@@ -120,15 +129,38 @@ def parse(source: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\s*/?>", re.I).search(source, at)
             inside = source[at : end.start()] if end else source[at:]
             node.children.append(html.unescape(inside) if tag in ("textarea", "title") else inside)
+            if tag == "style":
+                sheets.append(inside)
             at = end.end() if end else size
         else:
             push(node)
+    if rules := hiding_rules(sheets):
+        todo = [root]
+        while todo:
+            for c in todo.pop().children:
+                if isinstance(c, Node):
+                    names = {c.tag, "#" + c.attributes.get("id", "")} if c.attributes else {c.tag}
+                    for k in c.attributes.get("class", "").split():
+                        names |= {"." + k, f"{c.tag}.{k}"}
+                    if not names.isdisjoint(rules):
+                        c.attributes["hidden"] = ""
+                    todo.append(c)
     return root
 
 
+def hiding_rules(sheets: list[str]) -> set[str]:
+    """Simple selectors (a tag, a class, an id, a tag with a class) that style sheets hide; selectors of several parts are not read."""
+    out: set[str] = set()
+    for sheet in sheets:
+        for selectors, said in _RULE.findall(_NOTE.sub("", sheet)):
+            if _HIDING.search(said):
+                out.update(x.strip() for x in selectors.split(",") if _SIMPLE.fullmatch(x.strip()))
+    return out
+
+
 def hidden(node: Node) -> bool:
     a = node.attributes
-    return node.tag in UNSEEN or bool(a) and ("hidden" in a or "style" in a and bool(_HIDING.search(a["style"])) or node.tag == "input" and a.get("type", "").lower() == "hidden")
+    return node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or bool(a) and ("hidden" in a or "style" in a and bool(_HIDING.search(a["style"])) or node.tag == "input" and a.get("type", "").lower() == "hidden")
 
 
 def columns_of(text: str) -> int:

@@ -17,7 +17,8 @@ from loomdex.llm.html_text import extract, visible_text
     ("<table><tr><td>a<p>b<td>c</table>", "a |\n  | c\nb |".replace("a |\n  | c\nb |", "a | c\n  |\nb |")),
     ("<dl><dt>T<dd>D</dl><blockquote>q</blockquote>", "T\n  D\n\n  q"), ("<nav>n</nav><footer>f</footer>", "n\nf"),
     ("<select><option>a<option selected>b</select><input value=v><input type=hidden value=no>", "a\nb\nv"),
-    ("<p>a<div>b</p>c", "a\n\nb\n\nc"), ("<a href='x>y'>l</a>", "l"), ("<textarea> k\n l</textarea>", " k\n l"), ("<li>x</li>", "- x"),
+    ("<p>a<div>b</p>c", "a\n\nb\n\nc"), ("<a href='x>y'>l</a>", "l"), ("<textarea> k\n l</textarea>", " k\n l"), ("<html><head><title>T</title><meta charset=x><p>a<b>b", "ab"), ("<head>text<p>a", "text\n\na"), ("<svg><title>no</title><text>yes</text></svg>", "yes"), ("<dialog>no</dialog><dialog open>yes</dialog>", "yes"),
+    ("<style>p{margin:0} .x, #y /* z */ , div.w { display:none }</style><p class='a x'>no</p><p id=y>no</p><div class=w>no</div><p class=w>yes</p>", "yes"), ("<ruby>a<rp>(</rp><rt>b</rt></ruby>", "ab"), ("<li>x</li>", "- x"),
 ])
 def test_layout(source, text):
     assert visible_text(source) == text.strip("\n")
