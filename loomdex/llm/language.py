@@ -65,7 +65,7 @@ def vector(text: bytes) -> np.ndarray:
 
 def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 25) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine (squared hinge) for labels of 1 and -1."""
-    gram = x.astype(np.float64) @ x.T.astype(np.float64) + 1
+    gram = (x @ x.T).astype(np.float64) + 1
     inside, a = np.ones(len(y), bool), np.zeros(len(y))
     for _ in range(steps):
         at = np.flatnonzero(inside)
@@ -75,7 +75,7 @@ def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 25) -> t
         if (now == inside).all():
             break
         inside = now
-    return (x.T.astype(np.float64) @ a).astype(np.float32), float(a.sum())
+    return x.T @ a.astype(np.float32), float(a.sum())
 
 
 class Duel:
@@ -155,9 +155,9 @@ def learn(docs: DataFrame, sample: int = 1_600) -> Identifier:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(found, pa.binary())], ["doc_id", "lang", "v"])
 
     picked = own.where(draw < share[F.col("lang")]).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "lang").agg(F.min("text").alias("text"))
-    rows = sorted(map_batches(picked, run, "doc_id long, lang string, v binary").collect(), key=lambda r: (r.doc_id, r.lang, bytes(r.v)))
-    x = np.array([np.frombuffer(r.v, np.float16) for r in rows], np.float32).reshape(-1, BUCKETS)
-    return Identifier(x, [r.lang for r in rows])
+    got = map_batches(picked, run, "doc_id long, lang string, v binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    x = np.frombuffer(b"".join(got.column("v").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
+    return Identifier(x, got.column("lang").to_pylist())
 
 
 def identify(docs: DataFrame, identifier: Identifier) -> DataFrame:
