@@ -146,9 +146,10 @@ def orphans(spark, d):  # J10, U5, C1, C6
     return quality.problems(*[quality.orphans(name, left, right) for name, left, right in pairs])
 
 
-@query("""SELECT src, dst, kind FROM (SELECT l_orderkey AS src, l_partkey AS dst, CASE WHEN l_partkey % 50 = 0 AND l_orderkey % 40 = 0 THEN 'both' WHEN l_partkey % 50 = 0 THEN 'target' WHEN l_orderkey % 40 = 0 THEN 'source' END AS kind FROM lineitem) WHERE kind IS NOT NULL""")
+@query("""SELECT l_orderkey AS src, l_partkey AS dst, CASE WHEN o_orderkey IS NULL AND p_partkey IS NULL THEN 'both' WHEN p_partkey IS NULL THEN 'target' ELSE 'source' END AS kind FROM lineitem
+  LEFT JOIN (SELECT o_orderkey FROM orders WHERE o_orderpriority <> '2-HIGH') ON o_orderkey = l_orderkey LEFT JOIN (SELECT p_partkey FROM part WHERE p_size >= 3) ON p_partkey = l_partkey WHERE o_orderkey IS NULL OR p_partkey IS NULL""")
 def dangling_refs(spark, d):  # C3, J10
-    known = table(spark, d, "orders").where("o_orderkey % 40 <> 0").select(F.col("o_orderkey").alias("src")), table(spark, d, "part").where("p_partkey % 50 <> 0").select(F.col("p_partkey").alias("dst"))
+    known = table(spark, d, "orders").where("o_orderpriority <> '2-HIGH'").select(F.col("o_orderkey").alias("src")), table(spark, d, "part").where("p_size >= 3").select(F.col("p_partkey").alias("dst"))
     return quality.dangling(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst")), *known)
 
 
@@ -188,12 +189,12 @@ def file_actions(spark, d):  # F3, J9
     return acts.join(status, "path").groupBy("change_type", "status").agg(F.count("*").alias("n"))
 
 
-@query(b.with_("symbols") + """, gone AS (SELECT file, signature, qualified_name, row_number() OVER (PARTITION BY kind, line ORDER BY seq) AS n, kind, line FROM symbols WHERE seq % 3 = 0),
-  came AS (SELECT qualified_name, row_number() OVER (PARTITION BY kind, line ORDER BY seq) AS n, kind, line FROM symbols WHERE seq % 3 = 1)
-  SELECT gone.kind, gone.line, gone.qualified_name AS old_symbol, came.qualified_name AS new_symbol FROM gone JOIN came USING (kind, line, n) WHERE gone.qualified_name <> came.qualified_name""")
+@query(b.with_("symbols") + """, gone AS (SELECT qualified_name, row_number() OVER (PARTITION BY line ORDER BY seq) AS n, line FROM symbols WHERE kind IN ('function', 'class', 'method')),
+  came AS (SELECT qualified_name, row_number() OVER (PARTITION BY line ORDER BY seq) AS n, line FROM symbols WHERE kind NOT IN ('function', 'class', 'method'))
+  SELECT gone.line, gone.qualified_name AS old_symbol, came.qualified_name AS new_symbol FROM gone JOIN came USING (line, n) WHERE gone.qualified_name <> came.qualified_name""")
 def rename_pairs(spark, d):  # J5
     s = b.symbols(spark, d)
-    return changes.rename_pairs(s.where("seq % 3 = 0"), s.where("seq % 3 = 1"), ["kind", "line"], "qualified_name", ["seq"])
+    return changes.rename_pairs(s.where("kind in ('function', 'class', 'method')"), s.where("kind not in ('function', 'class', 'method')"), ["line"], "qualified_name", ["seq"])
 
 
 @query(b.with_("changes") + " SELECT symbol, seq, change_type, CAST(n AS INTEGER) AS n FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts, seq) AS n FROM changes) WHERE n <= 20")
@@ -216,10 +217,10 @@ def change_gaps(spark, d):  # W6
     return rows.select("symbol", "seq", (F.floor(secs(F.col("ts"))) - F.floor(secs(F.col("before_ts")))).alias("gap"))
 
 
-@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0 UNION ALL SELECT o_orderkey, 'N' FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'N' ELSE o_orderstatus END AS o_orderstatus FROM orders")
 def upsert(spark, d):  # K1, K2, K4, K9
     o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    return changes.upsert(o, o.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("N")), ["o_orderkey"])
+    return changes.upsert(o, o.where("o_orderstatus = 'P'").withColumn("o_orderstatus", F.lit("N")), ["o_orderkey"])
 
 
 # ---------------------------------------------------------------- resolution
@@ -251,11 +252,11 @@ def resolution_rate(spark, d):  # A5
 
 
 @query("""WITH link AS (SELECT page_id, url, unnest(regexp_extract_all(html, 'href="/([^"]+)"', 1)) AS target, generate_subscripts(regexp_extract_all(html, 'href="/([^"]+)"', 1), 1) AS n FROM pages),
-  known AS (SELECT DISTINCT lower(target) AS path FROM link WHERE page_id % 3 = 0), tried AS (SELECT page_id, n, 0 AS pos, target AS candidate FROM link UNION ALL SELECT page_id, n, 1, lower(target) FROM link UNION ALL SELECT page_id, n, 2, rtrim(lower(target), '.,') FROM link),
+  known AS (SELECT DISTINCT lower(target) AS path FROM link WHERE NOT regexp_matches(target, '[.,]$')), tried AS (SELECT page_id, n, 0 AS pos, target AS candidate FROM link UNION ALL SELECT page_id, n, 1, lower(target) FROM link UNION ALL SELECT page_id, n, 2, rtrim(lower(target), '.,') FROM link),
   hit AS (SELECT page_id, n, arg_min(candidate, pos) AS candidate FROM tried WHERE candidate IN (SELECT path FROM known) GROUP BY 1, 2) SELECT page_id, candidate AS dst, count(*) AS count FROM hit GROUP BY 1, 2""")
 def import_resolve(spark, d):  # J6, W5
     link = table(spark, d, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit('href="/([^"]+)"'), 1)).alias("n", "target"))
-    known = link.where("page_id % 3 = 0").select(F.lower("target").alias("candidate")).distinct()
+    known = link.where(~F.col("target").rlike("[.,]$")).select(F.lower("target").alias("candidate")).distinct()
     tried = link.select("page_id", "n", F.posexplode(F.array("target", F.lower("target"), F.regexp_replace(F.lower("target"), "[.,]+$", ""))).alias("pos", "candidate"))
     hit = tried.join(known, "candidate", "left_semi").groupBy("page_id", "n").agg(F.min_by("candidate", "pos").alias("dst"))
     return hit.groupBy("page_id", "dst").agg(F.count("*").alias("count"))
@@ -275,9 +276,9 @@ def top_n_neighbours(spark, d):  # W8, J8
     return graph.ranked_neighbours(b.call_edges(spark, d), 2)
 
 
-@query(b.with_("call_edges") + " SELECT src_qname, dst_qname, count FROM call_edges WHERE src_qname % 2 = 0 AND dst_qname % 2 = 0 ORDER BY count DESC, src_qname, dst_qname LIMIT 40")
+@query(b.with_("call_edges") + " SELECT src_qname, dst_qname, count FROM call_edges WHERE src_qname IN (SELECT p_partkey FROM part WHERE p_size > 10) AND dst_qname IN (SELECT p_partkey FROM part WHERE p_size > 10) ORDER BY count DESC, src_qname, dst_qname LIMIT 40")
 def call_graph_edges(spark, d):  # O5, J18, G9
-    nodes = table(spark, d, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("node"))
+    nodes = table(spark, d, "part").where("p_size > 10").select(F.col("p_partkey").alias("node"))
     return graph.top_edges(b.call_edges(spark, d), 40, nodes)
 
 
@@ -293,12 +294,11 @@ def bfs_bounded(spark, d):  # G5
     return graph.reach(b.call_edges(spark, d), roots, 2)
 
 
-@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * 3 + 1) % 25 AS b FROM nation WHERE n_nationkey % 4 <> 0 UNION SELECT n_nationkey, (n_nationkey * 2 + 5) % 25 FROM nation WHERE n_nationkey % 3 = 0),
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * n_nationkey + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, n_regionkey * 5 FROM nation),
   c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a) SELECT CAST(a AS BIGINT) AS node FROM c WHERE a = b""")
 def cycle_nodes(spark, d):  # G10
-    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"))
-    edges = n.where("a % 4 <> 0").select("a", F.expr("(a * 3 + 1) % 25").alias("b")).union(n.where("a % 3 = 0").select("a", F.expr("(a * 2 + 5) % 25")))
-    return graph.cycle_nodes(edges, "a", "b")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("a"), F.col("n_regionkey").cast("long").alias("r"))
+    return graph.cycle_nodes(n.select("a", F.expr("(a * a + 1) % 25").alias("b")).union(n.select("a", F.expr("r * 5"))), "a", "b")
 
 
 @query(b.with_("files") + """, p AS (SELECT string_split(path, '/') AS s FROM files), k AS (SELECT s, unnest(range(1, len(s) + 1)) AS n FROM p)
@@ -405,11 +405,11 @@ def budget_usage(spark, d):  # A11, M4
     return working_set.usage(b.working_set(spark, d), 300, 4, _BY_SESSION).drop("ok", "percent")
 
 
-@query("""SELECT d.doc_id AS page_id, CASE WHEN l.doc_id IS NULL THEN 'gone' WHEN d.doc_id % 3 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.doc_id % 2 = 0""")
+@query("""SELECT d.doc_id AS page_id, CASE WHEN l.doc_id IS NULL THEN 'gone' WHEN d.doc_id % 3 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""")
 def page_status(spark, d):  # J11, M11
     path = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".py"))
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    ws = docs.where("doc_id % 2 = 0").select(path.alias("page_id"), "doc_id")
+    ws = docs.select(path.alias("page_id"), "doc_id")
     version = docs.select(path.alias("page_id"), F.when(F.col("doc_id") % 3 == 0, F.lit("old")).otherwise(F.lit("h")).alias("version"))
     files = labels.select(path.alias("path"), F.lit("h").alias("hash"))
     symbols = b.symbols(spark, d)
@@ -487,24 +487,26 @@ def request_functions(spark, d):  # X21, X31, X35
 _TOKENS = "list_sort(list_distinct(list_filter(regexp_split_to_array(lower({}), '[^a-z0-9_]+'), lambda x: length(x) >= 3)))"
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS planned, unnest({_TOKENS.format("p_name || ' ' || p_type")}) AS t FROM part WHERE p_partkey % 10 = 0), c AS (SELECT p_partkey AS changed, unnest({_TOKENS.format("p_name || ' ' || p_type")}) AS t FROM part WHERE p_partkey % 97 = 1),
-  o AS (SELECT planned, changed, string_agg(t, ', ' ORDER BY t) AS overlap FROM p JOIN c USING (t) GROUP BY 1, 2) SELECT planned, changed, overlap FROM (SELECT *, row_number() OVER (PARTITION BY planned ORDER BY changed) AS n FROM o) WHERE n = 1""")
+@query(f"""WITH p AS (SELECT p_partkey AS planned, unnest({_TOKENS.format("p_name || ' ' || p_type")}) AS t FROM part), c AS (SELECT s_suppkey AS changed, unnest({_TOKENS.format("s_name || ' ' || CASE s_suppkey % 3 WHEN 0 THEN 'economy bolt' WHEN 1 THEN 'small' ELSE 'ring' END")}) AS t FROM supplier),
+  l AS (SELECT t, min(changed) AS changed FROM c GROUP BY t), f AS (SELECT planned, min(changed) AS changed FROM p JOIN l USING (t) GROUP BY planned)
+  SELECT f.planned, f.changed, string_agg(DISTINCT p.t, ', ' ORDER BY p.t) AS overlap FROM f JOIN p ON p.planned = f.planned JOIN c ON c.changed = f.changed AND c.t = p.t GROUP BY 1, 2""")
 def token_overlap(spark, d):  # J15, X20, U4
     from loomdex.plans import impact
 
-    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type").alias("ref"))
-    planned, changed = p.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("planned"), "ref"), p.where("p_partkey % 97 = 1").select(F.col("p_partkey").alias("changed"), F.col("ref").alias("changed_ref"))
+    word = F.element_at(F.array(F.lit("economy bolt"), F.lit("small"), F.lit("ring")), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    planned = table(spark, d, "part").select(F.col("p_partkey").alias("planned"), F.concat_ws(" ", "p_name", "p_type").alias("ref"))
+    changed = table(spark, d, "supplier").select(F.col("s_suppkey").alias("changed"), F.concat_ws(" ", F.col("s_name"), word).alias("changed_ref"))
     return impact.token_overlap(planned, changed, "planned", "ref", "changed", "changed_ref").select("planned", "changed", "overlap")
 
 
-@query("""WITH f AS (SELECT doc_id, source || '/' || lang || '/' || CAST(doc_id % 50 AS VARCHAR) AS path FROM documents), c AS (SELECT * FROM f WHERE doc_id % 20 = 0), o AS (SELECT * FROM f WHERE doc_id % 20 = 1 OR doc_id % 20 = 10)
-  SELECT doc_id, path, other FROM (SELECT c.doc_id, c.path, o.path AS other, row_number() OVER (PARTITION BY c.doc_id ORDER BY o.path) AS n FROM c JOIN o ON split_part(c.path, '/', 3) = split_part(o.path, '/', 3) AND c.path <> o.path) WHERE n = 1""")
+@query("""WITH f AS (SELECT doc_id, source || '/' || lang || '/' || CAST(n_chars % 500 AS VARCHAR) AS path FROM documents), n AS (SELECT DISTINCT path, split_part(path, '/', 3) AS name FROM f),
+  r AS (SELECT name, path, row_number() OVER (PARTITION BY name ORDER BY path) AS k FROM n), o AS (SELECT a.name, a.path AS first, b.path AS second FROM r a LEFT JOIN r b ON b.name = a.name AND b.k = 2 WHERE a.k = 1)
+  SELECT doc_id, f.path, CASE WHEN first <> f.path THEN first ELSE second END AS other FROM f JOIN o ON o.name = split_part(f.path, '/', 3) WHERE first <> f.path OR second IS NOT NULL""")
 def basename_match(spark, d):  # J16
     from loomdex.plans import impact
 
-    f = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang", (F.col("doc_id") % 50).cast("string")).alias("path"))
-    found = impact.basename_match(f.where("doc_id % 20 = 0"), f.where("doc_id % 20 in (1, 10)").select(F.col("path").alias("ref")), "path", "ref", ["doc_id"])
-    return found.select("doc_id", "path", F.col("ref").alias("other"))
+    f = table(spark, d, "documents").select("doc_id", F.concat_ws("/", "source", "lang", (F.col("n_chars") % 500).cast("string")).alias("path"))
+    return impact.basename_match(f, f.select(F.col("path").alias("ref")), "path", "ref", ["doc_id"]).select("doc_id", "path", F.col("ref").alias("other"))
 
 
 @query("""WITH k AS (SELECT DISTINCT 'pkg.' || replace(p_name, ' ', '.') AS q FROM part), w AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 2) WHEN 1 THEN 'pkg.' || replace(p_name, ' ', '.') ELSE 'no.' || p_name END AS ref FROM part)

@@ -12,17 +12,29 @@ OPEN = ("approved", "executing", "blocked")
 
 
 def token_overlap(planned: DataFrame, changed: DataFrame, planned_key: str, planned_ref: str, changed_key: str, changed_ref: str) -> DataFrame:
-    """For each planned reference the first changed one that shares a word, and the shared words: an equal join on exploded words."""
-    words = lambda df, key, ref: df.select(key, F.explode(text.lexical_tokens(F.col(ref))).alias("word"))
-    shared = words(planned, planned_key, planned_ref).join(words(changed, changed_key, changed_ref), "word").groupBy(planned_key, changed_key).agg(F.array_join(F.array_sort(F.collect_set("word")), ", ").alias("overlap"))
-    return shared.groupBy(planned_key).agg(F.min_by(F.struct(changed_key, "overlap"), changed_key).alias("by")).select(planned_key, "by.*")
+    """For each planned reference the first changed one that shares a word, and the shared words.
+
+    The first that shares a word is the least of its words' least keys, so only that pair is spelled out: rows stay linear in the words, however
+    common one is.
+    """
+    words = lambda df, key, ref: df.select(key, F.explode(text.lexical_tokens(F.col(ref))).alias("word")).distinct()
+    own, other = words(planned, planned_key, planned_ref), words(changed, changed_key, changed_ref)
+    least = other.groupBy("word").agg(F.min(changed_key).alias(changed_key))
+    first = own.join(least, "word").groupBy(planned_key).agg(F.min(changed_key).alias(changed_key))
+    shared = own.join(first, planned_key).join(other, [changed_key, "word"], "left_semi")
+    return shared.groupBy(planned_key, changed_key).agg(F.array_join(F.array_sort(F.collect_set("word")), ", ").alias("overlap"))
 
 
 def basename_match(changed: DataFrame, planned: DataFrame, path: str, ref: str, keys: list[str]) -> DataFrame:
-    """For each changed file the first planned file of the same name in another folder."""
+    """For each changed file the first planned file of the same name in another folder: the least of its name, or the next where that is itself."""
     name = lambda c: F.element_at(F.split(c, "/"), -1)
-    met = changed.withColumn("_name", name(F.col(path))).join(planned.withColumn("_name", name(F.col(ref))).select("_name", ref).distinct(), "_name").where(F.col(path) != F.col(ref))
-    return met.groupBy(*keys, path).agg(F.min(ref).alias(ref))
+    own = planned.select(name(ref).alias("_name"), F.col(ref).alias("_ref")).distinct()
+    first = own.groupBy("_name").agg(F.min("_ref").alias("_first"))
+    second = own.join(first, "_name").where("_ref > _first").groupBy("_name").agg(F.min("_ref").alias("_second"))
+    both = first.join(second, "_name", "left")
+    met = changed.withColumn("_name", name(F.col(path))).join(both, "_name")
+    other = F.when(F.col("_first") != F.col(path), F.col("_first")).otherwise(F.col("_second"))
+    return met.select(*keys, path, other.alias(ref)).where(F.col(ref).isNotNull()).distinct()
 
 
 def planned_refs(tasks: DataFrame, plans: DataFrame, column: str) -> DataFrame:
