@@ -111,14 +111,14 @@ SQL["working_set"] = """working_set AS (SELECT conv_id AS session_id, turn AS pa
 
 
 def snapshots(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Orders before and after: some went, some came, some have another status or price."""
-    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
-    new = o.where("key % 7 <> 0").select("key", F.when(F.col("key") % 11 == 0, F.lit("X")).otherwise(F.col("status")).alias("status"), F.when(F.col("key") % 13 == 0, F.col("price") + 1).otherwise(F.col("price")).alias("price"))
-    return o.where("key % 10 <> 0"), new
+    """Orders before and after: those of low priority came, urgent ones went, dear ones have another status, medium ones another price."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("p"))
+    new = o.where("p <> '1-URGENT'").select("key", F.when(F.col("price") > 400000, F.lit("X")).otherwise(F.col("status")).alias("status"), F.when(F.col("p") == "3-MEDIUM", F.col("price") + 1).otherwise(F.col("price")).alias("price"))
+    return o.where("p <> '5-LOW'").drop("p"), new
 
 
-SQL["before"] = "before_ AS (SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderkey % 10 <> 0)"
-SQL["after"] = "after_ AS (SELECT o_orderkey AS key, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderkey % 13 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 7 <> 0)"
+SQL["before"] = "before_ AS (SELECT o_orderkey AS key, o_orderstatus AS status, o_totalprice AS price FROM orders WHERE o_orderpriority <> '5-LOW')"
+SQL["after"] = "after_ AS (SELECT o_orderkey AS key, CASE WHEN o_totalprice > 400000 THEN 'X' ELSE o_orderstatus END AS status, CASE WHEN o_orderpriority = '3-MEDIUM' THEN o_totalprice + 1 ELSE o_totalprice END AS price FROM orders WHERE o_orderpriority <> '1-URGENT')"
 
 NEEDS = {"call_edges": ("steps",), "raw_calls": ("steps", "symbols"), "import_refs": ("symbols",)}
 

@@ -93,8 +93,6 @@ def extract(path: str, text: str) -> Extract:
     """Functions and classes at the top and in classes, imports outside of definitions, calls in functions. A syntax error raises."""
     tree, source, out = ast.parse(text), Source(text), Extract()
     module = (path.removesuffix("/__init__.py") if path.endswith("/__init__.py") else path.removesuffix(".py")).replace("/", ".")
-    todo: list = [(tree.body, "")]
-    order = []
 
     def define(statements: list, prefix: str) -> None:
         for node in statements:
@@ -113,7 +111,7 @@ def extract(path: str, text: str) -> Extract:
                 out.symbols.append(Symbol(f"{module}.{prefix}{node.name}", node.name, "class", f"class {node.name}" + (f"({', '.join(bases)})" if bases else ""), "()", "", docstring(node, source), node.lineno, node.end_lineno, bases))
                 define(node.body, f"{prefix}{node.name}.")
 
-    define(*todo.pop())
+    define(tree.body, "")
     stack = list(reversed(tree.body))
     while stack:
         node = stack.pop()
@@ -121,10 +119,9 @@ def extract(path: str, text: str) -> Extract:
             continue
         if isinstance(node, ast.ImportFrom):
             source_name = "." * node.level + (node.module or "")
-            order.append((source_name, [a.name for a in node.names if a.asname is None and a.name not in ("*", source_name)]))
+            out.imports.append((source_name, [a.name for a in node.names if a.asname is None and a.name not in ("*", source_name)]))
         elif isinstance(node, ast.Import):
-            order += [(a.name, []) for a in node.names if a.asname is None]
+            out.imports += [(a.name, []) for a in node.names if a.asname is None]
         else:
             stack += reversed([n for n in ast.iter_child_nodes(node) if isinstance(n, (ast.stmt, ast.excepthandler, ast.match_case))])
-    out.imports = order
     return out

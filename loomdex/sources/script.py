@@ -20,6 +20,7 @@ class Script:
         self.all = tokenise(text)
         self.t = [t for t in self.all if t.kind != "comment"]
         self.pair = pairs(self.t)
+        self.back = {b: a for a, b in self.pair.items()}
         self.comments = {}  # by the start of the token that follows
         held = None
         for t in self.all:
@@ -30,7 +31,6 @@ class Script:
                     self.comments[t.start] = held.text
                 held = None
         self.breaks = [m.start() for m in re.finditer("\n", text)]
-        self.inside: list[tuple[int, int]] = []  # bodies of inner functions and classes
 
     # -- small helpers
 
@@ -172,7 +172,7 @@ class Script:
         while j > first and self.at(j - 1) in (".", "?."):
             j -= 2
             while j > first and self.at(j) in (")", "]"):
-                open_ = next((a for a, b in self.pair.items() if b == j), None)
+                open_ = self.back.get(j)
                 if open_ is None or open_ <= first:
                     return max(first, open_ or first)
                 j = open_
