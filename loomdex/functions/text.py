@@ -170,16 +170,23 @@ def lexical_tokens(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda x: F.length(x) >= 3)))
 
 
+# Words of a request, and the profile, gates and boundaries that the first row with one of them suggests.
+PROFILES = (
+    (("auth", "password", "security", "secret", "payment", "token"), "production", ("unit-tests", "security-review", "regression-tests"), ("authentication", "data-access")),
+    (("api", "contract", "public", "schema"), "product", ("unit-tests", "regression-tests", "public-contract-review"), ("public-api",)),
+    ((), "product", ("unit-tests", "regression-tests"), ()),
+)
+
+
 def engineering_profile(query: Column) -> Column:
     """Struct of profile, gates and boundaries that a request's words suggest."""
-    low = F.lower(query)
-    words = lambda *ws: F.coalesce(low.rlike("|".join(ws)), F.lit(False))
-    make = lambda profile, gates, bounds: F.struct(F.lit(profile).alias("profile"), F.array(*map(F.lit, gates)).alias("gates"), (F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<string>")).alias("boundaries"))
-    return (
-        F.when(words("auth", "password", "security", "secret", "payment", "token"), make("production", ["unit-tests", "security-review", "regression-tests"], ["authentication", "data-access"]))
-        .when(words("api", "contract", "public", "schema"), make("product", ["unit-tests", "regression-tests", "public-contract-review"], ["public-api"]))
-        .otherwise(make("product", ["unit-tests", "regression-tests"], []))
-    )
+    strings = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    out = None
+    for words, profile, gates, boundaries in PROFILES:
+        made = F.struct(F.lit(profile).alias("profile"), strings(gates).alias("gates"), strings(boundaries).alias("boundaries"))
+        hit = F.coalesce(F.lower(query).rlike("|".join(words)), F.lit(False))
+        out = (F.when(hit, made) if out is None else out.when(hit, made)) if words else out.otherwise(made)
+    return out
 
 
 def slug(c: Column) -> Column:
