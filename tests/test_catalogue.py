@@ -43,6 +43,22 @@ def test_entry(spark):
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
 
 
+def test_entry_point_works_without_the_optional_subpackage():
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    said = "import sys; sys.modules['loomdex.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert set(e.queries()) == set(__import__('loomdex.catalogue', fromlist=['x']).QUERIES)"
+    assert subprocess.run([sys.executable, "-c", said], cwd=root, check=False).returncode == 0
+
+
+def test_nothing_else_imports_the_subpackage():
+    from pathlib import Path
+
+    root = Path(__spark_entry__.__file__).parent / "loomdex"
+    assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and "loomdex.llm" in p.read_text("utf-8")]
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = lambda name: catalogue.QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     text = plan("symbol_file_join")
