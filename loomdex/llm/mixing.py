@@ -124,7 +124,7 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     Rows keep all their columns and whole texts. Rows that share a doc_id share their number of words taken by size.
     """
     copies = mix(docs, **options).groupBy("doc_id", "size").agg(F.avg("taken").alias("taken")).where("size > 0 and taken * 2 >= size")
-    copies = copies.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_times"))
-    sized = docs.withColumn("_words", word_count(F.col("text")))
-    joined = sized.join(copies, sized.doc_id.eqNullSafe(copies._id) & (F.col("_words") == F.col("_size")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    copies = copies.select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__mix_times"))
+    sized = docs.withColumn("__mix_words", word_count(F.col("text")))
+    joined = sized.join(copies, sized.doc_id.eqNullSafe(copies["__mix_id"]) & (F.col("__mix_words") == F.col("__mix_size")))
+    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*[docs[c] for c in docs.columns])
