@@ -65,9 +65,11 @@ class ByteBpe:
 
     def _learn(self, pieces: list[str]) -> None:
         self.newer.update(p for p in pieces if not p.isascii() and any(unicodedata.category(c) == "Cn" for c in p))
-        written = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in pieces]
-        for p, e in zip(pieces, self.model.encode_batch_fast(written, add_special_tokens=False), strict=True):
-            self.known[p] = array("I", e.ids).tobytes()
+        for at in range(0, len(pieces), 4096):  # the library's records of a piece are large
+            part = pieces[at : at + 4096]
+            written = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in part]
+            for p, e in zip(part, self.model.encode_batch_fast(written, add_special_tokens=False), strict=True):
+                self.known[p] = array("I", e.ids).tobytes()
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""

@@ -14,7 +14,7 @@ from loomdex.runtime import checkpoint, ship, table
 __all__ = ["blobs", "checkpoint", "crc_of_id", "map_batches", "ship", "slices", "table"]
 
 #: Rows that Python functions see at once; long texts make a slice end sooner.
-SLICE_ROWS, SLICE_BYTES = 2_000, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 500, 1 << 20
 
 
 def crc_of_id(col: str | Column) -> Column:

@@ -28,7 +28,7 @@ from loomdex.llm.common import blobs, crc_of_id, map_batches, slices
 
 BITS, BEGINNINGS = 20, (4, 5, 6, 7)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
-_CACHE_WORDS = 1 << 18
+_CACHE_WORDS = 1 << 16
 
 
 def _hashes(word: bytes) -> tuple[int, ...]:
