@@ -11,7 +11,8 @@ unbounded list and no link is lost. Components come from alternating large-star
 checkpointed into the shared folder.
 
 Defined cases: null text is the empty text; a text without words has fingerprint zero and is linked like any other; a null doc_id takes part
-with its fingerprint but is never the smallest id; repeated rows stay; other columns are ignored; an empty table gives an empty result.
+with its fingerprint but is never the smallest id; a component without any id has none; unlike texts of one id are not linked by it; repeated rows
+stay; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -159,10 +160,18 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
 
 
+def grouped(fps: DataFrame) -> DataFrame:
+    """fp, grp and component_id of every fingerprint: its component's least fingerprint, and the smallest doc_id in it (null if it has none)."""
+    distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    found = components(linked(distinct.select("fp", F.col("fp").alias("node"))))
+    roots = found.select(F.col("component").alias("node"), "component").distinct()
+    found = found.unionByName(roots).select(F.col("node").alias("fp"), F.col("component").alias("grp"))
+    lowest = distinct.join(found, "fp").groupBy("grp").agg(F.min("least").alias("lowest"))
+    of = distinct.join(found.join(lowest, "grp"), "fp", "left")
+    return of.select("fp", F.coalesce("grp", "fp").alias("grp"), F.when(F.col("grp").isNull(), F.col("least")).otherwise(F.col("lowest")).alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id that is reachable over links, itself included."""
     fps = checkpoint(fingerprints(docs))
-    distinct = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    found = components(linked(distinct.where("node is not null")))
-    of = distinct.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(grouped(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

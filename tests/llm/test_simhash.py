@@ -77,3 +77,15 @@ def test_a_chain_and_a_crowded_list(spark, monkeypatch, limit):
     df = spark.createDataFrame([(f, i) for i, f in enumerate(signed)], "fp long, node long").repartition(4)
     found = {r.node: r.component for r in simhash.components(simhash.linked(df)).collect()}
     assert [found.get(i, i) for i in range(len(fps))] == brute_components(fps, range(len(fps)))
+
+
+def test_rows_without_id_link_and_a_shared_id_does_not(spark, docs_of, monkeypatch):
+    """A - N - B is one component though only a row without id has N; texts C and D of one id stay two components."""
+    fps = {"a": 0, "n": 0b1111, "b": 0b11111111, "c": 0x0F0F << 20, "d": 0x7777 << 40, "e": 0x1234567890ABCDEF}
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs: spark.createDataFrame([(r.doc_id, fps[r.text]) for r in docs.collect()], "doc_id long, fp long"))
+    rows = [(7, "a"), (None, "n"), (3, "b"), (5, "c"), (5, "d"), (9, "d"), (None, "e")]
+    got = simhash.near_duplicates(docs_of([(i, t, "en", "s") for i, t in rows])).collect()
+    of = {f"{v:016x}": k for k, v in fps.items()}
+    assert sorted((of[r.fingerprint], r.doc_id or 0, r.component_id) for r in got if r.component_id) == [("a", 7, 3), ("b", 3, 3), ("c", 5, 5), ("d", 5, 5), ("d", 9, 5), ("n", 0, 3)]
+    grp = {r.fp: r.grp for r in simhash.grouped(simhash.fingerprints(docs_of([(i, t, "en", "s") for i, t in rows]))).collect()}
+    assert grp[fps["a"]] == grp[fps["n"]] == grp[fps["b"]] and len(set(grp.values())) == 4
