@@ -62,14 +62,14 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed 64-bit integer."""
+    """doc_id, its fingerprint as a signed 64-bit integer, and a digest of the exact text."""
 
     def run(batches):
         for b in slices(batches, "text"):
             fps = np.array([fingerprint(t) for t in blobs(b.column("text"))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(fps), b.column("digest")], ["doc_id", "fp", "digest"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("digest")), run, "doc_id long, fp long, digest long")
 
 
 def _forest(key: np.ndarray, fp: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -175,3 +175,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id: the smallest doc_id that is reachable over links, itself included."""
     fps = checkpoint(fingerprints(docs))
     return fps.join(grouped(fps), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """Of each component one row, all columns as they are: by the smallest doc_id, null last, then by the text's hash, then by the other columns.
+
+    Rows are told apart by id and text, so unlike texts of one id are judged each for itself. Only the keys of rows that go, and of the rows
+    that stay out of several with one id and text, are joined with the documents.
+    """
+    digest, named = F.xxhash64("text"), lambda df: df.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "stays")
+    fps = checkpoint(fingerprints(docs))
+    rows = fps.join(grouped(fps), "fp").groupBy("grp", "doc_id", "digest").agg(F.count("*").alias("n"))
+    own = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    first = rows.groupBy("grp").agg(F.min(own).alias("first"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    keys = checkpoint(named(rows.join(first, "grp").withColumn("stays", own == F.col("first")).where("not stays or n > 1")))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest"))
+    once = docs.join(keys.where("stays"), same, "left_semi").groupBy("doc_id", digest).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return docs.join(keys, same, "left_anti").unionByName(once)

@@ -42,3 +42,14 @@ def test_every_query_runs_whole(spark, sf):
     assert sorted(int(n[2:].split("_")[0]) for n in rows) == list(range(1, 11))
     by = {int(n[2:].split("_")[0]): k for n, k in rows.items()}
     assert all(by[n] == docs for n in (1, 4, 5, 7, 8, 9, 10)) and by[2] == 50 and by[3] == 50
+
+
+def test_near_duplicates_are_removed_by_rows(spark, docs_of):
+    a, b, c, d, e = (" ".join(f"{x}{k * k}" for k in range(30)) for x in "abcde")
+    rows = [(3, a), (5, a), (5, b), (7, c), (7, c), (7, c), (None, c), (None, d), (None, d), (8, e), (None, None), (None, "")]
+    docs = docs_of([(i, t, "en", "s") for i, t in rows])
+    out = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert out.dtypes == docs.dtypes
+    got = [(r.doc_id, r.text or "") for r in out.collect()]
+    assert sorted(got, key=repr) == sorted([(3, a), (5, b), (7, c), (None, d), (8, e), (None, "")], key=repr)
+    assert corpus_pipeline.drop_near_duplicates(spark, docs_of([]), "").count() == 0
