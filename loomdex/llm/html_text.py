@@ -2,7 +2,8 @@
 
 The tree builder reads tags with one pattern and supplies what HTML leaves out: end tags of p, li, dt, dd, option, rows and cells where another
 begins, tables' rows, the body's begin, and elements still open at the end. The renderer skips what is not shown (head matter, script, style, template, ``hidden``,
-``display:none`` and ``visibility:hidden`` in attributes or in simple rules of style sheets, closed ``details`` but for their summary, closed
+``display:none`` and ``visibility:hidden`` in attributes or in simple rules of style sheets, where the last declaration of the highest rank wins and
+rules for print or under conditions hide nothing, closed ``details`` but for their summary, closed
 dialogs, hidden inputs) and keeps everything else: navigation, footers and
 boxes too. Inline white space collapses; blocks are set apart by line breaks and the larger ones by an empty line; list items carry bullets or
 numbers and are indented by depth; ``pre`` keeps its spacing; the cells of a table's rows are padded to columns of equal width.
@@ -27,8 +28,11 @@ from loomdex.llm.common import blobs, map_batches, slices
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
-_NOTE, _RULE, _SIMPLE = re.compile(r"/\*.*?\*/", re.S), re.compile(r"([^{}]+)\{([^{}]*)\}"), re.compile(r"[a-z][a-z0-9-]*(?:\.[\w-]+)?|[.#][\w-]+")
+_HIDING = re.compile(r"none|hidden|collapse", re.I)
+_NOTE, _SIMPLE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S), re.compile(r"[a-z][a-z0-9-]*(?:\.[\w-]+)?|[.#][\w-]+")
+_MARK = re.compile(r"[{};]|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'", re.S)
+_SAID = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([^;!]*)(!\s*important)?", re.I)
+_SEEN_MEDIA, _OTHER_MEDIA = re.compile(r"(?:(?:only\s+)?(?:screen|all))?|not\s+(?:print|speech)", re.I), re.compile(r"(?:only\s+)?(?!not\b|only\b|screen\b|all\b)[a-z]+(?:\s+and\b.*)?|not\s+(?:screen|all)", re.I | re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _words = lambda s: frozenset(s.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
@@ -83,7 +87,7 @@ def parse(source: str) -> Node:
         if found:
             pop_to(min(found))
 
-    sheets: list[str] = []
+    sheets: list[tuple[str, int]] = []
 
     def text(s: str) -> None:
         if s:
@@ -130,11 +134,11 @@ def parse(source: str) -> Node:
             inside = source[at : end.start()] if end else source[at:]
             node.children.append(html.unescape(inside) if tag in ("textarea", "title") else inside)
             if tag == "style":
-                sheets.append(inside)
+                sheets.append((inside, media(attributes.get("media", ""))))
             at = end.end() if end else size
         else:
             push(node)
-    if rules := hiding_rules(sheets):
+    if rules := visibility_rules(sheets):
         todo = [root]
         while todo:
             for c in todo.pop().children:
@@ -142,25 +146,83 @@ def parse(source: str) -> Node:
                     names = {c.tag, "#" + c.attributes.get("id", "")} if c.attributes else {c.tag}
                     for k in c.attributes.get("class", "").split():
                         names |= {"." + k, f"{c.tag}.{k}"}
-                    if not names.isdisjoint(rules):
-                        c.attributes["hidden"] = ""
+                    if met := [rules[n] for n in names if n in rules]:
+                        won = {p: max(r[p] for r in met if p in r) for p in ("display", "visibility") if any(p in r for r in met)}
+                        own = declared(c.attributes.get("style", ""))
+                        ends = {p: own[p][1] if p in own and own[p][0] >= (p in won and won[p][0][0]) else won[p][1] for p in {*own, *won}}
+                        c.attributes["style"] = ";".join(f"{p}:{'none' if p == 'display' else 'hidden'}" if hides else f"{p}:revert" for p, hides in ends.items())
                     todo.append(c)
     return root
 
 
-def hiding_rules(sheets: list[str]) -> set[str]:
-    """Simple selectors (a tag, a class, an id, a tag with a class) that style sheets hide; selectors of several parts are not read."""
-    out: set[str] = set()
-    for sheet in sheets:
-        for selectors, said in _RULE.findall(_NOTE.sub("", sheet)):
-            if _HIDING.search(said):
-                out.update(x.strip() for x in selectors.split(",") if _SIMPLE.fullmatch(x.strip()))
+def media(queries: str) -> int:
+    """Whether a screen meets a list of media queries: 2 always, 1 perhaps, 0 never."""
+    each = [q.strip() for q in queries.split(",")]
+    return max(2 if _SEEN_MEDIA.fullmatch(q) else 0 if _OTHER_MEDIA.fullmatch(q) else 1 for q in each)
+
+
+def declared(said: str) -> dict[str, tuple[bool, bool]]:
+    """Of display and visibility, as far as declared: whether important, and whether it hides; the last declaration wins, important ones first."""
+    out: dict[str, tuple[bool, bool]] = {}
+    for name, value, important in _SAID.findall(said):
+        name, now = name.lower(), (bool(important), bool(_HIDING.fullmatch(value.strip())))
+        if now[0] >= out.get(name, now)[0]:
+            out[name] = now
+    return out
+
+
+def visibility_rules(sheets: list[tuple[str, int]]) -> dict[str, dict[str, tuple]]:
+    """What style sheets (with what ``media`` says of each) declare for simple selectors (a tag, a class, an id, a tag with a class): for each of
+    display and visibility its rank (important, specificity, place) and whether it hides; selectors of several parts are not read.
+
+    Rules in at-rules that a screen only perhaps meets (media with conditions, ``@supports``, layers) can show but not hide, and of those that it
+    never meets, as for print, nothing counts: in doubt the text is kept.
+    """
+    out: dict[str, dict[str, tuple]] = {}
+    place = 0
+    for sheet, outer in sheets:
+        sheet = _NOTE.sub("", sheet)
+        open_, at = [(outer, "")], 0  # of each open block, whether it counts, and the selectors if it is a rule
+        for m in _MARK.finditer(sheet):
+            mark = m[0]
+            if mark == "{":
+                head, counts = sheet[at : m.start()].strip(), open_[-1][0]
+                if open_[-1][1]:
+                    open_.append((0, "nested"))
+                elif head.startswith("@"):
+                    kind, rest = re.match(r"@([\w-]*)(.*)", head, re.S).groups()
+                    kind = kind.lower()
+                    open_.append((min(counts, media(rest) if kind == "media" else 1 if kind in ("supports", "layer", "container", "scope", "document", "-moz-document", "starting-style") else 0), ""))
+                else:
+                    open_.append((counts, head or "?"))
+                at = m.end()
+            elif mark == "}":
+                if len(open_) > 1:
+                    counts, selectors = open_.pop()
+                    if selectors and counts and selectors != "nested":
+                        said = declared(sheet[at : m.start()])
+                        for x in map(str.strip, selectors.split(",")) if said else ():
+                            if _SIMPLE.fullmatch(x):
+                                place += 1
+                                rule = out.setdefault(x, {})
+                                for name, (important, hides) in said.items():
+                                    rank = (important, x[0] == "#", "." in x, x[0] not in ".#", place)
+                                    if (counts == 2 or not hides) and rank > rule.get(name, ((False,),))[0]:
+                                        rule[name] = (rank, hides)
+                at = m.end()
+            elif mark == ";" and not open_[-1][1]:
+                at = m.end()
     return out
 
 
 def hidden(node: Node) -> bool:
     a = node.attributes
-    return node.tag in UNSEEN or node.tag == "dialog" and "open" not in a or bool(a) and ("hidden" in a or "style" in a and bool(_HIDING.search(a["style"])) or node.tag == "input" and a.get("type", "").lower() == "hidden")
+    if node.tag in UNSEEN or node.tag == "dialog" and "open" not in a:
+        return True
+    if not a:
+        return False
+    said = declared(a["style"]) if "style" in a else {}
+    return any(hides for _, hides in said.values()) or "hidden" in a and "display" not in said or node.tag == "input" and a.get("type", "").lower() == "hidden"
 
 
 def columns_of(text: str) -> int:

@@ -24,6 +24,28 @@ def test_layout(source, text):
     assert visible_text(source) == text.strip("\n")
 
 
+@pytest.mark.parametrize(("sheet", "page", "text"), [
+    ("@media print{.nav{display:none}}", "<p class=nav>a", "a"), ("@media (max-width:600px){.side{display:none} p{color:red}} .x{display:none}", "<p class=side>a<p class=x>no", "a"),
+    ("@media screen, print{.x{display:none}}", "<p class=x>no<p>a", "a"), ("@media only screen{.x{display:none}}@media not screen{.y{display:none}}", "<p class=x>no<p class=y>a", "a"),
+    (".m{display:none}.m{display:block}", "<p class=m>a", "a"), (".m{display:block}.m{display:none}", "<p class=m>no<p>a", "a"), (".m{display:none;display:block}", "<p class=m>a", "a"),
+    (".m{display:none}", "<p class=m style='display:block'>a<p class=m>no", "a"), (".m{display:none!important}", "<p class=m style='display:block'>no<p>a", "a"), (".m{display:block!important}.m{display:none}", "<p class=m>a", "a"),
+    (".m{display:none}@media (min-width:9px){.m{display:block}}", "<p class=m>a", "a"), (".m{display:none}@media print{.m{display:block}}", "<p class=m>no<p>a", "a"),
+    ("#i{display:block}.m{display:none}p{visibility:visible}", "<p id=i class=m>a<p class=m>no", "a"), ("@supports (x:y){@media screen{.m{display:none}}}", "<p class=m>a", "a"),
+    ("@keyframes k{p{display:none}}@import url('x{');.m:hover{display:none}.n{content:'}';display:none}", "<p class=m>a<p class=n>no", "a"), (".m{display:none", "<p class=m>a", "a"),
+    ("", "<style media=print>p{display:none}</style><p>a<p hidden>no<p hidden style=display:block>b", "a\n\nb"), ("@media screen{.x{visibility:hidden}}}.y{display:none}", "<p class=x>no<p class=y>no<p>a", "a"),
+    ("@media all and (x){p{color:red}", "<p>a", "a"), ("@font-face{src:x}\n@media\nscreen {.x { display : NONE ; } }", "<p class=x>no<p>a", "a"),
+])
+def test_style_sheets_as_a_screen_reads_them(sheet, page, text):
+    assert visible_text(f"<style>{sheet}</style>{page}") == text
+
+
+def test_style_sheets_in_linear_time():
+    began = time.process_time()
+    for sheet in ("@media x{" * 50000, ".a{display:none}" * 50000, "@" * 200000, "display:" * 50000 + "{" + "display:" * 50000 + "}", "'" * 100001, "/*" * 100000, "p{;display " + " " * 100000 + "}"):
+        assert visible_text(f"<style>{sheet}</style><p>deep") == "deep"
+    assert time.process_time() - began < 6
+
+
 @pytest.mark.parametrize("source", ["<div>" * 60000 + "deep" + "<li>" * 3000, "<p>deep" * 50000, "<a b=\"" * 30000 + "deep", "<p><button>" + "<div>" * 60000 + "deep", "<table><tr><td>deep" * 4000, "<i>" * 90000 + "deep", "<table>" + "<tr><td>" + "deep" * 20000 + "<tr><td>x<td>y" * 5000])
 def test_any_nesting_in_linear_time(source):
     began = time.process_time()
