@@ -25,6 +25,8 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+import sys
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -72,7 +74,7 @@ def alphabets() -> dict[str, str]:
     groups = ["".join(map(chr, range(a, b + 1))) for a, b in ((0x61, 0x7A), (0x41, 0x5A), (0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F))]
     latin = [c for c in map(chr, range(0xC0, 0x180)) if c.isalpha() and len(c.lower()) == len(c.upper()) == 1]
     groups += ["".join(c for c in latin if c.islower()), "".join(c for c in latin if c.isupper())]
-    groups += ["".join(map(chr, range(z, z + 10))) for z in (0x30, 0x660, 0x6F0, 0x966, 0x9E6, 0xFF10)]
+    groups += ["".join(map(chr, range(z, z + 10))) for z in range(sys.maxunicode) if unicodedata.decimal(chr(z), None) == 0]
     for g in groups:
         own = "".join(c for c in g if c.isalnum())
         out |= dict.fromkeys(own, own)
@@ -167,6 +169,9 @@ HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
 def secret(s: str, key: bytes) -> str:
     for g in (HEX_LOWER, HEX_UPPER):
         if all(c in g for c in s):
+            for own in (g[:10], g[10:]):  # of digits or of letters alone: among their like, to which a walk would hardly ever come back
+                if all(c in own for c in s):
+                    return permute(s, "hex", key, own)
             return walk(s, "hex", lambda x: (any(c.isalpha() for c in x), any(c.isdigit() for c in x)), key, g)
     m = re.match(r"(?:AKIA|ASIA|ghp_|gho_|github_pat_|sk-|xox[abprs]-|eyJ)", s)
     head = m[0] if m else ""
@@ -241,23 +246,37 @@ _MARKED = re.compile(
 _ISSUED = re.compile(r"(?<![^\W_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?:ghp_|gho_|github_pat_|sk-|xox[abprs]-)[0-9A-Za-z_-]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{4,})")
 _ISSUERS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "xox", "eyJ")
 _ASSIGNED = re.compile(r"""(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b["']?\s{0,3}[:=]\s{0,3})(["']?)(?P<v>[^\s"']{8,})""")
-_HINT = re.compile(r"[0-9@\u0660-\u0669\u06F0-\u06F9\uFF10-\uFF19]")
-_SIGN = re.compile(r"[:=]")
+#: In every match of ``_MARKED`` stands one of these: a digit of any script, an at-sign, or letters that a form without digits has.
+_HINT = re.compile(r"[\d@]|[A-Fa-f]:[A-Fa-f:]|[A-Fa-f]{2}-[A-Fa-f]{2}[:-]|[a-f]{32}|[A-F]{32}")
+#: In every match of ``_ASSIGNED``, case-folded, stands one of these.
+_ASSIGNED_CUES = ("token", "secret", "passw", "pwd", "key")
 #: A name can only follow one of these.
 _CUES = (*TITLES, "y name is", "ein Name ist", "m'appelle", "e llamo", "ame:")
 _MAKE = {"email": email, "secret": secret, "hexadecimal": hexadecimal, "iban": iban, "ipv4": ipv4, "ssn": lambda s, k: permute(s, "ssn", k), "phone": phone, "card": card}
 
 
+def marked(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) of all matches of ``_MARKED``; only lines with a hint are searched, for no match goes over a line's end."""
+    found, at = [], 0
+    while m := _HINT.search(text, at):
+        start, end = text.rfind("\n", at, m.start()) + 1, text.find("\n", m.start())
+        start, end = max(start, at), len(text) if end < 0 else end
+        found += [(*x.span(), x.lastgroup) for x in _MARKED.finditer(text, start, end)]
+        at = end
+    return found
+
+
+def assigned(text: str) -> list[tuple[int, int]]:
+    """Spans of the values of ``_ASSIGNED``, which may stand on a line after their key's."""
+    if not (":" in text or "=" in text):
+        return []
+    folded = text.casefold()
+    return [m.span("v") for m in _ASSIGNED.finditer(text)] if any(c in folded for c in _ASSIGNED_CUES) else []
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, gender) of every entity, in order, without overlaps."""
-    found: list[tuple[int, int, str, str]] = []
-    for hint, pattern in ((_HINT, _MARKED), (_SIGN, _ASSIGNED)):  # only lines with a digit, an at-sign or an assignment can hold them
-        at = 0
-        while m := hint.search(text, at):
-            start, end = text.rfind("\n", at, m.start()) + 1, text.find("\n", m.start())
-            start, end = max(start, at), len(text) if end < 0 else end
-            found += [(*(x.span("v") if pattern is _ASSIGNED else x.span()), "secret" if pattern is _ASSIGNED else x.lastgroup, "") for x in pattern.finditer(text, start, end)]
-            at = end
+    found: list[tuple[int, int, str, str]] = [(*e, "") for e in marked(text)] + [(*e, "secret", "") for e in assigned(text)]
     if any(c in text for c in _ISSUERS):
         found += [(*m.span(), "secret", "") for m in _ISSUED.finditer(text)]
     if any(c in text for c in _CUES):

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -68,3 +69,21 @@ def test_distinct_and_coreferent_over_a_table(spark, docs_of):
     bad = spark.createDataFrame([(1, "t", "a", "z"), (2, "t", "b", "z"), (3, "t", "c", "y"), (4, "t", "c", "x")], "doc_id long, type string, original string, surrogate string")
     assert sorted((r.what, r.value) for r in s.collisions(bad).collect()) == [("original", "c"), ("surrogate", "z")]
     assert s.pseudonymise(docs_of([])).count() == 0
+
+
+@pytest.mark.parametrize(("text", "kinds"), [("फोन +९१ ९८७६५ ४३२१०", ["phone"]), ("mac aa:bb:cc:dd:ee:ff here", ["hexadecimal"]), ("AA-BB-CC-DD-EE-FF", ["hexadecimal"]), ("to fe::ab", ["hexadecimal"]), ("x\n" + "abcdef" * 6, ["secret"]), ("password:\nhunter-and-more", ["secret"]), ("a: b\npassword\n=\n hunter-and-more", ["secret"]), ("โทร +๖๖ ๑๒๓๔ ๕๖๗๘", ["phone"])])
+def test_lines_without_ascii_digits_are_searched(text, kinds):
+    new, found = s.replace(text)
+    assert [e[0] for e in found] == kinds and all(e[3] not in new and e[3] != e[4] for e in found)
+
+
+def test_gates_hide_nothing():
+    rng = random.Random(1)
+    pieces = ["aa:", "bb:", "ee-", "ff", "a::b", "cd:ef", "\n", "\r\n", " ", "+", "९१", "१२३", "12", "-", ".", "@", "x.org", "password", "Token", "api_key", "to\u212aen", "\u017fecret", ":", "=", "'", "longvalue9", "abcdefab" * 4, "ABCD" * 8, "DE89", "(", ")", "٣٤٥", "๑๒๓๔"]
+    hits = 0
+    for _ in range(20000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        whole = [(*m.span(), m.lastgroup) for m in s._MARKED.finditer(t)]
+        assert s.marked(t) == whole and s.assigned(t) == [m.span("v") for m in s._ASSIGNED.finditer(t)]
+        hits += len(whole)
+    assert hits > 1000
