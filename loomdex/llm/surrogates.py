@@ -2,7 +2,8 @@
 
 Detection reads whole texts: addresses of mail, telephone numbers, IPv4, IPv6 and hardware addresses, social-security-like numbers, IBANs,
 payment-card-like and other long digit strings, secrets (quoted or assigned tokens, long hexadecimal strings, known key prefixes), and names
-after titles or introducing phrases, or that begin with a listed given name and go on with a capital.
+after titles or introducing phrases, or that begin with a listed given name and go on with a capital. Each part of a name so found is then replaced
+wherever else it stands in the text as a whole word. Names without any such sign are not found.
 
 A surrogate is a permutation of the entity within its own form, so no table of entities has to be built, joined or kept: the characters of each
 alphabet (digits of one script, hexadecimal digits, lower- and upper-case letters of one script) are a number in that base, which goes through a keyed
@@ -289,11 +290,40 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
         if e[0] >= end:
             out.append(e)
             end = e[1]
+    return sorted(out + more) if (more := mentions(text, out)) else out
+
+
+#: Words of detected names that are no names: they are not looked for elsewhere in the text.
+_NO_NAMES = frozenset("The An And Or Of In On At To For From By With Is Was He She It We You They Der Die Das Ein Eine Und Von Van Zu Im Am El La Los Las Le Les Un Una Une De Del Des Du Et Y".split()) | TITLES.keys()
+_WHOLE_WORD = re.compile(r"\b[^\W\d_]{2,}\b")
+
+
+def mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """Every other whole-word mention of a part of a person in ``found``; of type person, or person-f or person-m where the surrogate has that gender."""
+    parts: dict[str, tuple[str, str]] = {}
+    for start, end, kind, gender in found:
+        if kind == "person":
+            words = re.split(r"[ \t]", text[start:end])
+            for k, w in enumerate(words):
+                if len(w) > 1 and w not in _NO_NAMES:
+                    own = gender if k == 0 and len(words) > 1 and w not in _BY_NAME else ""
+                    parts.setdefault(w, ("person-" + own if own else "person", own))
+    if not parts:
+        return []
+    out, k = [], 0
+    for m in _WHOLE_WORD.finditer(text):
+        if m[0] in parts:
+            while k < len(found) and found[k][1] <= m.start():
+                k += 1
+            if k == len(found) or found[k][0] >= m.end():
+                out.append((*m.span(), *parts[m[0]]))
     return out
 
 
 @lru_cache(maxsize=1 << 14)
 def surrogate(entity: str, kind: str, gender: str = "", key: bytes = KEY) -> str:
+    if kind.startswith("person-"):
+        return walk(entity, "name" + gender, lambda x: x in _BY_NAME, key)
     return person(entity, key, gender) if kind == "person" else _MAKE[kind](entity, key)
 
 

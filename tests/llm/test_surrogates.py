@@ -87,3 +87,18 @@ def test_gates_hide_nothing():
         assert s.marked(t) == whole and s.assigned(t) == [m.span("v") for m in s._ASSIGNED.finditer(t)]
         hits += len(whole)
     assert hits > 1000
+
+
+def test_bare_mentions_follow_the_full_name():
+    text = "Weber wrote. Mrs Katharina Weber came; Weber's car. Frau Wei Zhang and Katharina met Wei. Weberei, webers, x_Weber, weber@x.org, The Dr Zhang."
+    new, found = s.replace(text)
+    assert not re.search(r"\b(Weber|Katharina|Wei|Zhang)\b", new) and "Weberei, webers, x_Weber, " in new and ", The Dr " in new
+    of = {}
+    for kind, start, end, old, own in found:
+        if kind.startswith("person"):
+            assert text[start:end] == old
+            for a, b in zip(old.split(), own.split(), strict=True):
+                of.setdefault(a, set()).add(b)
+    assert set(of) == {"Weber", "Katharina", "Wei", "Zhang"} and all(len(x) == 1 for x in of.values())
+    assert s.replace("Name: The Company Ltd. The end of Paul and Anna")[0].endswith(". The end of Paul and Anna")
+    assert s.replace("Mr. Paul Berg " + "and Berg " * 20000)[0].count("Berg") == 0
