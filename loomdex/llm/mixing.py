@@ -1,29 +1,38 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 Sizes are words (``[^\\x20\\x09-\\x0D]+``). Each source has a target; the mix is cut into blocks of ``block_tokens`` words, which go to the
-sources by highest quotients (target / 1, 3, 5, ...), and each source's blocks go to its shards in the same way, so every shard has an integer
-quota. In a shard, rows are laid out in a seeded order as one stream of blocks; every block is taken ``quota // blocks`` times and a run of
-``quota % blocks`` blocks, from a seeded start around the ring, once more. A row's share is the overlap of its words with the taken blocks.
+sources by highest quotients (target / 1, 3, 5, ...). A source's blocks go in the same way to its groups of shards, and a group's to its shards,
+so every shard has an integer quota. In a shard, rows are laid out in a seeded order as one stream of blocks; every block is taken
+``quota // blocks`` times and a run of ``quota % blocks`` blocks, from a seeded start around the ring, once more. A row's share is the overlap of
+its words with the taken blocks.
 
-Only the table of (source, shard) sizes reaches the driver: a shard holds about ``shard_tokens`` words, and a source at most ``MAX_SHARDS``
-shards (beyond that shards grow, no row is left out), so this table has at most sources x MAX_SHARDS rows whatever the number of documents.
+A shard holds about ``shard_tokens`` words and a group at most ``GROUP_SHARDS`` shards, so the number of shards follows the data. The driver sees
+one row a group (about 10**10 words); quotas of shards are dealt by a task per group.
+
+``apply_mix`` gives whole rows: a shard's taken blocks are a base count and one run around the ring, so two places in its order say which rows
+come once more. Only this table of places, one row a shard, meets the documents; texts are not shuffled while it has ``BROADCAST_SHARDS`` rows
+at most, and beyond that the join is left to the optimiser.
 
 Defined cases: null text has size 0 and takes nothing; a null source is a source, last in order; an empty table gives an empty result; rows
-with the same doc_id count separately; other columns of the input are ignored.
+with the same doc_id count separately, and equal rows (id and text) come equally often; other columns of the input are ignored, or kept as they
+are by ``apply_mix``.
 """
 
 from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from typing import NamedTuple
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import checkpoint
+from loomdex.llm.common import checkpoint, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
-MAX_SHARDS = 4096
+GROUP_SHARDS, BROADCAST_SHARDS = 4096, 1 << 20
+PLACE = ["source_no", "part", "shard"]
 
 
 def word_count(text: Column) -> Column:
@@ -79,52 +88,105 @@ def sainte_lague(targets: list[Fraction], seats: int, most: list[int]) -> list[i
     return quotas
 
 
-def mix(
-    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: Fraction = Fraction(3, 2), limit: int = 2, block_tokens: int = 8, shard_tokens: int = 1 << 16, seed: int = 17,
-) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target (of its source), taken, shard, quota (blocks of its shard)."""
+def _order(seed: int) -> Column:
+    """Where a row stands in its shard: by id and text, so that rows without an id are spread too."""
+    return F.xxhash64(F.lit(seed), "doc_id", F.col("text"))
+
+
+def _place(plan: DataFrame, rows: DataFrame, seed: int, source: Column) -> DataFrame:
+    """``rows`` with source_no, part and shard: the source's number, its group of shards, and the shard there. ``plan`` has a row a source."""
+    at = lambda k, n: F.pmod(F.xxhash64(F.lit(seed + k), "__mix_order"), F.col(n)).cast("int")
+    return rows.join(F.broadcast(plan), source.eqNullSafe(plan["plan_source"])).withColumn("part", at(1, "parts")).withColumn("shard", at(3, "shards"))
+
+
+def _quotas(cells: DataFrame, parts: DataFrame, block_tokens: int, limit: int) -> DataFrame:
+    """Each shard's blocks, from its group's: one task a group, which has at most ``GROUP_SHARDS`` rows."""
+
+    def deal(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("shard")
+        sizes = rows.column("shard_size").to_pylist()
+        dealt = sainte_lague([Fraction(n) for n in sizes], rows.column("part_quota")[0].as_py(), [limit * -(-n // block_tokens) for n in sizes])
+        return rows.select([*PLACE, "shard_size"]).append_column("quota", pa.array(dealt, pa.int64()))
+
+    own = cells.join(F.broadcast(parts), PLACE[:2])
+    return own.groupBy(*PLACE[:2]).applyInArrow(deal, "source_no int, part int, shard int, shard_size long, quota long")
+
+
+class Laid(NamedTuple):
+    """The mix of a table: the plan of its sources, and a narrow row for every document."""
+
+    plan: DataFrame
+    rows: DataFrame
+
+
+def lay(docs: DataFrame, weights: tuple[int, ...], share: Fraction, limit: int, block_tokens: int, shard_tokens: int, seed: int) -> Laid:
     spark = docs.sparkSession
-    sized = checkpoint(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
-    sized = sized.withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
+    ship(spark)
+    sized = checkpoint(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), _order(seed).alias("__mix_order")))
     totals = sorted(sized.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r.source is None, r.source or ""))
     sizes = [r.n for r in totals]
     targets = capped_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share, limit)
-    plan = spark.createDataFrame(
-        [(r.source, i, r.n, float(t), min(MAX_SHARDS, -(-r.n // shard_tokens) or 1)) for i, (r, t) in enumerate(zip(totals, targets, strict=True))],
-        "source string, source_no int, source_size long, target double, shards int",
-    )
-    dealt = sized.join(plan, sized.source.eqNullSafe(plan.source)).drop(plan.source)
-    dealt = dealt.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id"), F.col("shards")).cast("int"))
-    cells = sorted((r.source_no, r.shard, r.n) for r in dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("n")).collect())
+    plan_rows = []
+    for i, (r, t) in enumerate(zip(totals, targets, strict=True)):
+        shards = -(-r.n // shard_tokens) or 1
+        parts = -(-shards // GROUP_SHARDS)
+        plan_rows.append((r.source, i, r.n, float(t), parts, -(-shards // parts)))
+    plan = spark.createDataFrame(plan_rows, "plan_source string, source_no int, source_size long, target double, parts int, shards int")
+    dealt = _place(plan, sized, seed, F.col("source"))
+    cells = checkpoint(dealt.groupBy(*PLACE).agg(F.sum("size").alias("shard_size")))
     blocks = lambda n: -(-n // block_tokens)
     per_source = sainte_lague(targets, round(sum(targets) / block_tokens), [limit * blocks(n) for n in sizes])
-    quotas, at = [], 0
-    while at < len(cells):
-        end = at
-        while end < len(cells) and cells[end][0] == cells[at][0]:
-            end += 1
-        own = cells[at:end]
-        dealt_out = sainte_lague([Fraction(n) for *_, n in own], per_source[own[0][0]], [limit * blocks(n) for *_, n in own])
-        quotas += [(s, k, n, q) for (s, k, n), q in zip(own, dealt_out, strict=True)]
-        at = end
-    quota = spark.createDataFrame(quotas, "source_no int, shard int, shard_size long, quota long")
-    stream = Window.partitionBy("source_no", "shard").orderBy("order", "doc_id", "size")
-    laid = dealt.join(quota, ["source_no", "shard"]).withColumn("end", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.expr("end - size"))
+    of_source: dict[int, list] = {}
+    for r in sorted(cells.groupBy(*PLACE[:2]).agg(F.sum("shard_size").alias("n"), F.sum(F.ceil(F.col("shard_size") / block_tokens)).alias("blocks")).collect()):
+        of_source.setdefault(r.source_no, []).append(r)
+    part_quotas = []
+    for i, own in of_source.items():
+        dealt_out = sainte_lague([Fraction(r.n) for r in own], per_source[i], [limit * r.blocks for r in own])
+        part_quotas += [(i, r.part, q) for r, q in zip(own, dealt_out, strict=True)]
+    quota = _quotas(cells, spark.createDataFrame(part_quotas, "source_no int, part int, part_quota long"), block_tokens, limit)
+    stream = Window.partitionBy(*PLACE).orderBy("__mix_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    laid = dealt.join(quota, PLACE).withColumn("end", F.sum("size").over(stream)).withColumn("start", F.expr("end - size"))
     laid = laid.withColumn("blocks", F.ceil(F.col("shard_size") / block_tokens)).withColumn("times", F.expr("case when blocks > 0 then quota div blocks else 0 end"))
-    laid = laid.withColumn("run", F.expr("quota - times * blocks")).withColumn("first", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), "source_no", "shard"), F.col("blocks"))).otherwise(0))
+    laid = laid.withColumn("run", F.expr("quota - times * blocks")).withColumn("first", F.when(F.col("blocks") > 0, F.pmod(F.xxhash64(F.lit(seed + 2), *PLACE), F.col("blocks"))).otherwise(0))
     overlap = lambda a, b: F.greatest(F.lit(0), F.least(F.col("end"), b) - F.greatest(F.col("start"), a))
     stop = (F.col("first") + F.col("run")) * block_tokens
-    taken = F.col("times") * F.col("size") + overlap(F.col("first") * block_tokens, stop) + overlap(F.lit(0), stop - F.col("blocks") * block_tokens)
-    return laid.select("doc_id", "size", "source", "source_size", "target", taken.cast("long").alias("taken"), "shard", "quota")
+    extra = overlap(F.col("first") * block_tokens, stop) + overlap(F.lit(0), stop - F.col("blocks") * block_tokens)
+    return Laid(plan, laid.withColumn("extra", extra.cast("long")).withColumn("begins", F.col("first") * block_tokens))
+
+
+DEFAULTS = {"weights": (3, 1, 2), "share": Fraction(3, 2), "limit": 2, "block_tokens": 8, "shard_tokens": 1 << 22, "seed": 17}
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, size, source, source_size, target (of its source), taken, part, shard, quota (blocks of its shard).
+
+    Options and their defaults: ``DEFAULTS``.
+    """
+    taken = F.expr("times * size + extra").cast("long").alias("taken")
+    return lay(docs, **DEFAULTS | options).rows.select("doc_id", "size", "source", "source_size", "target", taken, "part", "shard", "quota")
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The documents as the mix has them: each row as many times as its words are taken, to the nearest whole number (halves up).
+    """The documents as the mix has them, all columns and whole texts: each row its shard's base count of times, and those in the shard's run once more.
 
-    Rows keep all their columns and whole texts. Rows that share a doc_id share their number of words taken by size.
+    The run begins with the first row that begins in it, and ends with the row that brings the shard's words nearest to those of its blocks, so a
+    shard's whole rows miss its quota by half a document at most. Rows without words are in no block and don't come.
     """
-    copies = mix(docs, **options).groupBy("doc_id", "size").agg(F.avg("taken").alias("taken")).where("size > 0 and taken * 2 >= size")
-    copies = copies.select(F.col("doc_id").alias("__mix_id"), F.col("size").alias("__mix_size"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("__mix_times"))
-    sized = docs.withColumn("__mix_words", word_count(F.col("text")))
-    joined = sized.join(copies, sized.doc_id.eqNullSafe(copies["__mix_id"]) & (F.col("__mix_words") == F.col("__mix_size")))
-    return joined.withColumn("__mix_copy", F.explode(F.sequence(F.lit(1), F.col("__mix_times")))).select(*[docs[c] for c in docs.columns])
+    options = DEFAULTS | options
+    plan, rows = lay(docs, **options)
+    rows = rows.where("size > 0").withColumn("key", F.struct("__mix_order", "doc_id", "size"))
+    shard = Window.partitionBy(*PLACE)
+    rows = rows.withColumn("origin", F.coalesce(F.min(F.when(F.col("start") >= F.col("begins"), F.col("start"))).over(shard), F.lit(0)))
+    rows = rows.withColumn("want", F.sum("extra").over(shard)).withColumn("rel", F.pmod(F.col("start") - F.col("origin"), F.col("shard_size")))
+    more = F.col("rel") * 2 + F.col("size") <= F.col("want") * 2
+    ends = lambda wraps: [f(F.when(more & (F.col("start") < F.col("origin")).eqNullSafe(wraps), F.col("key"))) for f in (F.min, F.max)]
+    cuts = checkpoint(rows.groupBy(*PLACE).agg(F.first("times").alias("times"), *[c.alias(n) for c, n in zip([*ends(False), *ends(True)], ("a", "b", "c", "d"), strict=True)]))
+    if cuts.count() <= BROADCAST_SHARDS:
+        cuts = F.broadcast(cuts)
+    names = {c: f"__mix_{k}" for k, c in enumerate(docs.columns)}
+    kept = docs.select(*[F.col(c).alias(n) for c, n in names.items()], "doc_id", F.col("source").cast("string").alias("__mix_source"), word_count(F.col("text")).alias("size"), _order(options["seed"]).alias("__mix_order"))
+    kept = _place(plan, kept, options["seed"], F.col("__mix_source")).join(cuts, PLACE)
+    key = F.struct("__mix_order", "doc_id", "size")
+    within = lambda a, b: F.coalesce((key >= F.col(a)) & (key <= F.col(b)), F.lit(False))
+    copies = F.when(F.col("size") > 0, F.col("times") + (within("a", "b") | within("c", "d")).cast("int")).otherwise(0).cast("int")
+    return kept.withColumn("__mix_copy", F.explode(F.array_repeat(F.lit(True), copies))).select(*[F.col(n).alias(c) for c, n in names.items()])

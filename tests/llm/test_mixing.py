@@ -1,3 +1,4 @@
+import random
 import re
 from fractions import Fraction
 
@@ -12,8 +13,6 @@ def test_targets_stop_at_twice_the_size_and_reshare():
 
 
 def test_sainte_lague_equals_brute_force():
-    import random
-
     rng = random.Random(3)
     for _ in range(200):
         t = [Fraction(rng.randrange(0, 60)) for _ in range(rng.randrange(1, 7))]
@@ -62,8 +61,57 @@ def test_empty_and_applied_mix(spark, docs_of):
     df = docs_of([(i, "a b c d", "en", "s%d" % (i % 2)) for i in range(50)] + [(None, "x y", "en", "s0"), (77, None, "en", "s0")])
     out = mixing.apply_mix(df)
     assert out.columns == df.columns
-    taken = {r.doc_id: r.taken for r in mixing.mix(df).collect()}
     times = {}
     for r in out.collect():
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
-    assert all(times.get(i, 0) == int(t / (2 if i is None else 4) + 0.5) for i, t in taken.items() if i != 77)
+    assert times == {i: n for i, n in copies_by_brute_force(df).items() if n}
+
+
+def copies_by_brute_force(df, **options):
+    """doc_id: copies, by walking each shard's rows in order from the run's beginning."""
+    shards = {}
+    for r in mixing.lay(df, **mixing.DEFAULTS | options).rows.where("size > 0").collect():
+        shards.setdefault((r.source_no, r.part, r.shard), []).append(r)
+    out = {}
+    for rows in shards.values():
+        rows.sort(key=lambda r: r.start)
+        want = sum(r.extra for r in rows)
+        at = next((k for k, r in enumerate(rows) if r.start >= r.begins), 0)
+        words = 0
+        for r in rows[at:] + rows[:at]:
+            more = abs(words + r["size"] - want) <= abs(words - want)
+            words += r["size"] if more else 10**12
+            assert r.doc_id not in out
+            out[r.doc_id] = r.times + more
+    return out
+
+
+def test_applied_mix_follows_brute_force_in_many_shards_and_groups(spark, docs_of, monkeypatch):
+    rng = random.Random(6)
+    rows = [(i, " ".join(["w"] * rng.choice((0, 1, 3, 20, 200))), "en", rng.choice(["a", "a", "a", "b", "c", None])) for i in range(3000)]
+    df = docs_of(rows)
+    monkeypatch.setattr(mixing, "GROUP_SHARDS", 4)
+    want = {i: n for i, n in copies_by_brute_force(df, shard_tokens=3000).items() if n}
+    laid = mixing.mix(df, shard_tokens=3000).collect()
+    assert len({(r.source, r.part) for r in laid}) > 8 and max(r.shard for r in laid) == 3
+    for most in (1 << 20, 0):  # with the places broadcast, and joined as the optimiser likes
+        monkeypatch.setattr(mixing, "BROADCAST_SHARDS", most)
+        out = mixing.apply_mix(df, shard_tokens=3000)
+        got = {}
+        for r in out.collect():
+            got[r.doc_id] = got.get(r.doc_id, 0) + 1
+        assert out.dtypes == df.dtypes and got == want
+    size = {i: len(t.split()) for i, t, *_ in rows}
+    for source in "abc":
+        own = [i for i, _, _, s in rows if s == source]
+        target = next(r.target for r in laid if r.source == source)
+        assert abs(sum(got.get(i, 0) * size[i] for i in own) - target) <= 0.03 * target + 200
+        shards = len({(r.part, r.shard) for r in laid if r.source == source})
+        assert abs(sum(r.taken for r in laid if r.source == source) - target) <= 16 + 4 * shards  # half a block a shard
+
+
+def test_rows_without_id_are_spread_over_shards(spark, docs_of):
+    df = docs_of([(None, f"t{k} b c d", "en", "s") for k in range(400)])
+    rows = mixing.mix(df, shard_tokens=100).collect()
+    assert len({r.shard for r in rows}) > 8 and abs(sum(r.taken for r in rows) - 2400) <= 16 + 4 * 16
+    assert abs(mixing.apply_mix(df, shard_tokens=100).count() - 600) < 40
