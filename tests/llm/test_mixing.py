@@ -107,7 +107,7 @@ def test_applied_mix_follows_brute_force_in_many_shards_and_groups(spark, docs_o
         target = next(r.target for r in laid if r.source == source)
         assert abs(sum(got.get(i, 0) * size[i] for i in own) - target) <= 0.03 * target + 200
         shards = len({(r.part, r.shard) for r in laid if r.source == source})
-        assert abs(sum(r.taken for r in laid if r.source == source) - target) <= 16 + 4 * shards  # half a block a shard
+        assert abs(sum(r.taken for r in laid if r.source == source) - target) <= 16 + 8 * shards  # of a source that comes twice, half a block a shard is missed twice
 
 
 def test_rows_without_id_are_spread_over_shards(spark, docs_of):
