@@ -1,20 +1,26 @@
 """PII: detected entities receive keyed surrogates of the same type and form.
 
-Detection reads whole texts: addresses of mail, telephone numbers, IPv4, IPv6 and hardware addresses, social-security-like numbers, IBANs,
-payment-card-like and other long digit strings, secrets (quoted or assigned tokens, long hexadecimal strings, known key prefixes), and names
-after titles or introducing phrases, or that begin with a listed given name and go on with a capital. Each part of a name so found is then replaced
-wherever else it stands in the text as a whole word. Names without any such sign are not found.
-
-A surrogate is a permutation of the entity within its own form, so no table of entities has to be built, joined or kept: the characters of each
-alphabet (digits of one script, hexadecimal digits, lower- and upper-case letters of one script) are a number in that base, which goes through a keyed
-Feistel permutation P, one step along the ring of all such numbers, and P backwards. Two entities of one form so never share a surrogate
-(distinctness), an entity has the same one in every document (coreference), and none is its own. Where a form has rules (a Luhn digit, octets
+Detection reads whole texts: addresses of mail, telephone numbers, IPv4 (not after "version" and the like), IPv6 and hardware addresses,
+social-security-like numbers, IBANs, payment cards (12 to 19 digits with a right check digit), account numbers after a cue, secrets (quoted or
+assigned tokens, long hexadecimal strings, known key prefixes), and names after titles or introducing phrases, or that begin with a listed given
+name and go on with a capital. Each part of a name so found is then replaced wherever else it stands in the text as a whole word. Names without any
+such sign are not found.
+
+An entity is first brought to its canonical form, so that one entity in several spellings has one surrogate (coreference): digits without
+separators and of any script, mail and hardware addresses in lower case, telephone numbers split by the rule of country codes. The surrogate is then
+written as the entity was: its separators, script, and upper case.
+
+A surrogate is a permutation of the canonical form, so no table of entities has to be built, joined or kept: the characters of each
+alphabet (digits, hexadecimal digits, letters of one script and case) are a number in that base, which goes through a keyed Feistel
+permutation P, one step along the ring of all such numbers, and P backwards. Two entities of one form so never share a surrogate
+(distinctness), an entity has the same one in every document, and none is its own. Where a form has rules (a Luhn digit, octets
 under 256, private or public networks, check digits), the permutation is walked on until the result keeps them as the entity did, which collides
-with nothing either. Given names come from lists by script and gender; they step along a keyed ring of their list, names that are on no
-list are permuted letter by letter and walked on while they hit a list, and a surname is permuted in the same way. Gender comes from the title or
-the name.
+with nothing either; an IBAN's check digits move by what the right ones move, so wrong ones stay wrong and distinct. In long entities P works on two
+halves of characters instead of numbers, in linear time. Given names come from lists by script and gender; they step along a keyed ring of their list.
+Names that are on no list are permuted, vowels among vowels and consonants among consonants, and walked on while they hit a list.
 
-``collisions`` checks all this on a table of entities: originals that share a surrogate, or have several.
+While a text is replaced, each surrogate is checked: two different originals of a text never get one, or the job stops. ``collisions`` checks
+the same over a table of entities.
 
 Defined cases: null text stays null; texts without entities stay as they are; an entity is replaced at each place it stands; single characters
 of an alphabet step along its ring; CJK and other scripts without case are left as they are but for digits; repeated rows, empty tables and
@@ -30,6 +36,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +44,14 @@ from pyspark.sql import functions as F
 from loomdex.llm.common import map_batches, slices
 
 KEY = b"surrogates-1"
-ROUNDS = 8
+ROUNDS, LONG = 8, 48
 
 # ---------------------------------------------------------------- permutations
 
 
 def _number(key: bytes, tweak: bytes, *parts: int) -> int:
-    return int.from_bytes(hashlib.blake2b(b"|".join([tweak, *(b"%d" % p for p in parts)]), key=key, digest_size=32).digest())
+    said = [p.to_bytes(p.bit_length() // 8 + 1) for p in parts]
+    return int.from_bytes(hashlib.blake2b(b"|".join([tweak, *(len(x).to_bytes(4) + x for x in said)]), key=key, digest_size=32).digest())
 
 
 def _feistel(x: int, base: int, n: int, key: bytes, tweak: bytes, back: bool = False) -> int:
@@ -59,6 +67,29 @@ def _feistel(x: int, base: int, n: int, key: bytes, tweak: bytes, back: bool = F
     return a * low + b
 
 
+def _mix_halves(x: np.ndarray, base: int, key: bytes, tweak: bytes, back: bool = False) -> np.ndarray:
+    """A keyed permutation of rows of digits: each half in turn moves by a stream made from the other."""
+    halves = [x[: len(x) // 2], x[len(x) // 2 :]]
+    for k in reversed(range(ROUNDS)) if back else range(ROUNDS):
+        own, other = halves[k % 2], halves[1 - k % 2]
+        stream = hashlib.shake_256(b"|".join([key, tweak, b"%d|%d" % (k, base), other.astype(np.uint8).tobytes()])).digest(4 * len(own))
+        move = (np.frombuffer(stream, "<u4") % base).astype(np.int64)
+        halves[k % 2] = (own - move if back else own + move) % base
+    return np.concatenate(halves)
+
+
+def step_long(x: np.ndarray, base: int, key: bytes, tweak: bytes) -> np.ndarray:
+    """As ``step``, for more digits than ``LONG``, given as an array: between P and P backwards, the first eight digits step along their ring."""
+    y = _mix_halves(x, base, key, tweak)
+    first = 0
+    for d in y[:8].tolist():
+        first = first * base + d
+    first = step(first, base, 8, key, tweak)
+    for i in range(7, -1, -1):
+        first, y[i] = divmod(first, base)
+    return _mix_halves(y, base, key, tweak, back=True)
+
+
 def step(x: int, base: int, n: int, key: bytes, tweak: bytes) -> int:
     """The number after x on a keyed ring of all numbers of n digits: a permutation without fixed points."""
     size = base**n
@@ -73,7 +104,7 @@ def alphabets() -> dict[str, str]:
     """Each character's alphabet: ASCII and other letters with case by script, digits by script."""
     out = {}
     groups = ["".join(map(chr, range(a, b + 1))) for a, b in ((0x61, 0x7A), (0x41, 0x5A), (0x3B1, 0x3C9), (0x391, 0x3A9), (0x430, 0x44F), (0x410, 0x42F))]
-    latin = [c for c in map(chr, range(0xC0, 0x180)) if c.isalpha() and len(c.lower()) == len(c.upper()) == 1]
+    latin = [c for c in map(chr, range(0xC0, 0x180)) if c.isalpha() and c.lower().upper() == c.upper() and c.upper().lower() == c.lower() and len(c.upper()) == 1]
     groups += ["".join(c for c in latin if c.islower()), "".join(c for c in latin if c.isupper())]
     groups += ["".join(map(chr, range(z, z + 10))) for z in range(sys.maxunicode) if unicodedata.decimal(chr(z), None) == 0]
     for g in groups:
@@ -82,26 +113,67 @@ def alphabets() -> dict[str, str]:
     return out
 
 
-def permute(s: str, kind: str, key: bytes = KEY, alphabet: str | None = None) -> str:
-    """Characters of each alphabet permuted together, all others left in place; with ``alphabet``, only that one."""
+@lru_cache(maxsize=1)
+def name_alphabets() -> dict[str, str]:
+    """The same, with vowels and consonants apart, so that what is made of a name can be said."""
+    out = {}
+    for g in set(alphabets().values()):
+        if g[0].isalpha():
+            vowel = lambda c: unicodedata.normalize("NFD", c)[0].lower() in "aeiouyøæœıаеёиоуыэюяαεηιουω"
+            for own in ("".join(filter(vowel, g)), "".join(c for c in g if not vowel(c))):
+                out |= dict.fromkeys(own, own)
+    return out
+
+
+def permute(s: str, kind: str, key: bytes = KEY, alphabet: str | None = None, of: dict[str, str] | None = None) -> str:
+    """Characters of each alphabet permuted together, all others left in place; with ``alphabet``, only that one; ``of`` has others than the usual."""
+    of = dict.fromkeys(alphabet, alphabet) if alphabet else of or alphabets()
     places: dict[str, list[int]] = {}
     for i, c in enumerate(s):
-        g = (alphabet if c in alphabet else None) if alphabet else alphabets().get(c)
-        if g:
+        if g := of.get(c):
             places.setdefault(g, []).append(i)
-    shape = hashlib.blake2b(repr((kind, [(g[0], at) for g, at in places.items()], "".join("" if (alphabet and c in alphabet) or (not alphabet and c in alphabets()) else c for c in s))).encode(), digest_size=8).digest()
+    shape = hashlib.blake2b(repr((kind, [(g[0], at) for g, at in places.items()], "".join("" if c in of else c for c in s))).encode(), digest_size=8).digest()
     out = list(s)
     for g, at in places.items():
+        if len(g) == 1:
+            continue
+        tweak, index = shape + g[:1].encode(), {c: k for k, c in enumerate(g)}
+        if len(at) > LONG:
+            digits = np.fromiter((index[s[i]] for i in at), np.int64, len(at))
+            for i, d in zip(at, step_long(digits, len(g), key, tweak).tolist(), strict=True):
+                out[i] = g[d]
+            continue
         x = 0
         for i in at:
-            x = x * len(g) + g.index(s[i])
-        x = step(x, len(g), len(at), key, shape + g[:1].encode())
+            x = x * len(g) + index[s[i]]
+        x = step(x, len(g), len(at), key, tweak)
         for i in reversed(at):
             x, r = divmod(x, len(g))
             out[i] = g[r]
     return "".join(out)
 
 
+def digits_of(s: str) -> str:
+    """The decimal digits in it, of whatever script, as ASCII."""
+    return "".join(str(unicodedata.decimal(c)) for c in s if c.isdecimal())
+
+
+def as_digits(s: str, digits: str) -> str:
+    """``s`` with other digits, each in the script of the one it replaces."""
+    new = iter(digits)
+    return "".join(chr(ord(c) - unicodedata.decimal(c) + int(next(new))) if c.isdecimal() else c for c in s)
+
+
+def as_case(s: str, lower: str) -> str:
+    """``lower`` with upper case where ``s`` has it."""
+    return "".join(x.upper() if c != c.lower() else x for c, x in zip(s, lower, strict=True))
+
+
+def folded(s: str) -> str:
+    """Lower case, but for characters that would change their number or not come back."""
+    return "".join(low if len(low := c.lower()) == 1 and low.upper() == c else c for c in s)
+
+
 def walk(s: str, kind: str, trait, key: bytes = KEY, alphabet: str | None = None) -> str:
     """Permute until the result has the entity's trait again: a permutation of each set of equal trait."""
     want, now = trait(s), permute(s, kind, key, alphabet)
@@ -133,35 +205,44 @@ def ipv4(s: str, key: bytes) -> str:
     return str(now)
 
 
+def _iban_check(country: str, account: str) -> int:
+    return 98 - int("".join(str(int(c, 36)) for c in account + country + "00")) % 97
+
+
 def iban(s: str, key: bytes) -> str:
-    """Country and spacing stay, account digits and letters are permuted, check digits are made anew."""
-    tail = [i for i, c in enumerate(s) if c.isalnum()][4:]
-    account = permute("".join(s[i] for i in tail), "iban" + s[:2], key)
-    number = "".join(str(int(c, 36)) for c in account + s[:2] + "00")
-    out = list(s)
-    for i, c in zip(tail, account, strict=True):
-        out[i] = c
-    first = [i for i, c in enumerate(s) if c.isalnum()][2:4]
-    for i, c in zip(first, f"{98 - int(number) % 97:02d}", strict=True):
-        out[i] = c
-    return "".join(out)
+    """Country and spacing stay, account digits and letters are permuted, check digits move by as much as the right ones do."""
+    compact = "".join(c for c in s if c.isalnum())
+    country, check, account = compact[:2], digits_of(compact[2:4]), "".join(digits_of(c) or c for c in compact[4:])
+    new = permute(account, "iban" + country, key)
+    moved = (int(check) - _iban_check(country, account) + _iban_check(country, new)) % 100
+    chars = iter(f"{country}{moved:02d}{new}")
+    return "".join(next(chars) if c.isalnum() else c for c in s)
 
 
 def email(s: str, key: bytes) -> str:
-    """Local part and domain labels are permuted, the top-level domain stays."""
-    local, _, domain = s.rpartition("@")
+    """Local part and domain labels are permuted, the top-level domain stays; upper and lower case are one mailbox."""
+    local, _, domain = folded(s).rpartition("@")
     name, dot, top = domain.rpartition(".")
-    return permute(local, "email", key) + "@" + permute(name, "domain", key) + dot + top
+    return as_case(s, permute(local, "email", key) + "@" + permute(name, "domain", key) + dot + top)
+
+
+#: Country codes of one and two digits; all others have three (fixed values of the numbering plan).
+SHORT_CODES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
 
 
 def phone(s: str, key: bytes) -> str:
-    m = re.match(r"\+\d{1,3}(?=[\s(.-])", s)
-    head = m[0] if m else ""
-    return head + permute(s[len(head) :], "phone" + head, key)
+    """Country code and form stay, the other digits are permuted."""
+    d = digits_of(s)
+    n = next((k for k in (1, 2) if d[:k] in SHORT_CODES), 3) if s[0] == "+" else 0
+    return as_digits(s, d[:n] + permute(d[n:], f"phone{s[0] == '+'}{d[:n]}", key))
 
 
 def card(s: str, key: bytes) -> str:
-    return walk(s, "digits", luhn, key)
+    return as_digits(s, walk(digits_of(s), "digits", luhn, key))
+
+
+def number(s: str, key: bytes) -> str:
+    return as_digits(s, permute(digits_of(s), "number", key))
 
 
 HEX_LOWER, HEX_UPPER = "0123456789abcdef", "0123456789ABCDEF"
@@ -180,8 +261,12 @@ def secret(s: str, key: bytes) -> str:
 
 
 def hexadecimal(s: str, key: bytes) -> str:
-    g = HEX_UPPER if re.search("[A-F]", s) else HEX_LOWER
-    return permute(s, "address", key, g)
+    """Hardware addresses in any writing are one; of IPv6 addresses letters in any case are."""
+    low = s.lower()
+    pairs = re.fullmatch(r"(?:[0-9a-f]{2}[:-]){5}[0-9a-f]{2}", low)
+    new = iter(permute(re.sub("[:-]", "", low) if pairs else low, "hardware" if pairs else "address", key, HEX_LOWER))
+    out = "".join(c if c in ":-" and (pairs or next(new)) else next(new) for c in low)
+    return out.upper() if re.search("[A-F]", s) else out
 
 
 # ---------------------------------------------------------------- names
@@ -195,10 +280,10 @@ NAMES = {
     ("greek", "f"): "Μαρία Ελένη Αικατερίνη Σοφία Άννα Δήμητρα".split(),
     ("greek", "m"): "Γιώργος Δημήτρης Νίκος Κώστας Γιάννης Παύλος".split(),
 }
-#: Titles and the gender that they tell (fixed values).
-TITLES = {t: g for g, ts in {"f": "Mrs Ms Miss Frau Mme Madame Mlle Sra Señora Srta Doña", "m": "Mr Herr Monsieur Sr Señor Don", "": "Dr Prof"}.items() for t in ts.split()}
+#: Titles after which a name comes (fixed values).
+TITLES = "Mrs Ms Miss Frau Mme Madame Mlle Sra Señora Srta Doña Mr Herr Monsieur Sr Señor Don Dr Prof".split()
 _BY_NAME = {n: k for k, names in NAMES.items() for n in names}
-_TITLE = re.compile(rf"\b(?:(?P<t>{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ \t]+|(?:[Mm]y name is|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Nn]ame:)[ \t]+)(?P<n>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \t][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})")
+_TITLE = re.compile(rf"\b(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ \t]+|(?:[Mm]y name is|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Nn]ame:)[ \t]+)(?P<n>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \t][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})")
 
 _CALLED = re.compile(rf"\b(?:{'|'.join(sorted(_BY_NAME))})(?:[ \t][^\W\d_a-zа-яα-ω][^\W\d_]+){{1,2}}")
 
@@ -213,22 +298,15 @@ def given_name(name: str, key: bytes) -> str:
     if own := _BY_NAME.get(name):
         ring = _ring(*own, key)
         return ring[(ring.index(name) + 1) % len(ring)]
-    return walk(name, "given", lambda x: x in _BY_NAME, key)
+    new = permute(name, "name", key, of=name_alphabets())
+    while new in _BY_NAME:
+        new = permute(new, "name", key, of=name_alphabets())
+    return new
 
 
-def person(s: str, key: bytes, gender: str = "") -> str:
-    """First word as a given name where several stand, the others as surnames; a word that is a listed name is always a given name.
-
-    Off the lists, letters are permuted by gender, so that a man and a woman of one unlisted name stay two.
-    """
-    words = re.split(r"([ \t])", s)
-    for k in range(0, len(words), 2):
-        w = words[k]
-        if w in _BY_NAME:
-            words[k] = given_name(w, key)
-        else:
-            words[k] = walk(w, "name" + (gender if k == 0 and len(words) > 1 else ""), lambda x: x in _BY_NAME, key)
-    return "".join(words)
+def person(s: str, key: bytes) -> str:
+    """Each word for itself, so that a part of a name has one surrogate wherever it stands."""
+    return "".join(w if w in " \t" else given_name(w, key) for w in re.split(r"([ \t])", s))
 
 
 # ---------------------------------------------------------------- detection
@@ -240,11 +318,16 @@ _MARKED = re.compile(
 |(?P<iban>\b[A-Z]{2}\d{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?\b)
 |(?P<ipv4>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
 |(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))
-|(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?![^\W_])|(?<![^\W_])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![^\W_])|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]))
-|(?P<card>(?<![\w-])\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?![\w-])|(?<![^\W_])\d{9,}(?![^\W_]))""",
+|(?P<phone>\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?![^\W_])|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?(?!\d{1,3}(?:\.\d{1,3}){3})\d{2,4}){1,4}(?![^\W_])|(?<![^\W_])\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}(?![^\W_])|(?<![\w.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\w-]))
+|(?P<card>(?<![\w-])\d{4}(?:[ -]\d{4}){2}[ -]\d{1,7}(?![\w-])|(?<![^\W_])\d{12,19}(?![^\W_]))""",
     re.X,
 )
 _ISSUED = re.compile(r"(?<![^\W_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?:ghp_|gho_|github_pat_|sk-|xox[abprs]-)[0-9A-Za-z_-]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{4,})")
+#: A number with one of these words shortly before it is an account's or a person's.
+_ACCOUNT = re.compile(r"(?i:\b(?:account|acct|routing|passport|konto|kontonummer|compte|cuenta|ssn|tax[ -]id|steuer-?id|dni|nif)\b)[^\w\n]{0,3}(?i:(?:number|no|nr|num|is|id|:|#)[^\w\n]{0,3}){0,2}(?P<n>\d(?:[ -]?\d){5,17})(?![^\W_])")
+_ACCOUNT_CUES = ("acc", "rout", "passp", "konto", "compte", "cuenta", "ssn", "tax", "steuer", "dni", "nif")
+#: A dotted number after one of these is none of an address.
+_VERSION = re.compile(r"(?i:\b(?:version|release|build|ver|rev|v)\.?[ \t]*)$")
 _ISSUERS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "xox", "eyJ")
 _ASSIGNED = re.compile(r"""(?i:\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key)\b["']?\s{0,3}[:=]\s{0,3})(["']?)(?P<v>[^\s"']{8,})""")
 #: In every match of ``_MARKED`` stands one of these: a digit of any script, an at-sign, or letters that a form without digits has.
@@ -253,7 +336,16 @@ _HINT = re.compile(r"[\d@]|[A-Fa-f]:[A-Fa-f:]|[A-Fa-f]{2}-[A-Fa-f]{2}[:-]|[a-f]{
 _ASSIGNED_CUES = ("token", "secret", "passw", "pwd", "key")
 #: A name can only follow one of these.
 _CUES = (*TITLES, "y name is", "ein Name ist", "m'appelle", "e llamo", "ame:")
-_MAKE = {"email": email, "secret": secret, "hexadecimal": hexadecimal, "iban": iban, "ipv4": ipv4, "ssn": lambda s, k: permute(s, "ssn", k), "phone": phone, "card": card}
+_MAKE = {"email": email, "secret": secret, "hexadecimal": hexadecimal, "iban": iban, "ipv4": ipv4, "ssn": number, "account": number, "phone": phone, "card": card, "person": person}
+
+
+def _right(text: str, m: re.Match) -> bool:
+    """A card's check digit is right, a telephone number has 7 to 15 digits, and an address is no version."""
+    if m.lastgroup == "card":
+        return luhn(digits_of(m[0]))
+    if m.lastgroup == "phone":
+        return 7 <= sum(map(str.isdecimal, m[0])) <= 15
+    return m.lastgroup != "ipv4" or not _VERSION.search(text, max(0, m.start() - 12), m.start())
 
 
 def marked(text: str) -> list[tuple[int, int, str]]:
@@ -262,7 +354,7 @@ def marked(text: str) -> list[tuple[int, int, str]]:
     while m := _HINT.search(text, at):
         start, end = text.rfind("\n", at, m.start()) + 1, text.find("\n", m.start())
         start, end = max(start, at), len(text) if end < 0 else end
-        found += [(*x.span(), x.lastgroup) for x in _MARKED.finditer(text, start, end)]
+        found += [(*x.span(), x.lastgroup) for x in _MARKED.finditer(text, start, end) if _right(text, x)]
         at = end
     return found
 
@@ -275,15 +367,17 @@ def assigned(text: str) -> list[tuple[int, int]]:
     return [m.span("v") for m in _ASSIGNED.finditer(text)] if any(c in folded for c in _ASSIGNED_CUES) else []
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, type, gender) of every entity, in order, without overlaps."""
-    found: list[tuple[int, int, str, str]] = [(*e, "") for e in marked(text)] + [(*e, "secret", "") for e in assigned(text)]
+def entities(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, type) of every entity, in order, without overlaps."""
+    found = marked(text) + [(*e, "secret") for e in assigned(text)]
+    if any(c in text.casefold() for c in _ACCOUNT_CUES):
+        found += [(*m.span("n"), "account") for m in _ACCOUNT.finditer(text)]
     if any(c in text for c in _ISSUERS):
-        found += [(*m.span(), "secret", "") for m in _ISSUED.finditer(text)]
+        found += [(*m.span(), "secret") for m in _ISSUED.finditer(text)]
     if any(c in text for c in _CUES):
-        found += [(*m.span("n"), "person", TITLES.get(m["t"] or "", "")) for m in _TITLE.finditer(text)]
+        found += [(*m.span("n"), "person") for m in _TITLE.finditer(text)]
     if any(n in text for n in _BY_NAME):
-        found += [(*m.span(), "person", _BY_NAME[re.match(r"\w+", m[0])[0]][1]) for m in _CALLED.finditer(text)]
+        found += [(*m.span(), "person") for m in _CALLED.finditer(text)]
     found.sort(key=lambda e: (e[0], -e[1]))
     out, end = [], 0
     for e in found:
@@ -294,20 +388,13 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
 
 
 #: Words of detected names that are no names: they are not looked for elsewhere in the text.
-_NO_NAMES = frozenset("The An And Or Of In On At To For From By With Is Was He She It We You They Der Die Das Ein Eine Und Von Van Zu Im Am El La Los Las Le Les Un Una Une De Del Des Du Et Y".split()) | TITLES.keys()
+_NO_NAMES = frozenset("The An And Or Of In On At To For From By With Is Was He She It We You They Der Die Das Ein Eine Und Von Van Zu Im Am El La Los Las Le Les Un Una Une De Del Des Du Et Y".split()) | set(TITLES)
 _WHOLE_WORD = re.compile(r"\b[^\W\d_]{2,}\b")
 
 
-def mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """Every other whole-word mention of a part of a person in ``found``; of type person, or person-f or person-m where the surrogate has that gender."""
-    parts: dict[str, tuple[str, str]] = {}
-    for start, end, kind, gender in found:
-        if kind == "person":
-            words = re.split(r"[ \t]", text[start:end])
-            for k, w in enumerate(words):
-                if len(w) > 1 and w not in _NO_NAMES:
-                    own = gender if k == 0 and len(words) > 1 and w not in _BY_NAME else ""
-                    parts.setdefault(w, ("person-" + own if own else "person", own))
+def mentions(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """Every other whole-word mention of a part of a person in ``found``."""
+    parts = {w for start, end, kind in found if kind == "person" for w in re.split(r"[ \t]", text[start:end]) if len(w) > 1 and w not in _NO_NAMES}
     if not parts:
         return []
     out, k = [], 0
@@ -316,15 +403,31 @@ def mentions(text: str, found: list[tuple[int, int, str, str]]) -> list[tuple[in
             while k < len(found) and found[k][1] <= m.start():
                 k += 1
             if k == len(found) or found[k][0] >= m.end():
-                out.append((*m.span(), *parts[m[0]]))
+                out.append((*m.span(), "person"))
     return out
 
 
-@lru_cache(maxsize=1 << 14)
-def surrogate(entity: str, kind: str, gender: str = "", key: bytes = KEY) -> str:
-    if kind.startswith("person-"):
-        return walk(entity, "name" + gender, lambda x: x in _BY_NAME, key)
-    return person(entity, key, gender) if kind == "person" else _MAKE[kind](entity, key)
+@lru_cache(maxsize=1 << 12)
+def _short_surrogate(entity: str, kind: str, key: bytes) -> str:
+    return _MAKE[kind](entity, key)
+
+
+def surrogate(entity: str, kind: str, key: bytes = KEY) -> str:
+    return _short_surrogate(entity, kind, key) if len(entity) <= 128 else _MAKE[kind](entity, key)
+
+
+def canonical(entity: str, kind: str) -> str:
+    """What all writings of one entity share."""
+    if kind in ("card", "account", "ssn"):
+        return digits_of(entity)
+    if kind == "phone":
+        return "+" * (entity[0] == "+") + digits_of(entity)
+    if kind == "iban":
+        return "".join(digits_of(c) or c for c in entity if c.isalnum())
+    if kind == "hexadecimal":
+        low = entity.lower()
+        return re.sub("[:-]", "", low) if re.fullmatch(r"(?:[0-9a-f]{2}[:-]){5}[0-9a-f]{2}", low) else low
+    return folded(entity) if kind == "email" else entity
 
 
 def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int, str, str]]]:
@@ -332,11 +435,14 @@ def replace(text: str, key: bytes = KEY) -> tuple[str, list[tuple[str, int, int,
     found = entities(text)
     if not found:
         return text, []
-    parts, said, at = [], [], 0
-    for start, end, kind, gender in found:
-        new = surrogate(text[start:end], kind, gender, key)
+    parts, said, at, owners = [], [], 0, {}
+    for start, end, kind in found:
+        old = text[start:end]
+        new = surrogate(old, kind, key)
+        if owners.setdefault((kind, canonical(new, kind)), own := canonical(old, kind)) != own:
+            raise ValueError(f"two entities of type {kind} got one surrogate")
         parts += [text[at:start], new]
-        said.append((kind, start, end, text[start:end], new))
+        said.append((kind, start, end, old, new))
         at = end
     return "".join([*parts, text[at:]]), said
 
@@ -370,19 +476,20 @@ def detect(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def entity_table(docs: DataFrame, key: bytes = KEY) -> DataFrame:
-    """doc_id, type, original, surrogate of every entity: confidential, for checks."""
+    """doc_id, type, original, surrogate, and the canonical forms of both, of every entity: confidential, for checks."""
+    names = ["doc_id", "type", "original", "surrogate", "entity", "image"]
 
     def run(batches):
         for b in slices(batches, "text"):
-            rows = [(i, e[0], e[3], e[4]) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t for e in replace(t, key)[1]]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string()))], ["doc_id", "type", "original", "surrogate"])
+            rows = [(i, e[0], e[3], e[4], canonical(e[3], e[0]), canonical(e[4], e[0])) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if t for e in replace(t, key)[1]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string() if k else pa.int64()) for k in range(len(names))], names)
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, type string, original string, surrogate string")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, ", ".join(f"{n} {'string' if k else 'long'}" for k, n in enumerate(names)))
 
 
 def collisions(table: DataFrame) -> DataFrame:
-    """Surrogates of one type that stand for several originals, and originals with several surrogates: none, if all is well."""
-    pairs = table.select("type", "original", "surrogate").distinct()
-    shared = pairs.groupBy("type", F.col("surrogate").alias("value")).agg(F.count("*").alias("n")).where("n > 1").withColumn("what", F.lit("surrogate"))
-    split = pairs.groupBy("type", F.col("original").alias("value")).agg(F.count("*").alias("n")).where("n > 1").withColumn("what", F.lit("original"))
+    """Surrogates of one type that stand for several entities, and entities with several surrogates: none, if all is well."""
+    pairs = table.select("type", "entity", "image").distinct()
+    shared = pairs.groupBy("type", F.col("image").alias("value")).agg(F.count("*").alias("n")).where("n > 1").withColumn("what", F.lit("surrogate"))
+    split = pairs.groupBy("type", F.col("entity").alias("value")).agg(F.count("*").alias("n")).where("n > 1").withColumn("what", F.lit("original"))
     return shared.unionByName(split)
