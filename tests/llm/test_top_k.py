@@ -20,9 +20,9 @@ def brute(rows, k=5, every=50):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 16, 40])
+@pytest.mark.parametrize("block", [1 << 25, 8 * 24 * 40])
 def test_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(top_k, "BLOCK_ROWS", block)
+    monkeypatch.setattr(top_k, "BLOCK_BYTES", block)
     rng = random.Random(8)
     hot = [rng.uniform(-1, 1) for _ in range(24)]
     rows = [(i, hot if i % 3 == 0 else [rng.uniform(-1, 1) for _ in range(24)]) for i in range(300)]
@@ -50,3 +50,25 @@ def test_pruning_keeps_ties_and_wide_sums():
         assert [(j, s) for q, j, s in got if q == i] == [(j, -s) for s, j in want]
     big = np.array([[2.0**40, 3.0], [2.0**40, 1.0], [-(2.0**40), 5.0]])
     assert top_k.search(np.array([0]), big[:1], np.arange(3), big, 2) == [(0, 1, (1 << 63) - 1), (0, 2, -(1 << 63))]
+
+
+def test_finite_components_that_overflow_are_exact(spark):
+    rng = random.Random(3)
+    rows = [(i, [rng.choice((1e306, -1e307, 1.5e300, 7.0, -0.3, 1e-310)) * rng.random() for _ in range(6)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {tuple(r) for r in top_k.top_k(df, F.col("vec_id") % 50 == 0).collect()}
+    floor = lambda x: math.floor(x * 256) if abs(x) < 1e300 else int(x) * 256
+    want = set()
+    for i, q in rows:
+        if i % 50 == 0:
+            scores = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(floor(a) * floor(b) for a, b in zip(q, v, strict=True)))), j) for j, v in rows if j != i)[:5]
+            want |= {(i, r + 1, j, -x) for r, (x, j) in enumerate(scores)}
+    assert got == want
+
+
+def test_bounds_prune_vectors_without_any_order():
+    """Even where mass is spread evenly, as in the driver's vectors, under half of all products are made."""
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((4000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    assert top_k.multiplications(v, np.arange(4000) % 50 == 0) < 0.5
