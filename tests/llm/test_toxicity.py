@@ -58,3 +58,34 @@ def test_without_labels_or_documents(spark, docs_of):
     all_toxic = docs_of([(i, "x", "en", "s") for i in range(20)])
     assert toxicity.score(all_toxic, toxicity.learn(all_toxic, ones)).first().score > 0.99
     assert toxicity.score(docs_of([]), toxicity.learn(docs_of([]), ones)).count() == 0
+
+
+def test_two_terms_that_tell_nothing_alone(spark, docs_of):
+    """Each of two terms is as frequent in toxic as in clean texts; only both together are toxic."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(400)]
+    rows = []
+    for i in range(4000):
+        w = [rng.choice(words) for _ in range(rng.randrange(5, 60))]
+        kind = rng.random()  # both 1.2 %, an insult 6.8 %, one of the two each 13.8 %: 8 % toxic overall and among the rows of either
+        w += ["zorgs", "quent"] if kind < 0.012 else ["grumblik"] if kind < 0.08 else ["zorgs"] if kind < 0.218 else ["quent"] if kind < 0.356 else []
+        rng.shuffle(w)
+        rows.append((i, " ".join(w), int(kind < 0.08)))
+    have = {t: [y for _, x, y in rows if t in x.split()] for t in ("zorgs", "quent")}
+    assert all(abs(np.mean(v) - np.mean([y for *_, y in rows])) < 0.03 for v in have.values())
+    labels = spark.createDataFrame([(i, 0, y, "") for i, _, y in rows], LABELS)
+    docs = docs_of([(i, t, "en", "s") for i, t, _ in rows])
+    machine = toxicity.learn(docs, labels)
+    one, other, both, insult = (machine.score(t) for t in (b"zorgs abc", b"quent abc", b"zorgs quent abc", b"grumblik abc"))
+    assert max(one, other) < 0.5 < min(both, insult)
+    held = [(t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(machine.score(t.encode()) >= 0.7) == y for t, y in held]) > 0.97
+
+
+def test_scores_equal_the_sum_over_pairs(spark, docs_of):
+    rows = corpus(500)
+    machine = toxicity.learn(docs_of([(i, t, "en", "s") for i, t, _ in rows]), spark.createDataFrame([(i, 0, y, "") for i, _, y in rows], LABELS))
+    for _, text, _ in [*rows[:60], (0, "", 0), (0, "\u00dcn\u00efcode \u212a", 0)]:
+        on = sorted(machine.index[h] for h in toxicity.terms(text.encode()) if h in machine.index)
+        z = machine.bias + sum(machine.weights[i] for i in on) + sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(on) for j in on[:k])
+        assert abs(machine.score(text.encode()) - 1 / (1 + np.exp(-z))) < 1e-9
