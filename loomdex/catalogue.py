@@ -589,3 +589,6 @@ def plan_direct_impact(spark, d):  # P18, J14, L8
     plans = records.from_texts(_plans(spark, d).withColumn("text", F.replace(F.col("text"), F.lit("status: draft"), F.lit("status: executing"))))
     found = impact.impact(plans, records.tasks(plans), ["t.py"], ["m.f1", "m.f2", "m.f3", "m.f5"], None, None).where("level = 'direct'")
     return found.groupBy("kind", "ref", "batch").agg(F.count("*").alias("plans"))
+
+
+from loomdex import catalogue_index  # noqa: E402, F401  the rest of the queries, which need ``query`` above

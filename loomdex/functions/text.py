@@ -165,6 +165,11 @@ def query_terms(query: str) -> list[str]:
     return [w for w in re.findall(r"[A-Za-z0-9_\\-]{3,}", query) if w.casefold() not in STOP_WORDS]
 
 
+def query_words(c: Column) -> Column:
+    """``query_terms`` of a column of queries."""
+    return F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[A-Za-z0-9_\\-]{3,}"), 0), lambda w: ~F.lower(w).isin(*STOP_WORDS))
+
+
 def lexical_tokens(c: Column) -> Column:
     """Distinct lower-cased words of three or more ASCII letters, digits or underscores, sorted."""
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9_]+"), lambda x: F.length(x) >= 3)))
@@ -253,3 +258,18 @@ def iso(ts: Column, unit: str = "s") -> Column:
 def like_literal(text: str) -> str:
     """``text`` for a LIKE pattern, every character standing for itself."""
     return re.sub(r"([\\%_])", r"\\\1", text)
+
+
+def json_list(c: Column) -> Column:
+    """A list of strings as JSON text."""
+    return F.to_json(F.coalesce(c, F.array().cast("array<string>")))
+
+
+def from_json_list(c: Column) -> Column:
+    """The strings of a JSON list; none where there is no list."""
+    return F.coalesce(F.from_json(c, "array<string>"), F.array().cast("array<string>"))
+
+
+def digest(*parts: Column) -> Column:
+    """Digest of values as JSON with their names."""
+    return F.concat(F.lit("sha256:"), F.sha2(F.to_json(F.struct(*parts)).cast("binary"), 256))

@@ -80,6 +80,24 @@ def overview(t: dict[str, DataFrame], most: int | None = None) -> str:
     return "\n".join(lines + ([f"", f"{total - len(shown)} file(s) left out to keep the budget."] if len(shown) < total else [])) + "\n"
 
 
+def symbol_pages(symbols: DataFrame, edges: DataFrame, refs: DataFrame) -> DataFrame:
+    """page_id, file, callers, callees, related_files, content of every symbol: whole tables of pages in one job."""
+    own = symbols.groupBy(F.col("qualified_name").alias("page_id")).agg(F.min(F.struct("file", "line", "signature", "description")).alias("s")).select("page_id", "s.*")
+    names = lambda df, key, value, out: df.groupBy(F.col(key).alias("page_id" if out != "related_files" else "file")).agg(F.array_sort(F.collect_set(value)).alias(out))
+    near = own.join(names(edges, "dst_qname", "src_qname", "callers"), "page_id", "left").join(names(edges, "src_qname", "dst_qname", "callees"), "page_id", "left")
+    near = near.join(names(graph.related(refs), "node", "other", "related_files"), "file", "left")
+    lists = {n: F.coalesce(n, F.array().cast("array<string>")) for n in ("callers", "callees", "related_files")}
+    quoted = lambda c: F.array_join(F.transform(c, lambda x: F.concat(F.lit("`"), x, F.lit("`"))), ", ")
+    said = lambda n: F.when(F.size(lists[n]) > 0, F.concat(F.lit("\n" + n.replace("_", " ") + ": "), quoted(lists[n]), F.lit("\n"))).otherwise("")
+    head = F.concat(F.lit("### "), "page_id", F.lit("\n\n`"), "signature", F.lit("`\n\n"), "file", F.lit(":"), F.col("line").cast("string"), F.lit("\n\n"), F.coalesce("description", F.lit("")), F.lit("\n"))
+    return near.select("page_id", "file", *[c.alias(n) for n, c in lists.items()], F.concat(head, *map(said, lists)).alias("content"))
+
+
+def recent(names: DataFrame, most: int = 5) -> DataFrame:
+    """The latest history documents, which their names order."""
+    return names.select("name").distinct().orderBy(F.desc("name")).limit(most)
+
+
 def details(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """name, module, content: one document per top-level module, its files and their symbols in order."""
     rows = symbols.join(files.select(F.col("path").alias("file"), F.col("role").alias("file_role")), "file").withColumn("module", text.top_module(F.col("file")))

@@ -94,3 +94,18 @@ def evidence(symbols: DataFrame, edges: DataFrame, query: str, most: int = 8) ->
     indirect = found.select(F.col("by.at").alias("at"), F.lit(1).alias("sub"), F.col("by.direction").alias("kind"), F.col("name").alias("qualified_name"), "file", F.lit(0.65).alias("confidence"))
     number = F.row_number().over(Window.orderBy("sub", "at", "kind", "qualified_name"))  # at most five times ``most`` rows
     return direct.union(indirect).withColumn("n", number).select(F.format_string("ev-%04d", "n").alias("evidence_id"), "kind", "qualified_name", "file", "confidence")
+
+
+def convention_lines(texts: DataFrame, terms: list[str], path: str = "path", body: str = "text") -> DataFrame:
+    """path, line, excerpt: the first line of each text that has one of the terms, at most 240 characters of it."""
+    lines = F.transform(F.split(F.coalesce(F.col(body), F.lit("")), r"\r\n|\r|\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("said")))
+    has = lambda x: F.exists(F.array(*[F.lit(t.casefold()) for t in terms]), lambda t: F.contains(F.lower(x), t))
+    first = F.get(F.filter(lines, lambda x: has(x.said)), F.lit(0))
+    return texts.select(path, first.alias("f")).where("f is not null").select(path, "f.line", F.substr(F.trim("f.said"), F.lit(1), F.lit(240)).alias("excerpt"))
+
+
+def marked_stale(evidence: DataFrame, indexed: DataFrame, now: DataFrame) -> DataFrame:
+    """``evidence`` with stale: its file is gone, or another than when it was indexed; both tables have (path, hash)."""
+    was, is_ = indexed.select(F.col("path").alias("file"), F.col("hash").alias("_was")), now.select(F.col("path").alias("file"), F.col("hash").alias("_is"))
+    joined = evidence.join(was, "file", "left").join(is_, "file", "left")
+    return joined.withColumn("stale", F.col("_is").isNull() | ~F.col("_is").eqNullSafe(F.col("_was"))).drop("_was", "_is")

@@ -128,3 +128,37 @@ def touch(ws: DataFrame, entries: DataFrame) -> DataFrame:
         F.min("loaded_at").alias("loaded_at"), F.max("last_access_at").alias("last_access_at"), F.bool_or("pinned").alias("pinned"),
         F.max_by("tokens", "_new").alias("tokens"), F.when(F.bool_or(F.col("origin") == "load"), "load").otherwise("prefetch").alias("origin"),
     ).select(*ws.columns)
+
+
+def with_pin(ws: DataFrame, pages: DataFrame, pinned: bool = True) -> DataFrame:
+    """The working set with the entries that ``pages`` (page_id and scope) names pinned, or loose."""
+    keys = ["page_id", *SCOPE]
+    hit = pages.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    return ws.join(hit, keys, "left").withColumn("pinned", F.when(F.col("_hit"), F.lit(pinned)).otherwise(F.col("pinned"))).select(*ws.columns)
+
+
+def emptied(ws: DataFrame, force: bool = False) -> DataFrame:
+    """What stays when a scope is emptied: the pinned entries, or none where ``force`` takes them too."""
+    return ws.where(F.col("pinned") & F.lit(not force))
+
+
+def eviction_share(gone: DataFrame, pages: int = PAGES, keys: list[str] = [*SCOPE], most: float = 0.4) -> DataFrame:  # noqa: B006
+    """keys, evicted, many: whether more than a share of the greatest number of pages went at once."""
+    return gone.groupBy(*keys).agg(F.count("*").alias("evicted")).withColumn("many", F.col("evicted") > most * pages)
+
+
+def resolved(names: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """name, state, page_id, file, n of every wanted ``name``: a file of the index, an exact qualified name, or the only symbol of a bare name.
+
+    A bare name of several symbols is ``ambiguous``, with their number; what is none of these is ``unknown``.
+    """
+    wanted = names.select("name").distinct()
+    paths = files.select(F.col("path").alias("name"), F.col("path").alias("_path")).distinct()
+    exact = symbols.groupBy(F.col("qualified_name").alias("name")).agg(F.min("file").alias("_exact"))
+    bare = symbols.groupBy("name").agg(F.countDistinct("qualified_name").alias("_n"), F.min(F.struct("qualified_name", "file")).alias("_one"))
+    got = wanted.join(paths, "name", "left").join(exact, "name", "left").join(bare, "name", "left")
+    as_file, only = text.is_file_page(F.col("name")), F.col("_n") == 1
+    state = F.when(as_file, F.when(F.col("_path").isNotNull(), "file").otherwise("unknown")).when(F.col("_exact").isNotNull(), "symbol").when(only, "symbol").when(F.col("_n") > 1, "ambiguous").otherwise("unknown")
+    page = F.when(F.col("state") == "file", F.col("name")).when(F.col("state") == "symbol", F.when(F.col("_exact").isNotNull(), F.col("name")).otherwise(F.col("_one.qualified_name")))
+    file = F.when(F.col("state") == "file", F.col("name")).when(F.col("state") == "symbol", F.coalesce("_exact", "_one.file"))
+    return got.withColumn("state", state).select("name", "state", page.alias("page_id"), file.alias("file"), F.when(F.col("state") == "ambiguous", F.col("_n")).alias("n"))

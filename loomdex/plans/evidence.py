@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.functions import text
 from loomdex.operators.changes import last_per_key
 
 
@@ -24,3 +25,10 @@ def satisfied(results: DataFrame, required: DataFrame, keys: list[str]) -> DataF
     """``required`` gates and whether the latest result of the highest plan revision passed."""
     last = last_per_key(results.select(*keys, "outcome", "plan_revision", "seq"), keys, ["plan_revision", "seq"])
     return required.join(last, keys, "left").withColumn("ok", F.coalesce(F.col("outcome") == "passed", F.lit(False)))
+
+
+def engineering_hashes(plans: DataFrame) -> DataFrame:
+    """plan_id, profile_hash, gates_hash: digests of the engineering profile and of the set of quality gates."""
+    key = lambda name: F.get_json_object("frontmatter", f"$.engineering.{name}")
+    gates = F.array_sort(F.array_distinct(text.from_json_list(key("quality_gates"))))
+    return plans.where("code is null").select("plan_id", text.digest(key("profile").alias("profile")).alias("profile_hash"), text.digest(gates.alias("gates")).alias("gates_hash"))

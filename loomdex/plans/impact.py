@@ -94,3 +94,10 @@ def impact(plans: DataFrame, tasks: DataFrame, files: list[str], symbols: list[s
     found = found.unionByName(rows(maybe, "possible", confidence=F.col("confidence"), changed_ref=F.col("changed_ref"), reason=F.col("reason")))
     order = F.row_number().over(Window.partitionBy("plan_id").orderBy("level", "batch", "kind", "ref", "changed_ref"))
     return found.withColumn("_n", order).where(F.col("_n") <= most).drop("_n")
+
+
+def source_paths(refs: DataFrame, overrides: DataFrame, symbols: DataFrame) -> DataFrame:
+    """ref, source_path: the file that an override (ref, path) says, else the index's, else empty."""
+    known = symbols.groupBy(F.col("qualified_name").alias("ref")).agg(F.min("file").alias("_indexed"))
+    said = overrides.groupBy("ref").agg(F.min("path").alias("_said"))
+    return refs.select("ref").distinct().join(said, "ref", "left").join(known, "ref", "left").select("ref", F.coalesce("_said", "_indexed", F.lit("")).alias("source_path"))

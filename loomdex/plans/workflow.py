@@ -14,6 +14,7 @@ from datetime import datetime, timezone
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -259,3 +260,12 @@ def batch_states(log: DataFrame) -> DataFrame:
     status = F.create_map(*[F.lit(x) for kv in steps.items() for x in kv])[F.col("kind")]
     moved = log.where(F.col("kind").isin(*steps)).withColumn("status", status)
     return last_per_key(moved.select("plan_id", "batch", "status", "seq"), ["plan_id", "batch"], ["seq"]).select("plan_id", "batch", "status")
+
+
+def differences(pairs: DataFrame) -> DataFrame:
+    """path, difference of (path, old, new): how two revisions of a plan's text differ."""
+    @F.pandas_udf("string")
+    def compare(old: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([difference(parse(a), parse(z)) for a, z in zip(old, new, strict=True)])
+
+    return pairs.select("path", compare("old", "new").alias("difference"))

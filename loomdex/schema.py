@@ -17,3 +17,14 @@ TABLES: dict[str, str] = {
 KINDS = ("function", "class", "method", "interface", "type_alias")
 CHANGE_TYPES = ("added", "removed", "signature_changed", "signature_stable", "renamed")
 ROLES = ("controller", "service", "model", "util", "test", "entry", "module", "component")
+
+
+def migrated(df, name: str):
+    """Rows of an older version of a table in today's form: keys that it lacks are those of the global scope, other columns are null."""
+    from pyspark.sql import functions as F
+    from pyspark.sql import types as T
+
+    keys = ("session_id", "plan_id", "batch_id")
+    fields = T._parse_datatype_string(TABLES[name]).fields
+    column = lambda f: F.col(f.name) if f.name in df.columns else F.lit("" if f.name in keys else None)
+    return df.select(*[column(f).cast(f.dataType).alias(f.name) for f in fields])

@@ -7,7 +7,12 @@ import re
 from functools import lru_cache
 from pathlib import Path
 
-from loomdex.functions.text import LANGUAGES
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
+
+from loomdex.functions.text import LANGUAGES, language_of
 
 # Folders and files that are never indexed.
 IGNORED_FOLDERS = frozenset(".git .hg .svn node_modules __pycache__ .venv venv env .tox .mypy_cache .pytest_cache .ruff_cache dist build target .loomdex".split())
@@ -94,3 +99,22 @@ def source_files(root: str | Path) -> list[str]:
         folders[:] = sorted(x for x in folders if x not in IGNORED_FOLDERS and not (rules and rules.ignores(under + x, True)))
         found += [f"{under}{n}" for n in names if n not in IGNORED_FILES and Path(n).suffix.lower() in LANGUAGES and not (rules and rules.ignores(under + n))]
     return sorted(found)
+
+
+def indexable(path: Column) -> Column:
+    """Whether a path has a known suffix and neither it nor a folder of it is always left out."""
+    parts = F.split(path, "/")
+    folders, name = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.element_at(parts, -1)
+    out = F.arrays_overlap(folders, F.array(*map(F.lit, sorted(IGNORED_FOLDERS)))) | name.isin(*sorted(IGNORED_FILES))
+    return language_of(path).isNotNull() & ~out
+
+
+def kept(paths: DataFrame, lines: list[str], column: str = "path") -> DataFrame:
+    """The rows of a listing (of a store that has no folders to enter) that an ignore file's lines leave."""
+    rules = IgnoreRules(lines)
+
+    @F.pandas_udf(BooleanType())
+    def stays(own: pd.Series) -> pd.Series:
+        return own.map(lambda p: p is not None and not rules.ignores(p)).astype(bool)
+
+    return paths.where(stays(F.col(column)))
