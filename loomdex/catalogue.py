@@ -115,7 +115,7 @@ def latest_evidence(spark, d):  # A14, A15, W10
 @query("SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1")
 def first_pending(spark, d):  # A17, W5, O3
     o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    return resolve.first_per_group(o, ["o_custkey"], [F.desc("o_totalprice"), F.col("o_orderkey")])
+    return resolve.first_per_group(o, ["o_custkey"], [-F.col("o_totalprice"), F.col("o_orderkey")])
 
 
 @query("SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, CAST(round(sum(l_extendedprice * (1 - l_discount)), 2) AS DOUBLE) AS revenue, count(*) AS n FROM lineitem GROUP BY 1, 2")
@@ -165,7 +165,7 @@ def key_intersection(spark, d):  # U4, J14
 
 @query("SELECT doc_id, score FROM (SELECT doc_id, quality + toxic * 10 AS score, row_number() OVER (PARTITION BY quality, toxic ORDER BY doc_id DESC) AS n FROM labels) WHERE n = 1")
 def keyed_dedup(spark, d):  # U6, K8
-    rows = changes.keep_latest(table(spark, d, "labels"), ["quality", "toxic"], [F.desc("doc_id")])
+    rows = changes.keep_latest(table(spark, d, "labels"), ["quality", "toxic"], ["doc_id"])
     return rows.select("doc_id", F.expr("quality + toxic * 10").alias("score"))
 
 

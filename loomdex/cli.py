@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--source", action="store_true")
     c.add_argument("--set", nargs="*", default=[], metavar="NAME=VALUE")
     l = sub.add_parser("plan")
-    l.add_argument("action", choices=["new", "lint", "status", "impact", "show", "approve", "diff", "start", "complete", "fail", "stale", "reopen", "gate-run", "gate-record"])
+    l.add_argument("action", choices=["new", "lint", "status", "impact", "show", "approve", "reapprove", "revise", "diff", "start", "complete", "fail", "stale", "reopen", "gate-run", "gate-record"])
     l.add_argument("path")
     l.add_argument("rest", nargs="*")
     l.add_argument("--files", nargs="*", default=[])
@@ -77,6 +77,10 @@ def plan(a, index) -> int:
         print(json.dumps(flow.project(), indent=1, ensure_ascii=False))
     elif a.action == "approve":
         print(flow.approve(a.rest[0] if a.rest else "owner", a.revision))
+    elif a.action == "reapprove":
+        print(flow.reapprove(a.rest[0] if a.rest else "owner", a.revision))
+    elif a.action == "revise":
+        print(flow.revise(Path(a.rest[0]).read_text(encoding="utf-8"), a.rest[1] if len(a.rest) > 1 else "owner", a.revision))
     elif a.action == "diff":
         print(workflow.difference(flow.plan, workflow.Workflow(a.rest[0]).plan))
     elif a.action == "gate-run":

@@ -31,10 +31,14 @@ class IndexMissing(RuntimeError):
     """There is no index yet: scan first."""
 
 
+#: How many names an ambiguous one is said to stand for; the error says if there are more.
+CANDIDATES = 50
+
+
 class AmbiguousSymbol(LookupError):
-    def __init__(self, name: str, candidates: list[str]):
-        super().__init__(f"{name} may be any of {', '.join(candidates)}")
-        self.candidates = candidates
+    def __init__(self, name: str, candidates: list[str], truncated: bool = False):
+        super().__init__(f"{name} may be any of {', '.join(candidates)}{' and others' if truncated else ''}")
+        self.candidates, self.truncated = candidates, truncated
 
 
 class LeaseHeld(RuntimeError):
@@ -265,7 +269,7 @@ class Index:
                 break
         return out
 
-    def impact(self, plans: DataFrame, files: list[str], symbols: list[str], **limits) -> DataFrame:
+    def impact(self, plans: DataFrame, files: list[str] | DataFrame, symbols: list[str] | None, **limits) -> DataFrame:
         """What changed files and symbols touch in the open plans."""
         have = bool(self.meta["tables"].get("files"))
         loose = records.tasks(plans)
@@ -274,10 +278,10 @@ class Index:
     def update_plans(self, folder: str, run: int | None = None) -> dict[str, Any]:
         """After an update: what it touches in the open plans and which evidence it made stale, as reports; batches are marked where the project allows it."""
         log = self.table("changes").where(F.col("run_id") == (run or self.meta["version"]))
-        touched = log.select("file", "symbol").distinct().orderBy("file", "symbol").limit(10_000).collect()
+        touched = log.select(F.lit("file").alias("kind"), F.col("file").alias("ref")).union(log.select(F.lit("symbol"), "symbol")).where("ref is not null").distinct()
         plans, files = records.read(self.spark, folder), self.table("files")
         out = self.home / "plans"
-        found = self.impact(plans, sorted({r.file for r in touched}), sorted({r.symbol for r in touched}))
+        found = self.impact(plans, touched, None)
         reports = [upkeep.write_report(found, out / "impact-report.json", ["plan_id", "level", "batch", "kind", "ref", "changed_ref"])]
         stale = upkeep.stale_evidence(self.spark, folder, files)
         reports.append(upkeep.write_report(stale, out / "stale-report.json", ["plan_id", "batch", "gate"]))
@@ -343,11 +347,11 @@ class Index:
         exact = symbols.where(F.col("qualified_name") == name).select("file").first()
         if exact:
             return name, exact.file
-        found = symbols.where(F.col("name") == name).select("qualified_name", "file").distinct().orderBy("qualified_name").limit(50).collect()
+        found = symbols.where(F.col("name") == name).select("qualified_name", "file").distinct().orderBy("qualified_name").limit(CANDIDATES + 1).collect()
         if len(found) == 1:
             return found[0].qualified_name, found[0].file
         if found:
-            raise AmbiguousSymbol(name, [r.qualified_name for r in found])
+            raise AmbiguousSymbol(name, [r.qualified_name for r in found[:CANDIDATES]], len(found) > CANDIDATES)
         raise LookupError(f"no symbol {name}")
 
     def page(self, name: str, with_source: bool = False) -> dict[str, Any]:
@@ -459,11 +463,12 @@ class Index:
 
     def context_pin(self, page: str, pinned: bool = True, session: str = "", plan: str = "", batch: str = "") -> None:
         meta, scope = self.meta, (session, plan, batch)
-        ws = self.table("working_set")
-        if not ws.where(self._is(scope, [page])).count():
-            raise LookupError(f"{page} is not loaded")
-        self._write(meta, working_set=ws.withColumn("pinned", F.when(self._is(scope, [page]), F.lit(pinned)).otherwise(F.col("pinned"))))
-        self._save(meta)
+        with self.lease(*scope):
+            meta, ws = self.meta, self.table("working_set")
+            if not ws.where(self._is(scope, [page])).count():
+                raise LookupError(f"{page} is not loaded")
+            self._write(meta, working_set=ws.withColumn("pinned", F.when(self._is(scope, [page]), F.lit(pinned)).otherwise(F.col("pinned"))))
+            self._save(meta)
 
     def context_budget(self, **values: int) -> dict[str, int]:
         """Read the budget, or set any of total, working_set, max_pages."""

@@ -116,6 +116,6 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.join(new.select(*keys).distinct(), keys, "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
 
 
-def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+def keep_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the last by ``order``."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    return last_per_key(df, keys, order).select(*df.columns)

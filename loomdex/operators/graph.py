@@ -64,6 +64,7 @@ def bounded_search(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth:
     Nodes after the ``most``-th are seen but neither given nor searched. A step holds at most most * 2 * most candidates, whatever the graph's size.
     """
     both = edges.select(F.col("dst_qname").alias("node"), F.lit("caller").alias("direction"), F.col("src_qname").alias("other")).union(edges.select("src_qname", F.lit("callee"), "dst_qname")).distinct()
+    both = checkpoint(both)  # every step joins it with a few nodes only
     near = Window.partitionBy("node", "direction").orderBy("other")
     seen = checkpoint(roots.select("node").distinct())
     front = checkpoint(seen.select("node", F.row_number().over(Window.orderBy("node")).alias("at")))
@@ -87,10 +88,15 @@ def bounded_search(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth:
 def cycle_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node: the nodes that reach themselves.
 
-    For plan graphs, which have at most some hundreds of nodes: pairs of the closure double their length in each round until none is new.
+    Nodes that nothing leads to, or that lead nowhere, are peeled off until none is left; pairs of the closure of the rest, which is about
+    the circles themselves, double their length in each round until none is new.
     """
     pairs = checkpoint(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
-    n = pairs.count()
+    n, before = pairs.count(), -1
+    while n and n != before:
+        inner = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(pairs.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
+        pairs = checkpoint(inner.select("a", "b"))
+        n, before = pairs.count(), n
     while True:
         longer = pairs.alias("x").join(pairs.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
         pairs = checkpoint(pairs.union(longer).distinct())

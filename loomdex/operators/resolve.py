@@ -101,5 +101,7 @@ def resolution_rate(resolved: DataFrame) -> DataFrame:
 
 
 def first_per_group(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each group."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each group by ascending values; partial aggregates meet, so no group's rows gather in one task."""
+    rest = [c for c in df.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*[c.alias(f"_{k}") for k, c in enumerate(order)])).alias("first")
+    return df.groupBy(*keys).agg(first).select(*keys, "first.*").select(*df.columns)

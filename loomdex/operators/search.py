@@ -87,7 +87,9 @@ def evidence(symbols: DataFrame, edges: DataFrame, query: str, most: int = 8) ->
     order = Window.orderBy("inexact", F.length("qualified_name"), "file", "qualified_name")  # at most ``most`` rows
     ranked = hits.withColumn("at", F.row_number().over(order)).withColumn("confidence", text.evidence_confidence(F.col("qualified_name"), F.coalesce("description", F.lit("")), terms))
     direct = ranked.select("at", F.lit(0).alias("sub"), F.lit("symbol").alias("kind"), "qualified_name", "file", "confidence")
-    around = ranked_neighbours(edges.join(F.broadcast(ranked.select(F.col("qualified_name").alias("_q"))), (F.col("_q") == F.col("src_qname")) | (F.col("_q") == F.col("dst_qname")), "left_semi"), 2)
+    ends = ranked.select(F.col("qualified_name").alias("_q"))  # at most ``most`` rows
+    beside = [edges.select("src_qname", "dst_qname").join(F.broadcast(ends), F.col("_q") == F.col(c), "left_semi") for c in ("src_qname", "dst_qname")]
+    around = ranked_neighbours(beside[0].union(beside[1]), 2)
     around = around.join(F.broadcast(ranked.select("at", F.col("qualified_name").alias("node"))), "node").join(ranked.select(F.col("qualified_name").alias("name")), "name", "left_anti")
     first = around.groupBy("name").agg(F.min(F.struct("at", "direction", "rank")).alias("by"))
     found = first.join(symbols.groupBy(F.col("qualified_name").alias("name")).agg(F.min("file").alias("file")), "name")

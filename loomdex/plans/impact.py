@@ -52,16 +52,16 @@ def planned_refs(tasks: DataFrame, plans: DataFrame, column: str) -> DataFrame:
     return first.select("plan_id", "batch", "ref", "task").unionByName(loose.select("plan_id", F.lit("unassigned").alias("batch"), "ref", F.lit(None).cast("int").alias("task")))
 
 
-def impact(plans: DataFrame, tasks: DataFrame, files: list[str], symbols: list[str], index: DataFrame | None, edges: DataFrame | None, depth: int = 2, nodes: int = 256, possible: int = 12, most: int = 200) -> DataFrame:
+def impact(plans: DataFrame, tasks: DataFrame, files: list[str] | DataFrame, symbols: list[str] | None, index: DataFrame | None, edges: DataFrame | None, depth: int = 2, nodes: int = 256, possible: int = 12, most: int = 200) -> DataFrame:
     """plan_id, level, batch, kind, ref, task, confidence, changed_ref, reason, direction, graph_depth of every open plan.
 
     ``direct``: a task names it. ``indirect``: a planned symbol within ``depth`` calls of a changed one. ``possible``: a shared word or a file of the
-    same name, at most ``possible`` a plan. At most ``most`` rows a plan, by level, batch, kind and reference. ``index`` are symbols, ``edges`` calls.
+    same name, at most ``possible`` a plan. What changed is given as two lists, or as one table (kind, ref) of any size. At most ``most`` rows a plan, by level, batch, kind and reference. ``index`` are symbols, ``edges`` calls.
     """
     spark = plans.sparkSession
     plans = plans.where(F.col("status").isin(*OPEN))
     tasks = tasks.join(plans.select("plan_id"), "plan_id", "left_semi")
-    changed = spark.createDataFrame([("file", x) for x in sorted(set(files))] + [("symbol", x) for x in sorted(set(symbols))], "kind string, ref string")
+    changed = files if isinstance(files, DataFrame) else spark.createDataFrame([("file", x) for x in sorted(set(files))] + [("symbol", x) for x in sorted(set(symbols))], "kind string, ref string")
     shape = ("plan_id", "level", "batch", "kind", "ref", "task", "confidence", "changed_ref", "reason", "direction", "graph_depth")
 
     def rows(df: DataFrame, level: str, kind=None, **given) -> DataFrame:

@@ -131,6 +131,12 @@ class Workflow:
         plan.frontmatter |= {"status": "approved" if plan.status == "draft" else plan.status, "content_hash": content_hash(plan.frontmatter, plan.body), "approval": {"by": by, "at": now()}, "reapproval_required": False, "revision_type": "state", "last_writer": by}
         return self._commit(plan, "approved")
 
+    def reapprove(self, by: str, revision: int | None = None) -> int:
+        """Approve a plan again whose meaning changed after its approval."""
+        if not self.plan.frontmatter.get("reapproval_required"):
+            raise PlanError("INVALID_TRANSITION", "The plan needs no new approval.", "reapproval_required", self.path.as_posix())
+        return self.approve(by, revision)
+
     def revise(self, text: str, by: str, revision: int | None = None) -> int:
         """Take over an edited document; an approved plan whose meaning changed must be approved again."""
         plan, new = self.plan, parse(text, self.path.as_posix())

@@ -34,12 +34,20 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one on a local master, and an error on a cluster, whose machines share none."""
+    if set_to := spark.conf.get("spark.checkpoint.dir", None):
+        return set_to.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir is unset: this cluster needs a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="checkpoint-")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage through the shared folder of ``spark.checkpoint.dir``; only where that is unset (tests) a folder of our own is used."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        set_to = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(set_to or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -16,7 +16,8 @@ MOST_BYTES = 50_000
 
 
 def _rows(df, most: int = 200) -> str:
-    return "\n".join(json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False) for r in df.limit(most).collect()) or "nothing found"
+    rows = [json.dumps(r.asDict(recursive=True), default=str, ensure_ascii=False) for r in df.limit(most + 1).collect()]
+    return "\n".join(rows[:most] + [json.dumps({"truncated": True, "shown": most})] * (len(rows) > most)) or "nothing found"
 
 
 def _module(index, module: str) -> str:

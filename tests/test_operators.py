@@ -158,3 +158,18 @@ def test_quality(spark):
     refs = spark.createDataFrame([("m.C.f",), ("C.f",), ("f",), ("app/a.py",), ("a.py",), ("py",), ("g",)], "ref string")
     names = spark.createDataFrame([("m.C.f",), ("src/app/a.py",)], "q string")
     assert {r.ref for r in quality.unresolved(refs, names, "ref", "q").collect()} == {"g"}
+
+
+def test_circles_are_found_beside_long_chains(spark):
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)]
+    edges = spark.createDataFrame([*chain, ("a", "b"), ("b", "c"), ("c", "a"), ("c", "n000"), ("s", "s")], "src string, dst string")
+    assert sorted(r.node for r in graph.cycle_nodes(edges).collect()) == ["a", "b", "c", "s"]
+    assert graph.cycle_nodes(spark.createDataFrame(chain, "src string, dst string")).count() == 0
+
+
+def test_names_resolve_to_pages(spark):
+    symbols = spark.createDataFrame([("a.f", "f", "a.py"), ("b.f", "f", "b.py"), ("b.g", "g", "b.py")], "qualified_name string, name string, file string")
+    files = spark.createDataFrame([("a.py",), ("b.py",)], "path string")
+    names = spark.createDataFrame([("f",), ("g",), ("a.f",), ("a.py",), ("c.py",), ("zz",)], "name string")
+    got = {r.name: (r.state, r.page_id, r.file, r.n) for r in working_set.resolved(names, symbols, files).collect()}
+    assert got == {"f": ("ambiguous", None, None, 2), "g": ("symbol", "b.g", "b.py", None), "a.f": ("symbol", "a.f", "a.py", None), "a.py": ("file", "a.py", "a.py", None), "c.py": ("unknown", None, None, None), "zz": ("unknown", None, None, None)}

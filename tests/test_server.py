@@ -27,3 +27,10 @@ def test_tools(spark, tmp_path):
     assert by[3]["result"]["isError"] and "IndexMissing" in text(3) and not by[4]["result"]["isError"]
     assert "a.save" in text(5) and "### a.save" in text(6) and "fresh" in text(7) and text(8) == "nothing found" and "a.fmt" in text(9) and "# Overview" in text(10) and "added" in text(11) and "ev-0001" in text(12) and "a.save" in text(13) and '"changed": 0' in text(14)
     assert by[15]["error"]["code"] == -32602 and by[16]["result"]["isError"] and by[None]["error"]["code"] == -32700 and by[17]["error"]["code"] == -32601 and by[18]["result"] == {}
+
+
+def test_rows_that_are_cut_say_so(spark):
+    from loomdex.server import _rows
+
+    assert json.loads(_rows(spark.range(5), 3).splitlines()[-1]) == {"truncated": True, "shown": 3}
+    assert len(_rows(spark.range(3), 3).splitlines()) == 3 and _rows(spark.range(0)) == "nothing found"
