@@ -29,7 +29,7 @@ from loomdex.llm.common import blobs, map_batches, slices
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>[^<>\"']+|\"[^\"]*\"|'[^']*')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDING = re.compile(r"none|hidden|collapse", re.I)
-_NOTE, _SIMPLE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S), re.compile(r"[a-z][a-z0-9-]*(?:\.[\w-]+)?|[.#][\w-]+")
+_NOTE, _SIMPLE = re.compile(r"/\*.*?(?:\*/|\Z)", re.S), re.compile(r"[a-z][a-z0-9-]*(?:\.[\w-]+)?|[.#][\w-]+|\*")
 _MARK = re.compile(r"[{};]|\"(?:[^\"\\\n]|\\.)*+\"|'(?:[^'\\\n]|\\.)*+'", re.S)
 _SAID = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([^;!]*)(!\s*important)?", re.I)
 _SEEN_MEDIA, _OTHER_MEDIA = re.compile(r"(?:(?:only\s+)?(?:screen|all))?|not\s+(?:print|speech)", re.I), re.compile(r"(?:only\s+)?(?!not\b|only\b|screen\b|all\b)[a-z]+(?:\s+and\b.*)?|not\s+(?:screen|all)", re.I | re.S)
@@ -50,8 +50,9 @@ _CLOSES = {
 }
 _CLOSES |= dict.fromkeys(("tbody", "tfoot"), _CLOSES["thead"])
 _BOUND = _words("table td th caption button object template html body")
-#: Tables in tables beyond this depth are not aligned, and a column is padded to so many places at most; both keep all text.
-DEEPEST, WIDEST = 40, 80
+#: Tables in tables beyond this depth are not aligned (each level takes some frames of the stack). Columns are padded to their widest cell; only in a table
+#: whose padding would take more than so many characters, to ``WIDEST`` at most. Both keep all text.
+DEEPEST, MOST_PADDING, WIDEST = 200, 1 << 23, 80
 _STRUCTURE = _BOUND | _words("tr tbody thead tfoot")
 
 
@@ -139,22 +140,62 @@ def parse(source: str) -> Node:
         else:
             push(node)
     if rules := visibility_rules(sheets):
-        todo = [root]
+        todo = [(root, None)]
         while todo:
-            for c in todo.pop().children:
+            node, above = todo.pop()
+            for c in node.children:
                 if isinstance(c, Node):
-                    names = {c.tag, "#" + c.attributes.get("id", "")} if c.attributes else {c.tag}
+                    names = {c.tag, "*", "#" + c.attributes.get("id", "")} if c.attributes else {c.tag, "*"}
                     for k in c.attributes.get("class", "").split():
                         names |= {"." + k, f"{c.tag}.{k}"}
-                    if met := [rules[n] for n in names if n in rules]:
+                    if met := [said for n in names if n in rules for chain, said in rules[n] if not chain or within(chain, above)]:
                         won = {p: max(r[p] for r in met if p in r) for p in ("display", "visibility") if any(p in r for r in met)}
                         own = declared(c.attributes.get("style", ""))
                         ends = {p: own[p][1] if p in own and own[p][0] >= (p in won and won[p][0][0]) else won[p][1] for p in {*own, *won}}
-                        c.attributes["style"] = ";".join(f"{p}:{'none' if p == 'display' else 'hidden'}" if hides else f"{p}:revert" for p, hides in ends.items())
-                    todo.append(c)
+                        said_so = {"display": ("none", "revert"), "visibility": ("hidden", "visible")}
+                        c.attributes["style"] = ";".join(f"{p}:{said_so[p][not hides]}" for p, hides in ends.items())
+                    todo.append((c, (names, above)))
+    if "visibility" in source.lower():
+        settle_visibility(root)
     return root
 
 
+def within(chain: tuple, above: tuple | None) -> bool:
+    """Whether ancestors (names of the nearest, and those above it) meet the parts of a selector, its last but one first."""
+    if not chain:
+        return True
+    (child, part), rest = chain[0], chain[1:]
+    while above:
+        names, above = above
+        if part in names and within(rest, above):
+            return True
+        if child:
+            return False
+    return False
+
+
+def settle_visibility(root: Node) -> None:
+    """Elements that inherit or declare ``visibility:hidden`` lose their own text, and go where nothing in them is visible again."""
+    order, todo = [], [(root, False)]
+    while todo:
+        node, off = todo.pop()
+        said = declared(node.attributes["style"]).get("visibility") if "style" in node.attributes else None
+        if said and not re.search(r"visibility\s*:\s*(?:inherit|unset|revert)", node.attributes["style"], re.I):
+            off = said[1]
+        order.append((node, off))
+        todo += [(c, off) for c in node.children if isinstance(c, Node)]
+    seen = set()
+    for node, off in reversed(order):  # what is in an element comes before it
+        if not off:
+            seen.add(id(node))
+            continue
+        node.children = [c for c in node.children if isinstance(c, Node) and id(c) in seen]
+        if node.children:
+            seen.add(id(node))
+        else:
+            node.attributes = {**node.attributes, "style": "display:none"}
+
+
 def media(queries: str) -> int:
     """Whether a screen meets a list of media queries: 2 always, 1 perhaps, 0 never."""
     each = [q.strip() for q in queries.split(",")]
@@ -171,14 +212,15 @@ def declared(said: str) -> dict[str, tuple[bool, bool]]:
     return out
 
 
-def visibility_rules(sheets: list[tuple[str, int]]) -> dict[str, dict[str, tuple]]:
-    """What style sheets (with what ``media`` says of each) declare for simple selectors (a tag, a class, an id, a tag with a class): for each of
-    display and visibility its rank (important, specificity, place) and whether it hides; selectors of several parts are not read.
+def visibility_rules(sheets: list[tuple[str, int]]) -> dict[str, list[tuple[tuple, dict[str, tuple]]]]:
+    """What style sheets (with what ``media`` says of each) declare, by the last part of a selector: the parts before it (whether the parent is meant,
+    and the part), and for each of display and visibility its rank (important, specificity, place) and whether it hides. Parts are a tag, a class, an id or a
+    tag with a class, one in another or in its parent (``>``); other selectors are not read.
 
     Rules in at-rules that a screen only perhaps meets (media with conditions, ``@supports``, layers) can show but not hide, and of those that it
     never meets, as for print, nothing counts: in doubt the text is kept.
     """
-    out: dict[str, dict[str, tuple]] = {}
+    out: dict[str, list[tuple[tuple, dict[str, tuple]]]] = {}
     place = 0
     for sheet, outer in sheets:
         sheet = _NOTE.sub("", sheet)
@@ -202,13 +244,21 @@ def visibility_rules(sheets: list[tuple[str, int]]) -> dict[str, dict[str, tuple
                     if selectors and counts and selectors != "nested":
                         said = declared(sheet[at : m.start()])
                         for x in map(str.strip, selectors.split(",")) if said else ():
-                            if _SIMPLE.fullmatch(x):
+                            parts = x.replace(">", " > ").split()
+                            names = [q for q in parts if q != ">"]
+                            if names and ">" not in (parts[0], parts[-1]) and "> >" not in " ".join(parts) and all(map(_SIMPLE.fullmatch, names)):
                                 place += 1
-                                rule = out.setdefault(x, {})
-                                for name, (important, hides) in said.items():
-                                    rank = (important, x[0] == "#", "." in x, x[0] not in ".#", place)
-                                    if (counts == 2 or not hides) and rank > rule.get(name, ((False,),))[0]:
-                                        rule[name] = (rank, hides)
+                                chain, child = [], False
+                                for q in parts[-2::-1] if len(parts) > 1 else ():
+                                    if q == ">":
+                                        child = True
+                                    else:
+                                        chain.append((child, q))
+                                        child = False
+                                weight = (sum(q[0] == "#" for q in names), sum("." in q for q in names), sum(q[0] not in ".#*" for q in names))
+                                rule = {name: ((important, *weight, place), hides) for name, (important, hides) in said.items() if counts == 2 or not hides}
+                                if rule:
+                                    out.setdefault(names[-1], []).append((tuple(chain), rule))
                 at = m.end()
             elif mark == ";" and not open_[-1][1]:
                 at = m.end()
@@ -222,7 +272,7 @@ def hidden(node: Node) -> bool:
     if not a:
         return False
     said = declared(a["style"]) if "style" in a else {}
-    return any(hides for _, hides in said.values()) or "hidden" in a and "display" not in said or node.tag == "input" and a.get("type", "").lower() == "hidden"
+    return said.get("display", (False, False))[1] or "hidden" in a and "display" not in said or node.tag == "input" and a.get("type", "").lower() == "hidden"
 
 
 def columns_of(text: str) -> int:
@@ -415,8 +465,10 @@ def _table(table: Node, depth: int) -> list[str]:
         at = 0
         for lines, span in cells:
             if span == 1:
-                widths[at] = max(widths.get(at, 0), *(min(WIDEST, columns_of(x)) for x in lines))
+                widths[at] = max(widths.get(at, 0), *map(columns_of, lines))
             at += span
+    if sum(widths.values()) * len(rows) > MOST_PADDING:
+        widths = {at: min(WIDEST, n) for at, n in widths.items()}
     for cells in rows:
         for k in range(max(len(lines) for lines, _ in cells)):
             out, at = [], 0

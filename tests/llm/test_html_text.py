@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -65,3 +66,82 @@ def test_frames(spark):
     df = spark.createDataFrame([(1, "u", "<p>a", "clash"), (2, None, None, None), (3, "u", "", ""), (1, "u", "<p>a", "clash"), (None, "u", "x", "")], "page_id long, url string, html string, text string")
     assert sorted(map(tuple, extract(df).collect()), key=repr) == sorted([(1, "a"), (2, ""), (3, ""), (1, "a"), (None, "x")], key=repr)
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ('<p style="visibility:hidden">a<b style="visibility:visible">y</b></p>', "y"), ('<div style="visibility:hidden"><p>a</p><p>b</p></div>c', "c"), ('<div style="visibility:hidden">a<i style="visibility:inherit">b</i></div>c', "c"),
+    ("<style>.a .b{display:none}</style><div class=a><p><i class=b>x</i>y</p></div><i class=b>z</i>", "y\n\nz"), ("<style>.a > .b{display:none}</style><div class=a><i class=b>x</i><u><i class=b>y</i></u></div>", "y"),
+    ("<style>ul li.x em{display:none} em{display:inline}</style><ul><li class=x>a<em>b</em><li>c<em>d</em></ul>", "- a\n- cd"), ("<style>.v{visibility:hidden}.v .w{visibility:visible}</style><div class=v>a<span class=w>b</span></div>", "b"),
+    ("<style>* .q{display:none}</style><div><b class=q>x</b>y</div>", "y"), ("<style>a:hover .q{display:none} > .q{display:none}</style><b class=q>x</b>", "x"),
+])
+def test_visibility_is_inherited_and_selectors_have_parts(html, text):
+    assert visible_text(html) == text
+
+
+def test_wide_cells_stay_aligned():
+    lines = visible_text(f"<table><tr><td>{'w' * 101}<td>x<tr><td>a<td>y</table>").split("\n")
+    assert [x.index("|") for x in lines] == [102, 102]
+    deep = "<table><tr><td>" * 60 + "in" + "</table>" * 60
+    assert visible_text(deep) == "in"
+
+
+def brute_rows(cells):
+    """A table of plain one-line cells as it must look."""
+    wide = [max(len(r[k]) for r in cells if k < len(r)) for k in range(max(map(len, cells)))]
+    return "\n".join(" | ".join(c.ljust(wide[k]) for k, c in enumerate(r)).rstrip() for r in cells)
+
+
+def brute_text(node):
+    """Blocks, plain runs of words and tables of a tree of (tag, children), the slow and simple way."""
+    out, run = [], []
+
+    def end():
+        if run:
+            out.append(" ".join(" ".join(run).split()))
+            run.clear()
+
+    def walk(n):
+        if isinstance(n, str):
+            run.append(n)
+        elif n[0] == "table":
+            end()
+            out.append(brute_rows(n[1]))
+        elif n[0] == "hide":
+            return
+        else:
+            if n[0] == "p":
+                end()
+            for c in n[1]:
+                walk(c)
+            if n[0] == "p":
+                end()
+
+    walk(node)
+    end()
+    return "\n\n".join(x for x in out if x)
+
+
+def written(n):
+    if isinstance(n, str):
+        return n
+    if n[0] == "table":
+        return "<table>" + "".join("<tr>" + "".join(f"<td>{c}" for c in r) for r in n[1]) + "</table>"
+    inner = "".join(map(written, n[1]))
+    return {"p": f"<p>{inner}</p>", "b": f"<b>{inner}</b>", "hide": f"<span hidden>{inner}</span>", "div": f"<div>{inner}</div>"}[n[0]]
+
+
+def test_random_pages_equal_brute_force():
+    rng = random.Random(4)
+    words = ["one", "two ", " three", "\n", "x&amp;y".replace("&amp;", "and"), " "]
+
+    def inline(depth):
+        return [rng.choice(words) if depth > 2 or rng.random() < 0.7 else (rng.choice(("b", "hide")), inline(depth + 1)) for _ in range(rng.randrange(1, 5))]
+
+    def table():
+        return ("table", [[rng.choice(("a", "bb", "long cell", "c1")) for _ in range(3)] for _ in range(rng.randrange(1, 4))])
+
+    for _ in range(400):
+        page = ("div", [table() if rng.random() < 0.25 else ("p", inline(0)) for _ in range(rng.randrange(1, 6))])
+        glued = brute_text(page)
+        got = visible_text(written(page))
+        assert "".join(got.split()) == "".join(glued.split()) and got.count("\n\n") == glued.count("\n\n") and [x for x in got.split("\n") if " | " in x] == [x for x in glued.split("\n") if " | " in x]
