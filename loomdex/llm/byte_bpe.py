@@ -3,7 +3,8 @@
 A file of byte ranks becomes a BPE model over the usual byte-to-character mapping: printable bytes stand for themselves, the others for
 characters from U+0100 on. Every pair of vocabulary entries that joins into an entry is a merge, ordered by that entry's rank, and a whole
 piece that is an entry is taken at once, so ids equal those of a rank-based encoder. A text is split by the pattern; each match is encoded
-separately, and a worker remembers the ids of pieces it has met (bounded by ``CACHE_PIECES``; then it starts anew).
+separately, and a worker remembers the ids of pieces it has met until they take ``CACHE_BYTES`` (then it starts anew, so it holds no more than that and one
+slice's own pieces).
 
 Decoding reverses the byte table. A token may hold a part of a character: ``decode_bytes`` joins bytes before it reads characters, and
 ``spans`` gives each token's character span, in which a split character belongs to every token that has a byte of it.
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 
 from loomdex.llm.common import blobs, map_batches, slices
 
-CACHE_PIECES = 1 << 18
+CACHE_BYTES, PIECE_BYTES = 48 << 20, 240  # a piece's objects take so much beside its characters and ids
 assert array("I").itemsize == 4 and sys.byteorder == "little", "ids are packed as the machine packs them"
 
 
@@ -53,6 +54,7 @@ class ByteBpe:
         self.model = Tokenizer(models.BPE(vocab={written[t]: i for t, i in ranks.items()}, merges=merges, ignore_merges=True))
         self.table = {ord(c): chars[b] for b, c in enumerate(map(chr, range(256)))}
         self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit integers
+        self.held = 0
         self.newer: set[str] = set()  # pieces with characters younger than Python's Unicode tables
         self.ranks, self.pattern = ranks, pattern
 
@@ -70,16 +72,17 @@ class ByteBpe:
             written = [p.encode("utf-8").decode("latin-1").translate(self.table) for p in part]
             for p, e in zip(part, self.model.encode_batch_fast(written, add_special_tokens=False), strict=True):
                 self.known[p] = array("I", e.ids).tobytes()
+                self.held += PIECE_BYTES + len(p) + 4 * len(e.ids)
 
     def encode_packed(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         split = [self.find(t) for t in texts]
         distinct = set().union(*split) if split else set()
         missing = [p for p in distinct if p not in self.known]
-        if len(self.known) + len(missing) > CACHE_PIECES:
+        if self.held > CACHE_BYTES:
             self.known.clear()
             self.newer.clear()
-            missing = list(distinct)
+            self.held, missing = 0, list(distinct)
         if missing:
             self._learn(missing)
         ids = self.known.__getitem__

@@ -33,7 +33,7 @@ def test_split_characters(bpe):
 
 
 def test_cache_that_begins_anew(bpe, monkeypatch):
-    monkeypatch.setattr(byte_bpe, "CACHE_PIECES", 3)
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 300)
     texts = ["alpha beta gamma delta", "beta epsilon zeta", "alpha zeta"]
     for _ in range(3):
         assert [bpe.decode(x) for x in bpe.encode_batch(texts)] == texts
