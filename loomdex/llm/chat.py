@@ -11,7 +11,7 @@ exact. ``loss_spans`` are the code-point ranges of assistant texts in the format
 the spans apart again.
 
 Defined cases: null role or text is empty; deltas before any start belong to a message without role, at its first event; equal sequence
-numbers are ordered by kind and text; a null conversation id is a conversation; a conversation without messages has no row; other columns are
+numbers are ordered by kind and text; a null conversation id is a conversation (one conversation is one row of the result, so its log meets in one task); a conversation without messages has no row; other columns are
 ignored.
 """
 
@@ -46,6 +46,25 @@ def as_events(conversations: DataFrame) -> DataFrame:
     return rows.select("conv_id", "message", F.inline(events))
 
 
+def as_stream(conversations: DataFrame) -> DataFrame:
+    """The log that such rows might have come from: each message is begun and a draft streamed, which is then edited or generated anew, in two deltas or one.
+
+    Its fold gives the rows back. Order: turn, role, text.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    rows = conversations.select("conv_id", "turn", *filled).select("conv_id", "role", "text", F.row_number().over(order).cast("long").alias("message"))
+    half, edited = (F.length("text") / 2).cast("int"), F.col("message") % 2 == 0
+    first, rest = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+    draft = F.concat(F.lit("a draft of "), "role")
+    log = [
+        (F.lit("start"), F.col("role"), F.lit("")), (F.lit("delta"), F.lit(None), draft), (F.when(edited, "edit").otherwise("regenerate"), F.lit(None), F.when(edited, first).otherwise("")),
+        (F.lit("delta"), F.lit(None), F.when(edited, rest).otherwise(first)), (F.lit("delta"), F.lit(None), F.when(edited, "").otherwise(rest)),
+    ]
+    event = lambda k, kind, role, said: F.struct((F.col("message") * 8 + k).alias("seq"), kind.alias("kind"), role.cast("string").alias("role"), said.cast("string").alias("text"))
+    return rows.select("conv_id", "message", F.inline(F.array(*[event(k, *e) for k, e in enumerate(log)])))
+
+
 def fold(events: DataFrame) -> DataFrame:
     """conv_id, message, at (sequence of its start), role, text: the final messages of a log of (conv_id, message, seq, kind, role, text)."""
     own = events.groupBy("conv_id", "message").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("log"))

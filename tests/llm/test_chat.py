@@ -53,3 +53,14 @@ def test_fold_of_deltas_edits_and_regenerations(spark):
 def test_no_python_in_the_plan(spark):
     plan = chat.digests(chat.read_back(formatted(spark, [(1, 0, "user", "x")])))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_stream_of_drafts_edits_and_regenerations_folds_back(spark):
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", "naïve \U0001f600 text"), (1, 2, None, None), (2, 0, "assistant", ""), (None, None, "user", "odd"), (3, 1, "user", "x"), (3, 1, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    stream = chat.as_stream(df)
+    kinds = {r.kind: r["count"] for r in stream.groupBy("kind").count().collect()}
+    assert kinds["start"] == len(rows) and kinds["edit"] + kinds["regenerate"] == len(rows) and kinds["edit"] and kinds["regenerate"]
+    got = sorted(((r.conv_id, r.message, r.role, r.text) for r in chat.fold(stream).collect()), key=repr)
+    want = sorted(((r.conv_id, r.message, r.role, r.text) for r in chat.fold(chat.as_events(df)).collect()), key=repr)
+    assert got == want and sorted((r[2], r[3]) for r in got) == sorted((r or "", t or "") for *_, r, t in rows)
