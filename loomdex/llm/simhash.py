@@ -186,7 +186,7 @@ def _tree(rows, first: int, last: int) -> tuple[list, list]:
 
 
 def _forest(key: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places that span the links among rows of equal key; rows are sorted by it."""
+    """First places and other places of the components among rows of equal key; rows are sorted by it."""
     starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     lengths = np.diff(np.r_[starts, len(key)])
     left, right = [], []
@@ -203,13 +203,24 @@ def _forest(key: np.ndarray, rows) -> tuple[np.ndarray, np.ndarray]:
         a, b = _tree(rows, first, first + n)
         left += a
         right += b
-    if not left:
-        return starts[:0], starts[:0]
-    return np.concatenate(left), np.concatenate(right)
+    label = np.arange(len(key))
+    if left:
+        a, b = np.concatenate(left), np.concatenate(right)
+        while True:  # least places with pointer jumping until nothing changes
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, label[a], low)
+            np.minimum.at(new, label[b], low)
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+    member = np.flatnonzero(label != np.arange(len(key)))
+    return label[member], member
 
 
 def _links(kind):
-    """Edges of the posting lists in a partition that is sorted by key; a list may go on in the next batch."""
+    """Edges of the posting lists in a partition that is sorted by key and fp; a list may go on in the next batch."""
 
     def run(batches):
         held: list[list[np.ndarray]] = []
@@ -245,12 +256,24 @@ def _met(index: DataFrame) -> DataFrame:
     return met.select(F.xxhash64("key", F.least("tile", "other"), F.greatest("tile", "other")).alias("part"), "fp")
 
 
+def _edges(met: DataFrame, kind) -> DataFrame:
+    """Edges a, b that span the components of all lists: of each list's component, its least row with each other.
+
+    A row has one least row in each list it is in, so these are collected (no more than there are keys, and tiles of a long list), and the least of them
+    stands for the row while the others are tied to it: lists of one group so leave about one edge a row.
+    """
+    found = map_batches(met.repartition("part").sortWithinPartitions("part", "fp"), _links(kind), "a long, b long")
+    least = found.groupBy("b").agg(F.array_sort(F.collect_set("a")).alias("least"))
+    own = least.select(F.col("least")[0].alias("a"), "b")
+    return own.unionByName(least.select(F.col("least")[0].alias("a"), F.explode(F.slice("least", 2, F.greatest(F.size("least") - 1, F.lit(1)))).alias("b")).distinct())
+
+
 def linked(distinct: DataFrame) -> DataFrame:
     """Edges a, b between distinct fingerprints (fp) that span every link of at most ``MAX_BITS`` bits."""
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(255))
     keys = [(F.lit(k) * (1 << 24) + byte(i) * (1 << 16) + byte(j) * (1 << 8) + byte(l)).cast("int") for k, (i, j, l) in enumerate(TRIPLES)]
     met = _met(distinct.select(F.explode(F.array(*keys)).alias("key"), "fp"))
-    return map_batches(met.repartition("part").sortWithinPartitions("part"), _links(Bits), "a long, b long")
+    return _edges(met, Bits)
 
 
 def alike(distinct: DataFrame, least: float = 0.8) -> DataFrame:
@@ -266,8 +289,7 @@ def alike(distinct: DataFrame, least: float = 0.8) -> DataFrame:
 
     index = map_batches(distinct.select("fp", "sketch"), keys, "fp long, keys array<int>").select(F.explode("keys").alias("key"), "fp")
     met = _met(index).join(distinct.select("fp", "n", "sketch"), "fp").select("part", "fp", "n", "sketch")
-    kind = lambda columns: Sketches(columns, least)
-    return map_batches(met.repartition("part").sortWithinPartitions("part"), _links(kind), "a long, b long")
+    return _edges(met, lambda columns: Sketches(columns, least))
 
 
 def components(edges: DataFrame) -> DataFrame:
