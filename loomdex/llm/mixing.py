@@ -7,7 +7,7 @@ so every shard has an integer quota. In a shard, rows are laid out in a seeded o
 its words with the taken blocks.
 
 A shard holds about ``shard_tokens`` words and a group at most ``GROUP_SHARDS`` shards, so the number of shards follows the data. The driver sees
-one row a group (about 10**10 words); quotas of shards are dealt by a task per group.
+one row a group (about 4 * 10**9 words); quotas of shards are dealt by a task per group.
 
 ``apply_mix`` gives whole rows: a shard's taken blocks are a base count and one run around the ring, so two places in its order say which rows
 come once more. Only this table of places, one row a shard, meets the documents; texts are not shuffled while it has ``BROADCAST_SHARDS`` rows
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from loomdex.llm.common import checkpoint, ship
 
 WORD = r"[^\x20\x09-\x0D]+"
-GROUP_SHARDS, BROADCAST_SHARDS = 4096, 1 << 20
+GROUP_SHARDS, BROADCAST_SHARDS = 4096, 1 << 22
 PLACE = ["source_no", "part", "shard"]
 
 
@@ -154,7 +154,7 @@ def lay(docs: DataFrame, weights: tuple[int, ...], share: Fraction, limit: int,
     return Laid(plan, laid.withColumn("extra", extra.cast("long")).withColumn("begins", F.col("first") * block_tokens))
 
 
-DEFAULTS = {"weights": (3, 1, 2), "share": Fraction(3, 2), "limit": 2, "block_tokens": 8, "shard_tokens": 1 << 22, "seed": 17}
+DEFAULTS = {"weights": (3, 1, 2), "share": Fraction(3, 2), "limit": 2, "block_tokens": 8, "shard_tokens": 1 << 20, "seed": 17}
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
