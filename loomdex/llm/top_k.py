@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loomdex.llm.common import ship
 
 BLOCK_BYTES, LEAST_ROWS, SPREAD = 1 << 25, 2048, 32
-DIMENSIONS, CHUNK_ROWS, PROBE_AFTER, PROBED = 4, 8192, 0.6, 4
+DIMENSIONS, CHUNK_ROWS, PROBE_AFTER, PROBED, FEW = 8, 8192, 0.6, 4, 16
 _SCHEMA = "query_id long, vec_id long, score long"
 
 
@@ -75,10 +75,13 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np
             alive = at + np.flatnonzero(ids[at : at + CHUNK_ROWS] != own)
             partial, rest, probed = np.zeros(len(alive)), norms[alive], False
             for c in range(0, width, DIMENSIONS):
-                d = order[c : c + DIMENSIONS]
+                few = len(alive) <= FEW * k  # not worth more bounds
+                d = order[c:] if few else order[c : c + DIMENSIONS]
                 block = vertical[np.ix_(d, alive)]
                 partial += q[d] @ block
                 made += block.size
+                if few:
+                    break
                 rest -= np.einsum("ij,ij->j", block, block)
                 left = to_come[min(c + DIMENSIONS, width)]
                 if not probed and len(alive) > PROBED * k and left <= (1 - PROBE_AFTER) * to_come[0]:
