@@ -104,16 +104,18 @@ class Duel:
 
 
 class Rest:
-    """One machine for each class against all others, for many classes: families may be as many as languages."""
+    """One machine for each class against all others: families may be as many as languages. Of two classes, this is one machine and its mirror."""
 
     def __init__(self, x: np.ndarray, names: np.ndarray):
         self.classes = sorted(set(names.tolist()))
-        own = [machine(x, np.where(names == c, 1.0, -1.0)) for c in self.classes]
+        own = [machine(x, np.where(names == c, 1.0, -1.0)) for c in self.classes] if len(self.classes) > 1 else [(np.zeros(x.shape[1], np.float32), 0.0)]
         self.weights, self.bias = np.stack([w for w, _ in own], axis=1), np.array([b for _, b in own])
 
     def decide(self, v: np.ndarray) -> tuple[str, float]:
         margins = v @ self.weights + self.bias
         best = int(margins.argmax())
+        if len(self.classes) == 1:
+            return self.classes[0], 1.0
         second = float(np.partition(margins, -2)[-2])
         return self.classes[best], 1 / (1 + float(np.exp(-2 * (float(margins[best]) - second))))
 
@@ -124,7 +126,7 @@ class Identifier:
     def __init__(self, x: np.ndarray, langs: list[str]):
         names = np.array(langs, object)
         families = np.array([family(s) for s in langs], object)
-        self.top = (Duel if len(set(families.tolist())) <= 2 else Rest)(x, families) if langs else None
+        self.top = Rest(x, families) if langs else None
         self.within = {f: Duel(x[families == f], names[families == f]) for f in sorted(set(families.tolist()))}
 
     def predict(self, text: bytes) -> tuple[str, float]:
@@ -140,13 +142,13 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(crc_of_id(doc_id), F.lit(5)) == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, sample: int = 1_600) -> Identifier:
-    """An identifier from the rows that are not held out."""
+def learn(docs: DataFrame, sample: int = 1_600, least: int = 20) -> Identifier:
+    """An identifier from the rows that are not held out: about ``sample`` texts in equal shares of the languages, but ``least`` of each where it has so many."""
     own = docs.where("lang is not null").where(~held_out())
     have = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not have:
         return Identifier(np.zeros((0, BUCKETS), np.float32), [])
-    share = F.create_map(*[x for lang, n in sorted(have.items()) for x in (F.lit(lang), F.lit(sample / len(have) / n))])
+    share = F.create_map(*[x for lang, n in sorted(have.items()) for x in (F.lit(lang), F.lit(max(sample / len(have), least) / n))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def run(batches):

@@ -66,3 +66,31 @@ def test_long_texts_count_every_gram_once(monkeypatch):
     monkeypatch.setattr(language, "CHUNK", 97)
     assert np.allclose(language.vector(text), whole, atol=1e-6)
     assert not language.vector(b"").any() and abs(np.linalg.norm(language.vector(b"ab")) - 1) < 1e-6
+
+
+def test_machines_equal_a_plain_solver():
+    """The dual solution is the minimum of the primal, which plain gradient steps reach too."""
+    rng = np.random.default_rng(3)
+    for n, d in ((30, 6), (60, 12)):
+        x = rng.standard_normal((n, d)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        y = np.where(x[:, 0] + 0.4 * rng.standard_normal(n) > 0, 1.0, -1.0)
+        w, bias = language.machine(x, y, c=1.0)
+        loss = lambda v, z: 0.5 * (v @ v + z * z) + (np.maximum(0, 1 - y * (x @ v + z)) ** 2).sum()
+        v, z = np.zeros(d), 0.0
+        for _ in range(20000):
+            slack = np.maximum(0, 1 - y * (x @ v + z))
+            v, z = v - 0.005 * (v - 2 * x.T @ (y * slack)), z - 0.005 * (z - 2 * (y * slack).sum())
+        assert abs(loss(w.astype(float), bias) - loss(v, z)) < 1e-3 and np.abs(w - v).max() < 1e-2 and abs(bias - z) < 1e-2
+
+
+def test_many_languages_each_get_a_share(spark, docs_of):
+    rng = random.Random(2)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(8)] for k in range(30)}
+    rows = [(i, " ".join(rng.choices(words[f"l{i % 30}"], k=20)), f"l{i % 30}", "s") for i in range(1500)]
+    docs = docs_of(rows)
+    model = language.learn(docs, sample=10)
+    got = language.identify(docs, model).where("held_out").collect()
+    assert len({r.lang_pred for r in got}) == 30 and np.mean([r.lang_pred == f"l{r.doc_id % 30}" for r in got]) > 0.95
+    one = language.learn(docs_of([(i, "the same words", "en", "s") for i in range(20)]))
+    assert one.predict(b"the words") == ("en", 1.0)
