@@ -4,7 +4,6 @@ mixed to their weights, and the result is tokenised. Each stage is written as Pa
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from loomdex.llm import byte_bpe, mixing, simhash, surrogates, toxicity
 from loomdex.llm.catalogue import VOCABULARY
 from loomdex.llm.common import table
+from loomdex.runtime import shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each near-duplicate component one row stays, that of the smallest id, decided by rows: copies that repeat an id or have none go too."""
+    """Of texts alike by five words and a similarity of 0.8 one row stays, that of the smallest id, decided by rows: copies that repeat an id or have none go too."""
     return simhash.keep_one(docs)
 
 
@@ -61,8 +61,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset, as in tests, a temporary one."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")).rstrip("/")
