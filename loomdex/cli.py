@@ -44,7 +44,7 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--source", action="store_true")
     c.add_argument("--set", nargs="*", default=[], metavar="NAME=VALUE")
     l = sub.add_parser("plan")
-    l.add_argument("action", choices=["new", "lint", "status", "impact", "show", "approve", "reapprove", "revise", "diff", "start", "complete", "fail", "stale", "reopen", "gate-run", "gate-record"])
+    l.add_argument("action", choices=["new", "lint", "status", "impact", "show", "approve", "reapprove", "revise", "diff", "start", "complete", "fail", "stale", "reopen", "gate-run", "gate-record", "gate-review"])
     l.add_argument("path")
     l.add_argument("rest", nargs="*")
     l.add_argument("--files", nargs="*", default=[])
@@ -87,6 +87,8 @@ def plan(a, index) -> int:
         print(flow.run_gate(a.rest[0], a.rest[1], index.root))
     elif a.action == "gate-record":
         flow.gate(a.rest[0], a.rest[1], a.rest[2])
+    elif a.action == "gate-review":
+        flow.review_gate(a.rest[0], a.rest[1], a.rest[2], *a.rest[3:6])
     else:
         print(flow.batch(a.rest[0], a.action, a.revision))
     return 0

@@ -40,6 +40,12 @@ def low_resolution(rate: DataFrame, least: float = 0.30) -> DataFrame:
     return rate.where((F.col("total") > 0) & (F.col("rate") < least)).select(F.lit("call resolution is low").alias("problem"), F.col("rate").cast("string").alias("key"))
 
 
+def undocumented(changes: DataFrame, documents: DataFrame) -> DataFrame:
+    """A problem row if there are changes and no history document (``documents`` has a name each)."""
+    none = documents.limit(1).groupBy().agg(F.count("*").alias("n"))
+    return changes.limit(1).select(F.lit("changes without a history document").alias("problem"), F.lit("history").alias("key")).join(F.broadcast(none.where("n = 0")), how="left_semi")
+
+
 def doctor(t: dict[str, DataFrame], disk: DataFrame, rate: DataFrame, total: int) -> DataFrame:
     """problem, key of the whole index; ``t`` are its tables by name, ``disk`` the paths there are now."""
     key = lambda df, c: df.select(F.col(c).cast("string").alias("key")).distinct()

@@ -1,13 +1,15 @@
 """The plan state machine, on the driver: one document at a time, with numbered snapshots and an append-only event log beside it.
 
 A folder ``<plans>/.state/<plan id>/`` holds ``NNNN.md`` (a snapshot of each revision, never overwritten), ``events.jsonl`` and
-``projection.json``. ``events`` and ``batch_states`` read those logs as DataFrames: the state of every batch is a fold over its events.
+``projection.json``. A change is settled by its snapshot, which appears whole; what follows it (plan, event, projection) is noted beforehand and
+done by whoever opens the plan next, should the writer be cut off. ``events`` and ``batch_states`` read those logs as DataFrames: the state of every batch is a fold over its events.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
 import subprocess
 from datetime import datetime, timezone
@@ -64,6 +66,7 @@ class Workflow:
 
     def __init__(self, path: str | Path):
         self.path = Path(path)
+        self._settle()
 
     @property
     def plan(self) -> Plan:
@@ -101,15 +104,41 @@ class Workflow:
         """Write the next revision, its snapshot, event and projection."""
         data = plan.frontmatter
         data["revision"], data["updated_at"] = int(data.get("revision", 0)) + 1, now()
-        text = document(data, plan.body if body is None else body)
+        text = document(data, plan.body if body is None else body).encode()
         self.state.mkdir(parents=True, exist_ok=True)
-        with (self.state / f"{data['revision']:04d}.md").open("x", encoding="utf-8") as f:
-            f.write(text)
-        self.path.write_text(text, encoding="utf-8")
-        self._record(kind, revision=data["revision"], **event)
-        self.project()
+        snapshot, draft = self.state / f"{data['revision']:04d}.md", self.state / f"{data['revision']:04d}.draft"
+        note = {"snapshot": snapshot.name, "digest": hashlib.sha256(text).hexdigest(), "kind": kind, "revision": data["revision"], "event": event}
+        _replace(self._note, canonical_json(note).encode())
+        draft.write_bytes(text)
+        try:
+            os.link(draft, snapshot)  # whole, and never over another revision
+        except FileExistsError:
+            self._note.unlink()
+            raise
+        finally:
+            draft.unlink()
+        self._settle()
         return data["revision"]
 
+    @property
+    def _note(self) -> Path:
+        return self.path.parent / ".state" / f"{self.path.name}.unsettled"
+
+    def _settle(self) -> None:
+        """Do what follows a change's snapshot, as far as it isn't done; a change that never got its snapshot is forgotten."""
+        if not self._note.exists():
+            return
+        note = json.loads(self._note.read_text("utf-8"))
+        snapshot = self.state / note["snapshot"]
+        text = snapshot.read_bytes() if snapshot.exists() else b""
+        if hashlib.sha256(text).hexdigest() == note["digest"]:
+            if int(self.plan.frontmatter.get("revision", 0)) < note["revision"]:
+                _replace(self.path, text)
+            if not any(e["kind"] == note["kind"] and e.get("revision") == note["revision"] for e in self.log()):
+                self._record(note["kind"], revision=note["revision"], **note["event"])
+            self.project()
+        self._note.unlink()
+
     def projection(self) -> dict[str, Any]:
         """What readers of the plan need."""
         p = self.plan
@@ -198,6 +227,15 @@ class Workflow:
             raise PlanError("GATE_OUTCOME_INVALID", f"No outcome: {outcome}", "gates")
         self._record("gate", batch=batch, gate=gate, outcome=outcome, input_fingerprint=fingerprint, detail=capped(detail, GATE_OUTPUT), revision=self.plan.frontmatter.get("revision"))
 
+    def review_gate(self, batch: str, gate: str, artifact: str, by: str, outcome: str = "passed", reason: str = "") -> None:
+        """Record a person's review for a review gate: who, of what, and why it did not pass."""
+        found = next((g for g in (self.plan.frontmatter.get("engineering") or {}).get("gates") or [] if g.get("id") == gate), None)
+        if not found or found.get("kind") != "review":
+            raise PlanError("GATE_REVIEW_INVALID", f"Gate {gate} is no review gate.", "gates", self.path.as_posix())
+        if not by.strip() or not artifact.strip() or outcome != "passed" and not reason.strip():
+            raise PlanError("GATE_REVIEW_INVALID", "A review names its reviewer and artifact, and its reason unless it passed.", "gates", self.path.as_posix())
+        self.gate(batch, gate, outcome, detail=canonical_json({"artifact": artifact, "by": by, "reason": reason}))
+
     def run_gate(self, batch: str, gate: str, cwd: str | Path, seconds: int = GATE_SECONDS, fingerprint: str = "") -> str:
         """Run a command gate (an argument list, no shell) and record how it ended."""
         found = next((g for g in (self.plan.frontmatter.get("engineering") or {}).get("gates") or [] if g.get("id") == gate), None)
@@ -215,6 +253,14 @@ class Workflow:
         return outcome
 
 
+def _replace(path: Path, data: bytes) -> None:
+    """The file has the old content or the new, never a part."""
+    path.parent.mkdir(parents=True, exist_ok=True)
+    part = path.with_name(path.name + ".part")
+    part.write_bytes(data)
+    os.replace(part, path)
+
+
 def difference(old: Plan, new: Plan) -> str:
     """``semantic`` (its meaning changed), ``state`` (only statuses or bookkeeping did), ``formatting`` or ``none``."""
     strip = lambda rows: [{k: v for k, v in r.items() if k != "status"} for r in rows]

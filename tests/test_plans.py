@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from loomdex.operators.graph import cycle_nodes
@@ -195,3 +197,57 @@ def test_stale_marks_reports_and_contracts(spark, tmp_path):
         (tmp_path / "loomdex.config.json").write_text(bad)
         with pytest.raises(PlanError):
             upkeep.config(tmp_path)
+
+
+def test_a_change_that_was_cut_off_is_settled(tmp_path, monkeypatch):
+    w = workflow.Workflow.create(tmp_path, "p1", "Title")
+    before = w.path.read_text()
+    for cut in ("_record", "project", "plan file"):
+        with monkeypatch.context() as m:
+            def stop(*a, **k):
+                raise KeyboardInterrupt
+
+            if cut == "plan file":
+                real = workflow._replace
+                m.setattr(workflow, "_replace", lambda path, data: stop() if path.suffix == ".md" else real(path, data))
+            else:
+                m.setattr(workflow.Workflow, cut, stop)
+            with pytest.raises(KeyboardInterrupt):
+                w.revise(w.path.read_text(), "me") if w.plan.status != "draft" else w.approve("me")
+        w = workflow.Workflow(w.path)
+        revision = w.plan.frontmatter["revision"]
+        assert (w.state / f"{revision:04d}.md").read_bytes() == w.path.read_bytes()
+        assert [e["revision"] for e in w.log()] == list(range(1, revision + 1)) and json.loads((w.state / "projection.json").read_text())["revision"] == revision
+    assert revision == 4 and before != w.path.read_text() and not list(tmp_path.glob(".state/*.unsettled"))
+    with monkeypatch.context() as m:  # cut before the snapshot: nothing happened
+        m.setattr(workflow.os, "link", stop)
+        with pytest.raises(KeyboardInterrupt):
+            w.revise(w.path.read_text(), "me")
+    assert workflow.Workflow(w.path).plan.frontmatter["revision"] == 4 and not list(tmp_path.glob(".state/*.unsettled"))
+    (w.state / "0005.md").write_text("another's")
+    with pytest.raises(FileExistsError):
+        w.revise(w.path.read_text(), "me")
+    assert workflow.Workflow(w.path).plan.frontmatter["revision"] == 4 and (w.state / "0005.md").read_text() == "another's"
+
+
+def test_gate_reviews(tmp_path):
+    w = workflow.Workflow.create(tmp_path, "p1", "Title")
+    head, body = records.frontmatter(w.path.read_text())
+    head["engineering"]["gates"].append({"id": "design", "kind": "review", "blocking": True})
+    w.path.write_text(workflow.document(head, body))
+    for wrong in (("unit-tests", "notes.md", "me"), ("design", "", "me"), ("design", "notes.md", " "), ("design", "notes.md", "me", "failed"), ("none", "notes.md", "me")):
+        with pytest.raises(PlanError) as e:
+            w.review_gate("B1", *wrong)
+        assert e.value.code == "GATE_REVIEW_INVALID"
+    w.review_gate("B1", "design", "notes.md", "me", "failed", "too long")
+    assert "design" in w.missing_gates("B1") and json.loads(w.log()[-1]["detail"]) == {"artifact": "notes.md", "by": "me", "reason": "too long"}
+    w.review_gate("B1", "design", "notes.md", "me")
+    assert "design" not in w.missing_gates("B1")
+
+
+def test_history_documents(spark):
+    from loomdex.operators import quality
+
+    some, none = spark.createDataFrame([("a",)], "name string"), spark.createDataFrame([], "name string")
+    assert [r.key for r in quality.undocumented(some, none).collect()] == ["history"]
+    assert quality.undocumented(some, some).count() == quality.undocumented(none, none).count() == 0
