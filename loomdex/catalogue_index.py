@@ -280,13 +280,13 @@ def recent_documents(spark, d):  # O9
   UNION ALL SELECT DISTINCT 'reference from an unknown file', src_file FROM import_refs WHERE src_file NOT IN (SELECT path FROM files) UNION ALL SELECT DISTINCT 'reference to an unknown file', dst_file FROM import_refs WHERE dst_file NOT IN (SELECT path FROM files)
   UNION ALL SELECT DISTINCT 'calls of an unknown file', file FROM raw_calls WHERE file NOT IN (SELECT path FROM files)
   UNION ALL SELECT DISTINCT 'working set entry without page', page_id FROM ws WHERE page_id NOT IN (SELECT qualified_name FROM symbols) AND page_id NOT IN (SELECT path FROM files)
-  UNION ALL SELECT 'call resolution is low', '0.25' UNION ALL SELECT 'working set over budget', session_id || '/p/b' FROM ws GROUP BY session_id HAVING sum(tokens) > 12000""")
-def index_problems(spark, d):  # C1, C3, C5, C6, C7, C10
+  UNION ALL SELECT 'call resolution is low', '0.25' UNION ALL SELECT 'changes without a history document', 'history' WHERE EXISTS (FROM events) UNION ALL SELECT 'working set over budget', session_id || '/p/b' FROM ws GROUP BY session_id HAVING sum(tokens) > 12000""")
+def index_problems(spark, d):  # C1, C3, C4, C5, C6, C7, C10
     s = b.symbols(spark, d)
     paths = s.groupBy(F.col("file").alias("path")).agg(F.min("seq").alias("n"))
     ws = s.select(F.when(F.col("seq") % 3 == 0, F.concat(F.lit("gone."), "name")).otherwise(F.col("qualified_name")).alias("page_id"), F.concat(F.lit("s"), (F.col("seq") % 4).cast("string")).alias("session_id"), F.lit("p").alias("plan_id"), F.lit("b").alias("batch_id"), F.col("line").alias("tokens"))
-    t = {"files": paths.where("n % 7 <> 0"), "symbols": s, "refs": b.import_refs(spark, d), "raw_calls": b.raw_calls(spark, d), "working_set": ws}
-    return quality.doctor(t, paths.where("n % 11 <> 0"), spark.createDataFrame([(8, 0.25)], "total long, rate double"), 12000)
+    t = {"files": paths.where("n % 7 <> 0"), "symbols": s, "refs": b.import_refs(spark, d), "raw_calls": b.raw_calls(spark, d), "working_set": ws, "changes": table(spark, d, "events")}
+    return quality.doctor(t, paths.where("n % 11 <> 0"), spark.createDataFrame([(8, 0.25)], "total long, rate double"), 12000, paths.where("false"))
 
 
 # ---------------------------------------------------------------- plans

@@ -22,8 +22,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--warehouse")
     p.add_argument("--lang", default="en", choices=["en", "zh"])
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("scan", "update", "doctor", "version", "history-document", "serve"):
+    for name in ("scan", "update", "version", "history-document", "serve"):
         sub.add_parser(name)
+    sub.add_parser("doctor").add_argument("--history", metavar="FOLDER")
     for name in ("query", "history", "callers", "callees", "plan-context"):
         q = sub.add_parser(name)
         q.add_argument("text")
@@ -135,7 +136,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
         elif a.command == "plan-context":
             print(json.dumps(index.plan_context(a.text), ensure_ascii=False, default=str))
         elif a.command == "doctor":
-            found = index.doctor().collect()
+            found = index.doctor(a.history).collect()
             for r in found:
                 print(f"{r.problem}: {r.key}")
             return int(bool(found))

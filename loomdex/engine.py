@@ -289,14 +289,15 @@ class Index:
         marks = upkeep.mark_stale(folder, stale.collect()) if allowed else {"marked": [], "skipped": []}
         return marks | {"allow_update_plan_state": allowed, "reports": [r.as_posix() for r in reports]}
 
-    def doctor(self) -> DataFrame:
-        """Problems of the index; none if all is well."""
+    def doctor(self, history: str | Path | None = None) -> DataFrame:
+        """Problems of the index; none if all is well. ``history`` is the folder of history documents, where these are kept."""
         self.require()
         disk = self.spark.createDataFrame([(p,) for p in walk.source_files(self.root)], "path string")
         t = self.tables()
         raw = t["raw_calls"].count()
         rate = self.spark.createDataFrame([(raw, float(self.meta.get("rate", 1.0)))], "total long, rate double")
-        return quality.doctor(t, disk, rate, self.meta["budget"]["working_set"])
+        kept = None if history is None else self.spark.createDataFrame([(f.name,) for f in Path(history).glob("*.md")], "name string")
+        return quality.doctor(t, disk, rate, self.meta["budget"]["working_set"], kept)
 
     # ---------------------------------------------------------------- documents
 

@@ -46,8 +46,8 @@ def undocumented(changes: DataFrame, documents: DataFrame) -> DataFrame:
     return changes.limit(1).select(F.lit("changes without a history document").alias("problem"), F.lit("history").alias("key")).join(F.broadcast(none.where("n = 0")), how="left_semi")
 
 
-def doctor(t: dict[str, DataFrame], disk: DataFrame, rate: DataFrame, total: int) -> DataFrame:
-    """problem, key of the whole index; ``t`` are its tables by name, ``disk`` the paths there are now."""
+def doctor(t: dict[str, DataFrame], disk: DataFrame, rate: DataFrame, total: int, documents: DataFrame | None = None) -> DataFrame:
+    """problem, key of the whole index; ``t`` are its tables by name, ``disk`` the paths there are now, ``documents`` the history documents where these are kept."""
     key = lambda df, c: df.select(F.col(c).cast("string").alias("key")).distinct()
     on_disk, known = key(disk, "path"), key(t["files"], "path")
     names = key(t["symbols"], "qualified_name").union(known)
@@ -57,4 +57,5 @@ def doctor(t: dict[str, DataFrame], disk: DataFrame, rate: DataFrame, total: int
         orphans("symbols of a file that is gone", key(t["symbols"], "file"), on_disk), orphans("reference from an unknown file", key(t["refs"], "src_file"), known), orphans("reference to an unknown file", key(t["refs"], "dst_file"), known),
         orphans("calls of an unknown file", key(t["raw_calls"], "file"), known), orphans("working set entry without page", ws, names), low_resolution(rate),
         tokens.select(F.lit("working set over budget").alias("problem"), F.concat_ws("/", "session_id", "plan_id", "batch_id").alias("key")),
+        *([] if documents is None else [undocumented(t["changes"], documents)]),
     )
