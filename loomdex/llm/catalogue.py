@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import byte_bpe, chat, html_text, language, mixing, progressive_jpeg, simhash, surrogates, top_k, toxicity
+from loomdex.llm import byte_bpe, chat, html_text, language, line_quality, mixing, progressive_jpeg, simhash, surrogates, top_k, toxicity
 from loomdex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,9 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.detect(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return line_quality.score(docs, line_quality.learn(docs, table(spark, sf_dir, "labels")))
