@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm import byte_bpe, chat, html_text, language, line_quality, mixing, progressive_jpeg, simhash, surrogates, top_k, toxicity
+from loomdex.llm import alignment, byte_bpe, chat, html_text, language, line_quality, mixing, progressive_jpeg, simhash, surrogates, top_k, toxicity
 from loomdex.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+#: The two aligned vocabularies, and the first one's ranks.
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model", "byte_bpe_50k.tiktoken")
 
 
 def query(function):
@@ -104,3 +106,8 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return line_quality.score(docs, line_quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_corpus(table(spark, sf_dir, "documents"), *ALIGNED)
