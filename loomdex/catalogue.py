@@ -225,7 +225,7 @@ def upsert(spark, d):  # K1, K2, K4, K9
 
 # ---------------------------------------------------------------- resolution
 
-_RESOLVED = b.with_("raw_calls", "import_refs") + """, one AS (SELECT qualified_name, min(file) AS file FROM symbols GROUP BY 1), named AS (SELECT DISTINCT name, file, qualified_name, split_part(file, '/', 1) AS folder FROM symbols),
+RESOLVED = b.with_("raw_calls", "import_refs") + """, one AS (SELECT qualified_name, min(file) AS file FROM symbols GROUP BY 1), named AS (SELECT DISTINCT name, file, qualified_name, split_part(file, '/', 1) AS folder FROM symbols),
   everywhere AS (SELECT name, count(*) AS n, min(qualified_name) AS q FROM named GROUP BY 1), in_file AS (SELECT name, file, count(*) AS n, min(qualified_name) AS q FROM named GROUP BY 1, 2), in_folder AS (SELECT name, folder, count(*) AS n, min(qualified_name) AS q FROM named GROUP BY 1, 2),
   imap AS (SELECT src_file, symbol, replace(regexp_replace(max(dst_file), '\\.py$', ''), '/', '.') AS prefix FROM import_refs GROUP BY 1, 2),
   c AS (SELECT r.*, o.file AS src_file, split_part(o.file, '/', 1) AS src_folder, CASE WHEN callee_raw LIKE 'self.%' THEN 'self' WHEN callee_raw LIKE '%.%' THEN 'dotted' ELSE 'bare' END AS form, regexp_replace(callee_raw, '^[^.]*\\.', '') AS rest FROM raw_calls r JOIN one o ON o.qualified_name = r.src_qname),
@@ -241,12 +241,12 @@ def _resolved(spark, d):
     return resolve.resolve_calls(b.raw_calls(spark, d), b.symbols(spark, d), b.import_refs(spark, d))
 
 
-@query(_RESOLVED + " SELECT src_qname, dst_qname, count(*) AS count FROM resolved WHERE dst_qname IS NOT NULL GROUP BY 1, 2")
+@query(RESOLVED + " SELECT src_qname, dst_qname, count(*) AS count FROM resolved WHERE dst_qname IS NOT NULL GROUP BY 1, 2")
 def call_resolve(spark, d):  # J7, G3, G4, A4, L7
     return resolve.call_edges(_resolved(spark, d))
 
 
-@query(_RESOLVED + " SELECT count(*) AS total, count(dst_qname) AS resolved, round(count(dst_qname) / count(*), 4) AS rate FROM resolved")
+@query(RESOLVED + " SELECT count(*) AS total, count(dst_qname) AS resolved, round(count(dst_qname) / count(*), 4) AS rate FROM resolved")
 def resolution_rate(spark, d):  # A5
     return resolve.resolution_rate(_resolved(spark, d))
 

@@ -48,7 +48,7 @@ def test_entry_point_works_without_the_optional_subpackage():
     import sys
 
     root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
-    said = "import sys; sys.modules['loomdex.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; assert set(e.queries()) == set(__import__('loomdex.catalogue', fromlist=['x']).QUERIES)"
+    said = "import sys; sys.modules['loomdex.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; from jobs import catalogue as j; assert set(e.queries()) == set(__import__('loomdex.catalogue', fromlist=['x']).QUERIES) | set(j.QUERIES)"
     assert subprocess.run([sys.executable, "-c", said], cwd=root, check=False).returncode == 0
 
 
