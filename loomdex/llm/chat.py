@@ -93,15 +93,24 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, formatted, turns (role, text) and loss_texts, from the formatted string and its spans alone."""
+    """conv_id, formatted_chars, turns (role, text) and loss_texts, from the formatted string and its spans alone.
+
+    A loss text is what stands at its span's place; where the span doesn't lie within its turn's piece, it is what of the piece it covers.
+    """
     pieces = F.filter(F.split("formatted", END + "\n"), lambda x: x != "")
-    got = formatted.withColumn("pieces", pieces)
-    turn = lambda p: F.struct(
-        unescape(F.substring_index(F.substr(p, F.lit(5)), ": ", 1)).alias("role"), unescape(F.substr(p, F.instr(p, ": ") + 2)).alias("text"),
+    zipped = F.zip_with(pieces, "loss_spans", lambda p, s: F.struct(p.alias("piece"), s.alias("span")))
+    rows = formatted.select("conv_id", F.length("formatted").cast("long").alias("chars"), F.posexplode(zipped).alias("k", "x")).select("conv_id", "chars", "k", "x.*")
+    before = F.sum(F.length("piece") + len(END) + 1).over(Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    at = F.col("span.start") - F.coalesce(before, F.lit(0))
+    first, last = F.greatest(at, F.lit(0)), at + F.col("span.end") - F.col("span.start")
+    under = F.substr("piece", (first + 1).cast("int"), F.greatest(last - first, F.lit(0)).cast("int"))
+    turn = F.struct(
+        "k", unescape(F.substring_index(F.substr("piece", F.lit(5)), ": ", 1)).alias("role"), unescape(F.substr("piece", F.instr("piece", ": ") + 2)).alias("text"),
+        F.when(F.col("span").isNotNull(), unescape(under)).alias("loss"),
     )
-    ends = lambda p, s: F.substr(p, F.length(p) - (s.end - s.start) + 1)  # noqa: E731  a span ends where its turn's text does
-    loss = F.filter(F.zip_with("pieces", "loss_spans", lambda p, s: F.when(s.isNotNull(), unescape(ends(p, s)))), lambda x: x.isNotNull())
-    return got.select("conv_id", "formatted", F.transform("pieces", turn).alias("turns"), loss.alias("loss_texts"))
+    done = rows.select("conv_id", "chars", turn.alias("turn")).groupBy("conv_id").agg(F.max("chars").alias("formatted_chars"), F.array_sort(F.collect_list("turn")).alias("got"))
+    turns = F.transform("got", lambda t: F.struct(t.role.alias("role"), t.text.alias("text")))
+    return done.select("conv_id", "formatted_chars", turns.alias("turns"), F.filter(F.col("got.loss"), lambda x: x.isNotNull()).alias("loss_texts"))
 
 
 def digests(read: DataFrame) -> DataFrame:
@@ -110,5 +119,5 @@ def digests(read: DataFrame) -> DataFrame:
     loss = F.array_join("loss_texts", "")
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), sha(all_turns).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        sha(loss).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        sha(loss).alias("loss_sha256"), "formatted_chars",
     )

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import hashlib
 
 from loomdex.llm import chat
@@ -64,3 +66,13 @@ def test_a_stream_of_drafts_edits_and_regenerations_folds_back(spark):
     got = sorted(((r.conv_id, r.message, r.role, r.text) for r in chat.fold(stream).collect()), key=repr)
     want = sorted(((r.conv_id, r.message, r.role, r.text) for r in chat.fold(chat.as_events(df)).collect()), key=repr)
     assert got == want and sorted((r[2], r[3]) for r in got) == sorted((r or "", t or "") for *_, r, t in rows)
+
+
+def test_a_mask_at_another_place_is_seen(spark):
+    rows = [(1, k, role, f"text {k} of {role}") for k, role in enumerate(["user", "assistant", "user", "assistant"])]
+    right = formatted(spark, rows)
+    sha = lambda df: chat.digests(chat.read_back(df)).first().loss_sha256
+    moved = lambda by: right.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.when(s.isNotNull(), F.struct((s.start + by).alias("start"), (s.end + by).alias("end")))))
+    assert len({sha(right), sha(moved(1)), sha(moved(-1)), sha(moved(1000)), sha(moved(-1000))}) == 4 and sha(moved(1000)) == sha(moved(-1000))
+    longer = right.withColumn("loss_spans", F.transform("loss_spans", lambda s: F.when(s.isNotNull(), F.struct(s.start.alias("start"), (s.end - 1).alias("end")))))
+    assert sha(longer) != sha(right)
