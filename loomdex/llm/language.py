@@ -5,8 +5,8 @@ A text's features are the 2-, 3- and 4-grams of its lower-cased UTF-8 bytes, any
 the dual. Between the languages of a family every pair has a machine; the language with the largest sum of clipped margins wins, ties to the name
 that sorts first. Two families are a pair too; of more, each has a machine against the rest.
 
-Learning uses a bounded sample (``sample`` texts over all languages, equal parts, ids by hash, of rows that repeat an id and a language the first
-text); every text is predicted whole.
+Learning uses a bounded sample (``sample`` texts over all languages, equal parts, ``most`` at most, ids by hash, of rows that repeat an id and a language the
+first text); every text is predicted whole.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0; a null doc_id is held out; rows whose lang is null are not learned
 from; a single learned language is given to every other text with score 1; without any, all is ``und``; empty tables, repeated rows and other
@@ -20,13 +20,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.llm.common import blobs, crc_of_id, map_batches, slices
 
 BUCKETS = 1 << 13
 CHUNK = 1 << 20
+MANY, C = 64, 10.0
 #: Languages by family, ISO 639 codes; a language that is not here is a family of its own.
 FAMILIES = {
     "germanic": "en de nl sv da no nb nn is fo fy af lb yi",
@@ -63,7 +64,7 @@ def vector(text: bytes) -> np.ndarray:
     return np.sqrt(counts / total if total else counts).astype(np.float32)
 
 
-def machine(x: np.ndarray, y: np.ndarray, c: float = 10.0, steps: int = 25) -> tuple[np.ndarray, float]:
+def machine(x: np.ndarray, y: np.ndarray, c: float = C, steps: int = 25) -> tuple[np.ndarray, float]:
     """Weights and bias of a linear support vector machine (squared hinge) for labels of 1 and -1."""
     gram = (x @ x.T).astype(np.float64) + 1
     inside, a = np.ones(len(y), bool), np.zeros(len(y))
@@ -104,10 +105,18 @@ class Duel:
 
 
 class Rest:
-    """One machine for each class against all others: families may be as many as languages. Of two classes, this is one machine and its mirror."""
+    """One machine for each class against all others: families may be as many as languages. Of two classes, this is one machine and its mirror.
+
+    Of more than ``MANY`` classes all machines take the first Newton step only, in which every row counts: it is the same matrix for all of them.
+    """
 
     def __init__(self, x: np.ndarray, names: np.ndarray):
         self.classes = sorted(set(names.tolist()))
+        if len(self.classes) > MANY:
+            own = np.where(names[:, None] == np.array(self.classes, object)[None, :], 1.0, -1.0)
+            a = np.linalg.solve((x @ x.T).astype(np.float64) + 1 + np.eye(len(x)) / (2 * C), own)
+            self.weights, self.bias = x.T @ a.astype(np.float32), a.sum(0)
+            return
         own = [machine(x, np.where(names == c, 1.0, -1.0)) for c in self.classes] if len(self.classes) > 1 else [(np.zeros(x.shape[1], np.float32), 0.0)]
         self.weights, self.bias = np.stack([w for w, _ in own], axis=1), np.array([b for _, b in own])
 
@@ -142,21 +151,31 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.pmod(crc_of_id(doc_id), F.lit(5)) == 0, F.lit(True))
 
 
-def learn(docs: DataFrame, sample: int = 1_600, least: int = 20) -> Identifier:
-    """An identifier from the rows that are not held out: about ``sample`` texts in equal shares of the languages, but ``least`` of each where it has so many."""
+def learn(docs: DataFrame, sample: int = 1_600, least: int = 20, most: int = 4_000) -> Identifier:
+    """An identifier from the rows that are not held out: about ``sample`` texts in equal shares of the languages, ``least`` of each where it has so
+    many ids, but ``most`` in all; of more languages than that, the ``most`` with the most ids are learned.
+
+    Ids are drawn among those that a language has, exactly as many as its share, so none that has one goes without; ranks are cut before they are
+    shuffled, so a language's ids don't gather in one task.
+    """
     own = docs.where("lang is not null").where(~held_out())
-    have = {r.lang: r.n for r in own.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    ids = own.select("doc_id", "lang").distinct()
+    sizes = ids.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    have = [r.lang for r in sizes.collect()]
     if not have:
         return Identifier(np.zeros((0, BUCKETS), np.float32), [])
-    share = F.create_map(*[x for lang, n in sorted(have.items()) for x in (F.lit(lang), F.lit(max(sample / len(have), least) / n))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    if len(have) == most:
+        ids = ids.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in have], "lang string")), "lang")
+    share = max(1, min(max(sample // len(have), least), most // len(have)))
+    at = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit("sample")), "doc_id"))
+    drawn = ids.withColumn("at", at).where(F.col("at") <= share).drop("at")
 
     def run(batches):
         for b in slices(batches, "text"):
             found = [vector(t).astype(np.float16).tobytes() for t in blobs(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("lang"), pa.array(found, pa.binary())], ["doc_id", "lang", "v"])
 
-    picked = own.where(draw < share[F.col("lang")]).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "lang").agg(F.min("text").alias("text"))
+    picked = own.join(F.broadcast(drawn), ["doc_id", "lang"]).groupBy(F.col("doc_id").cast("long").alias("doc_id"), "lang").agg(F.min("text").alias("text"))
     got = map_batches(picked, run, "doc_id long, lang string, v binary").toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
     x = np.frombuffer(b"".join(got.column("v").to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float32)
     return Identifier(x, got.column("lang").to_pylist())

@@ -94,3 +94,20 @@ def test_many_languages_each_get_a_share(spark, docs_of):
     assert len({r.lang_pred for r in got}) == 30 and np.mean([r.lang_pred == f"l{r.doc_id % 30}" for r in got]) > 0.95
     one = language.learn(docs_of([(i, "the same words", "en", "s") for i in range(20)]))
     assert one.predict(b"the words") == ("en", 1.0)
+
+
+def test_a_hot_id_and_very_many_languages(spark, docs_of, monkeypatch):
+    for i in range(1, 6):
+        rows = [(k, f"the water and the house {k}", "en", "s") for k in range(1000, 1200)] + [(i, f"wasser und haus und dort {k}", "de", "s") for k in range(400)]
+        model = language.learn(docs_of(rows).coalesce(2))
+        held = {i for i in range(1, 6) if zlib.crc32(str(i).encode()) % 5 == 0}
+        assert model.predict(b"the house") == ("en", 1.0) if i in held else model.predict("und dort das wasser".encode())[0] == "de"
+    rng = random.Random(8)
+    words = {f"l{k}": ["".join(rng.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(6)] for k in range(150)}
+    rows = [(i, " ".join(rng.choices(words[f"l{i % 150}"], k=20)), f"l{i % 150}", "s") for i in range(1500)]
+    docs = docs_of(rows)
+    model = language.learn(docs, most=300)
+    assert len(model.top.classes) == 150 and model.top.weights.shape == (language.BUCKETS, 150)
+    got = language.identify(docs, model).where("held_out").collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id % 150}" for r in got]) > 0.95
+    assert len(language.learn(docs, most=100).top.classes) == 100
