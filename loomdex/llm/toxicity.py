@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import blobs, crc_of_id, map_batches, slices
+from loomdex.llm.common import blobs, crc_of_id, draw_ids, map_batches, slices
 
 BITS, BEGINNINGS = 20, (4, 5, 6, 7)
 _WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -104,7 +104,15 @@ def informative(rows: list[np.ndarray], y: np.ndarray, most: int, least_rows: in
     return best[gain[best] >= least_gain]
 
 
-def paired(rows: list[np.ndarray], y: np.ndarray, alone: np.ndarray, most: int, conditions: int = 256, least_rows: int = 3, least_gain: float = 30.0) -> np.ndarray:
+def least_support(n1: int, n0: int, least_gain: float) -> int:
+    """The fewest rows a term must have to tell ``least_gain`` of n1 and n0 rows: the gain is convex, so largest where all of its rows have one label."""
+    n = np.arange(1, n1 + n0)
+    a = np.minimum(n, n1), np.maximum(n - n0, 0)
+    enough = np.maximum(*(_gain(x, n - x, n1, n0) for x in a)) >= least_gain
+    return int(n[enough][0]) if enough.any() else n1 + n0
+
+
+def paired(rows: list[np.ndarray], y: np.ndarray, alone: np.ndarray, most: int, conditions: int = 512, least_rows: int = 3, least_gain: float = 30.0) -> np.ndarray:
     """Terms outside ``alone`` that depend on the label among the rows of another term, and those other terms, at most ``most``.
 
     The other terms are a quarter of ``conditions`` from ``alone``, best first, and for the rest the most frequent terms that at most a fifth of the rows
@@ -117,7 +125,7 @@ def paired(rows: list[np.ndarray], y: np.ndarray, alone: np.ndarray, most: int,
     kept = np.flatnonzero(support >= least_rows)
     number = np.full(1 << BITS, -1)
     number[kept] = np.arange(len(kept))
-    own = [p[p >= 0] for p in (number[r] for r in rows)]
+    own = [p[p >= 0].astype(np.int32) for p in (number[r] for r in rows)]
     of: dict[int, list[int]] = {k: [] for k in number[given].tolist()}
     wanted = np.zeros(len(kept) + 1, bool)
     wanted[list(of)] = True
@@ -127,10 +135,12 @@ def paired(rows: list[np.ndarray], y: np.ndarray, alone: np.ndarray, most: int,
     best = np.zeros(len(kept))
     for s, at in of.items():
         toxic = int(y[at].sum())
-        a, n = (np.bincount(np.concatenate([own[i] for i in at if y[i] >= c] or [number[:0]]), minlength=len(kept)) for c in (1, 0))
-        gain = _gain(a, n - a, toxic, len(at) - toxic)
-        gain[(n < least_rows) | (n == len(at)) | (gain < least_gain)] = 0
-        np.maximum(best, gain, out=best)
+        a, b = (np.bincount(np.concatenate([own[i] for i in at if y[i] == c] or [own[0][:0]]), minlength=len(kept)) for c in (1, 0))
+        n = a + b
+        may = np.flatnonzero((n >= max(least_rows, least_support(toxic, len(at) - toxic, least_gain))) & (n < len(at)))
+        gain = _gain(a[may], b[may], toxic, len(at) - toxic)
+        may, gain = may[gain >= least_gain], gain[gain >= least_gain]
+        best[may] = np.maximum(best[may], gain)
         best[s] = max(best[s], gain.max(initial=0.0))
     best, at_place = np.zeros(1 << BITS), best
     best[kept] = at_place
@@ -139,44 +149,58 @@ def paired(rows: list[np.ndarray], y: np.ndarray, alone: np.ndarray, most: int,
     return found[best[found] > 0]
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, features: int = 2048, rank: int = 4, steps: int = 100, rate: float = 0.05, l2: float = 1e-3, seed: int = 7) -> Machine:
-    """Adam on the weighted logistic loss over all given rows."""
+class _Part:
+    """Some rows' terms, ready for sums by row and by term."""
+
+    def __init__(self, own: list[np.ndarray], width: int):
+        self.row, self.col = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate([*own, np.zeros(0, int)]).astype(int)
+        self.order = np.argsort(self.col, kind="stable")
+        self.starts, self.used = np.searchsorted(self.col[self.order], np.arange(width)), (np.bincount(self.col, minlength=width) > 0)[:, None]
+        self.by_row, self.filled = np.searchsorted(self.row, np.arange(len(own))), (np.bincount(self.row, minlength=len(own)) > 0)[:, None]
+
+    @staticmethod
+    def sums(x: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.add.reduceat(np.vstack([x, np.zeros((1, x.shape[1]))]), np.minimum(at, len(x)), axis=0) * n
+
+    def gradient(self, theta: np.ndarray, bias: float, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, float]:
+        rank = theta.shape[1] - 1
+        x = theta[self.col]
+        total = self.sums(np.hstack([x, x[:, 1:] ** 2]), self.by_row, self.filled)
+        z = bias + total[:, 0] + 0.5 * (total[:, 1 : rank + 1] ** 2 - total[:, rank + 1 :]).sum(1)
+        err = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
+        e = err[self.row][:, None]
+        return self.sums(np.hstack([e, e * (total[self.row, 1 : rank + 1] - x[:, 1:])])[self.order], self.starts, self.used), float(err.sum())
+
+
+def fit(
+    rows: list[np.ndarray], y: np.ndarray, weight: np.ndarray, features: int = 4096, rank: int = 4, steps: int = 320, rate: float = 0.05, l2: float = 1e-3, part_rows: int = 1000, seed: int = 7
+) -> Machine:
+    """Adam on the weighted logistic loss, a step a part of about ``part_rows`` of the shuffled rows; the rate falls to a tenth."""
     if not len(y) or y.min() == y.max():
         share = float(np.average(y, weights=weight)) if len(y) else 0.0
         return Machine(np.zeros(0, int), float(np.clip(np.log(max(share, 1e-26) / max(1 - share, 1e-26)), -60, 60)), np.zeros(0), np.zeros((0, rank)))
     keys = informative(rows, y, features)
     keys = np.concatenate([keys, paired(rows, y, keys, features // 8)])
+    share = np.average(y, weights=weight)
+    bias, weight = float(np.log(share / (1 - share))), weight / weight.mean()
     if not len(keys):
-        share = np.average(y, weights=weight)
-        return Machine(keys, float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
+        return Machine(keys, bias, np.zeros(0), np.zeros((0, rank)))
     place = np.full(1 << BITS, -1)
     place[keys] = np.arange(len(keys))
     own = [p[p >= 0] for p in (place[r] for r in rows)]
-    row, col = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own).astype(int)
     rng = np.random.default_rng(seed)
     theta = np.concatenate([np.zeros((len(keys), 1)), rng.normal(0, 0.05, (len(keys), rank))], axis=1)
-    share = np.average(y, weights=weight)
-    bias, weight = float(np.log(share / (1 - share))), weight / weight.sum()
+    parts = [(at, _Part([own[i] for i in at], len(keys))) for at in np.array_split(rng.permutation(len(own)), -(-len(own) // part_rows))]
     m, s = np.zeros_like(theta), np.zeros_like(theta)
     mb = sb = 0.0
-    order = np.argsort(col, kind="stable")
-    starts = np.searchsorted(col[order], np.arange(len(keys)))
-    by_row = np.searchsorted(row, np.arange(len(own)))
-    sums = lambda x, at, n: np.add.reduceat(np.vstack([x, np.zeros((1, x.shape[1]))]), np.minimum(at, len(x)), axis=0) * n
-    filled = (np.bincount(row, minlength=len(own)) > 0)[:, None]
-    used = (np.bincount(col, minlength=len(keys)) > 0)[:, None]
     for t in range(1, steps + 1):
-        x = theta[col]
-        total = sums(np.hstack([x, x[:, 1:] ** 2]), by_row, filled)
-        z = bias + total[:, 0] + 0.5 * (total[:, 1 : rank + 1] ** 2 - total[:, rank + 1 :]).sum(1)
-        err = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - y)
-        e = err[row][:, None]
-        grad = sums(np.hstack([e, e * (total[row, 1 : rank + 1] - x[:, 1:])])[order], starts, used) + l2 / len(keys) * theta
-        gb = err.sum()
+        at, part = parts[t % len(parts)]
+        grad, gb = part.gradient(theta, bias, y[at], weight[at] / len(at))
+        grad = grad + l2 / len(keys) * theta
         m, s, mb, sb = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * sb + 0.001 * gb**2
-        c1, c2 = 1 - 0.9**t, 1 - 0.999**t
-        theta = theta - rate * (m / c1) / (np.sqrt(s / c2) + 1e-8)
-        bias -= rate * (mb / c1) / (np.sqrt(sb / c2) + 1e-8)
+        c1, c2, now = 1 - 0.9**t, 1 - 0.999**t, rate * (1 - 0.9 * t / steps)
+        theta = theta - now * (m / c1) / (np.sqrt(s / c2) + 1e-8)
+        bias -= now * (mb / c1) / (np.sqrt(sb / c2) + 1e-8)
     return Machine(keys, bias, theta[:, 0].copy(), theta[:, 1:].copy())
 
 
@@ -187,24 +211,17 @@ def held_out(doc_id="doc_id"):
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 8_000, **options) -> Machine:
     """A machine from the labels of ids that are not held out."""
     own = labels.where("toxic is not null and doc_id is not null").where(~held_out()).groupBy("doc_id").agg((F.avg("toxic") >= 0.5).cast("int").alias("y"))
-    have = {r.y: r.n for r in own.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    most = {1: min(have.get(1, 0), sample // 3)}
-    most[0] = min(have.get(0, 0), sample - most[1])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30))
-    some = own.where(draw < F.when(F.col("y") == 1, most[1] / max(1, have.get(1, 0))).otherwise(most[0] / max(1, have.get(0, 0))) * (1 << 30))
+    picked, have = draw_ids(docs, own, sample, 1 / 3)
 
     def run(batches):
         for b in slices(batches, "text"):
             found = [np.array(sorted(terms(t)), np.int32).tobytes() for t in blobs(b.column("text"))]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "terms"])
 
-    picked = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy(F.col("doc_id").cast("long").alias("doc_id"), "y").agg(F.min("text").alias("text"))
-    got = map_batches(picked, run, "doc_id long, y int, terms binary").toArrow()
-    found = got.column("terms").to_pylist()
-    order = sorted(range(len(found)), key=lambda i, ids=got.column("doc_id").to_pylist(): (ids[i], found[i]))
-    y = got.column("y").to_numpy()[order].astype(float)
+    got = map_batches(picked, run, "doc_id long, y int, terms binary").toArrow().sort_by("doc_id")
+    y = got.column("y").to_numpy().astype(float)
     drawn = {c: max(1, int((y == c).sum())) for c in (0, 1)}
-    return fit([np.frombuffer(found[i], np.int32) for i in order], y, np.array([have[int(c)] / drawn[int(c)] for c in y]), **options)
+    return fit([np.frombuffer(t, np.int32) for t in got.column("terms").to_pylist()], y, np.array([have[int(c)] / drawn[int(c)] for c in y]), **options)
 
 
 def score(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:

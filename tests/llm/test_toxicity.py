@@ -89,3 +89,20 @@ def test_scores_equal_the_sum_over_pairs(spark, docs_of):
         on = sorted(machine.index[h] for h in toxicity.terms(text.encode()) if h in machine.index)
         z = machine.bias + sum(machine.weights[i] for i in on) + sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(on) for j in on[:k])
         assert abs(machine.score(text.encode()) - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_labels_mostly_without_documents(spark, docs_of):
+    rows = corpus(600)
+    docs = docs_of([(i, t, "en", "s") for i, t, _ in rows])
+    own = spark.createDataFrame([(i, 0, y, "") for i, _, y in rows], LABELS)
+    many = own.unionByName(spark.range(1_000, 1_001_000).selectExpr("id as doc_id", "0 as quality", "cast(id % 2 as int) as toxic", "'' as text"))
+    a, b = toxicity.learn(docs, own), toxicity.learn(docs, many)
+    assert a.index == b.index and (a.weights == b.weights).all() and len(a.index)
+
+
+def test_least_support_loses_no_term():
+    for n1, n0 in ((5, 40), (30, 30), (400, 90)):
+        least = toxicity.least_support(n1, n0, 30.0)
+        for n in range(1, n1 + n0):
+            a = np.arange(max(0, n - n0), min(n, n1) + 1)
+            assert n >= least or (toxicity._gain(a, n - a, n1, n0) < 30.0).all()
