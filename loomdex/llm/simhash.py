@@ -339,19 +339,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFrame:
-    """Of each component of texts alike one row, all columns as they are: by the smallest doc_id, null last, then by the text's hash, then by the other columns.
+    """Of each component of texts alike one row, all columns as they are: by the smallest doc_id, null last, then by the text's hash, then by the row's.
 
     Rows are told apart by id and text, so unlike texts of one id are judged each for itself. Only the keys of rows that go, and of the rows
     that stay out of several with one id and text, are joined with the documents; while these are ``BROADCAST_ROWS`` at most, no text is shuffled.
     """
-    digest, named = F.xxhash64("text"), lambda df: df.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), "stays")
+    names = {c: f"__keep_{k}" for k, c in enumerate(docs.columns)}  # the documents' own columns may have any names
+    own = docs.select(*[F.col(c).alias(n) for c, n in names.items()])
+    doc_id, digest = F.col(names["doc_id"]), F.xxhash64(names["text"])
     found = checkpoint(sketches(docs, width))
     rows = found.join(similar(found, least), "fp").groupBy("grp", found.doc_id, "digest").agg(F.count("*").alias("n"))
-    own = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
-    first = rows.groupBy("grp").agg(F.min(own).alias("first"), F.sum("n").alias("all")).where("all > 1").drop("all")
-    keys = checkpoint(named(rows.join(first, "grp").withColumn("stays", own == F.col("first")).where("not stays or n > 1")))
+    key = F.struct(F.col("doc_id").isNull(), "doc_id", "digest")
+    first = rows.groupBy("grp").agg(F.min(key).alias("first"), F.sum("n").alias("all")).where("all > 1").drop("all")
+    keys = checkpoint(rows.join(first, "grp").withColumn("stays", key == F.col("first")).where("not stays or n > 1").select("doc_id", "digest", "stays"))
     if keys.count() <= BROADCAST_ROWS:
         keys = F.broadcast(keys)
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (digest == F.col("gone_digest"))
-    once = docs.join(keys.where("stays"), same, "left_semi").groupBy("doc_id", digest).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return docs.join(keys, same, "left_anti").unionByName(once)
+    same = doc_id.eqNullSafe(F.col("doc_id")) & (digest == F.col("digest"))
+    every = F.struct(*names.values())
+    once = own.join(keys.where("stays"), same, "left_semi").groupBy(doc_id, digest).agg(F.min_by(every, F.xxhash64(F.to_json(every))).alias("row")).select("row.*")
+    return own.join(keys, same, "left_anti").unionByName(once).select(*[F.col(n).alias(c) for c, n in names.items()])

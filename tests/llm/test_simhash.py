@@ -159,3 +159,16 @@ def test_groups_of_similar_texts_equal_brute_force(spark, docs_of, monkeypatch,
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want))
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", 0)
     assert sorted(r.doc_id for r in simhash.keep_one(docs_of(rows)).collect()) == sorted(set(want))
+
+
+def test_keep_one_takes_any_columns(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    docs = docs_of([(1, text, "en", "a"), (2, text, "en", "b"), (1, text, "en", "c"), (3, None, None, None), (None, text, "en", "d")])
+    named = {c: F.lit(7) for c in ("gone_id", "gone_digest", "digest", "grp", "n", "stays", "first", "all", "row", "least", "__keep_0")}
+    docs = docs.withColumns(named | {"kind": F.create_map(F.lit("a"), F.col("source")), "parts": F.array(F.struct("lang")), "raw": F.lit(b"x")})
+    kept = simhash.keep_one(docs)
+    assert kept.dtypes == docs.dtypes
+    rows = kept.collect()
+    assert sorted(r.doc_id for r in rows) == [1, 3] and {r.kind["a"] for r in rows if r.doc_id == 1} <= {"a", "c"}
