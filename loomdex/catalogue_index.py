@@ -388,6 +388,38 @@ def impact_report(spark, d):  # K13, F7, O6
     return found.select(udf.canonical(F.to_json(F.struct("ref", "plan_id", "level", "kind", "batch"))).alias("item"))
 
 
+_IMPACT = b.with_("call_edges") + """, w AS (SELECT 'plan-' || CAST(p_partkey % 7 AS VARCHAR) AS plan_id, p_partkey % 7 IN (1, 2, 4, 5) AS open_, p_partkey AS number, 'B' || CAST(p_partkey % 3 AS VARCHAR) AS batch,
+    'a/f' || CAST(p_partkey % 50 AS VARCHAR) || '.py' AS file, 's' || CAST(p_partkey AS VARCHAR) AS symbol, p_size > 5 AS changed FROM part),
+  e AS (SELECT DISTINCT 's' || CAST(dst_qname AS VARCHAR) AS node, 'caller' AS direction, 's' || CAST(src_qname AS VARCHAR) AS other FROM call_edges UNION SELECT 's' || CAST(src_qname AS VARCHAR), 'callee', 's' || CAST(dst_qname AS VARCHAR) FROM call_edges),
+  roots AS (SELECT symbol AS node FROM w WHERE changed), stops AS (SELECT symbol AS node FROM w WHERE open_), moved AS (SELECT DISTINCT 'b/f' || CAST(p_partkey % 30 AS VARCHAR) || '.py' AS path, 'a/f' || CAST(p_partkey % 30 AS VARCHAR) || '.py' AS ref FROM part),
+  one AS (SELECT other, min({'v': node, 'd': direction}) AS by_ FROM e WHERE node IN (SELECT node FROM roots) AND other NOT IN (SELECT node FROM roots) GROUP BY other),
+  two AS (SELECT e.other, min({'a': by_.v, 'b': by_.d, 'v': one.other, 'd': direction}) AS by_ FROM one JOIN e ON e.node = one.other WHERE one.other NOT IN (SELECT node FROM stops) AND e.other NOT IN (SELECT node FROM roots) AND e.other NOT IN (SELECT other FROM one) GROUP BY e.other),
+  hits AS (SELECT other AS node, by_.v AS via, by_.d AS direction, 1 AS depth FROM one UNION ALL SELECT other, by_.v, by_.d, 2 FROM two),
+  pf AS (SELECT plan_id, batch, file AS ref, min(number) AS task FROM w WHERE open_ GROUP BY 1, 2, 3),
+  every AS (SELECT plan_id, 'direct' AS level, batch, 'symbol' AS kind, symbol AS ref, number AS task, NULL AS changed_ref, NULL AS direction, NULL AS graph_depth FROM w WHERE open_ AND changed
+    UNION ALL SELECT plan_id, 'indirect', batch, 'symbol', symbol, number, via, direction, depth FROM w JOIN hits ON hits.node = symbol WHERE open_
+    UNION ALL SELECT plan_id, 'possible', met.batch, 'file', met.ref, met.task, path, NULL, NULL FROM (SELECT plan_id, path, min({'ref': pf.ref, 'batch': batch, 'task': task}) AS met FROM pf JOIN moved ON moved.ref = pf.ref GROUP BY 1, 2)),
+  counted AS (SELECT *, count(*) OVER (PARTITION BY plan_id) AS plan_rows, count(*) FILTER (level = 'possible') OVER (PARTITION BY plan_id) AS plan_possible, row_number() OVER (PARTITION BY plan_id, level ORDER BY batch, ref, changed_ref) AS n FROM every),
+  kept AS (SELECT *, row_number() OVER (PARTITION BY plan_id ORDER BY level, batch, kind, ref, changed_ref NULLS FIRST) AS m FROM counted WHERE level <> 'possible' OR n <= 12)"""
+
+
+@query(_IMPACT + " SELECT plan_id, level, batch, kind, ref, CAST(task AS INTEGER) AS task, changed_ref, direction, CAST(graph_depth AS INTEGER) AS graph_depth, plan_rows, plan_possible FROM kept WHERE m <= 200")
+def plan_impact(spark, d):  # P18, O12, O6, G5: plans of hundreds of tasks, of which some are over; every row of the tables takes part
+    from loomdex.plans import impact
+
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), "p_size")
+    plan, symbol = F.concat(F.lit("plan-"), (F.col("k") % 7).cast("string")).alias("plan_id"), F.concat(F.lit("s"), F.col("k").cast("string"))
+    file = lambda folder, n: F.concat(F.lit(f"{folder}/f"), (F.col("k") % n).cast("string"), F.lit(".py"))
+    none = F.array().cast("array<string>")
+    plans = p.select(plan, F.when(F.col("k") % 7 == 0, "draft").when(F.col("k") % 7 == 3, "completed").when(F.col("k") % 7 == 6, "archived").otherwise("executing").alias("status"), none.alias("files"), none.alias("symbols")).distinct()
+    tasks = p.select(plan, F.col("k").cast("int").alias("number"), F.concat(F.lit("B"), (F.col("k") % 3).cast("string")).alias("batch"), F.array(file("a", 50)).alias("files"), F.array(symbol).alias("symbols"))
+    changed = p.where("p_size > 5").select(F.lit("symbol").alias("kind"), symbol.alias("ref")).union(p.select(F.lit("file"), file("b", 30)).distinct())
+    named = lambda c: F.concat(F.lit("s"), F.col(c).cast("string")).alias(c)
+    edges = b.call_edges(spark, d).select(named("src_qname"), named("dst_qname"), "count")
+    got = impact.impact(plans, tasks, changed, None, p.select(file("a", 50).alias("file"), symbol.alias("qualified_name")), edges)
+    return got.select("plan_id", "level", "batch", "kind", "ref", "task", "changed_ref", "direction", "graph_depth", "plan_rows", "plan_possible")
+
+
 # ---------------------------------------------------------------- the scan as one job
 
 

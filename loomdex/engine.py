@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from loomdex.functions import text
 from loomdex.operators import changes, graph, quality, render, resolve, search, working_set
 from loomdex.plans import impact, records, upkeep
+from loomdex.runtime import checkpoint
 from loomdex.schema import TABLES
 from loomdex.sources import extract, walk
 
@@ -281,8 +282,9 @@ class Index:
         touched = log.select(F.lit("file").alias("kind"), F.col("file").alias("ref")).union(log.select(F.lit("symbol"), "symbol")).where("ref is not null").distinct()
         plans, files = records.read(self.spark, folder), self.table("files")
         out = self.home / "plans"
-        found = self.impact(plans, touched, None)
-        reports = [upkeep.write_report(found, out / "impact-report.json", ["plan_id", "level", "batch", "kind", "ref", "changed_ref"])]
+        index, edges = (self.table(n) if self.meta["tables"].get("files") else None for n in ("symbols", "call_edges"))
+        found = impact.everything(plans.where("code is null"), records.tasks(plans), touched, None, index, edges)
+        reports = [upkeep.write_report(checkpoint(found.rows), out / "impact-report.json", ["plan_id", *impact.ORDER], cut=found.cut)]
         stale = upkeep.stale_evidence(self.spark, folder, files)
         reports.append(upkeep.write_report(stale, out / "stale-report.json", ["plan_id", "batch", "gate"]))
         allowed = upkeep.config(self.root)["allow_update_plan_state"]

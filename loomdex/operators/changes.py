@@ -99,6 +99,15 @@ def last_per_key(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame
     return log.groupBy(*keys).agg(top).select(*keys, "top.*")
 
 
+def top_per_key(df: DataFrame, keys: list[str], order: list, most: int, number: str = "of") -> DataFrame:
+    """At most ``most`` rows of each key, by ``order``, and beside each the exact number that its key has.
+
+    Ranks are cut in every task before the shuffle, and the number is a plain count, so no key's rows gather; ``df`` is read twice.
+    """
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_n", rank).where(F.col("_n") <= most).drop("_n").join(df.groupBy(*keys).agg(F.count("*").alias(number)), keys)
+
+
 def change_counts(log: DataFrame, suffix: str) -> DataFrame:
     """symbol, n of symbols that end in ``.suffix`` (ASCII case folded)."""
     return log.where(text.fold_ascii(F.col("symbol")).endswith("." + suffix.lower())).groupBy("symbol").agg(F.count("*").alias("n"))

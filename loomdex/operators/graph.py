@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,17 +60,60 @@ def reach(edges: DataFrame, roots: DataFrame, depth: int = 2, src: str = "src_qn
     return seen
 
 
+class Found(NamedTuple):
+    """What a search met, and whether its bound kept it from anything."""
+
+    hits: DataFrame
+    cut: bool
+
+
+def _both_ways(edges: DataFrame) -> DataFrame:
+    """node, direction, other of every edge, seen from either end."""
+    callers = edges.select(F.col("dst_qname").alias("node"), F.lit("caller").alias("direction"), F.col("src_qname").alias("other"))
+    return callers.union(edges.select("src_qname", F.lit("callee"), "dst_qname")).distinct()
+
+
+def search(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth: int = 2, most: int | None = None) -> Found:
+    """node, via, direction, depth: the ``stops`` that a breadth-first search from all roots meets, and whether it was cut.
+
+    The queue begins with the roots by name; a node's neighbours follow by direction (callee, caller) and name. Stops are not searched beyond. Without
+    ``most`` the search is whole: a node's place in the queue is its path of names and directions, and the least path is found by aggregation, so
+    no step is gathered or numbered. With it, see ``bounded_search``; then a search that saw more nodes than ``most`` says so.
+    """
+    if most is not None:
+        hits, seen = _bounded(edges, roots, stops, depth, most)
+        return Found(hits, seen.limit(most + 1).count() > most)
+    both = checkpoint(_both_ways(edges))
+    known = stops.select(F.col("node").alias("other"), F.lit(True).alias("stop")).distinct()
+    seen = checkpoint(roots.select("node").where("node is not null").distinct())
+    front, found = seen.select("node", F.array("node").alias("path")), []
+    for d in range(1, depth + 1):
+        step = both.join(front, "node").join(seen.select(F.col("node").alias("other")), "other", "left_anti")
+        first = step.groupBy("other").agg(F.min(F.concat("path", F.array("direction"))).alias("by"))
+        ranked = checkpoint(first.join(known, "other", "left"))
+        seen = seen.union(ranked.select("other"))
+        hit = ranked.where("stop").select(F.col("other").alias("node"), F.element_at("by", -2).alias("via"), F.element_at("by", -1).alias("direction"), F.lit(d).alias("depth"))
+        found.append(hit)
+        front = ranked.where("stop is null").select(F.col("other").alias("node"), F.concat("by", F.array("other")).alias("path"))
+    return Found(reduce(DataFrame.union, found), False)
+
+
 def bounded_search(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth: int = 2, most: int = 256) -> DataFrame:
     """node, via, direction, depth: the ``stops`` that a breadth-first search meets.
 
     The queue begins with the roots by name; a node's neighbours follow by direction (callee, caller) and name. Stops are not searched beyond.
-    Nodes after the ``most``-th are seen but neither given nor searched. A step holds at most most * 2 * most candidates, whatever the graph's size.
+    Nodes after the ``most``-th, roots counted, are seen but neither given nor searched; ``search`` says whether there were such. A step holds at
+    most most * 2 * most candidates, whatever the graph's size.
     """
-    both = edges.select(F.col("dst_qname").alias("node"), F.lit("caller").alias("direction"), F.col("src_qname").alias("other")).union(edges.select("src_qname", F.lit("callee"), "dst_qname")).distinct()
-    both = checkpoint(both)  # every step joins it with a few nodes only
+    return _bounded(edges, roots, stops, depth, most)[0]
+
+
+def _bounded(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFrame]:
+    both = checkpoint(_both_ways(edges))  # every step joins it with a few nodes only
     near = Window.partitionBy("node", "direction").orderBy("other")
     seen = checkpoint(roots.select("node").distinct())
-    front = checkpoint(seen.select("node", F.row_number().over(Window.orderBy("node")).alias("at")))
+    first = seen.orderBy("node").limit(most)  # later roots are beyond the bound, and so is what they alone lead to
+    front = checkpoint(first.select("node", F.row_number().over(Window.orderBy("node")).alias("at")))
     found = None
     for d in range(1, depth + 1):
         step = both.join(front, "node").withColumn("n", F.row_number().over(near)).where(F.col("n") <= most)
@@ -82,7 +128,7 @@ def bounded_search(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth:
         hits = kept.where("stop").select(F.col("other").alias("node"), F.col("by.node").alias("via"), F.col("by.direction").alias("direction"), F.lit(d).alias("depth"))
         found = hits if found is None else found.union(hits)
         front = kept.where("stop is null").select(F.col("other").alias("node"), "at")
-    return found
+    return found, seen
 
 
 def cycle_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomdex.functions import text
-from loomdex.operators import graph
+from loomdex.operators import changes, graph
+from loomdex.runtime import checkpoint
 
 OPEN = ("approved", "executing", "blocked")
 
@@ -52,48 +55,98 @@ def planned_refs(tasks: DataFrame, plans: DataFrame, column: str) -> DataFrame:
     return first.select("plan_id", "batch", "ref", "task").unionByName(loose.select("plan_id", F.lit("unassigned").alias("batch"), "ref", F.lit(None).cast("int").alias("task")))
 
 
-def impact(plans: DataFrame, tasks: DataFrame, files: list[str] | DataFrame, symbols: list[str] | None, index: DataFrame | None, edges: DataFrame | None, depth: int = 2, nodes: int = 256, possible: int = 12, most: int = 200) -> DataFrame:
-    """plan_id, level, batch, kind, ref, task, confidence, changed_ref, reason, direction, graph_depth of every open plan.
+SHAPE = ("plan_id", "level", "batch", "kind", "ref", "task", "confidence", "changed_ref", "reason", "direction", "graph_depth")
+#: The order in which a plan's rows are cut, and that of its possible ones of one confidence.
+ORDER, LIKELIER = ("level", "batch", "kind", "ref", "changed_ref"), ("batch", "ref", "changed_ref")
+
+
+def _rows(df: DataFrame, level: str, kind: str | None = None, **given) -> DataFrame:
+    """``df`` in the common shape; columns that are not given are null."""
+    text_ = lambda: F.lit(None).cast("string")
+    base = {"changed_ref": text_(), "reason": text_(), "direction": text_(), "graph_depth": F.lit(None).cast("int")} | given
+    return df.select("plan_id", F.lit(level).alias("level"), "batch", (F.lit(kind) if kind else F.col("kind")).alias("kind"), "ref", "task", *[base[c].alias(c) for c in SHAPE[6:]])
+
+
+def _direct(tasks: DataFrame, changed: DataFrame) -> DataFrame:
+    batch = F.when(F.trim(F.coalesce("batch", F.lit(""))) == "", "unassigned").otherwise(F.trim("batch")).alias("batch")
+    of = lambda kind, column: tasks.select("plan_id", batch, "number", F.lit(kind).alias("kind"), F.explode(column).alias("ref"))
+    named = of("file", "files").unionByName(of("symbol", "symbols"))
+    return named.join(changed, ["kind", "ref"]).groupBy("plan_id", "batch", "kind", "ref").agg(F.min("number").alias("task"))
+
+
+def _indirect(planned: DataFrame, changed: DataFrame, index: DataFrame, edges: DataFrame, depth: int, nodes: int | None) -> tuple[DataFrame, bool]:
+    of_files = index.join(changed.where("kind = 'file'").select(F.col("ref").alias("file")), "file", "left_semi").select("qualified_name")
+    roots = changed.where("kind = 'symbol'").select(F.col("ref").alias("node")).union(of_files)
+    hits, cut = graph.search(edges, roots, planned.select(F.col("ref").alias("node")).distinct(), depth, nodes)
+    own = planned.groupBy("plan_id", "ref").agg(F.max(F.struct("batch", "task")).alias("at")).select("plan_id", "ref", "at.batch", "at.task")
+    return own.join(hits, F.col("ref") == F.col("node")), cut
+
+
+def _alike(planned: DataFrame, direct: DataFrame, changed: DataFrame) -> DataFrame:
+    """Planned symbols, not named directly, that share a word with a changed one."""
+    loose = planned.join(direct.select("plan_id", "ref").distinct(), ["plan_id", "ref"], "left_anti").withColumn("key", F.concat_ws("\x1f", "plan_id", "batch", "ref"))
+    names = changed.where("kind = 'symbol'").select(F.col("ref").alias("changed_ref")).withColumn("_c", F.col("changed_ref"))
+    met = loose.join(token_overlap(loose, names, "key", "ref", "changed_ref", "_c"), "key")
+    return met.select("plan_id", "batch", "ref", "task", "changed_ref", F.concat(F.lit("lexical overlap: "), "overlap").alias("reason"), F.lit("symbol").alias("kind"), F.lit(0.55).alias("confidence"))
+
+
+def _same_name(planned: DataFrame, changed: DataFrame) -> DataFrame:
+    """Planned files of a changed file's name in another folder: of each plan and changed file the first."""
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    moved = changed.where("kind = 'file'").select(F.col("ref").alias("path"), name("ref").alias("_name"))
+    met = planned.withColumn("_name", name("ref")).join(moved, "_name").where("ref <> path")
+    same = met.groupBy("plan_id", "path").agg(F.min(F.struct("ref", "batch", "task")).alias("at")).select("plan_id", "path", "at.*")
+    reason = F.lit("same file basename in a different path").alias("reason")
+    return same.select("plan_id", "batch", "ref", "task", F.col("path").alias("changed_ref"), reason, F.lit("file").alias("kind"), F.lit(0.5).alias("confidence"))
 
-    ``direct``: a task names it. ``indirect``: a planned symbol within ``depth`` calls of a changed one. ``possible``: a shared word or a file of the
-    same name, at most ``possible`` a plan. What changed is given as two lists, or as one table (kind, ref) of any size. At most ``most`` rows a plan, by level, batch, kind and reference. ``index`` are symbols, ``edges`` calls.
+
+class Touched(NamedTuple):
+    """Every row of an impact, and whether the search behind the indirect ones met its bound."""
+
+    rows: DataFrame
+    cut: bool
+
+
+def everything(
+    plans: DataFrame, tasks: DataFrame, files: list[str] | DataFrame, symbols: list[str] | None, index: DataFrame | None, edges: DataFrame | None, depth: int = 2, nodes: int | None = None
+) -> Touched:
+    """All that a change touches in open plans, in the shape of ``SHAPE``.
+
+    ``direct``: a task names it. ``indirect``: a planned symbol within ``depth`` calls of a changed one, by a search of at most ``nodes`` nodes (None:
+    the whole search). ``possible``: a shared word, or a file of the same name. What changed is given as two lists, or as one table (kind, ref) of any
+    size. ``index`` are symbols, ``edges`` calls.
     """
     spark = plans.sparkSession
     plans = plans.where(F.col("status").isin(*OPEN))
     tasks = tasks.join(plans.select("plan_id"), "plan_id", "left_semi")
-    changed = files if isinstance(files, DataFrame) else spark.createDataFrame([("file", x) for x in sorted(set(files))] + [("symbol", x) for x in sorted(set(symbols))], "kind string, ref string")
-    shape = ("plan_id", "level", "batch", "kind", "ref", "task", "confidence", "changed_ref", "reason", "direction", "graph_depth")
-
-    def rows(df: DataFrame, level: str, kind=None, **given) -> DataFrame:
-        base = {"changed_ref": F.lit(None).cast("string"), "reason": F.lit(None).cast("string"), "direction": F.lit(None).cast("string"), "graph_depth": F.lit(None).cast("int")} | given
-        return df.select("plan_id", F.lit(level).alias("level"), "batch", (F.lit(kind) if kind else F.col("kind")).alias("kind"), "ref", "task", *[base[c].alias(c) for c in shape[6:]])
-
-    named = tasks.select("plan_id", F.when(F.trim(F.coalesce("batch", F.lit(""))) == "", "unassigned").otherwise(F.trim("batch")).alias("batch"), "number", F.lit("file").alias("kind"), F.explode("files").alias("ref")).unionByName(
-        tasks.select("plan_id", F.when(F.trim(F.coalesce("batch", F.lit(""))) == "", "unassigned").otherwise(F.trim("batch")).alias("batch"), "number", F.lit("symbol").alias("kind"), F.explode("symbols").alias("ref"))
-    )
-    direct = named.join(changed, ["kind", "ref"]).groupBy("plan_id", "batch", "kind", "ref").agg(F.min("number").alias("task"))
-    found = rows(direct, "direct", confidence=F.lit(1.0))
+    lists = lambda: [("file", x) for x in sorted(set(files))] + [("symbol", x) for x in sorted(set(symbols))]
+    changed = files if isinstance(files, DataFrame) else spark.createDataFrame(lists(), "kind string, ref string")
+    direct, cut = _direct(tasks, changed), False
+    found = _rows(direct, "direct", confidence=F.lit(1.0))
     planned_symbols, planned_files = planned_refs(tasks, plans, "symbols"), planned_refs(tasks, plans, "files")
     if index is not None and edges is not None and depth > 0:
-        roots = changed.where("kind = 'symbol'").select(F.col("ref").alias("node")).union(index.join(changed.where("kind = 'file'").select(F.col("ref").alias("file")), "file", "left_semi").select("qualified_name"))
-        stops = planned_symbols.select(F.col("ref").alias("node")).distinct()
-        hits = graph.bounded_search(edges, roots, stops, depth, nodes)
-        indirect = planned_symbols.groupBy("plan_id", "ref").agg(F.max(F.struct("batch", "task")).alias("at")).select("plan_id", "ref", "at.batch", "at.task").join(hits, F.col("ref") == F.col("node"))
-        found = found.unionByName(rows(indirect, "indirect", "symbol", confidence=text.impact_confidence(F.col("depth")), changed_ref=F.col("via"), direction=F.col("direction"), graph_depth=F.col("depth")))
-    seen = direct.select("plan_id", "ref").distinct()
-    loose = planned_symbols.join(seen, ["plan_id", "ref"], "left_anti").withColumn("key", F.concat_ws("\x1f", "plan_id", "batch", "ref"))
-    alike = token_overlap(loose, changed.where("kind = 'symbol'").select(F.col("ref").alias("changed_ref")).withColumn("_c", F.col("changed_ref")), "key", "ref", "changed_ref", "_c")
-    alike = loose.join(alike, "key").select("plan_id", "batch", "ref", "task", "changed_ref", F.concat(F.lit("lexical overlap: "), "overlap").alias("reason"), F.lit("symbol").alias("kind"), F.lit(0.55).alias("confidence"))
-    name = lambda c: F.element_at(F.split(c, "/"), -1)
-    moved = changed.where("kind = 'file'").select(F.col("ref").alias("path"), name("ref").alias("_name"))
-    met = planned_files.withColumn("_name", name("ref")).join(moved, "_name").where("ref <> path")
-    same = met.groupBy("plan_id", "path").agg(F.min(F.struct("ref", "batch", "task")).alias("at")).select("plan_id", "path", "at.*")
-    same = same.select("plan_id", "batch", "ref", "task", F.col("path").alias("changed_ref"), F.lit("same file basename in a different path").alias("reason"), F.lit("file").alias("kind"), F.lit(0.5).alias("confidence"))
-    rank = F.row_number().over(Window.partitionBy("plan_id").orderBy(F.desc("confidence"), "batch", "ref", "changed_ref"))
-    maybe = alike.unionByName(same).withColumn("_n", rank).where(F.col("_n") <= possible)
-    found = found.unionByName(rows(maybe, "possible", confidence=F.col("confidence"), changed_ref=F.col("changed_ref"), reason=F.col("reason")))
-    order = F.row_number().over(Window.partitionBy("plan_id").orderBy("level", "batch", "kind", "ref", "changed_ref"))
-    return found.withColumn("_n", order).where(F.col("_n") <= most).drop("_n")
+        indirect, cut = _indirect(planned_symbols, changed, index, edges, depth, nodes)
+        how = {"confidence": text.impact_confidence(F.col("depth")), "changed_ref": F.col("via"), "direction": F.col("direction"), "graph_depth": F.col("depth")}
+        found = found.unionByName(_rows(indirect, "indirect", "symbol", **how))
+    maybe = _alike(planned_symbols, direct, changed).unionByName(_same_name(planned_files, changed))
+    return Touched(found.unionByName(_rows(maybe, "possible", confidence=F.col("confidence"), changed_ref=F.col("changed_ref"), reason=F.col("reason"))), cut)
+
+
+def bounded(rows: DataFrame, possible: int = 12, most: int = 200) -> DataFrame:
+    """At most ``most`` rows of each plan, of them at most ``possible`` possible ones, and beside each row how many its plan has without these bounds:
+    ``plan_rows`` in all and ``plan_possible`` possible ones. Rows are cut by level, batch, kind and reference; possible ones by confidence first.
+    """
+    rows = checkpoint(rows)
+    maybe = changes.top_per_key(rows.where("level = 'possible'"), ["plan_id"], [F.desc("confidence"), *LIKELIER], possible, "plan_possible")
+    counts = rows.groupBy("plan_id").agg(F.count("*").alias("plan_rows"), F.count_if(F.col("level") == "possible").alias("plan_possible"))
+    kept = rows.where("level <> 'possible'").unionByName(maybe.drop("plan_possible"))
+    return changes.top_per_key(kept, ["plan_id"], list(ORDER), most).drop("of").join(counts, "plan_id")
+
+
+def impact(plans: DataFrame, tasks: DataFrame, files: list[str] | DataFrame, symbols: list[str] | None, index: DataFrame | None, edges: DataFrame | None, depth: int = 2, nodes: int | None = None, possible: int = 12, most: int = 200) -> DataFrame:
+    """``everything``, ``bounded``, with ``search_cut``: whether a search of at most ``nodes`` nodes left some unseen."""
+    found = everything(plans, tasks, files, symbols, index, edges, depth, nodes)
+    return bounded(found.rows, possible, most).withColumn("search_cut", F.lit(found.cut))
 
 
 def source_paths(refs: DataFrame, overrides: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -86,12 +86,17 @@ def find(folder: str | Path, plan_id: str) -> workflow.Workflow:
     return found[0]
 
 
-def write_report(rows: DataFrame, path: str | Path, order: list[str], most: int = 200) -> Path:
-    """A bounded report as canonical JSON: at most ``most`` rows in order, and whether there were more."""
-    items = [r.asDict(recursive=True) for r in rows.orderBy(*order).limit(most + 1).collect()]
+def write_report(rows: DataFrame, path: str | Path, order: list[str], most: int = 200, cut: bool = False) -> Path:
+    """A bounded report as canonical JSON: at most ``most`` rows in order, how many there are in all, and whether any is missing.
+
+    ``rows`` are all there are, not cut before; ``cut`` says that a search behind them met its bound, so that there may be more.
+    """
+    items = [r.asDict(recursive=True) for r in rows.orderBy(*order).limit(most).collect()]
+    total = rows.count()
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(canonical_json({"generated_at": workflow.now(), "items": items[:most], "truncated": len(items) > most}) + "\n", encoding="utf-8")
+    said = {"generated_at": workflow.now(), "items": items, "search_cut": cut, "total": total, "truncated": cut or total > len(items)}
+    path.write_text(canonical_json(said) + "\n", encoding="utf-8")
     return path
 
 

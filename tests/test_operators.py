@@ -99,6 +99,42 @@ def test_bounded_search_follows_a_queue(spark):
     assert {(r.node, r.depth) for r in graph.reach(df, node("a"), 2).collect()} == {("a", 0), ("b", 1), ("c", 1), ("z", 1), ("p0", 1), ("d", 2), ("p1", 2), ("f", 2)}
 
 
+def test_whole_search_equals_the_queue_without_a_bound(spark):
+    import random
+
+    rng = random.Random(5)
+    for depth, n in ((1, 30), (2, 40), (3, 40)):
+        edges = sorted({(f"n{rng.randrange(n):02d}", f"n{rng.randrange(n):02d}") for _ in range(60)})
+        roots, stops = {f"n{rng.randrange(n):02d}" for _ in range(4)} | {"absent"}, {f"n{rng.randrange(n):02d}" for _ in range(12)}
+        seen, todo, want = set(roots), [(r, 0) for r in sorted(roots)], set()
+        while todo:
+            now, d = todo.pop(0)
+            for direction, m in sorted({("caller", s) for s, x in edges if x == now} | {("callee", x) for s, x in edges if s == now}) if d < depth else []:
+                if m not in seen:
+                    seen.add(m)
+                    want |= {(m, now, direction, d + 1)} if m in stops else set()
+                    todo += [] if m in stops else [(m, d + 1)]
+        node = lambda xs: spark.createDataFrame([(x,) for x in sorted(xs)], "node string")
+        got = graph.search(spark.createDataFrame([(*e, 1) for e in edges], "src_qname string, dst_qname string, count long"), node(roots), node(stops), depth)
+        assert {tuple(r) for r in got.hits.collect()} == want and not got.cut
+
+
+def test_three_hundred_roots_give_every_hit_or_a_mark(spark):
+    edges = spark.range(300).select(F.concat(F.lit("c"), "id").alias("src_qname"), F.concat(F.lit("r"), "id").alias("dst_qname"), F.lit(1).alias("count"))
+    roots, stops = edges.select(F.col("dst_qname").alias("node")), edges.select(F.col("src_qname").alias("node"))
+    whole, bounded = graph.search(edges, roots, stops), graph.search(edges, roots, stops, most=256)
+    assert whole.hits.count() == 300 and not whole.cut and bounded.cut and bounded.hits.count() == 0
+    few = graph.search(edges, roots.limit(5), stops, most=256)
+    assert few.hits.count() == 5 and not few.cut
+
+
+def test_top_per_key_says_how_many_there_are(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("k"), F.col("id").alias("v"))
+    got = changes.top_per_key(df, ["k"], [F.desc("v")], 2).collect()
+    assert sorted((r.k, r.v, r.of) for r in got) == [(0, 996, 334), (0, 999, 334), (1, 994, 333), (1, 997, 333), (2, 995, 333), (2, 998, 333)]
+    assert "WindowGroupLimit" in changes.top_per_key(df, ["k"], [F.desc("v")], 2)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_cycles_tree_inheritance_neighbours(spark):
     e = spark.createDataFrame([("1", "2"), ("2", "3"), ("3", "1"), ("3", "4"), ("5", "5"), ("4", "6")], "src string, dst string")
     assert {r.node for r in graph.cycle_nodes(e).collect()} == {"1", "2", "3", "5"} and graph.cycle_nodes(e.limit(0)).count() == 0

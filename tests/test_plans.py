@@ -251,3 +251,35 @@ def test_history_documents(spark):
     some, none = spark.createDataFrame([("a",)], "name string"), spark.createDataFrame([], "name string")
     assert [r.key for r in quality.undocumented(some, none).collect()] == ["history"]
     assert quality.undocumented(some, some).count() == quality.undocumented(none, none).count() == 0
+
+
+def test_impact_is_bounded_and_says_so(spark, tmp_path):
+    from loomdex.plans import upkeep
+
+    plans = spark.createDataFrame([("p1", "executing", [], []), ("p2", "approved", [], []), ("p3", "draft", [], [])], "plan_id string, status string, files array<string>, symbols array<string>")
+    tasks = [("p1", k, "B1", [f"new/f{k}.py"] if k < 40 else [], [f"s{k:03d}"]) for k in range(260)] + [(p, 1, "B1", [], ["s000"]) for p in ("p2", "p3")]
+    tasks = spark.createDataFrame(tasks, "plan_id string, number int, batch string, files array<string>, symbols array<string>")
+    files, symbols = [f"old/f{k}.py" for k in range(40)], [f"s{k:03d}" for k in range(260)]
+    got = impact.impact(plans, tasks, files, symbols, None, None).collect()
+    own = [r for r in got if r.plan_id == "p1"]
+    assert len(own) == 200 and {(r.plan_rows, r.plan_possible) for r in own} == {(300, 40)} and not any(r.search_cut for r in got)
+    assert [(r.plan_rows, r.plan_possible) for r in got if r.plan_id == "p2"] == [(1, 0)] and not [r for r in got if r.plan_id == "p3"]
+    wide = impact.impact(plans, tasks, files, symbols, None, None, most=1000).where("plan_id = 'p1'")
+    assert wide.count() == 272 and wide.where("level = 'possible'").count() == 12
+    every = impact.everything(plans, tasks, files, symbols, None, None)
+    assert every.rows.count() == 301 and not every.cut
+    report = json.loads(upkeep.write_report(every.rows, tmp_path / "r.json", ["plan_id", *impact.ORDER]).read_text())
+    assert (len(report["items"]), report["total"], report["truncated"], report["search_cut"]) == (200, 301, True, False)
+    small = json.loads(upkeep.write_report(every.rows.where("plan_id = 'p2'"), tmp_path / "r.json", ["plan_id"]).read_text())
+    assert (small["total"], small["truncated"]) == (1, False) and json.loads(upkeep.write_report(every.rows.limit(1), tmp_path / "r.json", ["plan_id"], cut=True).read_text())["truncated"]
+
+
+def test_impact_of_three_hundred_changed_symbols(spark):
+    plans = spark.createDataFrame([("p1", "executing", [], [])], "plan_id string, status string, files array<string>, symbols array<string>")
+    tasks = spark.createDataFrame([("p1", k, "B1", [], [f"c{k}"]) for k in range(300)], "plan_id string, number int, batch string, files array<string>, symbols array<string>")
+    edges = spark.range(300).selectExpr("concat('c', id) as src_qname", "concat('r', id) as dst_qname", "1 as count")
+    index = spark.createDataFrame([], "file string, qualified_name string")
+    roots = [f"r{k}" for k in range(300)]
+    whole = impact.impact(plans, tasks, [], roots, index, edges, most=1000).collect()
+    assert len(whole) == 300 and {(r.level, r.direction, r.graph_depth, r.search_cut) for r in whole} == {("indirect", "caller", 1, False)}
+    assert impact.everything(plans, tasks, [], roots, index, edges, nodes=256).cut
