@@ -301,6 +301,16 @@ def cycle_nodes(spark, d):  # G10
     return graph.cycle_nodes(n.select("a", F.expr("(a * a + 1) % 25").alias("b")).union(n.select("a", F.expr("r * 5"))), "a", "b")
 
 
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM part), e AS (SELECT p_partkey AS a, (p_partkey * p_partkey + 1) % n AS b FROM part, n UNION SELECT p_partkey, p_partkey - 1 FROM part WHERE p_size = 7),
+  c AS (SELECT a, b FROM e UNION SELECT c.a, e.b FROM c JOIN e ON c.b = e.a), r AS (SELECT DISTINCT x.a, y.a AS z FROM c x JOIN c y ON y.a = x.b AND y.b = x.a)
+  SELECT a AS node, count(*) AS size FROM r GROUP BY a""")
+def circle_sizes(spark, d):  # G10: every part points to one other, some to a second
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("a"), "p_size")
+    n = p.count()
+    found = graph.circles(p.select("a", F.expr(f"(a * a + 1) % {n}").alias("b")).union(p.where("p_size = 7").select("a", F.expr("a - 1"))), "a", "b")
+    return found.join(found.groupBy("component").agg(F.count("*").alias("size")), "component").select("node", "size")
+
+
 @query(b.with_("files") + """, p AS (SELECT string_split(path, '/') AS s FROM files), k AS (SELECT s, unnest(range(1, len(s) + 1)) AS n FROM p)
   SELECT DISTINCT array_to_string(s[1:n - 1], '/') AS parent, array_to_string(s[1:n], '/') AS child FROM k""")
 def tree_edges(spark, d):  # G8, O11

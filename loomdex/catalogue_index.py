@@ -12,7 +12,7 @@ from loomdex import catalogue, schema
 from loomdex.catalogue import query
 from loomdex.functions import text, udf
 from loomdex.operators import graph, quality, render, resolve, search, working_set
-from loomdex.runtime import table
+from loomdex.runtime import checkpoint, table
 from loomdex.sources import extract, walk
 
 
@@ -388,6 +388,16 @@ def impact_report(spark, d):  # K13, F7, O6
     return found.select(udf.canonical(F.to_json(F.struct("ref", "plan_id", "level", "kind", "batch"))).alias("item"))
 
 
+@query(catalogue.RESOLVED + " SELECT src_qname, dst_qname, count(*) AS count FROM resolved WHERE dst_qname IS NOT NULL GROUP BY 1, 2")
+def resolved_by_difference(spark, d):  # L2, J7, K5: an index without the files of every eleventh part is resolved, then they come
+    symbols, raw, refs = b.symbols(spark, d), b.raw_calls(spark, d), b.import_refs(spark, d)
+    came = symbols.where("seq % 11 = 0").select(F.col("file").alias("path")).distinct()
+    without = lambda df, c: df.join(came.select(F.col("path").alias(c)), c, "left_anti").select(*df.columns)
+    old_symbols, old_refs = without(symbols, "file"), without(without(refs, "src_file"), "dst_file")
+    old = resolve.resolve_calls(without(raw, "file"), old_symbols, old_refs)
+    return resolve.call_edges(resolve.by_difference(checkpoint(old), raw, resolve.States(came, symbols, refs, old_symbols, old_refs)))
+
+
 _IMPACT = b.with_("call_edges") + """, w AS (SELECT 'plan-' || CAST(p_partkey % 7 AS VARCHAR) AS plan_id, p_partkey % 7 IN (1, 2, 4, 5) AS open_, p_partkey AS number, 'B' || CAST(p_partkey % 3 AS VARCHAR) AS batch,
     'a/f' || CAST(p_partkey % 50 AS VARCHAR) || '.py' AS file, 's' || CAST(p_partkey AS VARCHAR) AS symbol, p_size > 5 AS changed FROM part),
   e AS (SELECT DISTINCT 's' || CAST(dst_qname AS VARCHAR) AS node, 'caller' AS direction, 's' || CAST(src_qname AS VARCHAR) AS other FROM call_edges UNION SELECT 's' || CAST(src_qname AS VARCHAR), 'callee', 's' || CAST(dst_qname AS VARCHAR) FROM call_edges),

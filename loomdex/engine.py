@@ -1,7 +1,9 @@
 """An index of a source tree: scan, incremental update, questions, context working set, checks.
 
 A warehouse is a folder: ``tables/<name>/<version>`` are Parquet folders that are never changed once written, ``changes/run_id=<n>`` the append-only
-log, and ``meta.json`` says which version of each table counts; it is replaced in one step, so a reader sees one state or the next.
+log, and ``meta.json`` says which version of each table counts; it is replaced in one step, so a reader sees one state or the next. Tables with a
+key of files or symbols are cut into buckets by its hash (``bucket=<b>`` below a version), and ``meta.json`` names a version for each bucket: an
+update writes the buckets that it touches and keeps the others where they are.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from loomdex.functions import text
 from loomdex.operators import changes, graph, quality, render, resolve, search, working_set
 from loomdex.plans import impact, records, upkeep
 from loomdex.runtime import checkpoint
-from loomdex.schema import TABLES
+from loomdex.schema import BUCKETED, TABLES
 from loomdex.sources import extract, walk
 
 
@@ -32,6 +34,8 @@ class IndexMissing(RuntimeError):
     """There is no index yet: scan first."""
 
 
+#: Files that a bucket is made for, and the bounds of their number, which a scan sets.
+BUCKET_FILES, LEAST_BUCKETS, MOST_BUCKETS = 2_000, 8, 4_096
 #: How many names an ambiguous one is said to stand for; the error says if there are more.
 CANDIDATES = 50
 
@@ -82,6 +86,7 @@ class Index:
 
     def _save(self, meta: dict[str, Any]) -> None:
         self.home.mkdir(parents=True, exist_ok=True)
+        meta["before"] = self.meta["tables"]  # readers of the state before may still be at work
         (self.home / ".gitignore").write_text("*\n", encoding="utf-8")
         with tempfile.NamedTemporaryFile("w", dir=self.home, delete=False, encoding="utf-8") as f:
             json.dump(meta, f, indent=1, sort_keys=True)
@@ -99,66 +104,119 @@ class Index:
         if name == "changes":
             folder = self.home / "changes"
             return self.spark.read.schema(self._schema("changes")).parquet(str(folder)) if folder.exists() else self.spark.createDataFrame([], self._schema("changes"))
-        path = self.meta["tables"].get(name)
-        return self.spark.read.schema(self._schema(name)).parquet(str(self.home / path)) if path else self.spark.createDataFrame([], self._schema(name))
+        return self._at(self.meta, name)
+
+    def _paths(self, tables: dict[str, Any], name: str, buckets: set[int] | None = None) -> list[str]:
+        """The folders of a table, or of some of its buckets, below the warehouse."""
+        at = tables.get(name) or {}
+        if isinstance(at, str):
+            return [at]
+        return [f"tables/{name}/{version}/bucket={b}" for b, version in sorted(at.items()) if buckets is None or int(b) in buckets]
+
+    def _at(self, meta: dict[str, Any], name: str, buckets: set[int] | None = None) -> DataFrame:
+        """A table, or some buckets of it, as of ``meta``."""
+        paths = [str(self.home / p) for p in self._paths(meta["tables"], name, buckets)]
+        return self.spark.read.schema(self._schema(name)).parquet(*paths) if paths else self.spark.createDataFrame([], self._schema(name))
 
     def tables(self) -> dict[str, DataFrame]:
         return {n: self.table(n) for n in TABLES}
 
+    def _shaped(self, name: str, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f.name).cast(f.dataType) for f in self._schema(name).fields])
+
+    def _bucket(self, meta: dict[str, Any], key: str):
+        return F.pmod(F.xxhash64(key), F.lit(meta["buckets"])).cast("int")
+
     def _write(self, meta: dict[str, Any], **frames: DataFrame) -> None:
-        """Write new versions of tables, in folders that nothing reads yet; none counts before ``_save``."""
-        meta["step"] = meta.get("step", 0) + 1
+        """Write new versions of whole tables, in folders that nothing reads yet; none counts before ``_save``."""
         for name, df in frames.items():
+            if name in BUCKETED:
+                self._replace(meta, name, df, None)
+                continue
+            meta["step"] = meta.get("step", 0) + 1
             path = f"tables/{name}/{meta['step']:08d}"
             shutil.rmtree(self.home / path, ignore_errors=True)
-            df.select(*[F.col(f.name).cast(f.dataType) for f in self._schema(name).fields]).write.parquet(str(self.home / path))
+            self._shaped(name, df).write.parquet(str(self.home / path))
             meta["tables"][name] = path
 
-    def _sweep(self, meta: dict[str, Any], keep: int = 2) -> None:
-        """Remove versions that are older than the last ``keep``."""
-        for name, path in meta["tables"].items():
-            have = sorted(p for p in (self.home / "tables" / name).iterdir() if p.is_dir())
-            for old in have[:-keep]:
-                if old != self.home / path:
-                    shutil.rmtree(old, ignore_errors=True)
+    def _replace(self, meta: dict[str, Any], name: str, df: DataFrame, buckets: set[int] | None) -> None:
+        """Write new versions of some buckets of a table, or of all; ``df`` has their rows only."""
+        meta["step"] = meta.get("step", 0) + 1
+        version = f"{meta['step']:08d}"
+        folder = self.home / "tables" / name / version
+        shutil.rmtree(folder, ignore_errors=True)
+        self._shaped(name, df).withColumn("bucket", self._bucket(meta, BUCKETED[name])).repartition("bucket").write.partitionBy("bucket").parquet(str(folder))
+        old = meta["tables"].get(name)
+        kept = {b: v for b, v in old.items() if int(b) not in buckets} if buckets is not None and isinstance(old, dict) else {}
+        meta["tables"][name] = kept | {p.name.split("=")[1]: version for p in folder.glob("bucket=*")}
+
+    def _buckets(self, meta: dict[str, Any], keys: DataFrame, key: str) -> set[int]:
+        """The buckets of some keys: at most as many numbers as there are buckets."""
+        return {r.b for r in keys.select(self._bucket(meta, key).alias("b")).distinct().collect()}
+
+    def _sweep(self, meta: dict[str, Any]) -> None:
+        """Remove what neither this state nor the one before it reads."""
+        for name in meta["tables"]:
+            read = {self.home / p for tables in (meta["tables"], meta.get("before", {})) for p in self._paths(tables, name)}
+            for version in [p for p in (self.home / "tables" / name).iterdir() if p.is_dir()]:
+                if version in read:
+                    continue
+                for bucket in version.glob("bucket=*"):
+                    if bucket not in read:
+                        shutil.rmtree(bucket, ignore_errors=True)
+                if not any(version.glob("bucket=*")):
+                    shutil.rmtree(version, ignore_errors=True)
 
     # ---------------------------------------------------------------- scan and update
 
-    def _derived(self, files: DataFrame, symbols: DataFrame, imports: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-        refs = resolve.import_edges(imports, files)
-        return refs, resolve.resolve_calls(raw, symbols, refs)
-
-    def _finish(self, meta: dict[str, Any], version: int, out: Outcome, staged: Path | None) -> Outcome:
-        """References, calls and counters from the tables just written; then the new state counts."""
-        self._write_derived(meta, version)
-        resolved = self.spark.read.parquet(str(self.home / f"tables/resolved/{version:08d}"))
-        out.rate = resolve.resolution_rate(resolved).first().rate
-        shutil.rmtree(self.home / f"tables/resolved/{version:08d}", ignore_errors=True)
+    def _finish(self, meta: dict[str, Any], version: int, out: Outcome) -> Outcome:
+        """Counters from the tables just written; then the new state counts."""
+        out.rate = resolve.resolution_rate(self._at(meta, "resolved")).first().rate
         out.files = self._at(meta, "files").count()
         meta |= {"version": version, "rate": out.rate, "lang": self.lang}
         self._save(meta)
-        if staged:
-            shutil.rmtree(staged, ignore_errors=True)
+        shutil.rmtree(self.home / "staging", ignore_errors=True)
         self._sweep(meta)
         return out
 
-    def _at(self, meta: dict[str, Any], name: str) -> DataFrame:
-        return self.spark.read.schema(self._schema(name)).parquet(str(self.home / meta["tables"][name]))
-
-    def _write_derived(self, meta: dict[str, Any], version: int) -> None:
-        refs, _ = self._derived(*[self._at(meta, n) for n in ("files", "symbols", "imports", "raw_calls")])
-        self._write(meta, refs=refs)
-        _, resolved = self._derived(*[self._at(meta, n) for n in ("files", "symbols", "imports", "raw_calls")])
-        path = str(self.home / f"tables/resolved/{version:08d}")
-        resolve.resolve_calls(self._at(meta, "raw_calls"), self._at(meta, "symbols"), self._at(meta, "refs")).select("src_qname", "callee_raw", "line", "dst_qname").write.mode("overwrite").parquet(path)
-        self._write(meta, call_edges=resolve.call_edges(self.spark.read.parquet(path)))
-
-    def _stage(self, extracted: DataFrame, version: int) -> tuple[DataFrame, Path]:
+    def _park(self, df: DataFrame, name: str) -> DataFrame:
+        """Rows that several steps of one run read, written once."""
+        path = str(self.home / "staging" / name)
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _derive(self, meta: dict[str, Any]) -> None:
+        """References and calls from the tables just written, all of them."""
+        self._write(meta, refs=resolve.import_edges(self._at(meta, "imports"), self._at(meta, "files")))
+        self._write(meta, resolved=resolve.resolve_calls(self._at(meta, "raw_calls"), self._at(meta, "symbols"), self._at(meta, "refs")))
+        self._write(meta, call_edges=resolve.call_edges(self._at(meta, "resolved")))
+
+    def _derive_changed(self, old: dict[str, Any], meta: dict[str, Any], touched: DataFrame) -> None:
+        """References and calls that a change of the touched files alters, in the buckets that hold them; ``old`` is the state before."""
+        was, refs = self._at(old, "refs"), self._park(resolve.import_edges(self._at(meta, "imports"), self._at(meta, "files")), "refs")
+        moved = was.subtract(refs).union(refs.subtract(was)).select("src_file").distinct()
+        if buckets := self._buckets(meta, moved, "src_file"):
+            self._replace(meta, "refs", refs.where(self._bucket(meta, "src_file").isin(buckets)), buckets)
+        at = resolve.States(touched, self._at(meta, "symbols"), refs, self._at(old, "symbols"), was)
+        before = self._park(resolve.marked(self._at(old, "resolved"), at).where("again").select("file", "src_qname"), "before")
+        again = self._park(resolve.marked(self._at(meta, "raw_calls"), at).where("again").drop("again"), "again")
+        done = self._park(self._shaped("resolved", resolve.resolve_some(again, at.symbols, refs)), "done")
+        buckets = self._buckets(meta, before.select("file").union(done.select("file")), "file")
+        if not buckets:
+            return
+        kept = resolve.marked(self._at(old, "resolved", buckets), at).where("not again").drop("again")
+        self._replace(meta, "resolved", kept.unionByName(done), buckets)
+        callers = self._park(before.select("src_qname").union(done.select("src_qname")).distinct(), "callers")
+        buckets = self._buckets(meta, callers, "src_qname")
+        edges = resolve.call_edges(self._at(meta, "resolved").join(callers, "src_qname", "left_semi"))
+        self._replace(meta, "call_edges", self._at(old, "call_edges", buckets).join(callers, "src_qname", "left_anti").unionByName(edges), buckets)
+
+    def _stage(self, extracted: DataFrame, version: int) -> DataFrame:
         """Extracted rows, written once: parsing is the dear part and several tables come from it."""
         path = self.home / f"staging/{version:08d}"
         shutil.rmtree(path, ignore_errors=True)
         extracted.write.parquet(str(path))
-        return self.spark.read.schema(extract.SCHEMA).parquet(str(path)), path
+        return self.spark.read.schema(extract.SCHEMA).parquet(str(path))
 
     def _log(self, rows: DataFrame, run: int, ts: datetime) -> int:
         """Append a run's changes, numbered in order of file and place: ranges of files in parallel, so numbers ascend but have gaps."""
@@ -172,48 +230,54 @@ class Index:
         """Index every file anew; each symbol is logged as added, and the working set is cleared."""
         paths, meta = walk.source_files(self.root), self.meta
         version, ts = meta["version"] + 1, utc()
-        got, staged = self._stage(extract.extract_paths(self.spark, self.root, paths) if paths else self.spark.createDataFrame([], extract.SCHEMA), version)
+        got = self._stage(extract.extract_paths(self.spark, self.root, paths) if paths else self.spark.createDataFrame([], extract.SCHEMA), version)
         symbols = extract.symbols_table(got, self.lang)
+        meta["buckets"] = min(MOST_BUCKETS, max(LEAST_BUCKETS, len(paths) // BUCKET_FILES))
         self._write(meta, files=extract.files_table(got, ts), symbols=symbols, imports=extract.imports_table(got), raw_calls=extract.calls_table(got), working_set=self.table("working_set").limit(0))
         own = self._at(meta, "symbols")
         out = Outcome(version, full=True, errors=[(r.path, r.error) for r in got.where("error is not null").select("path", "error").collect()])
         none = own.limit(0)
         out.changes = self._log(changes.symbol_changes(none, own), version, ts)
         out.changed = len(paths)
-        return self._finish(meta, version, out, staged)
+        self._derive(meta)
+        return self._finish(meta, version, out)
 
     def update(self) -> Outcome:
-        """Index what changed since the last time, log the differences, and resolve all references and calls again."""
-        meta = self.meta
-        if not meta["tables"].get("files") or meta.get("lang", self.lang) != self.lang:
+        """Index what changed since the last time, log the differences, and resolve again what they can have altered.
+
+        Tables are read and written in the buckets of touched files only; the list of files is compared as a whole.
+        """
+        old, meta = self.meta, self.meta
+        if not meta["tables"].get("resolved") or meta.get("lang", self.lang) != self.lang:
             return self.scan()
         version, ts = meta["version"] + 1, utc()
-        stored = self.table("files")
+        stored = self._at(old, "files")
         seen = self.spark.createDataFrame(extract.stamps(self.root, walk.source_files(self.root)), "path string, size long, mtime double")
         acts = changes.file_actions(stored, seen.withColumn("hash", F.lit(None).cast("string")))
         todo = [r.path for r in acts.where("action in ('new', 'changed')").select("path").collect()]
-        gone = acts.where("action = 'deleted'").select("path")
+        gone = self._park(acts.where("action = 'deleted'").select("path"), "gone")
         out = Outcome(version, deleted=gone.count())
         if not todo and not out.deleted:
             out.version, out.files, out.rate = meta["version"], stored.count(), meta.get("rate", 1.0)
             return out
-        got, staged = self._stage(extract.extract_paths(self.spark, self.root, todo) if todo else self.spark.createDataFrame([], extract.SCHEMA), version)
+        got = self._stage(extract.extract_paths(self.spark, self.root, todo) if todo else self.spark.createDataFrame([], extract.SCHEMA), version)
         fresh = got.join(stored.select("path", F.col("hash").alias("_h")), "path", "left").where("_h is null or _h <> hash").drop("_h")
         out.changed = fresh.count()
         out.errors = [(r.path, r.error) for r in fresh.where("error is not null").select("path", "error").collect()]
-        touched = fresh.select("path").union(gone)
-        of = lambda name, column="file": self.table(name).join(touched.select(F.col("path").alias(column)), column, "left_anti")
-        new_symbols = extract.symbols_table(fresh, self.lang)
-        old_symbols = self.table("symbols").join(touched.select(F.col("path").alias("file")), "file", "left_semi")
-        diff = changes.pair_renames(changes.symbol_changes(old_symbols, new_symbols))
-        out.changes = self._log(diff, version, ts)
-        files = stored.join(got.select("path").union(gone), "path", "left_anti").unionByName(extract.files_table(got, ts))
-        keep = lambda name: self.table(name).columns
-        self._write(
-            meta, files=files, symbols=of("symbols").unionByName(new_symbols.select(*keep("symbols"))), imports=of("imports").unionByName(extract.imports_table(fresh)),
-            raw_calls=of("raw_calls").unionByName(extract.calls_table(fresh)),
-        )
-        return self._finish(meta, version, out, staged)
+        looked, touched = got.select("path").union(gone), self._park(fresh.select("path").union(gone), "touched")
+        buckets = self._buckets(meta, looked, "path")
+        rest = self._at(old, "files", buckets).join(looked, "path", "left_anti")
+        self._replace(meta, "files", rest.unionByName(extract.files_table(got, ts)), buckets)
+        buckets, of = self._buckets(meta, touched, "path"), touched.select(F.col("path").alias("file"))
+        new = {"symbols": extract.symbols_table(fresh, self.lang), "imports": extract.imports_table(fresh), "raw_calls": extract.calls_table(fresh)}
+        diff = changes.symbol_changes(self._at(old, "symbols", buckets).join(of, "file", "left_semi"), new["symbols"])
+        out.changes = self._log(changes.pair_renames(diff), version, ts)
+        if buckets:
+            for name, rows in new.items():
+                rest = self._at(old, name, buckets).join(of, "file", "left_anti")
+                self._replace(meta, name, rest.unionByName(self._shaped(name, rows)), buckets)
+            self._derive_changed(old, meta, touched)
+        return self._finish(meta, version, out)
 
     # ---------------------------------------------------------------- questions
 

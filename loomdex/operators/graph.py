@@ -131,24 +131,103 @@ def _bounded(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth: int, m
     return found, seen
 
 
-def cycle_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
-    """node: the nodes that reach themselves.
+def _followed(steps: DataFrame, rounds: int) -> DataFrame:
+    """v, end, least: where the steps (v, end) lead that go on from each end that is itself a v, and the least node on the way; after ``rounds``
+    doublings, those that still lead to a v are in a ring, and have been round it.
+    """
+    steps = steps.withColumn("least", F.least("v", "end"))
+    for _ in range(rounds):
+        ahead = steps.select(F.col("v").alias("end"), F.col("end").alias("_next"), F.col("least").alias("_least"))
+        steps = checkpoint(steps.join(ahead, "end", "left").select("v", F.coalesce("_next", "end").alias("end"), F.least("least", "_least").alias("least")))
+    return steps
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) whose start is an end, and whose end is a start: the others are on no circle."""
+    ends, starts = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
+    return edges.join(ends, "a", "left_semi").join(starts, "b", "left_semi").select("a", "b")
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Chains as single edges: the edges, the nodes of rings that nothing else touches, and what stood within the chains, (v, a, b).
 
-    Nodes that nothing leads to, or that lead nowhere, are peeled off until none is left; pairs of the closure of the rest, which is about
-    the circles themselves, double their length in each round until none is new.
+    A node with one edge in and one out is on a circle just when the ends of its chain are, in one component; ends are found from both sides by
+    doubling, in as many rounds as the longest chain has binary digits.
     """
-    pairs = checkpoint(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).distinct())
-    n, before = pairs.count(), -1
-    while n and n != before:
-        inner = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_semi").join(pairs.select(F.col("a").alias("b")).distinct(), "b", "left_semi")
-        pairs = checkpoint(inner.select("a", "b"))
-        n, before = pairs.count(), n
-    while True:
-        longer = pairs.alias("x").join(pairs.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b")
-        pairs = checkpoint(pairs.union(longer).distinct())
-        if (now := pairs.count()) == n:
-            return pairs.where("a = b").select(F.col("a").alias("node"))
-        n = now
+    out, in_ = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("end")), edges.groupBy("b").agg(F.count("*").alias("m"), F.min("a").alias("from"))
+    inner = out.where("n = 1").join(in_.where("m = 1").withColumnRenamed("b", "a"), "a").select(F.col("a").alias("v"), "end", "from")
+    inner = checkpoint(inner)
+    if not (n := inner.count()):
+        return edges, inner.select("v", F.col("v").alias("component")), inner.select("v", F.col("from").alias("a"), F.col("end").alias("b"))
+    rounds = n.bit_length() + 1
+    ahead, back = _followed(inner.select("v", "end"), rounds), _followed(inner.select("v", F.col("from").alias("end")), rounds)
+    both = ahead.withColumnRenamed("end", "b").join(back.select("v", F.col("end").alias("a")), "v")
+    own = inner.select(F.col("v").alias("b"))
+    ring = checkpoint(both.join(own, "b", "left_semi").select("v", F.col("least").alias("component")))
+    within = checkpoint(both.join(own, "b", "left_anti").select("v", "a", "b"))
+    rest = edges.join(inner.select(F.col("v").alias("a")), "a", "left_anti").join(own, "b", "left_anti").select("a", "b")
+    return checkpoint(rest.union(within.select("a", "b")).distinct()), ring, within
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """v, component of the strongly connected components that hold the least node to reach each of their nodes: one for each colour.
+
+    A node's colour is the least node that it can be reached from; the component of the least itself are the nodes of its colour that reach it.
+    """
+    both = edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct()
+    colour, moved = checkpoint(both.withColumn("c", F.col("v"))), 1
+    while moved:
+        came = edges.join(colour.withColumnRenamed("v", "a"), "a").groupBy(F.col("b").alias("v")).agg(F.min("c").alias("_c"))
+        step = checkpoint(colour.join(came, "v", "left").select("v", F.least("c", "_c").alias("c"), (F.col("_c") < F.col("c")).alias("_moved")))
+        moved, colour = step.where("_moved").count(), step.select("v", "c")
+    same = edges.join(colour.withColumnRenamed("v", "a"), "a").join(colour.select(F.col("v").alias("b"), F.col("c").alias("_c")), "b").where("c = _c").select("a", "b", "c")
+    same = checkpoint(same)
+    found = front = checkpoint(colour.where("v = c"))
+    while front.limit(1).count():
+        step = same.join(front.select(F.col("v").alias("b")), "b").select(F.col("a").alias("v"), "c").distinct()
+        front = checkpoint(step.join(found.select("v"), "v", "left_anti"))
+        found = checkpoint(found.union(front))
+    return found.select("v", F.col("c").alias("component"))
+
+
+def circles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """node, component: the nodes that reach themselves, and the least node of their strongly connected component that the search kept as its name.
+
+    Edges off all circles are trimmed and chains contracted until neither changes anything; then components are taken out, one a colour, and so on
+    until no edge is left; at last what stood within a chain follows the chain's ends. Every table is linear in the edges: no pair of nodes is made
+    that isn't an edge. Rounds are as many as the digits of the longest chain, and steps across what is left when chains are gone.
+    """
+    rest = checkpoint(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct())
+    found: list[DataFrame] = [rest.where("a = b").select(F.col("a").alias("v"), F.col("a").alias("component"))]
+    layers: list[DataFrame] = []
+    rest = rest.where("a <> b")
+    n = rest.count()
+    while n:
+        before = n
+        rest, ring, layer = _contracted(checkpoint(_trimmed(rest)))
+        layers.append(layer)
+        found.append(ring)
+        found.append(rest.where("a = b").select(F.col("a").alias("v"), F.col("a").alias("component")))
+        rest = checkpoint(rest.where("a <> b"))
+        n = rest.count()
+        if n == before:
+            own = _coloured(rest)
+            sizes = own.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+            found.append(own.join(sizes, "component", "left_semi").select("v", "component"))
+            rest = checkpoint(rest.join(own.select(F.col("v").alias("a")), "a", "left_anti").join(own.select(F.col("v").alias("b")), "b", "left_anti").select("a", "b"))
+            n = rest.count()
+    known = checkpoint(reduce(DataFrame.union, found).groupBy("v").agg(F.min("component").alias("component")))
+    for layer in reversed(layers):
+        # a chain from a node to itself is a circle of its own
+        a, b = known.select(F.col("v").alias("a"), F.col("component").alias("_a")), known.select(F.col("v").alias("b"), F.col("component").alias("_b"))
+        more = layer.join(a, "a").join(b, "b").where("_a = _b").select("v", F.col("_a").alias("component"))
+        known = checkpoint(known.union(more).groupBy("v").agg(F.min("component").alias("component")))
+    return known.select(F.col("v").alias("node"), "component")
+
+
+def cycle_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """node: the nodes that reach themselves."""
+    return circles(edges, src, dst).select("node")
 
 
 def tree_edges(files: DataFrame, path: str = "path") -> DataFrame:

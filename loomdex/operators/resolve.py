@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +92,59 @@ def resolve_calls(raw_calls: DataFrame, symbols: DataFrame, refs: DataFrame) ->
     return calls.select(*raw_calls.columns, dst.alias("dst_qname"))
 
 
+class States(NamedTuple):
+    """Symbols and file references before and after a change, and the files (path) that it touched."""
+
+    touched: DataFrame
+    symbols: DataFrame
+    refs: DataFrame
+    old_symbols: DataFrame
+    old_refs: DataFrame
+
+
+def marked(calls: DataFrame, at: States) -> DataFrame:
+    """``calls`` (file, src_qname, callee_raw and others) with ``again``: whether a change can have altered what the call means.
+
+    It can where the call's file was touched; where the last part of the callee is the name of a symbol that came or went; where the caller came or
+    went; and where the caller's file now has another target, or none, for the callee's first part. Each is a set of distinct keys, so no join
+    multiplies rows; sets that are small are broadcast by AQE.
+    """
+    paths = at.touched.select(F.col("path").alias("file")).distinct()
+    own = lambda s: s.join(paths, "file", "left_semi").select("file", "name", "qualified_name").distinct()
+    old, new = own(at.old_symbols), own(at.symbols)
+    moved = old.subtract(new).union(new.subtract(old))
+    words = moved.select(F.explode(F.array(text.last_segment(F.col("name")), text.last_segment(F.col("qualified_name")))).alias("_last")).distinct()
+    names = moved.select(F.col("qualified_name").alias("src_qname")).distinct()
+    was, is_ = import_map(at.old_refs), import_map(at.refs)
+    heads = was.subtract(is_).union(is_.subtract(was)).select(F.col("src_file").alias("file"), F.col("symbol").alias("_head")).distinct()
+    homes = at.symbols.groupBy(F.col("qualified_name").alias("src_qname")).agg(F.min("file").alias("file"))
+    imports = homes.join(heads, "file").select("src_qname", "_head").distinct()
+    rows = calls.withColumn("_last", text.last_segment(F.col("callee_raw"))).withColumn("_head", F.substring_index("callee_raw", ".", 1))
+    for k, (keys, on) in enumerate(((paths, ["file"]), (words, ["_last"]), (names, ["src_qname"]), (imports, ["src_qname", "_head"]))):
+        rows = rows.join(keys.withColumn(f"_m{k}", F.lit(True)), on, "left")
+    again = F.coalesce(*[F.col(f"_m{k}") for k in range(4)], F.lit(False))
+    return rows.select(*calls.columns, again.alias("again"))
+
+
+def resolve_some(calls: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
+    """``resolve_calls`` for some calls of an index: of its symbols and references only those that these calls can mean or come from."""
+    bare = F.when(calls.callee_raw.contains("."), F.regexp_replace("callee_raw", r"^[^.]*\.", "")).otherwise(F.col("callee_raw"))
+    wanted = calls.select(F.explode(F.array(text.last_segment(F.col("callee_raw")), bare)).alias("_w")).distinct()
+    callers = calls.select(F.col("src_qname").alias("_w")).distinct()
+    part = lambda k, c: F.struct(F.lit(k).alias("k"), c.alias("_w"))
+    parts = F.array(part(0, text.last_segment(F.col("qualified_name"))), part(0, F.col("name")), part(1, F.col("qualified_name")))
+    keys = wanted.select(F.lit(0).alias("k"), "_w").union(callers.select(F.lit(1), "_w"))
+    near = symbols.select("qualified_name", "name", "file").distinct().select("*", F.inline(parts)).join(keys, ["k", "_w"], "left_semi").select("qualified_name", "name", "file").distinct()
+    return resolve_calls(calls, near, refs.join(near.select(F.col("file").alias("src_file")).distinct(), "src_file", "left_semi"))
+
+
+def by_difference(resolved: DataFrame, raw_calls: DataFrame, at: States) -> DataFrame:
+    """What ``resolve_calls`` gives after a change, from what it gave before: answers that can't have changed are kept, the others are found anew."""
+    kept = marked(resolved, at).where("not again").drop("again")
+    again = resolve_some(marked(raw_calls, at).where("again").drop("again"), at.symbols, at.refs)
+    return kept.unionByName(again)
+
+
 def call_edges(resolved: DataFrame) -> DataFrame:
     return resolved.where("dst_qname is not null").groupBy("src_qname", "dst_qname").agg(F.count("*").alias("count"))
 

@@ -168,3 +168,35 @@ def test_empty_tree(spark, tmp_path):
     i = Index(spark, tmp_path / "repo", tmp_path / "w")
     out = i.scan()
     assert (out.files, out.changes, out.rate) == (0, 0, 1.0) and i.doctor().count() == 0
+
+
+def test_an_update_writes_touched_buckets_only(spark, tmp_path, monkeypatch):
+    """Files of untouched buckets stay as they are, byte and time; what the update gives equals an index made anew."""
+    monkeypatch.setattr("loomdex.engine.LEAST_BUCKETS", 16)
+    root, home = tmp_path / "repo", tmp_path / "w"
+    write(root, {f"m{k}.py": f"from m{(k + 1) % 24} import f{(k + 1) % 24}\ndef f{k}():\n    return f{(k + 1) % 24}()\ndef only{k}(): pass\n" for k in range(24)})
+    i = Index(spark, root, home)
+    i.scan()
+    parts = lambda: {p: p.stat().st_mtime_ns for name in ("symbols", "imports", "raw_calls", "resolved", "call_edges", "refs", "files") for p in (home / "tables" / name).rglob("*.parquet")}
+    before = parts()
+    assert len({p.parent.name for p in before}) > 8
+    write(root, {"m3.py": "from m4 import f4\ndef g3():\n    return f4()\ndef only3(): pass\n"})
+    out = i.update()
+    assert (out.changed, out.deleted) == (1, 0)
+    after = parts()
+    assert all(after[p] == t for p, t in before.items() if p in after)
+    fresh = [p for p in after if p not in before]
+    for name, most in (("symbols", 1), ("imports", 1), ("raw_calls", 1), ("files", 1), ("resolved", 2), ("refs", 1), ("call_edges", 3)):
+        assert len({p.parent for p in fresh if p.parts[-4] == name}) <= most, name
+    anew = Index(spark, root, tmp_path / "w2")
+    anew.scan()
+    assert state(i) == state(anew) and rows(i.table("resolved"), "src_qname", "callee_raw", "line", "dst_qname") == rows(anew.table("resolved"), "src_qname", "callee_raw", "line", "dst_qname")
+    (root / "m5.py").unlink()
+    i.update()
+    i.update()
+    again = Index(spark, root, tmp_path / "w3")
+    again.scan()
+    assert state(i) == state(again) and rows(i.table("files"), "path") == rows(again.table("files"), "path")
+    left = {p.parent for p in (home / "tables").rglob("*.parquet")}
+    read = {home / p for tables in (i.meta["tables"], i.meta["before"]) for n in tables for p in i._paths(tables, n)}
+    assert left <= read | {home / p for p in i._paths(i.meta["tables"], "working_set")}

@@ -209,3 +209,84 @@ def test_names_resolve_to_pages(spark):
     names = spark.createDataFrame([("f",), ("g",), ("a.f",), ("a.py",), ("c.py",), ("zz",)], "name string")
     got = {r.name: (r.state, r.page_id, r.file, r.n) for r in working_set.resolved(names, symbols, files).collect()}
     assert got == {"f": ("ambiguous", None, None, 2), "g": ("symbol", "b.g", "b.py", None), "a.f": ("symbol", "a.f", "a.py", None), "a.py": ("file", "a.py", "a.py", None), "c.py": ("unknown", None, None, None), "zz": ("unknown", None, None, None)}
+
+
+def test_resolution_by_difference_equals_resolution_anew(spark):
+    import random
+
+    rng = random.Random(11)
+    names, files = [f"f{k}" for k in range(9)], [f"{d}/m{k}.py" for d in "pq" for k in range(4)]
+    prefix = lambda f: f[:-3].replace("/", ".")
+
+    def world(base=None, edited=()):
+        """Symbols, raw calls and references of every file; those of files that aren't edited as before."""
+        out = {}
+        for f in files:
+            if base and f not in edited:
+                out[f] = base[f]
+                continue
+            own = [(f, f"{prefix(f)}.{n}", f"def {n}()", "", "") for n in rng.sample(names, rng.randrange(0, 5))]
+            own += [(f, f"{prefix(f)}.C.{n}", "def x(self)", "", "") for n in rng.sample(names, rng.randrange(0, 2))] + ([("p/m0.py", "shared.twin", "", "", "")] if f == "p/m0.py" else [])
+            callee = lambda: rng.choice([rng.choice(names), "self." + rng.choice(names), rng.choice(["h0", "h1", "x"]) + "." + rng.choice(names), "a.b." + rng.choice(names)])
+            calls = [(f, rng.choice([q for _, q, *_ in own]) if own else "none.here", callee(), k, k) for k in range(rng.randrange(0, 9))]
+            imports = [(f, rng.choice(files), f"h{k}", 1) for k in range(rng.randrange(0, 3))]
+            out[f] = (own, calls, imports)
+        return out
+
+    def frames(w):
+        each = [[x for f in files for x in w[f][k]] for k in range(3)]
+        raw, refs = "file string, src_qname string, callee_raw string, line int, seq int", "src_file string, dst_file string, symbol string, count long"
+        return symbols(spark, each[0]), spark.createDataFrame(each[1], raw), spark.createDataFrame(each[2], refs)
+
+    before, kept = world(), 0
+    for k in range(2):
+        edited = rng.sample(files, (1, 4)[k])
+        after = world(before, edited)
+        # a reference may change in a file that nobody touched, where its target came or went
+        other = rng.choice(files)
+        after[other] = (*after[other][:2], [(other, rng.choice(files), "h0", 1)])
+        (s0, r0, f0), (s1, r1, f1) = frames(before), frames(after)
+        old = resolve.resolve_calls(r0, s0, f0)
+        at = resolve.States(spark.createDataFrame([(f,) for f in edited], "path string"), s1, f1, s0, f0)
+        want, got = sorted(map(tuple, resolve.resolve_calls(r1, s1, f1).collect()), key=repr), sorted(map(tuple, resolve.by_difference(old, r1, at).collect()), key=repr)
+        assert got == want
+        kept += resolve.marked(r1, at).where("not again").count()
+        before = after
+    assert kept
+
+
+def _circles(edges):
+    """Node to the set of its strongly connected component, of the nodes that reach themselves; by plain closure."""
+    reach = {}
+    for a, _ in edges:
+        seen, todo = set(), [a]
+        while todo:
+            now = todo.pop()
+            for x, y in edges:
+                if x == now and y not in seen:
+                    seen.add(y)
+                    todo.append(y)
+        reach[a] = seen
+    return {a: frozenset(b for b in r if a in reach.get(b, ())) for a, r in reach.items() if a in r}
+
+
+def test_circles_equal_the_closure(spark):
+    import random
+
+    rng = random.Random(9)
+    rings = [(k, (k + 1) % 5) for k in range(5)] + [(10, 11), (11, 12), (12, 13), (13, 10), (12, 10)] + [(20 + k, 21 + k) for k in range(7)] + [(30, 30), (30, 31)]
+    two = [(40, 41), (41, 42), (42, 40), (42, 43), (43, 44), (44, 45), (45, 46), (46, 44)]
+    for edges in (rings, two, sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(60)}), []):
+        got = graph.circles(spark.createDataFrame(edges, "src long, dst long")).collect()
+        want, by = _circles(edges), {}
+        for r in got:
+            by.setdefault(r.component, set()).add(r.node)
+        assert len(got) == len({r.node for r in got}) and {r.node: frozenset(by[r.component]) for r in got} == want
+
+
+def test_a_long_ring_and_a_long_path_end(spark):
+    n = 4_000  # 100,000 end as well, in some minutes
+    ring = spark.range(n).select(F.col("id").alias("src"), ((F.col("id") + 1) % n).alias("dst"))
+    path = spark.range(n, 2 * n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    got = graph.circles(ring.union(path).union(spark.range(1).selectExpr("5L as src", f"{n}L as dst")))
+    assert got.agg(F.count("*"), F.max("node"), F.countDistinct("component")).first() == (n, n - 1, 1)
