@@ -11,7 +11,7 @@ from loomdex import bindings as b
 from loomdex import catalogue, schema
 from loomdex.catalogue import query
 from loomdex.functions import text, udf
-from loomdex.operators import graph, quality, render, resolve, search, working_set
+from loomdex.operators import graph, postings, quality, render, resolve, search, working_set
 from loomdex.runtime import checkpoint, table
 from loomdex.sources import extract, walk
 
@@ -138,6 +138,45 @@ def search_top(spark, d):  # O1, R1a
     return search.search(b.symbols(spark, d), "widget small", 20).select("qualified_name")
 
 
+_GRAMS = b.with_("symbols") + """, c AS (SELECT file, lower(x) AS x FROM symbols, unnest([qualified_name, name, signature, description, file]) AS t(x)),
+  g AS (SELECT DISTINCT file, x[i:i + 2] AS gram FROM (SELECT file, x, unnest(range(1, greatest(length(x) - 1, 1))) AS i FROM c))"""
+
+
+@query(_GRAMS + " SELECT gram, count(*) AS files FROM g GROUP BY gram")
+def gram_files(spark, d):  # K17: how many files have each trigram
+    return postings.grams(b.symbols(spark, d)).groupBy("gram").agg(F.count("*").alias("files"))
+
+
+def _kept(spark, d):
+    """The kept index as an update leaves it: the files of every fifth part come later than the others."""
+    s = b.symbols(spark, d)
+    late = s.where("seq % 5 = 0").select("file").distinct()
+    first, then = s.join(late, "file", "left_anti").select(*s.columns), s.join(late, "file", "left_semi").select(*s.columns)
+    merged = lambda f: f(first).join(late, "file", "left_anti").unionByName(f(then))
+    return s, merged(lambda x: postings.grams(x).select("file", "gram")), merged(postings.sizes)
+
+
+@query(catalogue.ORACLES["bm25_rank"])
+def posting_rank(spark, d):  # R1, K17, J1: the same scores from the kept index
+    s, grams, sizes = _kept(spark, d)
+    near = s.join(postings.candidates(grams, ["widget", "small"]), "file", "left_semi").select(*s.columns)
+    return postings.bm25(near, sizes, "widget small").select("seq", "qualified_name", F.round("score", 6).alias("score"))
+
+
+@query(catalogue.ORACLES["search_top"])
+def posting_top(spark, d):  # O1, R1a, K17
+    s, grams, sizes = _kept(spark, d)
+    return postings.find(s, grams, sizes, "widget small", 20).select("qualified_name")
+
+
+@query(b.with_("symbols") + """, o AS (SELECT file, min(seq) AS n FROM symbols GROUP BY file)
+  SELECT 'search index out of date' AS problem, file AS key FROM o WHERE n % 4 = 0 OR file IN (SELECT file FROM symbols WHERE seq % 9 = 0)""")
+def posting_problems(spark, d):  # C2: a file that the index lacks, or whose symbols it hasn't all
+    s = b.symbols(spark, d)
+    gone = s.groupBy("file").agg(F.min("seq").alias("n")).where("n % 4 = 0").select("file")
+    return postings.stale(s, postings.sizes(s.where("seq % 9 <> 0")).join(gone, "file", "left_anti"))
+
+
 def _named_edges(spark, d):
     """Calls between symbols by their names."""
     own = b.symbols(spark, d).select("seq", "qualified_name")

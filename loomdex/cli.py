@@ -65,7 +65,7 @@ def plan(a, index) -> int:
     if a.action in ("lint", "status", "impact"):
         plans = records.read(index.spark, a.path)
         if a.action == "lint":
-            found = lint.lint(plans, index.table("files").select("path") if index.meta["tables"].get("files") else None)
+            found = lint.lint(plans, index.table("files").select("path") if "files" in index.meta["tables"] else None)
             show(found)
             return int(found.count() > 0)
         show(records.summary(plans) if a.action == "status" else index.impact(plans, a.files, a.symbols))

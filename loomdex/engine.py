@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomdex.functions import text
-from loomdex.operators import changes, graph, quality, render, resolve, search, working_set
+from loomdex.operators import changes, graph, postings, quality, render, resolve, search, working_set
 from loomdex.plans import impact, records, upkeep
 from loomdex.runtime import checkpoint
-from loomdex.schema import BUCKETED, TABLES
+from loomdex.schema import BUCKETED, SORTED, TABLES
 from loomdex.sources import extract, walk
 
 
@@ -35,7 +35,7 @@ class IndexMissing(RuntimeError):
 
 
 #: Files that a bucket is made for, and the bounds of their number, which a scan sets.
-BUCKET_FILES, LEAST_BUCKETS, MOST_BUCKETS = 2_000, 8, 4_096
+BUCKET_FILES, LEAST_BUCKETS, MOST_BUCKETS = 2_000, 1, 4_096
 #: How many names an ambiguous one is said to stand for; the error says if there are more.
 CANDIDATES = 50
 
@@ -93,7 +93,7 @@ class Index:
         os.replace(f.name, self.home / "meta.json")
 
     def require(self) -> None:
-        if not self.meta["tables"].get("files"):
+        if "files" not in self.meta["tables"]:
             raise IndexMissing(f"no index in {self.home}; scan {self.root} first")
 
     def _schema(self, name: str) -> T.StructType:
@@ -145,7 +145,8 @@ class Index:
         version = f"{meta['step']:08d}"
         folder = self.home / "tables" / name / version
         shutil.rmtree(folder, ignore_errors=True)
-        self._shaped(name, df).withColumn("bucket", self._bucket(meta, BUCKETED[name])).repartition("bucket").write.partitionBy("bucket").parquet(str(folder))
+        rows = self._shaped(name, df).withColumn("bucket", self._bucket(meta, BUCKETED[name])).repartition("bucket")
+        rows.sortWithinPartitions("bucket", SORTED.get(name, BUCKETED[name])).write.partitionBy("bucket").parquet(str(folder))
         old = meta["tables"].get(name)
         kept = {b: v for b, v in old.items() if int(b) not in buckets} if buckets is not None and isinstance(old, dict) else {}
         meta["tables"][name] = kept | {p.name.split("=")[1]: version for p in folder.glob("bucket=*")}
@@ -239,6 +240,7 @@ class Index:
         none = own.limit(0)
         out.changes = self._log(changes.symbol_changes(none, own), version, ts)
         out.changed = len(paths)
+        self._write(meta, grams=postings.grams(own), sizes=postings.sizes(own))
         self._derive(meta)
         return self._finish(meta, version, out)
 
@@ -248,7 +250,7 @@ class Index:
         Tables are read and written in the buckets of touched files only; the list of files is compared as a whole.
         """
         old, meta = self.meta, self.meta
-        if not meta["tables"].get("resolved") or meta.get("lang", self.lang) != self.lang:
+        if "sizes" not in meta["tables"] or meta.get("lang", self.lang) != self.lang:
             return self.scan()
         version, ts = meta["version"] + 1, utc()
         stored = self._at(old, "files")
@@ -272,6 +274,7 @@ class Index:
         new = {"symbols": extract.symbols_table(fresh, self.lang), "imports": extract.imports_table(fresh), "raw_calls": extract.calls_table(fresh)}
         diff = changes.symbol_changes(self._at(old, "symbols", buckets).join(of, "file", "left_semi"), new["symbols"])
         out.changes = self._log(changes.pair_renames(diff), version, ts)
+        new |= {"grams": postings.grams(new["symbols"]), "sizes": postings.sizes(new["symbols"])}
         if buckets:
             for name, rows in new.items():
                 rest = self._at(old, name, buckets).join(of, "file", "left_anti")
@@ -282,8 +285,15 @@ class Index:
     # ---------------------------------------------------------------- questions
 
     def search(self, query: str, most: int = 20) -> DataFrame:
+        """The best symbols for a query: BM25 reads the postings, and the symbols of the buckets that have candidates."""
         self.require()
-        return search.search(self.table("symbols"), query, most)
+        meta = self.meta
+        if not search.searchable(query) or "sizes" not in meta["tables"]:
+            return search.search(self.table("symbols"), query, most)
+        files = checkpoint(postings.candidates(self._at(meta, "grams"), search.phrases(query)))
+        near = self._at(meta, "symbols", self._buckets(meta, files, "file"))
+        near = near.join(files, "file", "left_semi").select(*near.columns)
+        return search.ranked(postings.bm25(near, self._at(meta, "sizes"), query), most)
 
     def history(self, symbol: str, most: int = 200) -> DataFrame:
         """A symbol's changes, under its former names too."""
@@ -307,8 +317,8 @@ class Index:
 
     def plan_context(self, query: str, most: int = 8, tokens: int = 6000) -> dict[str, Any]:
         """Evidence for a request, whether it is stale, and what it suggests; at most ``tokens`` by size as JSON."""
-        if not self.meta["tables"].get("files") or not text.query_terms(query):
-            return {"status": "bootstrap_required", "error_code": "NO_INDEX" if not self.meta["tables"].get("files") else "EMPTY_QUERY", "query": query, "evidence": [], "suggested_pages": [], "tokens": 0, "truncated": False}
+        if "files" not in self.meta["tables"] or not text.query_terms(query):
+            return {"status": "bootstrap_required", "error_code": "NO_INDEX" if "files" not in self.meta["tables"] else "EMPTY_QUERY", "query": query, "evidence": [], "suggested_pages": [], "tokens": 0, "truncated": False}
         rows = search.evidence(self.table("symbols"), self.table("call_edges"), query, most).join(self.table("files").select(F.col("path").alias("file"), "hash"), "file", "left").orderBy("evidence_id").collect()
         now = {p: extract.record(p, (Path(self.root) / p).read_bytes())["hash"] if (Path(self.root) / p).is_file() else None for p in {r.file for r in rows}}
         evidence = [r.asDict() | {"stale": now[r.file] is None or now[r.file] != r["hash"]} for r in rows] + self.conventions(query)
@@ -336,7 +346,7 @@ class Index:
 
     def impact(self, plans: DataFrame, files: list[str] | DataFrame, symbols: list[str] | None, **limits) -> DataFrame:
         """What changed files and symbols touch in the open plans."""
-        have = bool(self.meta["tables"].get("files"))
+        have = bool("files" in self.meta["tables"])
         loose = records.tasks(plans)
         return impact.impact(plans.where("code is null"), loose, files, symbols, self.table("symbols") if have else None, self.table("call_edges") if have else None, **limits)
 
@@ -346,7 +356,7 @@ class Index:
         touched = log.select(F.lit("file").alias("kind"), F.col("file").alias("ref")).union(log.select(F.lit("symbol"), "symbol")).where("ref is not null").distinct()
         plans, files = records.read(self.spark, folder), self.table("files")
         out = self.home / "plans"
-        index, edges = (self.table(n) if self.meta["tables"].get("files") else None for n in ("symbols", "call_edges"))
+        index, edges = (self.table(n) if "files" in self.meta["tables"] else None for n in ("symbols", "call_edges"))
         found = impact.everything(plans.where("code is null"), records.tasks(plans), touched, None, index, edges)
         reports = [upkeep.write_report(checkpoint(found.rows), out / "impact-report.json", ["plan_id", *impact.ORDER], cut=found.cut)]
         stale = upkeep.stale_evidence(self.spark, folder, files)

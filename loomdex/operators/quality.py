@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomdex.operators import postings
+
 
 def orphans(problem: str, left: DataFrame, right: DataFrame) -> DataFrame:
     """problem, key for each key of ``left`` that ``right`` lacks."""
@@ -57,5 +59,5 @@ def doctor(t: dict[str, DataFrame], disk: DataFrame, rate: DataFrame, total: int
         orphans("symbols of a file that is gone", key(t["symbols"], "file"), on_disk), orphans("reference from an unknown file", key(t["refs"], "src_file"), known), orphans("reference to an unknown file", key(t["refs"], "dst_file"), known),
         orphans("calls of an unknown file", key(t["raw_calls"], "file"), known), orphans("working set entry without page", ws, names), low_resolution(rate),
         tokens.select(F.lit("working set over budget").alias("problem"), F.concat_ws("/", "session_id", "plan_id", "batch_id").alias("key")),
-        *([] if documents is None else [undocumented(t["changes"], documents)]),
+        *([postings.stale(t["symbols"], t["sizes"])] if "sizes" in t else []), *([] if documents is None else [undocumented(t["changes"], documents)]),
     )

@@ -37,18 +37,27 @@ def occurrences(c: Column, phrase: str) -> Column:
     return F.regexp_count(F.lower(F.coalesce(c, F.lit(""))), F.lit("(?=" + re.sub(r"([^\w\s])", r"\\\1", phrase.lower()) + ")"))
 
 
-def bm25(rows: DataFrame, query: str, columns: tuple[str, ...] = SEARCHED) -> DataFrame:
+def length(columns: tuple[str, ...] = SEARCHED) -> Column:
+    """A row's number of trigrams, over its searched columns."""
+    of = lambda c: F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0))
+    return sum((of(c) for c in columns), F.lit(0))
+
+
+def bm25(rows: DataFrame, query: str, columns: tuple[str, ...] = SEARCHED, totals: DataFrame | None = None) -> DataFrame:
     """``rows`` that have every phrase of the query, with score: lower is better.
 
-    A column's length is its number of trigrams. Means and document counts are one aggregate row; no trigram is ever exploded.
+    A column's length is its number of trigrams. Means and document counts are one aggregate row; no trigram is ever exploded. ``totals`` (_N, _avg)
+    are the number of all rows and their mean length, where ``rows`` are only those that can have the phrases.
     """
     found = phrases(query)
-    length = lambda c: F.greatest(F.length(F.coalesce(F.col(c), F.lit(""))) - 2, F.lit(0))
-    counted = rows.withColumn("_len", sum((length(c) for c in columns), F.lit(0)).cast("double"))
+    counted = rows.withColumn("_len", length(columns).cast("double"))
     for k, p in enumerate(found):
         counted = counted.withColumn(f"_tf{k}", sum((occurrences(F.col(c), p) for c in columns), F.lit(0)).cast("double"))
-    totals = counted.agg(F.count("*").alias("_N"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"_n{k}") for k in range(len(found))])
-    scored = counted.where(" and ".join(f"_tf{k} > 0" for k in range(len(found)))).crossJoin(F.broadcast(totals))  # one row
+    own = [] if totals is not None else [F.count("*").alias("_N"), F.avg("_len").alias("_avg")]
+    met = counted.agg(*own, *[F.count_if(F.col(f"_tf{k}") > 0).alias(f"_n{k}") for k in range(len(found))])
+    if totals is not None:
+        met = met.crossJoin(F.broadcast(totals))  # one row and one row
+    scored = counted.where(" and ".join(f"_tf{k} > 0" for k in range(len(found)))).crossJoin(F.broadcast(met))  # one row
     score = F.lit(0.0)
     for k in range(len(found)):
         tf, n = F.col(f"_tf{k}"), F.col(f"_n{k}")
@@ -57,11 +66,15 @@ def bm25(rows: DataFrame, query: str, columns: tuple[str, ...] = SEARCHED) -> Da
     return scored.withColumn("score", score).select(*rows.columns, "score")
 
 
+def ranked(scored: DataFrame, most: int) -> DataFrame:
+    return scored.orderBy("score", "file", "seq", "qualified_name").limit(most)
+
+
 def search(symbols: DataFrame, query: str, most: int = 20) -> DataFrame:
     """BM25 where the query is one for it, else literal matches."""
     if not searchable(query):
         return like_rank(symbols, query.strip(), most)
-    return bm25(symbols, query).orderBy("score", "file", "seq", "qualified_name").limit(most)
+    return ranked(bm25(symbols, query), most)
 
 
 def merged_terms(symbols: DataFrame, terms: list[str], most: int = 8) -> DataFrame:

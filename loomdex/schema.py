@@ -10,13 +10,17 @@ TABLES: dict[str, str] = {
     "changes": "run_id long, seq long, ts timestamp, file string, symbol string, change_type string, old_value string, new_value string, detail string",
     "raw_calls": "file string, src_qname string, callee_raw string, line int, seq int",
     "resolved": "file string, src_qname string, callee_raw string, line int, seq int, dst_qname string",
+    "grams": "gram string, file string",
+    "sizes": "file string, symbols long, length long",
     "call_edges": "src_qname string, dst_qname string, count long",
     "pages": "page_id string, file string, version string, granularity string, loaded_at timestamp, load_count long, index_version long",
     "working_set": "page_id string, session_id string, plan_id string, batch_id string, loaded_at timestamp, last_access_at timestamp, pinned boolean, tokens long, origin string",
 }
 
 #: The key by whose hash a table is cut into buckets; an update writes the buckets that it touches. Other tables are written whole.
-BUCKETED = {"files": "path", "symbols": "file", "imports": "file", "raw_calls": "file", "resolved": "file", "refs": "src_file", "call_edges": "src_qname"}
+BUCKETED = {"files": "path", "symbols": "file", "imports": "file", "raw_calls": "file", "resolved": "file", "refs": "src_file", "call_edges": "src_qname", "grams": "file", "sizes": "file"}
+#: How a bucket's rows lie, where a search skips by it.
+SORTED = {"grams": "gram"}
 
 KINDS = ("function", "class", "method", "interface", "type_alias")
 CHANGE_TYPES = ("added", "removed", "signature_changed", "signature_stable", "renamed")

@@ -177,7 +177,7 @@ def test_an_update_writes_touched_buckets_only(spark, tmp_path, monkeypatch):
     write(root, {f"m{k}.py": f"from m{(k + 1) % 24} import f{(k + 1) % 24}\ndef f{k}():\n    return f{(k + 1) % 24}()\ndef only{k}(): pass\n" for k in range(24)})
     i = Index(spark, root, home)
     i.scan()
-    parts = lambda: {p: p.stat().st_mtime_ns for name in ("symbols", "imports", "raw_calls", "resolved", "call_edges", "refs", "files") for p in (home / "tables" / name).rglob("*.parquet")}
+    parts = lambda: {p: p.stat().st_mtime_ns for name in ("symbols", "imports", "raw_calls", "resolved", "call_edges", "refs", "files", "grams", "sizes") for p in (home / "tables" / name).rglob("*.parquet")}
     before = parts()
     assert len({p.parent.name for p in before}) > 8
     write(root, {"m3.py": "from m4 import f4\ndef g3():\n    return f4()\ndef only3(): pass\n"})
@@ -186,11 +186,17 @@ def test_an_update_writes_touched_buckets_only(spark, tmp_path, monkeypatch):
     after = parts()
     assert all(after[p] == t for p, t in before.items() if p in after)
     fresh = [p for p in after if p not in before]
-    for name, most in (("symbols", 1), ("imports", 1), ("raw_calls", 1), ("files", 1), ("resolved", 2), ("refs", 1), ("call_edges", 3)):
+    for name, most in (("symbols", 1), ("imports", 1), ("grams", 1), ("sizes", 1), ("raw_calls", 1), ("files", 1), ("resolved", 2), ("refs", 1), ("call_edges", 3)):
         assert len({p.parent for p in fresh if p.parts[-4] == name}) <= most, name
     anew = Index(spark, root, tmp_path / "w2")
     anew.scan()
     assert state(i) == state(anew) and rows(i.table("resolved"), "src_qname", "callee_raw", "line", "dst_qname") == rows(anew.table("resolved"), "src_qname", "callee_raw", "line", "dst_qname")
+    assert rows(i.table("grams"), "gram", "file") == rows(anew.table("grams"), "gram", "file") and rows(i.table("sizes"), "file", "symbols", "length") == rows(anew.table("sizes"), "file", "symbols", "length")
+    from loomdex.operators import search
+
+    for q in ("only1", "f1 only", "g3", "def only3", "nothing here", "m3"):
+        assert [tuple(r) for r in i.search(q).collect()] == [tuple(r) for r in search.search(i.table("symbols"), q).collect()]
+    assert i.doctor().count() == 0
     (root / "m5.py").unlink()
     i.update()
     i.update()
