@@ -198,14 +198,15 @@ class Index:
         moved = was.subtract(refs).union(refs.subtract(was)).select("src_file").distinct()
         if buckets := self._buckets(meta, moved, "src_file"):
             self._replace(meta, "refs", refs.where(self._bucket(meta, "src_file").isin(buckets)), buckets)
-        at = resolve.States(touched, self._at(meta, "symbols"), refs, self._at(old, "symbols"), was)
-        before = self._park(resolve.marked(self._at(old, "resolved"), at).where("again").select("file", "src_qname"), "before")
-        again = self._park(resolve.marked(self._at(meta, "raw_calls"), at).where("again").drop("again"), "again")
-        done = self._park(self._shaped("resolved", resolve.resolve_some(again, at.symbols, refs)), "done")
+        symbols = self._at(meta, "symbols")
+        keys = self._park(resolve.altered(resolve.States(touched, symbols, refs, self._at(old, "symbols"), was)), "keys")
+        before = self._park(resolve.marked(self._at(old, "resolved"), keys).where("again").select("file", "src_qname"), "before")
+        again = self._park(resolve.marked(self._at(meta, "raw_calls"), keys).where("again").drop("again"), "again")
+        done = self._park(self._shaped("resolved", resolve.resolve_some(again, symbols, refs)), "done")
         buckets = self._buckets(meta, before.select("file").union(done.select("file")), "file")
         if not buckets:
             return
-        kept = resolve.marked(self._at(old, "resolved", buckets), at).where("not again").drop("again")
+        kept = resolve.marked(self._at(old, "resolved", buckets), keys).where("not again").drop("again")
         self._replace(meta, "resolved", kept.unionByName(done), buckets)
         callers = self._park(before.select("src_qname").union(done.select("src_qname")).distinct(), "callers")
         buckets = self._buckets(meta, callers, "src_qname")

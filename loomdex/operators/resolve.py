@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions import text
+from loomdex.runtime import checkpoint
 
 SCRIPT_ENDS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js")
 
@@ -102,26 +104,34 @@ class States(NamedTuple):
     old_refs: DataFrame
 
 
-def marked(calls: DataFrame, at: States) -> DataFrame:
-    """``calls`` (file, src_qname, callee_raw and others) with ``again``: whether a change can have altered what the call means.
+def altered(at: States) -> DataFrame:
+    """kind, a, b: the keys by which a change can alter what a call means, each once; only what differs is among them.
 
-    It can where the call's file was touched; where the last part of the callee is the name of a symbol that came or went; where the caller came or
-    went; and where the caller's file now has another target, or none, for the callee's first part. Each is a set of distinct keys, so no join
-    multiplies rows; sets that are small are broadcast by AQE.
+    0: a touched file. 1: the last part of a name of a symbol that came or went. 2: a symbol that came or went. 3: a symbol and the name of an import of
+    its file whose target is another now, or gone.
     """
     paths = at.touched.select(F.col("path").alias("file")).distinct()
     own = lambda s: s.join(paths, "file", "left_semi").select("file", "name", "qualified_name").distinct()
     old, new = own(at.old_symbols), own(at.symbols)
     moved = old.subtract(new).union(new.subtract(old))
-    words = moved.select(F.explode(F.array(text.last_segment(F.col("name")), text.last_segment(F.col("qualified_name")))).alias("_last")).distinct()
-    names = moved.select(F.col("qualified_name").alias("src_qname")).distinct()
     was, is_ = import_map(at.old_refs), import_map(at.refs)
     heads = was.subtract(is_).union(is_.subtract(was)).select(F.col("src_file").alias("file"), F.col("symbol").alias("_head")).distinct()
-    homes = at.symbols.groupBy(F.col("qualified_name").alias("src_qname")).agg(F.min("file").alias("file"))
-    imports = homes.join(heads, "file").select("src_qname", "_head").distinct()
+    homes = at.symbols.join(heads.select("file").distinct(), "file", "left_semi").select("qualified_name").distinct()
+    first = at.symbols.join(homes, "qualified_name", "left_semi").groupBy("qualified_name").agg(F.min("file").alias("file"))
+    key = lambda df, kind, a, b=None: df.select(F.lit(kind).alias("kind"), a.alias("a"), (F.lit(None).cast("string") if b is None else b).alias("b"))
+    words = F.explode(F.array(text.last_segment(F.col("name")), text.last_segment(F.col("qualified_name"))))
+    sets = [key(paths, 0, F.col("file")), key(moved, 1, words), key(moved, 2, F.col("qualified_name")), key(first.join(heads, "file"), 3, F.col("qualified_name"), F.col("_head"))]
+    return reduce(DataFrame.union, sets).distinct()
+
+
+def marked(calls: DataFrame, keys: DataFrame) -> DataFrame:
+    """``calls`` (file, src_qname, callee_raw and others) with ``again``: whether one of the keys of ``altered`` is theirs. No join multiplies rows, and
+    keys that are few are broadcast by AQE.
+    """
     rows = calls.withColumn("_last", text.last_segment(F.col("callee_raw"))).withColumn("_head", F.substring_index("callee_raw", ".", 1))
-    for k, (keys, on) in enumerate(((paths, ["file"]), (words, ["_last"]), (names, ["src_qname"]), (imports, ["src_qname", "_head"]))):
-        rows = rows.join(keys.withColumn(f"_m{k}", F.lit(True)), on, "left")
+    for k, on in enumerate((["file"], ["_last"], ["src_qname"], ["src_qname", "_head"])):
+        own = keys.where(F.col("kind") == k).select(*[F.col(c).alias(n) for c, n in zip("ab", on, strict=False)], F.lit(True).alias(f"_m{k}"))
+        rows = rows.join(own, on, "left")
     again = F.coalesce(*[F.col(f"_m{k}") for k in range(4)], F.lit(False))
     return rows.select(*calls.columns, again.alias("again"))
 
@@ -140,8 +150,9 @@ def resolve_some(calls: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataF
 
 def by_difference(resolved: DataFrame, raw_calls: DataFrame, at: States) -> DataFrame:
     """What ``resolve_calls`` gives after a change, from what it gave before: answers that can't have changed are kept, the others are found anew."""
-    kept = marked(resolved, at).where("not again").drop("again")
-    again = resolve_some(marked(raw_calls, at).where("again").drop("again"), at.symbols, at.refs)
+    keys = checkpoint(altered(at))
+    kept = marked(resolved, keys).where("not again").drop("again")
+    again = resolve_some(marked(raw_calls, keys).where("again").drop("again"), at.symbols, at.refs)
     return kept.unionByName(again)
 
 
