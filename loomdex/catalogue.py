@@ -203,6 +203,18 @@ def change_history(spark, d):  # W9, R6
     return b.changes(spark, d).select("symbol", "seq", "change_type", n.alias("n")).where("n <= 20")
 
 
+@query("""WITH RECURSIVE r AS (SELECT event_id AS id, ts, 'v' || CAST((event_id // 10) % 37 AS VARCHAR) || '.' || CAST(event_id % 10 AS VARCHAR) AS old, 'v' || CAST((event_id // 10) % 37 AS VARCHAR) || '.' || CAST(event_id % 10 + 1 AS VARCHAR) AS new FROM events),
+  p AS (SELECT r.id, any_value(r.old) AS old, max(struct_pack(ts := q.ts, id := q.id)).id AS before FROM r LEFT JOIN r q ON q.new = r.old AND (q.ts < r.ts OR (q.ts = r.ts AND q.id < r.id)) GROUP BY r.id),
+  w AS (SELECT id AS leaf, old, before, CAST(1 AS BIGINT) AS n FROM p UNION ALL SELECT leaf, p.old, p.before, n + 1 FROM w JOIN p ON p.id = w.before),
+  l AS (SELECT new AS symbol, max(struct_pack(ts := ts, id := id)).id AS id FROM r GROUP BY new) SELECT symbol, old AS origin, n AS renames FROM l JOIN w ON leaf = id WHERE before IS NULL""")
+def lineages(spark, d):  # R6: chains of renames of names that come again and again
+    e, group = table(spark, d, "events"), F.expr("cast((event_id div 10) % 37 as string)")
+    name = lambda n: F.concat(F.lit("v"), group, F.lit("."), n.cast("string"))
+    at = F.col("event_id") % 10
+    log = e.select(F.lit(1).alias("run_id"), F.col("event_id").alias("seq"), "ts", name(at + 1).alias("symbol"), F.lit("renamed").alias("change_type"), name(at).alias("old_value"))
+    return changes.lineages(log)
+
+
 @query(b.with_("changes") + " SELECT seq, ts FROM changes WHERE symbol = 'pkg.42' ORDER BY ts, seq LIMIT 200")
 def symbol_history(spark, d):  # R6, W9
     return changes.history(b.changes(spark, d), "pkg.42").select("seq", "ts")

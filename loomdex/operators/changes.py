@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text
 from loomdex.functions.udf import body_difference
+from loomdex.runtime import checkpoint
 
 
 def file_actions(stored: DataFrame, seen: DataFrame) -> DataFrame:
@@ -81,15 +82,51 @@ def history(log: DataFrame, symbol: str, limit: int = 200) -> DataFrame:
     return log.where(own).orderBy("ts", "run_id", "seq").limit(limit)
 
 
-def lineage(log: DataFrame, symbol: str, depth: int = 10) -> list[str]:
-    """A symbol's name and its former names, newest first; a chain of at most ``depth`` renames (one lookup each)."""
-    names = [symbol]
-    for _ in range(depth):
-        row = log.where((F.col("change_type") == "renamed") & (F.col("symbol") == names[-1])).orderBy(F.desc("ts"), F.desc("seq")).select("old_value").first()
-        if row is None or row.old_value in names:
-            break
-        names.append(row.old_value)
-    return names
+def renames(log: DataFrame) -> DataFrame:
+    """id, symbol, old, before: every rename, and the last one before it that gave the name it started from; null where there is none.
+
+    ``id`` is (ts, run_id, seq), the log's order, so a name that was used twice leads to the right one, and no chain comes back to itself. Renames to
+    and from a name are put side by side in that order; a name's renames are sorted in one task, which spills.
+    """
+    own = log.where((F.col("change_type") == "renamed") & F.col("old_value").isNotNull() & (F.col("old_value") != F.col("symbol")))
+    own = own.select(F.struct("ts", "run_id", "seq").alias("id"), "symbol", F.col("old_value").alias("old"))
+    ends = F.array(F.struct(F.col("old").alias("name"), F.lit(True).alias("starts")), F.struct(F.col("symbol").alias("name"), F.lit(False).alias("starts")))
+    given = F.last(F.when(~F.col("starts"), F.col("id")), ignorenulls=True).over(Window.partitionBy("name").orderBy("id").rowsBetween(Window.unboundedPreceding, -1))
+    return own.select("id", "symbol", "old", F.inline(ends)).withColumn("before", given).where("starts").select("id", "symbol", "old", "before")
+
+
+def chains(steps: DataFrame) -> DataFrame:
+    """id, symbol, old, root, origin, renames: of every rename the first of its chain, the name that it started from, and how many lead from there.
+
+    By pointer jumping: in each round a rename's reach doubles, so there are as many rounds as the longest chain has binary digits.
+    """
+    up = checkpoint(steps.select("id", F.col("before").alias("up"), F.col("id").alias("root"), F.col("old").alias("origin"), F.lit(1).cast("long").alias("n")))
+    while up.where("up is not null").limit(1).count():
+        ahead = up.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("origin").alias("_origin"), F.col("n").alias("_n"))
+        met = up.join(ahead, "up", "left")
+        up = checkpoint(met.select("id", F.col("_up").alias("up"), F.coalesce("_root", "root").alias("root"), F.coalesce("_origin", "origin").alias("origin"), (F.col("n") + F.coalesce("_n", F.lit(0))).alias("n")))
+    return steps.join(up.select("id", "root", "origin", F.col("n").alias("renames")), "id").select("id", "symbol", "old", "before", "root", "origin", "renames")
+
+
+def lineages(log: DataFrame) -> DataFrame:
+    """symbol, origin, renames: of every symbol that was ever renamed to, its first name and how many renames lead from there."""
+    last = F.max_by(F.struct("origin", "renames"), "id").alias("last")
+    return chains(checkpoint(renames(log))).groupBy("symbol").agg(last).select("symbol", "last.*")
+
+
+def lineage(log: DataFrame, symbol: str) -> list[str]:
+    """A symbol's name and its former names, newest first, however many: the renames of its own chain come to the driver in one step."""
+    every = checkpoint(chains(checkpoint(renames(log))))
+    last = every.where(F.col("symbol") == symbol).orderBy(F.desc("id")).first()
+    if last is None:
+        return [symbol]
+    same = [F.col(f"root.{c}").eqNullSafe(F.lit(last.root[c])) for c in ("ts", "run_id", "seq")]
+    own = {r.id: r for r in every.where(same[0] & same[1] & same[2]).select("id", "old", "before").collect()}
+    names, at = [symbol], last.id
+    while at is not None:
+        names.append(own[at].old)
+        at = own[at].before
+    return list(dict.fromkeys(names))
 
 
 def last_per_key(log: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

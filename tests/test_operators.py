@@ -290,3 +290,15 @@ def test_a_long_ring_and_a_long_path_end(spark):
     path = spark.range(n, 2 * n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     got = graph.circles(ring.union(path).union(spark.range(1).selectExpr("5L as src", f"{n}L as dst")))
     assert got.agg(F.count("*"), F.max("node"), F.countDistinct("component")).first() == (n, n - 1, 1)
+
+
+def test_lineages_of_names_that_come_again(spark):
+    schema = "run_id long, seq long, ts string, symbol string, change_type string, old_value string"
+    rows = [(1, 1, "2024-01-01", "b", "renamed", "a"), (1, 2, "2024-01-02", "c", "renamed", "b"), (2, 1, "2024-01-03", "b", "renamed", "z"), (2, 2, "2024-01-03", "a", "renamed", "c"), (3, 1, "2024-01-04", "d", "renamed", "b"), (3, 2, "2024-01-05", "x", "added", None), (3, 3, "2024-01-06", "y", "renamed", "y")]
+    rows += [(9, k, "2025-01-01", f"n{k + 1}", "renamed", f"n{k}") for k in range(40)]
+    log = spark.createDataFrame(rows, schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    got = {r.symbol: (r.origin, r.renames) for r in changes.lineages(log).collect()}
+    assert {k: v for k, v in got.items() if k[0] != "n"} == {"b": ("z", 1), "c": ("a", 2), "a": ("a", 3), "d": ("z", 2)}
+    assert all(got[f"n{k}"] == ("n0", k) for k in range(1, 41))
+    assert changes.lineage(log, "n40") == [f"n{k}" for k in range(40, -1, -1)] and changes.lineage(log, "d") == ["d", "b", "z"]
+    assert changes.lineage(log, "a") == ["a", "c", "b"] and changes.lineage(log, "x") == ["x"] and changes.lineages(log.limit(0)).count() == 0
