@@ -394,6 +394,19 @@ def evict_prefix(spark, d):  # W1, M7, F8
     return working_set.evictions(b.working_set(spark, d), F.lit(150), _BY_SESSION).select("session_id", "page_id", "freed_before")
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, CAST(l_quantity AS BIGINT) AS tokens FROM lineitem WHERE l_linestatus IS NOT NULL),
+  n AS (SELECT (sum(tokens) // 3)::BIGINT AS need FROM r),
+  f AS (SELECT *, CAST(coalesce(sum(tokens) OVER (ORDER BY l_partkey, l_suppkey, l_orderkey, l_linenumber, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS freed_before FROM r)
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, tokens, freed_before FROM f, n WHERE freed_before < need""")
+def evict_one_scope(spark, d):  # W1, W2, M7: one scope holds every row, and no task does
+    rows = table(spark, d, "lineitem").where("l_linestatus is not null").select(
+        F.lit("all").alias("session_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", F.col("l_quantity").cast("long").alias("tokens"), F.lit(False).alias("pinned"), F.col("l_partkey").alias("score"),
+    )
+    need = rows.groupBy("session_id").agg(F.expr("sum(tokens) div 3").alias("need"))
+    gone = working_set.evictions_wide(rows, need, ["session_id"], ("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice"))
+    return gone.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "tokens", "freed_before")
+
+
 @query(b.with_("working_set") + """ SELECT session_id, page_id, used FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY session_id ORDER BY last_access DESC ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used, row_number() OVER (PARTITION BY session_id ORDER BY last_access DESC) AS n FROM working_set) WHERE used <= 200 OR n = 1""")
 def render_prefix(spark, d):  # W2, M9, O7
     return working_set.rendered(b.working_set(spark, d), F.lit(200), _BY_SESSION, (F.desc("last_access"),)).select("session_id", "page_id", "used")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions import text
+from loomdex.runtime import checkpoint
 
 SCOPE = ("session_id", "plan_id", "batch_id")
 TOTAL, RESIDENT, PAGES = 8000, 6000, 50
@@ -32,6 +33,25 @@ def evictions(scored: DataFrame, need: Column, keys: list[str] = [*SCOPE], order
     return loose.withColumn("freed_before", running("tokens", keys, [F.col("score"), *map(F.col, order)], False)).where(F.col("freed_before") < need)
 
 
+def running_wide(rows: DataFrame, value: str, need: DataFrame, keys: list[str], order: list[str], name: str = "before") -> DataFrame:
+    """``rows`` whose running sum before them (``name``) is under their key's ``need`` (keys, need), where one key may hold most rows.
+
+    Rows are dealt by ranges of key and order and kept so. Each range's sums by key are a small table, whose own running sums say where a range
+    begins; ranges that begin at or beyond the need go before anything is summed, and the others are summed each for itself. ``order`` decides ties.
+    """
+    dealt = checkpoint(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
+    sums = dealt.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    begins = sums.withColumn("_begin", running("_sum", keys, [F.col("_part")], False)).join(need.withColumnRenamed("need", "_need"), keys).where("_begin < _need")
+    near = dealt.join(begins.select(*keys, "_part", "_begin", "_need"), [*keys, "_part"])
+    summed = near.withColumn(name, F.col("_begin") + running(value, [*keys, "_part"], [F.col(c) for c in order], False))
+    return summed.where(F.col(name) < F.col("_need")).select(*rows.columns, name)
+
+
+def evictions_wide(scored: DataFrame, need: DataFrame, keys: list[str] = [*SCOPE], order: tuple[str, ...] = ("page_id",)) -> DataFrame:  # noqa: B006
+    """``evictions`` for scopes of any size, one of which may hold most entries; ``need`` has each scope's tokens (keys, need)."""
+    return running_wide(scored.where(~F.col("pinned")), "tokens", need, keys, ["score", *order], "freed_before")
+
+
 def enforce(scored: DataFrame, resident: int = RESIDENT, pages: int = PAGES, keys: list[str] = [*SCOPE]) -> DataFrame:  # noqa: B006
     """page ids to evict, with reason: first for tokens beyond ``resident``, then for pages beyond ``pages``; pinned pages stay."""
     used = Window.partitionBy(*keys)

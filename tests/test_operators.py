@@ -302,3 +302,17 @@ def test_lineages_of_names_that_come_again(spark):
     assert all(got[f"n{k}"] == ("n0", k) for k in range(1, 41))
     assert changes.lineage(log, "n40") == [f"n{k}" for k in range(40, -1, -1)] and changes.lineage(log, "d") == ["d", "b", "z"]
     assert changes.lineage(log, "a") == ["a", "c", "b"] and changes.lineage(log, "x") == ["x"] and changes.lineages(log.limit(0)).count() == 0
+
+
+def test_wide_evictions_equal_the_window(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.8 else f"s{rng.randrange(4)}", k, rng.randrange(0, 40), rng.randrange(5) / 4, rng.random() < 0.1) for k in range(4000)]
+    df = spark.createDataFrame(rows, "session_id string, page_id long, tokens long, score double, pinned boolean").repartition(6)
+    for need in (1, 700, 30_000, 10**9):
+        of = df.select("session_id").distinct().select("session_id", F.when(F.col("session_id") == "s1", F.lit(0)).otherwise(F.lit(need)).alias("need"))
+        want = working_set.evictions(df.join(of, "session_id"), F.col("need"), ["session_id"]).select(*df.columns, "freed_before")
+        assert sorted(map(tuple, working_set.evictions_wide(df, of, ["session_id"]).collect())) == sorted(map(tuple, want.collect()))
+    plan = working_set.evictions_wide(df, of, ["session_id"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(session_id" in plan and "_part" in plan and working_set.evictions_wide(df.limit(0), of, ["session_id"]).count() == 0
