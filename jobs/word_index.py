@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,10 +41,12 @@ def bucket_of(word, buckets: int):
 
 def _written(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     """The rows of all runs; none before the first."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(folder)
 
 
 def files(spark: SparkSession, out: str, before: int | None = None) -> DataFrame:

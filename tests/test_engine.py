@@ -188,21 +188,18 @@ def test_an_update_writes_touched_buckets_only(spark, tmp_path, monkeypatch):
     fresh = [p for p in after if p not in before]
     for name, most in (("symbols", 1), ("imports", 1), ("grams", 1), ("sizes", 1), ("raw_calls", 1), ("files", 1), ("resolved", 2), ("refs", 1), ("call_edges", 3)):
         assert len({p.parent for p in fresh if p.parts[-4] == name}) <= most, name
+    (root / "m5.py").unlink()
+    assert i.update().deleted == 1
     anew = Index(spark, root, tmp_path / "w2")
     anew.scan()
-    assert state(i) == state(anew) and rows(i.table("resolved"), "src_qname", "callee_raw", "line", "dst_qname") == rows(anew.table("resolved"), "src_qname", "callee_raw", "line", "dst_qname")
-    assert rows(i.table("grams"), "gram", "file") == rows(anew.table("grams"), "gram", "file") and rows(i.table("sizes"), "file", "symbols", "length") == rows(anew.table("sizes"), "file", "symbols", "length")
+    assert state(i) == state(anew)
+    for name, columns in (("resolved", ("src_qname", "callee_raw", "line", "dst_qname")), ("grams", ("gram", "file")), ("sizes", ("file", "symbols", "length")), ("files", ("path",))):
+        assert rows(i.table(name).na.fill(""), *columns) == rows(anew.table(name).na.fill(""), *columns)
     from loomdex.operators import search
 
-    for q in ("only1", "f1 only", "g3", "def only3", "nothing here", "m3"):
+    for q in ("f1 only", "def only3", "nothing here"):
         assert [tuple(r) for r in i.search(q).collect()] == [tuple(r) for r in search.search(i.table("symbols"), q).collect()]
     assert i.doctor().count() == 0
-    (root / "m5.py").unlink()
-    i.update()
-    i.update()
-    again = Index(spark, root, tmp_path / "w3")
-    again.scan()
-    assert state(i) == state(again) and rows(i.table("files"), "path") == rows(again.table("files"), "path")
     left = {p.parent for p in (home / "tables").rglob("*.parquet")}
     read = {home / p for tables in (i.meta["tables"], i.meta["before"]) for n in tables for p in i._paths(tables, n)}
-    assert left <= read | {home / p for p in i._paths(i.meta["tables"], "working_set")}
+    assert left <= read
