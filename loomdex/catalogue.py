@@ -376,8 +376,33 @@ def evidence_confidence(spark, d):  # X17, X5
     return b.symbols(spark, d).select("seq", text.evidence_confidence(F.col("qualified_name"), F.col("description"), ["f12", "F77"]).alias("confidence"))
 
 
-@query()
-def plan_evidence(spark, d):  # R3, W7, O3, O10: no oracle, for its parts have theirs
+def _evidence_sql(terms: list[str], most: int) -> str:
+    """Each term's best ``3 * most`` symbols by BM25, the best ``most`` of them once each, and at most two callers and callees of each of these."""
+    size, ctes = " + ".join(f"greatest(length({c}) - 2, 0)" for c in search.SEARCHED), []
+    for k, t in enumerate(terms):
+        tf = " + ".join(f"CAST((length(lower({c})) - length(replace(lower({c}), '{t}', ''))) / {len(t)} AS DOUBLE)" for c in search.SEARCHED)
+        ctes += [
+            f"c{k} AS (SELECT seq, qualified_name, file, description, CAST({size} AS DOUBLE) AS size, {tf} AS tf FROM symbols)",
+            f"a{k} AS (SELECT CAST(count(*) AS DOUBLE) AS N, avg(size) AS mean, CAST(count(*) FILTER (tf > 0) AS DOUBLE) AS n FROM c{k})",
+            f"h{k} AS (SELECT qualified_name, file, description FROM c{k}, a{k} WHERE tf > 0 ORDER BY round(-(CASE WHEN ln((a{k}.N - n + 0.5) / (n + 0.5)) <= 0 THEN 1e-6 ELSE ln((a{k}.N - n + 0.5) / (n + 0.5)) END)"
+            f" * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean)), 6), file, seq, qualified_name LIMIT {3 * most})",
+        ]
+    own = ", ".join(f"'{t}'" for t in terms)
+    has = lambda c: " OR ".join(f"contains(lower({c}), '{t}')" for t in terms)
+    return b.with_("symbols", "call_edges") + ", " + ", ".join(ctes) + f""",
+  m AS (SELECT qualified_name, any_value(file) AS file, any_value(description) AS description, regexp_extract(qualified_name, '[^.]*$') AS last FROM ({" UNION ALL ".join(f"FROM h{k}" for k in range(len(terms)))}) GROUP BY qualified_name),
+  r AS (SELECT *, row_number() OVER (ORDER BY CASE WHEN lower(last) IN ({own}) THEN 0 ELSE 1 END, length(qualified_name), file, qualified_name) AS place FROM m QUALIFY place <= {most}),
+  e AS (SELECT x.qualified_name AS src, z.qualified_name AS dst FROM call_edges JOIN symbols x ON x.seq = src_qname JOIN symbols z ON z.seq = dst_qname),
+  v AS (SELECT DISTINCT dst AS node, 'caller' AS direction, src AS name FROM e UNION SELECT DISTINCT src, 'callee', dst FROM e),
+  w AS (SELECT *, row_number() OVER (PARTITION BY node, direction ORDER BY name) AS rank FROM v QUALIFY rank <= 2),
+  f AS (SELECT w.name, min({{'place': r.place, 'direction': direction, 'rank': rank}}) AS met FROM w JOIN r ON r.qualified_name = node WHERE w.name NOT IN (SELECT qualified_name FROM r) GROUP BY w.name),
+  u AS (SELECT 0 AS sub, place, 'symbol' AS kind, qualified_name, file, CASE WHEN lower(last) IN ({own}) THEN 0.95 WHEN {has("last")} THEN 0.85 WHEN {has("description")} THEN 0.7 ELSE 0.6 END AS confidence FROM r
+    UNION ALL SELECT 1, met.place, met.direction, name, (SELECT min(file) FROM symbols WHERE qualified_name = f.name), 0.65 FROM f)
+  SELECT 'ev-' || lpad(CAST(row_number() OVER (ORDER BY sub, place, kind, qualified_name) AS VARCHAR), 4, '0') AS evidence_id, kind, qualified_name, file, CAST(confidence AS DOUBLE) AS confidence FROM u"""
+
+
+@query(_evidence_sql(["find", "f123", "f45", "widget"], 8))
+def plan_evidence(spark, d):  # R3, W7, O3, O10
     s = b.symbols(spark, d)
     names = s.groupBy("seq").agg(F.min("qualified_name").alias("q"))
     e = b.call_edges(spark, d).join(names.select(F.col("seq").alias("src_qname"), F.col("q").alias("a")), "src_qname").join(names.select(F.col("seq").alias("dst_qname"), F.col("q").alias("z")), "dst_qname").select(F.col("a").alias("src_qname"), F.col("z").alias("dst_qname"), "count")
