@@ -3,8 +3,10 @@
 Detection reads whole texts: addresses of mail, telephone numbers, IPv4 (not after "version" and the like), IPv6 and hardware addresses,
 social-security-like numbers, IBANs, payment cards (12 to 19 digits with a right check digit), account numbers after a cue, secrets (quoted or
 assigned tokens, long hexadecimal strings, known key prefixes), and names after titles or introducing phrases, or that begin with a listed given
-name and go on with a capital. Each part of a name so found is then replaced wherever else it stands in the text as a whole word. Names without any
-such sign are not found.
+name and go on with a capital. A name takes all capitalised words, initials, compounds (O'Brien, Smith-Jones) and small words between them (de la,
+von) up to one of ``_ENDS`` or another title, in text of capitals at most four words; small words, and the letter of O' or d', stay. Each part of a
+name so found, in capitals too, is then replaced wherever else it stands in the text as a whole word. Names without any such sign are not found.
+Telephone numbers without a country's code and numbers of identity papers are found after a cue; the letters of the latter stay.
 
 An entity is first brought to its canonical form, so that one entity in several spellings has one surrogate (coreference): digits without
 separators and of any script, mail and hardware addresses in lower case, telephone numbers split by the rule of country codes. The surrogate is then
@@ -283,9 +285,33 @@ NAMES = {
 #: Titles after which a name comes (fixed values).
 TITLES = "Mrs Ms Miss Frau Mme Madame Mlle Sra Señora Srta Doña Mr Herr Monsieur Sr Señor Don Dr Prof".split()
 _BY_NAME = {n: k for k, names in NAMES.items() for n in names}
-_TITLE = re.compile(rf"\b(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?[ \t]+|(?:[Mm]y name is|[Mm]ein Name ist|[Jj]e m'appelle|[Mm]e llamo|[Nn]ame:)[ \t]+)(?P<n>[^\W\d_a-zа-яα-ω][^\W\d_]+(?:[ \t][^\W\d_a-zа-яα-ω][^\W\d_]+){{0,2}})")
-
-_CALLED = re.compile(rf"\b(?:{'|'.join(sorted(_BY_NAME))})(?:[ \t][^\W\d_a-zа-яα-ω][^\W\d_]+){{1,2}}")
+#: Small words inside names, which stay as they are (fixed values).
+PARTICLES = "von van zu zum zur der den dem de del della di da do dos das du des la las los le el al bin ibn ben abu ter ten y e af av san st".split()
+#: Capitals that end a name rather than go on with it (fixed values).
+_ENDS = "The And Or For From By With Was Is Has Had He She It We You They Und".split()
+_LETTER = "(?:[^\\W\\d_]|[\u0300-\u036f])"
+_RUN = re.compile(f"{_LETTER}+")
+_LOWER = "".join(c for c in map(chr, range(0x61, 0x2000)) if c.islower())
+#: A letter that is none of lower case.
+_CAPITAL = f"[^\\W\\d_{_LOWER}]"
+_TITLES = "|".join(sorted([*TITLES, *map(str.upper, TITLES)], key=len, reverse=True))
+_GAP = "[ \t\u00a0]+"
+#: Small words that a hyphen or an apostrophe joins to a name (fixed values).
+_JOINED = "al el an ar as ash d l dell dall".split()
+#: A word of a name: never a title, with all that apostrophes and hyphens join to it but for a genitive's s.
+_TAIL = f"{_LETTER}*(?:['\u2019\u2010\u2011-](?!s\\b){_LETTER}+)*"
+_NAME_WORD = f"(?!(?:{_TITLES})\\b)(?:(?:{'|'.join(_JOINED)})['\u2019\u2010\u2011-])?{_CAPITAL}{_TAIL}"
+_SMALL = f"(?:(?:{'|'.join(PARTICLES)}){_GAP}){{0,3}}"
+#: What a name goes on with: further words and initials, small words before them.
+_STAYS = frozenset([*PARTICLES, *_JOINED])
+_ON = f"(?:(?:(?<=\\b{_CAPITAL})\\.)?{_GAP}{_SMALL}(?!(?:{'|'.join(_ENDS)})\\b){_NAME_WORD})"
+_TITLE = re.compile(
+    rf"\b(?:(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.?{_GAP}|(?:[Mm]y name is|[Mm]ein Name ist|[Jj]e m['’]appelle|[Mm]e llamo|[Nn]ame:){_GAP})"
+    rf"(?P<n>{_SMALL}{_NAME_WORD}{_ON}*)"
+)
+#: In text of capitals a name's end can't be seen: at most four words belong to it.
+_CAPITALS = re.compile(rf"\b(?:{'|'.join(sorted(map(str.upper, TITLES), key=len, reverse=True))})\b\.?{_GAP}(?P<n>{_NAME_WORD}{_ON}{{0,3}})")
+_CALLED = re.compile(rf"\b(?:{'|'.join(sorted(_BY_NAME))})(?!{_LETTER})(?:['’‐‑-](?!s\b){_LETTER}+)*{_ON}+")
 
 
 @lru_cache(maxsize=64)
@@ -293,20 +319,32 @@ def _ring(script: str, gender: str, key: bytes) -> list[str]:
     return sorted(NAMES[script, gender], key=lambda n: hashlib.blake2b(n.encode(), key=key).digest())
 
 
+def titled(word: str) -> str:
+    """A word in capitals as it is written elsewhere; Greek, whose small letters capitals don't tell, and letters that would not come back stay."""
+    low = word.capitalize()
+    return low if len(word) > 1 and word.isupper() and low.upper() == word and len(low) == len(word) and not re.search("[\u0370-\u03ff]", word) else word
+
+
 def given_name(name: str, key: bytes) -> str:
-    """The next of its list, or, off the lists, a permutation of its letters that is on no list either."""
+    """The next of its list, or, off the lists, a permutation of its letters that is on no list either; in capitals as its other writing."""
+    if (low := titled(name)) != name:
+        return given_name(low, key).upper()
     if own := _BY_NAME.get(name):
         ring = _ring(*own, key)
         return ring[(ring.index(name) + 1) % len(ring)]
     new = permute(name, "name", key, of=name_alphabets())
-    while new in _BY_NAME:
+    while new in _BY_NAME or new in _STAYS:
         new = permute(new, "name", key, of=name_alphabets())
     return new
 
 
 def person(s: str, key: bytes) -> str:
-    """Each word for itself, so that a part of a name has one surrogate wherever it stands."""
-    return "".join(w if w in " \t" else given_name(w, key) for w in re.split(r"([ \t])", s))
+    """Each run of letters for itself, so that a part of a name has one surrogate wherever it stands; small words and the letter of O' or d' stay."""
+
+    def of(m: re.Match) -> str:
+        return m[0] if m[0] in _STAYS or len(m[0]) == 1 and s[m.end() : m.end() + 1] in ("'", "\u2019") else given_name(m[0], key)
+
+    return _RUN.sub(of, s)
 
 
 # ---------------------------------------------------------------- detection
@@ -324,7 +362,13 @@ _MARKED = re.compile(
 )
 _ISSUED = re.compile(r"(?<![^\W_])(?:(?:AKIA|ASIA)[0-9A-Z]{16}\b|(?:ghp_|gho_|github_pat_|sk-|xox[abprs]-)[0-9A-Za-z_-]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{4,})")
 #: A number with one of these words shortly before it is an account's or a person's.
-_ACCOUNT = re.compile(r"(?i:\b(?:account|acct|routing|passport|konto|kontonummer|compte|cuenta|ssn|tax[ -]id|steuer-?id|dni|nif)\b)[^\w\n]{0,3}(?i:(?:number|no|nr|num|is|id|:|#)[^\w\n]{0,3}){0,2}(?P<n>\d(?:[ -]?\d){5,17})(?![^\W_])")
+_ACCOUNT = re.compile(r"(?i:\b(?:account|acct|routing|passport|konto|kontonummer|compte|cuenta|ssn|tax[ -]id|steuer-?id|dni|nif)\b)[^\w\n]{0,3}(?i:(?:number|no|nr|num|is|id|:|#)[^\w\n]{0,3}){0,2}(?P<n>(?:[A-Z]{1,2}(?=\d))?\d(?:[ -]?\d){5,17}(?:-?[A-Z])?)(?![^\W_])")
+#: A number without a country's code is a telephone's if one of these words stands shortly before it.
+_NATIONAL = re.compile(
+    r"(?i:\b(?:tel|telefon|telephone|phone|mobile|mobil|handy|fax|cell|tél|téléphone|portable|móvil|teléfono)\b)[^\w\n]{0,3}(?i:(?:number|no|nr|num|is|ist|est|es)\b[^\w\n]{0,3}){0,2}"
+    r"(?P<n>\d(?:[ )(/.-]{0,2}\d){5,14})(?![^\W_])"
+)
+_NATIONAL_CUES = ("tel", "phone", "mobil", "handy", "fax", "cell", "tél", "portable", "móvil")
 _ACCOUNT_CUES = ("acc", "rout", "passp", "konto", "compte", "cuenta", "ssn", "tax", "steuer", "dni", "nif")
 #: A dotted number after one of these is none of an address.
 _VERSION = re.compile(r"(?i:\b(?:version|release|build|ver|rev|v)\.?[ \t]*)$")
@@ -335,7 +379,8 @@ _HINT = re.compile(r"[\d@]|[A-Fa-f]:[A-Fa-f:]|[A-Fa-f]{2}-[A-Fa-f]{2}[:-]|[a-f]{
 #: In every match of ``_ASSIGNED``, case-folded, stands one of these.
 _ASSIGNED_CUES = ("token", "secret", "passw", "pwd", "key")
 #: A name can only follow one of these.
-_CUES = (*TITLES, "y name is", "ein Name ist", "m'appelle", "e llamo", "ame:")
+_CUES = (*TITLES, "y name is", "ein Name ist", "m'appelle", "m’appelle", "e llamo", "ame:")
+_CAPITAL_CUES = tuple(map(str.upper, TITLES))
 _MAKE = {"email": email, "secret": secret, "hexadecimal": hexadecimal, "iban": iban, "ipv4": ipv4, "ssn": number, "account": number, "phone": phone, "card": card, "person": person}
 
 
@@ -367,17 +412,31 @@ def assigned(text: str) -> list[tuple[int, int]]:
     return [m.span("v") for m in _ASSIGNED.finditer(text)] if any(c in folded for c in _ASSIGNED_CUES) else []
 
 
+def _whole(text: str, start: int) -> int:
+    """Where the compound begins whose last part begins at ``start``."""
+    while start > 1 and text[start - 1] in "-\u2010\u2011'\u2019" and text[start - 2].isalpha():
+        start -= 1
+        while start and (text[start - 1].isalpha() or "\u0300" <= text[start - 1] <= "\u036f"):
+            start -= 1
+    return start
+
+
 def entities(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of every entity, in order, without overlaps."""
     found = marked(text) + [(*e, "secret") for e in assigned(text)]
-    if any(c in text.casefold() for c in _ACCOUNT_CUES):
+    low = text.casefold()
+    if any(c in low for c in _ACCOUNT_CUES):
         found += [(*m.span("n"), "account") for m in _ACCOUNT.finditer(text)]
+    if any(c in low for c in _NATIONAL_CUES):
+        found += [(*m.span("n"), "phone") for m in _NATIONAL.finditer(text)]
     if any(c in text for c in _ISSUERS):
         found += [(*m.span(), "secret") for m in _ISSUED.finditer(text)]
     if any(c in text for c in _CUES):
         found += [(*m.span("n"), "person") for m in _TITLE.finditer(text)]
+    if any(c in text for c in _CAPITAL_CUES):
+        found += [(*m.span("n"), "person") for m in _CAPITALS.finditer(text)]
     if any(n in text for n in _BY_NAME):
-        found += [(*m.span(), "person") for m in _CALLED.finditer(text)]
+        found += [(_whole(text, m.start()), m.end(), "person") for m in _CALLED.finditer(text)]
     found.sort(key=lambda e: (e[0], -e[1]))
     out, end = [], 0
     for e in found:
@@ -389,17 +448,18 @@ def entities(text: str) -> list[tuple[int, int, str]]:
 
 #: Words of detected names that are no names: they are not looked for elsewhere in the text.
 _NO_NAMES = frozenset("The An And Or Of In On At To For From By With Is Was He She It We You They Der Die Das Ein Eine Und Von Van Zu Im Am El La Los Las Le Les Un Una Une De Del Des Du Et Y".split()) | set(TITLES)
-_WHOLE_WORD = re.compile(r"\b[^\W\d_]{2,}\b")
+_WHOLE_WORD = re.compile(f"(?<![\\w\u0300-\u036f]){_LETTER}{{2,}}(?![\\w\u0300-\u036f])")
 
 
 def mentions(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """Every other whole-word mention of a part of a person in ``found``."""
-    parts = {w for start, end, kind in found if kind == "person" for w in re.split(r"[ \t]", text[start:end]) if len(w) > 1 and w not in _NO_NAMES}
+    runs = {titled(m[0]) for start, end, kind in found if kind == "person" for m in _RUN.finditer(text, start, end)}
+    parts = {w for w in runs if len(w) > 1 and not w[0].islower() and w not in _NO_NAMES}
     if not parts:
         return []
     out, k = [], 0
     for m in _WHOLE_WORD.finditer(text):
-        if m[0] in parts:
+        if titled(m[0]) in parts:
             while k < len(found) and found[k][1] <= m.start():
                 k += 1
             if k == len(found) or found[k][0] >= m.end():
@@ -427,6 +487,8 @@ def canonical(entity: str, kind: str) -> str:
     if kind == "hexadecimal":
         low = entity.lower()
         return re.sub("[:-]", "", low) if re.fullmatch(r"(?:[0-9a-f]{2}[:-]){5}[0-9a-f]{2}", low) else low
+    if kind == "person":
+        return _RUN.sub(lambda m: titled(m[0]), entity)
     return folded(entity) if kind == "email" else entity
 
 
