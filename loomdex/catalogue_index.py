@@ -351,6 +351,19 @@ def gate_requirements(spark, d):  # P13
     return evidence.satisfied(e, need, ["batch", "gate"]).select("batch", "gate", "ok")
 
 
+@query("""WITH r AS (SELECT event_id AS seq, CASE WHEN event_id % 13 <> 0 THEN user_id % 20 END AS batch, event_type AS gate, CASE event_id % 7 WHEN 0 THEN '' WHEN 1 THEN NULL ELSE 'sha256:' || CAST(event_id AS VARCHAR) END AS f FROM events),
+  k AS (SELECT DISTINCT user_id % 20 AS batch, event_type AS gate, 1 AS yes FROM events WHERE value > 20)
+  SELECT seq, r.batch, r.gate, CASE WHEN yes IS NULL THEN 'unknown' ELSE 'fingerprint' END AS why FROM r LEFT JOIN k ON k.batch = r.batch AND k.gate = r.gate WHERE yes IS NULL OR coalesce(f, '') = ''""")
+def unbound_evidence(spark, d):  # C8
+    from loomdex.plans import evidence
+
+    e, batch, gate = table(spark, d, "events"), F.col("user_id") % 20, F.col("event_type").alias("gate")
+    seq = F.col("event_id")
+    stamp = F.when(seq % 7 == 0, "").when(seq % 7 != 1, F.concat(F.lit("sha256:"), seq.cast("string")))
+    results = e.select(seq.alias("seq"), F.when(seq % 13 != 0, batch).alias("batch"), gate, stamp.alias("input_fingerprint"))
+    return evidence.unbound(results, e.where("value > 20").select(batch.alias("batch"), gate), ["batch", "gate"]).select("seq", "batch", "gate", "why")
+
+
 @query("""WITH e AS (SELECT 'plan-' || CAST(user_id % 30 AS VARCHAR) AS plan_id, 'B' || CAST(event_id % 4 AS VARCHAR) AS batch, event_id AS seq, ['in-progress', 'passed', 'failed', 'stale', 'pending', NULL][event_id % 6 + 1] AS status FROM events)
   SELECT plan_id, batch, arg_max(status, seq) AS status FROM e WHERE status IS NOT NULL GROUP BY 1, 2""")
 def batch_states(spark, d):  # P11

@@ -14,6 +14,13 @@ def stale(results: DataFrame, current: DataFrame, keys: list[str], on: list[str]
     return last_per_key(results, keys, ["seq"]).where("outcome = 'passed'").join(current, on).where(F.col(fingerprint) != F.col("current"))
 
 
+def unbound(results: DataFrame, known: DataFrame, keys: list[str], fingerprint: str = "input_fingerprint") -> DataFrame:
+    """The results of gates that hold for nothing, and ``why``: ``unknown`` where ``known`` lacks their keys or one is null, else ``fingerprint`` where it is null or empty."""
+    marked = results.join(known.select(*keys, F.lit(True).alias("__known")).distinct(), keys, "left")
+    why = F.when(F.col("__known").isNull(), "unknown").when(F.coalesce(F.col(fingerprint), F.lit("")) == "", "fingerprint")
+    return marked.withColumn("why", why).where("why is not null").drop("__known")
+
+
 def fingerprints(inputs: DataFrame, files: DataFrame, keys: list[str]) -> DataFrame:
     """keys, current: digest of each group's paths and their hashes in order of path; a path that isn't there counts as ``missing``."""
     known = inputs.select(*keys, "path").distinct().join(files.select("path", "hash"), "path", "left").withColumn("hash", F.coalesce("hash", F.lit("missing")))

@@ -283,3 +283,14 @@ def test_impact_of_three_hundred_changed_symbols(spark):
     whole = impact.impact(plans, tasks, [], roots, index, edges, most=1000).collect()
     assert len(whole) == 300 and {(r.level, r.direction, r.graph_depth, r.search_cut) for r in whole} == {("indirect", "caller", 1, False)}
     assert impact.everything(plans, tasks, [], roots, index, edges, nodes=256).cut
+
+
+def test_unbound_evidence_is_told(spark):
+    from loomdex.plans import evidence
+
+    rows = [("p", "B1", "g", "sha256:1"), ("p", "B1", "g", ""), ("p", "B1", "g", None), ("p", None, "g", "sha256:1"), ("p", "B1", "no", ""), ("q", "B1", "g", "sha256:1"), ("p", "B1", "g", "")]
+    results = spark.createDataFrame(rows, "plan_id string, batch string, gate string, input_fingerprint string")
+    known = spark.createDataFrame([("p", "B1", "g")] * 2, "plan_id string, batch string, gate string")
+    got = sorted((r.plan_id, r.batch or "", r.gate, r.why) for r in evidence.unbound(results, known, ["plan_id", "batch", "gate"]).collect())
+    assert got == [("p", "", "g", "unknown"), *[("p", "B1", "g", "fingerprint")] * 3, ("p", "B1", "no", "unknown"), ("q", "B1", "g", "unknown")]
+    assert evidence.unbound(results.limit(0), known, ["plan_id", "batch", "gate"]).count() == 0
