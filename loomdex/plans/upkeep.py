@@ -127,7 +127,7 @@ def unmet_contracts(plan: Plan, batch: str, root: str | Path) -> list[str]:
 
 
 def check(spark: SparkSession, folder: str, files: DataFrame | None = None) -> list[tuple[str, str, str]]:
-    """(code, plan, what) of everything wrong with a folder's plans: lint, circles of dependencies, results of gates or batches that there aren't,
+    """(code, plan, what) of everything wrong with a folder's plans: lint, circles of dependencies, results of gates or batches that there aren't or without a fingerprint,
     projections that are not what their plan says. Sorted; none if all is well.
     """
     plans = records.read(spark, folder)
@@ -142,7 +142,8 @@ def check(spark: SparkSession, folder: str, files: DataFrame | None = None) -> l
             continue
         gates = {g.get("id") for g in (plan.frontmatter.get("engineering") or {}).get("gates") or [] if isinstance(g, dict)}
         batches = {b.get("batch") for b in plan.batches}
-        found += [("EVIDENCE_UNBOUND", plan.id, f"{e['batch']}/{e['gate']}") for e in flow.log() if e["kind"] == "gate" and (e.get("gate") not in gates or e.get("batch") not in batches)]
+        results = [e for e in flow.log() if e["kind"] == "gate"]
+        found += [("EVIDENCE_UNBOUND", plan.id, f"{e.get('batch')}/{e.get('gate')}") for e in results if e.get("gate") not in gates or e.get("batch") not in batches or not e.get("input_fingerprint")]
         kept = flow.state / "projection.json"
         if kept.exists() and json.loads(kept.read_text("utf-8")) != json.loads(canonical_json(flow.projection())):
             found.append(("PROJECTION_DRIFT", plan.id, kept.as_posix()))
