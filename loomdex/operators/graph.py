@@ -131,42 +131,63 @@ def _bounded(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth: int, m
     return found, seen
 
 
-def _followed(steps: DataFrame, rounds: int) -> DataFrame:
-    """v, end, least: where the steps (v, end) lead that go on from each end that is itself a v, and the least node on the way; after ``rounds``
-    doublings, those that still lead to a v are in a ring, and have been round it.
-    """
-    steps = steps.withColumn("least", F.least("v", "end"))
-    for _ in range(rounds):
-        ahead = steps.select(F.col("v").alias("end"), F.col("end").alias("_next"), F.col("least").alias("_least"))
-        steps = checkpoint(steps.join(ahead, "end", "left").select("v", F.coalesce("_next", "end").alias("end"), F.least("least", "_least").alias("least")))
-    return steps
-
-
-def _trimmed(edges: DataFrame) -> DataFrame:
-    """Edges (a, b) whose start is an end, and whose end is a start: the others are on no circle."""
-    ends, starts = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
-    return edges.join(ends, "a", "left_semi").join(starts, "b", "left_semi").select("a", "b")
+def _followed(single: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame | None]:
+    """Where nodes with one edge out, (v, end), lead: v, end and ``on``, for those that never come to a node of another kind; the jumps of 1, 2, 4, ...
+    edges (v, end) among them; and the rings they make (v, component), if any.
 
+    Jumps double until all have come to an end, or the nodes that they come to get no fewer: those stand in rings, which whatever is left leads to. So
+    there are as many rounds as the longest way has binary digits.
+    """
+    known = single.select(F.col("v").alias("end"), F.lit(True).alias("_on"))
+    steps = checkpoint(single.join(known, "end", "left").select("v", "end", F.coalesce("_on", F.lit(False)).alias("on"), F.least("v", F.when(F.col("_on"), F.col("end"))).alias("least")))
+    jumps: list[DataFrame] = []
+    ends, before = steps.where("on").select(F.countDistinct("end")).first()[0], None
+    while ends and ends != before:
+        jumps.append(steps.where("on").select("v", "end"))
+        ahead = steps.select(F.col("v").alias("end"), F.col("end").alias("_end"), F.col("on").alias("_on"), F.col("least").alias("_least"))
+        gone = steps.where("on").join(ahead, "end").select("v", F.col("_end").alias("end"), F.col("_on").alias("on"), F.least("least", "_least").alias("least"))
+        steps = checkpoint(gone.union(steps.where("not on")))
+        before, ends = ends, steps.where("on").select(F.countDistinct("end")).first()[0]
+    if not ends:
+        return steps.select("v", "end", "on"), jumps, None
+    around = checkpoint(steps.join(steps.where("on").select(F.col("end").alias("v")).distinct(), "v", "left_semi").select("v", "end", "least"))
+    moved = 1
+    while moved:  # until no node learns of a lesser one from as far ahead as it has looked
+        ahead = around.select(F.col("v").alias("end"), F.col("end").alias("_end"), F.col("least").alias("_least"))
+        step = checkpoint(around.join(ahead, "end").select("v", F.col("_end").alias("end"), F.least("least", "_least").alias("least"), (F.col("_least") < F.col("least")).alias("_moved")))
+        moved, around = step.where("_moved").count(), step.select("v", "end", "least")
+    return steps.select("v", "end", "on"), jumps, around.select("v", F.col("least").alias("component"))
+
+
+class Layer(NamedTuple):
+    """What a contraction took out: its edges by way of their first node (a, v, b), and the jumps from there on."""
+
+    entries: DataFrame
+    jumps: list[DataFrame]
+
+
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame | None, Layer | None]:
+    """Edges among nodes with several edges out, where ways by nodes with one are single edges; the rings of those; and what stood on the ways.
+
+    Ways that come to a node without edges, or into a ring, lie on no circle and are dropped, however deep the trees that they make.
+    """
+    out = checkpoint(edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("end")))
+    many = out.where("n > 1").select("a")
+    fate, jumps, ring = _followed(out.where("n = 1").select(F.col("a").alias("v"), "end"))
+    start = edges.join(many, "a", "left_semi").join(fate.select(F.col("v").alias("b"), "end", "on"), "b", "left").where("on is null or not on")
+    each = start.select("a", F.when(F.col("end").isNotNull(), F.col("b")).alias("v"), F.coalesce("end", "b").alias("b"))
+    each = checkpoint(each.join(many.select(F.col("a").alias("b")), "b", "left_semi").select("a", "v", "b"))
+    return checkpoint(each.select("a", "b").distinct()), ring, Layer(each.where("v is not null"), jumps)
 
-def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Chains as single edges: the edges, the nodes of rings that nothing else touches, and what stood within the chains, (v, a, b).
 
-    A node with one edge in and one out is on a circle just when the ends of its chain are, in one component; ends are found from both sides by
-    doubling, in as many rounds as the longest chain has binary digits.
-    """
-    out, in_ = edges.groupBy("a").agg(F.count("*").alias("n"), F.min("b").alias("end")), edges.groupBy("b").agg(F.count("*").alias("m"), F.min("a").alias("from"))
-    inner = out.where("n = 1").join(in_.where("m = 1").withColumnRenamed("b", "a"), "a").select(F.col("a").alias("v"), "end", "from")
-    inner = checkpoint(inner)
-    if not (n := inner.count()):
-        return edges, inner.select("v", F.col("v").alias("component")), inner.select("v", F.col("from").alias("a"), F.col("end").alias("b"))
-    rounds = n.bit_length() + 1
-    ahead, back = _followed(inner.select("v", "end"), rounds), _followed(inner.select("v", F.col("from").alias("end")), rounds)
-    both = ahead.withColumnRenamed("end", "b").join(back.select("v", F.col("end").alias("a")), "v")
-    own = inner.select(F.col("v").alias("b"))
-    ring = checkpoint(both.join(own, "b", "left_semi").select("v", F.col("least").alias("component")))
-    within = checkpoint(both.join(own, "b", "left_anti").select("v", "a", "b"))
-    rest = edges.join(inner.select(F.col("v").alias("a")), "a", "left_anti").join(own, "b", "left_anti").select("a", "b")
-    return checkpoint(rest.union(within.select("a", "b")).distinct()), ring, within
+def _between(layer: Layer, known: DataFrame) -> DataFrame:
+    """v, component of the nodes of a layer that stand between two nodes of one component: the first of each such way, and all that follow it."""
+    a, b = known.select(F.col("v").alias("a"), F.col("component").alias("_a")), known.select(F.col("v").alias("b"), F.col("component").alias("_b"))
+    found = checkpoint(layer.entries.join(a, "a").join(b, "b").where("_a = _b").select("v", F.col("_a").alias("component")).distinct())
+    if found.limit(1).count():
+        for jump in layer.jumps:
+            found = checkpoint(found.union(found.join(jump, "v").select(F.col("end").alias("v"), "component")).distinct())
+    return found
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
@@ -193,35 +214,39 @@ def _coloured(edges: DataFrame) -> DataFrame:
 def circles(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node, component: the nodes that reach themselves, and the least node of their strongly connected component that the search kept as its name.
 
-    Edges off all circles are trimmed and chains contracted until neither changes anything; then components are taken out, one a colour, and so on
-    until no edge is left; at last what stood within a chain follows the chain's ends. Every table is linear in the edges: no pair of nodes is made
-    that isn't an edge. Rounds are as many as the digits of the longest chain, and steps across what is left when chains are gone.
+    Nodes with one edge out are contracted, with whole trees and chains of them at once, then those with one edge in, until neither changes anything;
+    then components are taken out, one a colour, and so on until no edge is left. At last what was contracted follows its ways' ends, from the last
+    contraction to the first. Every table is linear in the edges: no pair of nodes is made that isn't an edge. Rounds are as many as the digits of the
+    longest way, and steps across what is left.
     """
     rest = checkpoint(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null").distinct())
-    found: list[DataFrame] = [rest.where("a = b").select(F.col("a").alias("v"), F.col("a").alias("component"))]
-    layers: list[DataFrame] = []
-    rest = rest.where("a <> b")
-    n = rest.count()
+    taken: list[DataFrame | Layer] = []  # nodes with components, or a layer, as they went
+
+    def plain(rest: DataFrame) -> tuple[DataFrame, int]:
+        """Without edges from a node to itself, which is a component of its own if in no other."""
+        n, own = rest.agg(F.count("*"), F.count_if(F.col("a") == F.col("b"))).first()
+        if own:
+            taken.append(rest.where("a = b").select(F.col("a").alias("v"), F.col("a").alias("component")))
+        return rest.where("a <> b"), n - own
+
+    rest, n = plain(rest)
     while n:
         before = n
-        rest, ring, layer = _contracted(checkpoint(_trimmed(rest)))
-        layers.append(layer)
-        found.append(ring)
-        found.append(rest.where("a = b").select(F.col("a").alias("v"), F.col("a").alias("component")))
-        rest = checkpoint(rest.where("a <> b"))
-        n = rest.count()
+        for _ in range(2):  # by edges out, then by edges in
+            if n:
+                rest, ring, layer = _contracted(rest)
+                taken += [x for x in (layer, ring) if x is not None]
+                rest, n = plain(rest.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if n == before:
             own = _coloured(rest)
             sizes = own.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-            found.append(own.join(sizes, "component", "left_semi").select("v", "component"))
+            taken.append(own.join(sizes, "component", "left_semi").select("v", "component"))
             rest = checkpoint(rest.join(own.select(F.col("v").alias("a")), "a", "left_anti").join(own.select(F.col("v").alias("b")), "b", "left_anti").select("a", "b"))
             n = rest.count()
-    known = checkpoint(reduce(DataFrame.union, found).groupBy("v").agg(F.min("component").alias("component")))
-    for layer in reversed(layers):
-        # a chain from a node to itself is a circle of its own
-        a, b = known.select(F.col("v").alias("a"), F.col("component").alias("_a")), known.select(F.col("v").alias("b"), F.col("component").alias("_b"))
-        more = layer.join(a, "a").join(b, "b").where("_a = _b").select("v", F.col("_a").alias("component"))
-        known = checkpoint(known.union(more).groupBy("v").agg(F.min("component").alias("component")))
+    known = rest.select(F.col("a").alias("v"), F.col("a").alias("component")).limit(0)
+    for each in reversed(taken):
+        more = _between(each, known) if isinstance(each, Layer) else each
+        known = checkpoint(known.union(more.join(known.select("v"), "v", "left_anti")))
     return known.select(F.col("v").alias("node"), "component")
 
 

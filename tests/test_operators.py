@@ -316,3 +316,22 @@ def test_wide_evictions_equal_the_window(spark):
         assert sorted(map(tuple, working_set.evictions_wide(df, of, ["session_id"]).collect())) == sorted(map(tuple, want.collect()))
     plan = working_set.evictions_wide(df, of, ["session_id"])._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(session_id" in plan and "_part" in plan and working_set.evictions_wide(df.limit(0), of, ["session_id"]).count() == 0
+
+
+def test_circles_in_few_jobs_and_named_alike_where_a_node_points_to_itself(spark):
+    """Trees 60 deep lead into a ring; and a node with an edge to itself stands within a larger component."""
+    ring = [(k, (k + 1) % 3) for k in range(3)]
+    deep = [(100 + k, 99 + k if k else 0) for k in range(60)] + [(200 + k, 199 + k if k else 100) for k in range(60)]
+    inner = [(1005, 1001), (1001, 1001), (1001, 1006), (1006, 1005), (1005, 1006), (1002, 1005), (1006, 1002), (1002, 1003), (1003, 1004), (1004, 1002)]
+    jobs, sc = spark.sparkContext.statusTracker(), spark.sparkContext
+    sc.setJobGroup("circles", "circles")
+    try:
+        got = graph.circles(spark.createDataFrame(ring + deep + inner, "src long, dst long")).collect()
+        many = len(jobs.getJobIdsForGroup("circles"))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    want, by = _circles(ring + deep + inner), {}
+    for r in got:
+        by.setdefault(r.component, set()).add(r.node)
+    assert {r.node: frozenset(by[r.component]) for r in got} == want and len(got) == 9
+    assert many < 400
