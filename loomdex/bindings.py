@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.runtime import table
+from loomdex.runtime import dealt, parts_of, table
 
 STEP_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
 SQL: dict[str, str] = {}
@@ -38,10 +38,16 @@ SQL["symbols"] = """symbols AS (SELECT replace(p_brand, '#', '') || '/' || repla
   p_name || ' of ' || lower(p_type) || ' kind' AS description, p_size AS line, 'f' || CAST((p_partkey * 7) % 600 AS VARCHAR) AS base, p_partkey AS seq FROM part)"""
 
 
+def call_parts(spark: SparkSession, d: str) -> int:
+    """Into how many tasks steps that take all calls are dealt."""
+    return parts_of(table(spark, d, "lineitem"))
+
+
 def steps(spark: SparkSession, d: str) -> DataFrame:
-    """Consecutive parts of an order."""
+    """Consecutive parts of an order; orders are dealt by the number of items, so that no task sorts more of them where there are more."""
     w = Window.partitionBy("l_orderkey").orderBy(*STEP_ORDER)
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
+    items = dealt(table(spark, d, "lineitem").select("l_orderkey", *STEP_ORDER), call_parts(spark, d), "l_orderkey")
+    rows = items.select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
     return rows.where("dst is not null and src <> dst")
 
 
@@ -50,7 +56,8 @@ SQL["steps"] = """steps AS (SELECT * FROM (SELECT l_orderkey, l_linenumber, l_pa
 
 
 def call_edges(spark: SparkSession, d: str) -> DataFrame:
-    return steps(spark, d).groupBy(F.col("src").alias("src_qname"), F.col("dst").alias("dst_qname")).agg(F.count("*").alias("count"))
+    pairs = dealt(steps(spark, d).select(F.col("src").alias("src_qname"), F.col("dst").alias("dst_qname")), call_parts(spark, d), "src_qname", "dst_qname")
+    return pairs.groupBy("src_qname", "dst_qname").agg(F.count("*").alias("count"))
 
 
 SQL["call_edges"] = "call_edges AS (SELECT src AS src_qname, dst AS dst_qname, count(*) AS count FROM steps GROUP BY src, dst)"

@@ -285,7 +285,7 @@ def callers_callees(spark, d):  # G1
 @query(b.with_("call_edges") + """, both_ AS (SELECT dst_qname AS node, 'caller' AS direction, src_qname AS name FROM call_edges UNION SELECT src_qname, 'callee', dst_qname FROM call_edges)
   SELECT node, direction, name, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY node, direction ORDER BY name) AS rank FROM both_) WHERE rank <= 2""")
 def top_n_neighbours(spark, d):  # W8, J8
-    return graph.ranked_neighbours(b.call_edges(spark, d), 2)
+    return graph.ranked_neighbours(b.call_edges(spark, d), 2, parts=b.call_parts(spark, d))
 
 
 @query(b.with_("call_edges") + " SELECT src_qname, dst_qname, count FROM call_edges WHERE src_qname IN (SELECT p_partkey FROM part WHERE p_size > 10) AND dst_qname IN (SELECT p_partkey FROM part WHERE p_size > 10) ORDER BY count DESC, src_qname, dst_qname LIMIT 40")

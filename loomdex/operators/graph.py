@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import text
 from loomdex.operators.resolve import folder_of
-from loomdex.runtime import checkpoint
+from loomdex.runtime import checkpoint, dealt
+
+#: A frontier of no more nodes is sent to every task.
+BROADCAST_ROWS = 1 << 16
 
 
 def in_degree(edges: DataFrame, dst: str = "dst_file", weight: str | None = "count") -> DataFrame:
@@ -38,23 +41,34 @@ def top_edges(edges: DataFrame, most: int, nodes: DataFrame | None = None, src:
     return edges.orderBy(F.desc("count"), src, dst).limit(most).select(src, dst, "count")
 
 
-def ranked_neighbours(edges: DataFrame, most: int, src: str = "src_qname", dst: str = "dst_qname") -> DataFrame:
-    """node, direction, name, rank: at most ``most`` callers and callees of every node, by name."""
-    both = edges.select(F.col(dst).alias("node"), F.lit("caller").alias("direction"), F.col(src).alias("name")).union(edges.select(src, F.lit("callee"), dst)).distinct()
-    rank = F.row_number().over(Window.partitionBy("node", "direction").orderBy("name"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= most)
+def _ends(edges: DataFrame, src: str = "src_qname", dst: str = "dst_qname") -> DataFrame:
+    """node, direction, other of every edge, seen from either end, in one pass; repeated edges stay."""
+    end = lambda node, direction, other: F.struct(F.col(node).alias("node"), F.lit(direction).alias("direction"), F.col(other).alias("other"))
+    return edges.select(F.inline(F.array(end(dst, "caller", src), end(src, "callee", dst))))
+
+
+def ranked_neighbours(edges: DataFrame, most: int, src: str = "src_qname", dst: str = "dst_qname", parts: int | None = None) -> DataFrame:
+    """node, direction, name, rank: at most ``most`` callers and callees of every node, by name; nodes are dealt to ``parts`` tasks.
+
+    Equal names share a rank, so ranks are cut before what is left of repeated edges is made one.
+    """
+    both = dealt(_ends(edges, src, dst), parts, "node", "direction").select("node", "direction", F.col("other").alias("name"))
+    rank = F.dense_rank().over(Window.partitionBy("node", "direction").orderBy("name"))
+    return both.withColumn("rank", rank).where(F.col("rank") <= most).distinct()
 
 
 def reach(edges: DataFrame, roots: DataFrame, depth: int = 2, src: str = "src_qname", dst: str = "dst_qname") -> DataFrame:
     """node, depth: the nodes within ``depth`` steps of the roots in either direction, with their least depth.
 
-    One join per step with the frontier only; visited nodes are left out by an anti join, and each step is checkpointed.
+    One join per step with the frontier only, to which a small frontier is sent; visited nodes are left out by an anti join, and each step is checkpointed.
     """
-    both = related(edges, src, dst)
+    both = _ends(edges, src, dst).select("node", "other")
     seen = checkpoint(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
-        step = both.join(front.select("node"), "node").select(F.col("other").alias("node")).distinct()
+        near = front.select("node")
+        near = F.broadcast(near) if near.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else near
+        step = both.join(near, "node").select(F.col("other").alias("node")).distinct()
         front = checkpoint(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.union(front)
     return seen
@@ -67,31 +81,26 @@ class Found(NamedTuple):
     cut: bool
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    """node, direction, other of every edge, seen from either end."""
-    callers = edges.select(F.col("dst_qname").alias("node"), F.lit("caller").alias("direction"), F.col("src_qname").alias("other"))
-    return callers.union(edges.select("src_qname", F.lit("callee"), "dst_qname")).distinct()
-
-
-def search(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth: int = 2, most: int | None = None) -> Found:
+def search(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth: int = 2, most: int | None = None, parts: int | None = None) -> Found:
     """node, via, direction, depth: the ``stops`` that a breadth-first search from all roots meets, and whether it was cut.
 
     The queue begins with the roots by name; a node's neighbours follow by direction (callee, caller) and name. Stops are not searched beyond. Without
     ``most`` the search is whole: a node's place in the queue is its path of names and directions, and the least path is found by aggregation, so
-    no step is gathered or numbered. With it, see ``bounded_search``; then a search that saw more nodes than ``most`` says so.
+    no step is gathered or numbered; edges to nodes that were seen are dropped before each step, dealt to ``parts`` tasks. With it, see ``bounded_search``; then a search that saw more nodes than ``most`` says so.
     """
     if most is not None:
         hits, seen = _bounded(edges, roots, stops, depth, most)
         return Found(hits, seen.limit(most + 1).count() > most)
-    both = checkpoint(_both_ways(edges))
     known = stops.select(F.col("node").alias("other"), F.lit(True).alias("stop")).distinct()
-    seen = checkpoint(roots.select("node").where("node is not null").distinct())
-    front, found = seen.select("node", F.array("node").alias("path")), []
+    new = checkpoint(roots.select("node").where("node is not null").distinct())
+    front, found = new.select("node", F.array("node").alias("path")), []
+    rest = dealt(_ends(edges), parts, "other")
     for d in range(1, depth + 1):
-        step = both.join(front, "node").join(seen.select(F.col("node").alias("other")), "other", "left_anti")
-        first = step.groupBy("other").agg(F.min(F.concat("path", F.array("direction"))).alias("by"))
+        rest = rest.join(new.select(F.col("node").alias("other")), "other", "left_anti")
+        rest = checkpoint(rest) if d < depth else rest
+        first = rest.join(front, "node").groupBy("other").agg(F.min(F.concat("path", F.array("direction"))).alias("by"))
         ranked = checkpoint(first.join(known, "other", "left"))
-        seen = seen.union(ranked.select("other"))
+        new = ranked.select(F.col("other").alias("node"))
         hit = ranked.where("stop").select(F.col("other").alias("node"), F.element_at("by", -2).alias("via"), F.element_at("by", -1).alias("direction"), F.lit(d).alias("depth"))
         found.append(hit)
         front = ranked.where("stop is null").select(F.col("other").alias("node"), F.concat("by", F.array("other")).alias("path"))
@@ -109,7 +118,7 @@ def bounded_search(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth:
 
 
 def _bounded(edges: DataFrame, roots: DataFrame, stops: DataFrame, depth: int, most: int) -> tuple[DataFrame, DataFrame]:
-    both = checkpoint(_both_ways(edges))  # every step joins it with a few nodes only
+    both = checkpoint(_ends(edges).distinct())  # every step joins it with a few nodes only
     near = Window.partitionBy("node", "direction").orderBy("other")
     seen = checkpoint(roots.select("node").distinct())
     first = seen.orderBy("node").limit(most)  # later roots are beyond the bound, and so is what they alone lead to

@@ -54,3 +54,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of a data folder; columns are pruned and filters pushed down by the Parquet scan."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+#: Rows of a task where a table is dealt by their number.
+TASK_ROWS = 1 << 19
+
+
+def parts_of(df: DataFrame) -> int:
+    """How many tasks a table is dealt to, of ``TASK_ROWS`` rows or fewer each, but no fewer than there are cores; of Parquet only the footers are read."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_ROWS))
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """``df`` by keys in so many parts, which adaptive execution doesn't join into larger ones again; without a number as it is."""
+    return df.repartition(parts, *keys) if parts else df

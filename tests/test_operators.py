@@ -335,3 +335,33 @@ def test_circles_in_few_jobs_and_named_alike_where_a_node_points_to_itself(spark
         by.setdefault(r.component, set()).add(r.node)
     assert {r.node: frozenset(by[r.component]) for r in got} == want and len(got) == 9
     assert many < 400
+
+
+def test_tasks_follow_the_number_of_calls(spark, monkeypatch):
+    """A task takes so many rows at most, however few partitions adaptive execution would make of them."""
+    from loomdex import bindings, runtime
+    from tests.test_catalogue import FOLDER
+
+    monkeypatch.setattr(runtime, "TASK_ROWS", 300)
+    parts = bindings.call_parts(spark, FOLDER)
+    assert parts == -(-bindings.table(spark, FOLDER, "lineitem").count() // 300) > 8
+    edges = bindings.call_edges(spark, FOLDER)
+    for df in (bindings.steps(spark, FOLDER), edges, graph.ranked_neighbours(edges, 2, parts=parts)):
+        assert df.rdd.getNumPartitions() == parts
+
+
+def test_neighbours_and_reach_of_repeated_edges(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "c"), ("a", "d"), ("d", "a"), ("a", "b")], "src_qname string, dst_qname string")
+    got = sorted((r.node, r.direction, r.name, r["rank"]) for r in graph.ranked_neighbours(edges, 2, parts=3).collect())
+    assert got == [("a", "callee", "b", 1), ("a", "callee", "c", 2), ("a", "caller", "d", 1), ("b", "caller", "a", 1), ("c", "caller", "a", 1), ("d", "callee", "a", 1), ("d", "caller", "a", 1)]
+    assert sorted(map(tuple, graph.reach(edges, spark.createDataFrame([("b",)], "node string"), 2).collect())) == [("a", 1), ("b", 0), ("c", 2), ("d", 2)]
+
+
+def test_search_keeps_only_edges_to_nodes_not_seen(spark, monkeypatch):
+    """What a step stores are edges that it may follow, not all."""
+    sizes, real = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: sizes.append((out := real(df)).count()) or out)
+    edges = spark.createDataFrame([(f"r{k}", f"r{j}") for k in range(9) for j in range(9) if k != j] + [("r0", "x"), ("x", "y")], "src_qname string, dst_qname string")
+    roots, stops = spark.createDataFrame([(f"r{k}",) for k in range(9)], "node string"), spark.createDataFrame([("y",)], "node string")
+    got = graph.search(edges, roots, stops, 2, parts=4)
+    assert [tuple(r) for r in got.hits.collect()] == [("y", "x", "callee", 2)] and not got.cut and max(sizes) == 9
