@@ -303,7 +303,7 @@ def dependency_edges(spark, d):  # O4, G9
   walk AS (SELECT CAST(3 AS BIGINT) AS node, 0 AS depth UNION SELECT CAST(11 AS BIGINT), 0 UNION SELECT b, depth + 1 FROM walk JOIN both_ ON a = node WHERE depth < 2) SELECT node, min(depth) AS depth FROM walk GROUP BY node""")
 def bfs_bounded(spark, d):  # G5
     roots = spark.createDataFrame([(3,), (11,)], "node long")
-    return graph.reach(b.call_edges(spark, d), roots, 2)
+    return graph.reach(b.steps(spark, d), roots, 2, "src", "dst")  # how often a step comes makes no difference
 
 
 @query("""WITH RECURSIVE e AS (SELECT n_nationkey AS a, (n_nationkey * n_nationkey + 1) % 25 AS b FROM nation UNION SELECT n_nationkey, n_regionkey * 5 FROM nation),
