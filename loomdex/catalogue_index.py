@@ -478,7 +478,7 @@ def plan_impact(spark, d):  # P18, O12, O6, G5: plans of hundreds of tasks, of w
     changed = p.where("p_size > 5").select(F.lit("symbol").alias("kind"), symbol.alias("ref")).union(p.select(F.lit("file"), file("b", 30)).distinct())
     named = lambda c: F.concat(F.lit("s"), F.col(c).cast("string")).alias(c)
     edges = b.call_edges(spark, d).select(named("src_qname"), named("dst_qname"), "count")
-    got = impact.impact(plans, tasks, changed, None, p.select(file("a", 50).alias("file"), symbol.alias("qualified_name")), edges)
+    got = impact.impact(plans, tasks, changed, None, p.select(file("a", 50).alias("file"), symbol.alias("qualified_name")), edges, parts=b.call_parts(spark, d))
     return got.select("plan_id", "level", "batch", "kind", "ref", "task", "changed_ref", "direction", "graph_depth", "plan_rows", "plan_possible")
 
 

@@ -74,10 +74,10 @@ def _direct(tasks: DataFrame, changed: DataFrame) -> DataFrame:
     return named.join(changed, ["kind", "ref"]).groupBy("plan_id", "batch", "kind", "ref").agg(F.min("number").alias("task"))
 
 
-def _indirect(planned: DataFrame, changed: DataFrame, index: DataFrame, edges: DataFrame, depth: int, nodes: int | None) -> tuple[DataFrame, bool]:
+def _indirect(planned: DataFrame, changed: DataFrame, index: DataFrame, edges: DataFrame, depth: int, nodes: int | None, parts: int | None) -> tuple[DataFrame, bool]:
     of_files = index.join(changed.where("kind = 'file'").select(F.col("ref").alias("file")), "file", "left_semi").select("qualified_name")
     roots = changed.where("kind = 'symbol'").select(F.col("ref").alias("node")).union(of_files)
-    hits, cut = graph.search(edges, roots, planned.select(F.col("ref").alias("node")).distinct(), depth, nodes)
+    hits, cut = graph.search(edges, roots, planned.select(F.col("ref").alias("node")).distinct(), depth, nodes, parts)
     own = planned.groupBy("plan_id", "ref").agg(F.max(F.struct("batch", "task")).alias("at")).select("plan_id", "ref", "at.batch", "at.task")
     return own.join(hits, F.col("ref") == F.col("node")), cut
 
@@ -108,13 +108,13 @@ class Touched(NamedTuple):
 
 
 def everything(
-    plans: DataFrame, tasks: DataFrame, files: list[str] | DataFrame, symbols: list[str] | None, index: DataFrame | None, edges: DataFrame | None, depth: int = 2, nodes: int | None = None
+    plans: DataFrame, tasks: DataFrame, files: list[str] | DataFrame, symbols: list[str] | None, index: DataFrame | None, edges: DataFrame | None, depth: int = 2, nodes: int | None = None, parts: int | None = None
 ) -> Touched:
     """All that a change touches in open plans, in the shape of ``SHAPE``.
 
     ``direct``: a task names it. ``indirect``: a planned symbol within ``depth`` calls of a changed one, by a search of at most ``nodes`` nodes (None:
     the whole search). ``possible``: a shared word, or a file of the same name. What changed is given as two lists, or as one table (kind, ref) of any
-    size. ``index`` are symbols, ``edges`` calls.
+    size. ``index`` are symbols, ``edges`` calls, which the search deals to ``parts`` tasks.
     """
     spark = plans.sparkSession
     plans = plans.where(F.col("status").isin(*OPEN))
@@ -125,7 +125,7 @@ def everything(
     found = _rows(direct, "direct", confidence=F.lit(1.0))
     planned_symbols, planned_files = planned_refs(tasks, plans, "symbols"), planned_refs(tasks, plans, "files")
     if index is not None and edges is not None and depth > 0:
-        indirect, cut = _indirect(planned_symbols, changed, index, edges, depth, nodes)
+        indirect, cut = _indirect(planned_symbols, changed, index, edges, depth, nodes, parts)
         how = {"confidence": text.impact_confidence(F.col("depth")), "changed_ref": F.col("via"), "direction": F.col("direction"), "graph_depth": F.col("depth")}
         found = found.unionByName(_rows(indirect, "indirect", "symbol", **how))
     maybe = _alike(planned_symbols, direct, changed).unionByName(_same_name(planned_files, changed))
@@ -143,9 +143,9 @@ def bounded(rows: DataFrame, possible: int = 12, most: int = 200) -> DataFrame:
     return changes.top_per_key(kept, ["plan_id"], list(ORDER), most).drop("of").join(counts, "plan_id")
 
 
-def impact(plans: DataFrame, tasks: DataFrame, files: list[str] | DataFrame, symbols: list[str] | None, index: DataFrame | None, edges: DataFrame | None, depth: int = 2, nodes: int | None = None, possible: int = 12, most: int = 200) -> DataFrame:
+def impact(plans: DataFrame, tasks: DataFrame, files: list[str] | DataFrame, symbols: list[str] | None, index: DataFrame | None, edges: DataFrame | None, depth: int = 2, nodes: int | None = None, possible: int = 12, most: int = 200, parts: int | None = None) -> DataFrame:
     """``everything``, ``bounded``, with ``search_cut``: whether a search of at most ``nodes`` nodes left some unseen."""
-    found = everything(plans, tasks, files, symbols, index, edges, depth, nodes)
+    found = everything(plans, tasks, files, symbols, index, edges, depth, nodes, parts)
     return bounded(found.rows, possible, most).withColumn("search_cut", F.lit(found.cut))
 
 
