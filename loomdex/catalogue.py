@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loomdex import bindings as b
 from loomdex.functions import text
 from loomdex.operators import changes, graph, quality, resolve, search, working_set
-from loomdex.runtime import table
+from loomdex.runtime import checkpoint, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -588,7 +588,7 @@ def extract_symbols(spark, d):  # S5-S8, S13, S14, X11, L6
 def extract_edges(spark, d):  # S9-S12, K4
     from loomdex.sources import extract
 
-    got = extract.extract_contents(_sources(spark, d))
+    got = checkpoint(extract.extract_contents(_sources(spark, d)).select("path", "imports", "calls"))  # parsed once for both
     return extract.imports_table(got).join(extract.calls_table(got).select("file", "src_qname", "callee_raw"), "file").select(F.regexp_replace("file", r"\.\w+$", "").alias("module"), "source", "src_qname", "callee_raw")
 
 

@@ -488,7 +488,7 @@ def plan_impact(spark, d):  # P18, O12, O6, G5: plans of hundreds of tasks, of w
 @query("""WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS k, CAST((p_partkey * 7) % 1000 AS VARCHAR) AS o FROM part), one AS (SELECT k FROM p)
   SELECT 'p' || p.k || '.f' || p.k AS src_qname, 'p' || p.o || '.f' || p.o AS dst_qname, CAST(1 AS BIGINT) AS count FROM p JOIN one ON one.k = p.o WHERE p.o <> p.k""")
 def scanned_calls(spark, d):  # L1, K1, K2, K5, S20
-    got = extract.extract_contents(catalogue._sources(spark, d))
+    got = checkpoint(extract.extract_contents(catalogue._sources(spark, d)))  # parsed once for all tables
     symbols, files = extract.symbols_table(got), got.select("path")
     refs = resolve.import_edges(extract.imports_table(got), files)
     return resolve.call_edges(resolve.resolve_calls(extract.calls_table(got), symbols, refs))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions import text
-from loomdex.runtime import ship
+from loomdex.runtime import dealt, ship
 from loomdex.sources import golang, python, script
 
 READERS = {"python": python.extract, "go": golang.extract, "javascript": script.extract, "typescript": script.extract}
@@ -56,9 +56,12 @@ def extract_paths(spark: SparkSession, root: str, paths: list[str], partitions:
 
 
 def extract_contents(contents: DataFrame) -> DataFrame:
-    """Extract from rows of (path, content binary), wherever they were read from; other suffixes are left out."""
+    """Extract from rows of (path, content binary), wherever they were read from; other suffixes are left out.
+
+    Parsing costs far more than reading, so rows are dealt to some tasks a core first: a table of small rows may be a single split.
+    """
     ship(contents.sparkSession)
-    known = contents.where(text.language_of(F.col("path")).isNotNull()).select("path", "content")
+    known = dealt(contents.where(text.language_of(F.col("path")).isNotNull()).select("path", "content"), contents.sparkSession.sparkContext.defaultParallelism * 4, "path")
 
     def run(batches):
         for b in batches:

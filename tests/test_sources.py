@@ -153,3 +153,24 @@ def test_tables_from_a_tree(spark, tmp_path):
     contents = spark.createDataFrame([(p, bytearray(Path(tmp_path / p).read_bytes())) for p in ("src/service.py", "svc.go")] + [("notes.txt", bytearray(b""))], "path string, content binary")
     assert {r.path for r in extract.extract_contents(contents).collect()} == {"src/service.py", "svc.go"}
     got.unpersist()
+
+
+def test_sources_of_one_split_are_parsed_by_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from loomdex.sources import extract
+
+    one = spark.range(0, 400, 1, 1).select(F.concat(F.lit("m"), F.col("id").cast("string"), F.lit(".py")).alias("path"), F.lit(b"def f():\n    return g()\n").alias("content"))
+    got = extract.extract_contents(one)
+    assert got.count() == 400 and got.where("size(symbols) = 1 and size(calls) = 1").count() == 400
+    assert got.rdd.glom().filter(len).count() > 8
+
+
+def test_queries_on_sources_parse_once(spark, tmp_path, monkeypatch):
+    from loomdex import catalogue
+    from loomdex.sources import extract
+    from tests.test_catalogue import FOLDER
+
+    for query in ("extract_edges", "scanned_calls"):
+        plan = catalogue.QUERIES[query](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        assert "MapInArrow" not in plan  # it was staged before
