@@ -32,6 +32,8 @@ from loomdex.operators import changes
 
 DOCUMENTS = "doc_id long, text string, lang string, source string"
 FILES = "path string, hash string, size long, words long, action string, run long, language string"
+#: So many paths that come several times in a batch are sent to every task.
+BROADCAST_ROWS = 1 << 16
 POSTINGS = "word string, path string, n long, run long, bucket int"
 
 
@@ -70,20 +72,41 @@ def lookup(spark: SparkSession, out: str, word: str, buckets: int) -> DataFrame:
     return rows.join(last, ["path", "run"], "left_semi").select("path", "n").orderBy(F.desc("n"), "path")
 
 
-def texts(rows: DataFrame) -> DataFrame:
-    """path, language, text: each path of a batch once."""
+def texts(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """path, language, text: each path of a batch once; and whether any came several times. Only the texts of those are shuffled, if they are few."""
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     said = rows.where("doc_id is not null").select(path.alias("path"), F.nullif("lang", F.lit("")).alias("language"), F.coalesce("text", F.lit("")).alias("text"))
-    return said.groupBy("path", "language").agg(F.min("text").alias("text"))
+    least = lambda df: df.groupBy("path", "language").agg(F.min("text").alias("text"))
+    again = said.groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
+    n = again.limit(BROADCAST_ROWS + 1).count()
+    if not n or n > BROADCAST_ROWS:
+        return (least(said), True) if n else (said, False)
+    few = F.broadcast(again)
+    return said.join(few, "path", "left_anti").unionByName(least(said.join(few, "path", "left_semi"))), True
+
+
+def tally(words):
+    """word, n of an array that isn't empty: counted within the row, as runs of the sorted words."""
+    starts = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda k: (k == 0) | (F.get(s, k) != F.get(s, k - 1)))
+    run = lambda s, at: lambda k, i: F.struct(F.get(s, k).alias("word"), (F.coalesce(F.get(at, i + 1), F.size(s)) - k).cast("long").alias("n"))
+    runs = lambda s: F.get(F.transform(F.array(starts(s)), lambda at: F.transform(at, run(s, at))), 0)
+    return F.get(F.transform(F.array(F.sort_array(words)), runs), 0)
 
 
 def take(batch: DataFrame, number: int, out: str, config: dict[str, Any]) -> None:
     """Write one batch's new and changed files and their postings as run ``number``."""
     spark = batch.sparkSession
-    known = files(spark, out, number).select("path", F.col("hash").alias("_known"))
-    own = texts(batch).withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)).join(known, "path", "left").where("_known is null or _known <> hash")
+    own, again = texts(batch)
+    own, known = own.withColumn("hash", F.sha2(F.col("text").cast("binary"), 256)), files(spark, out, number).select("path", F.col("hash").alias("_known"))
+    if known.limit(1).count():
+        own = own.join(known, "path", "left").where("_known is null or _known <> hash")
+    else:
+        own = own.withColumn("_known", F.lit(None).cast("string"))
     words = F.regexp_extract_all(text.fold_ascii(F.col("text")), F.lit(config["word"]), 0)
-    counted = own.select("path", F.explode(words).alias("word")).groupBy("word", "path").agg(F.count("*").alias("n")).withColumn("bucket", bucket_of("word", config["buckets"]))
+    counted = own.select("path", words.alias("words")).where("size(words) > 0").select("path", F.inline(tally(F.col("words")))).select("word", "path", "n")
+    if again:  # a path may have a text in two languages
+        counted = counted.groupBy("word", "path").agg(F.sum("n").alias("n"))
+    counted = counted.withColumn("bucket", bucket_of("word", config["buckets"]))
     ordered = counted.repartitionByRange("bucket", "word", "path").sortWithinPartitions("bucket", "word", "path")
     ordered.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/postings/run={number}")
     action = F.when(F.col("_known").isNull(), "new").otherwise("changed")

@@ -137,3 +137,17 @@ def test_jobs_import_nothing_of_the_subpackage():
     from pathlib import Path
 
     assert not [p for p in Path(common.__file__).parent.glob("*.py") if "llm" in p.read_text("utf-8") or "corpus_pipeline" in p.read_text("utf-8")]
+
+
+def test_word_index_shuffles_texts_only_of_paths_that_come_again(spark, tmp_path):
+    rows = [(1, "b b a", "en", "a"), (1, "a b", "en", "a"), (2, "x", "en", "a"), (5, "one", None, "a/en"), (5, "one two", "en", "a")]
+    frame = lambda r: spark.createDataFrame([(*x, "x") for x in r], DOCS)
+    once, again = word_index.texts(frame(rows[1:3]))
+    assert not again and "Exchange" not in once._jdf.queryExecution().executedPlan().toString()
+    both, again = word_index.texts(frame(rows))
+    assert again and sorted(map(tuple, both.collect()), key=repr) == [("a/en/1.txt", "en", "a b"), ("a/en/2.txt", "en", "x"), ("a/en/5.txt", "en", "one two"), ("a/en/5.txt", None, "one")]
+    words = spark.createDataFrame([(["b", "a", "b", "c", "b", "a"],), (["z"],)], "w array<string>")
+    assert [[tuple(x) for x in r[0]] for r in words.select(word_index.tally(words.w)).collect()] == [[("a", 2), ("b", 3), ("c", 1)], [("z", 1)]]
+    word_index.take(frame(rows), 0, str(tmp_path / "out"), common.settings("word_index"))
+    wrote = word_index._written(spark, str(tmp_path / "out/postings"), word_index.POSTINGS)
+    assert sorted((r.path, r.word, r.n) for r in wrote.collect()) == [("a/en/5.txt", "one", 2), ("a/en/5.txt", "two", 1)]
