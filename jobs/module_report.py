@@ -33,8 +33,9 @@ NOWHERE = "(none)"
 
 
 def module_calls(symbols: DataFrame, raw_calls: DataFrame, refs: DataFrame) -> DataFrame:
-    """module, src, dst_module, dst, n of all calls, by caller and callee."""
-    resolved = resolve.resolve_calls(raw_calls, symbols, refs).groupBy(F.col("src_qname").alias("src"), F.col("dst_qname").alias("dst")).agg(F.count("*").alias("n"))
+    """module, src, dst_module, dst, n of all calls, by caller and callee; calls of one caller that read alike are resolved once."""
+    alike = raw_calls.groupBy("src_qname", "callee_raw").agg(F.count("*").alias("n"))
+    resolved = resolve.resolve_calls(alike, symbols, refs).groupBy(F.col("src_qname").alias("src"), F.col("dst_qname").alias("dst")).agg(F.sum("n").alias("n"))
     home = symbols.groupBy("qualified_name").agg(F.min("file").alias("file")).select("qualified_name", text.top_module(F.col("file")).alias("home"))
     of = lambda end, name: home.select(F.col("qualified_name").alias(end), F.col("home").alias(name))
     both = resolved.join(of("src", "module"), "src", "left").join(of("dst", "dst_module"), "dst", "left")

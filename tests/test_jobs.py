@@ -151,3 +151,13 @@ def test_word_index_shuffles_texts_only_of_paths_that_come_again(spark, tmp_path
     word_index.take(frame(rows), 0, str(tmp_path / "out"), common.settings("word_index"))
     wrote = word_index._written(spark, str(tmp_path / "out/postings"), word_index.POSTINGS)
     assert sorted((r.path, r.word, r.n) for r in wrote.collect()) == [("a/en/5.txt", "one", 2), ("a/en/5.txt", "two", 1)]
+
+
+def test_module_report_resolves_calls_that_read_alike_once(spark, monkeypatch):
+    from tests.test_operators import symbols
+
+    own, seen, real = symbols(spark, [("p/a.py", "p.a.main", "", "", ""), ("p/a.py", "p.a.help", "", "", "")]), [], module_report.resolve.resolve_calls
+    raw = spark.createDataFrame([("p/a.py", "p.a.main", "help", k) for k in range(9)], "file string, src_qname string, callee_raw string, line int")
+    refs = spark.createDataFrame([], "src_file string, dst_file string, symbol string, count long")
+    monkeypatch.setattr(module_report.resolve, "resolve_calls", lambda calls, *rest: seen.append(calls.count()) or real(calls, *rest))
+    assert [tuple(r) for r in module_report.module_calls(own, raw, refs).collect()] == [("p", "p.a.main", "p", "p.a.help", 9)] and seen == [1]
