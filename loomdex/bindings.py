@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.runtime import dealt, parts_of, table
+from loomdex.runtime import dealt, hinted, join_hint, parts_of, table
 
-STEP_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+#: Items of an order alike in these differ in nothing that a step has, so that their own order (in SQL by supplier and price) need not be told.
+STEP_ORDER = ("l_linenumber", "l_partkey")
 SQL: dict[str, str] = {}
 
 
@@ -38,6 +39,11 @@ SQL["symbols"] = """symbols AS (SELECT replace(p_brand, '#', '') || '/' || repla
   p_name || ' of ' || lower(p_type) || ' kind' AS description, p_size AS line, 'f' || CAST((p_partkey * 7) % 600 AS VARCHAR) AS base, p_partkey AS seq FROM part)"""
 
 
+def symbol_joins(spark: SparkSession, d: str) -> str | None:
+    """The hint for joins with symbols; of Parquet only the footers are read."""
+    return join_hint(table(spark, d, "part").count())
+
+
 def call_parts(spark: SparkSession, d: str) -> int:
     """Into how many tasks steps that take all calls are dealt."""
     return parts_of(table(spark, d, "lineitem"))
@@ -76,11 +82,15 @@ SQL["refs"] = "refs AS (SELECT c_nationkey AS src_file, s_nationkey AS dst_file,
 
 
 def raw_calls(spark: SparkSession, d: str) -> DataFrame:
-    """Steps between parts as calls: of a sibling, of a bare name, or dotted through an import, by the line's number."""
-    own = symbols(spark, d)
+    """Steps between parts as calls: of a sibling, of a bare name, or dotted through an import, by the line's number.
+
+    Callees come first, for their texts are the shorter ones to carry on.
+    """
+    own, by = symbols(spark, d), symbol_joins(spark, d)
     src, dst = own.select(F.col("seq").alias("src"), F.col("file"), F.col("qualified_name").alias("src_qname")), own.select(F.col("seq").alias("dst"), F.col("name").alias("to"))
     form = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("self."), "to")).when(F.col("l_linenumber") % 3 == 1, F.col("to")).otherwise(F.concat(F.lit("m"), (F.col("dst") % 5).cast("string"), F.lit("."), F.col("to")))
-    return steps(spark, d).join(src, "src").join(dst, "dst").select("file", "src_qname", form.alias("callee_raw"), F.col("l_linenumber").alias("line"))
+    said = steps(spark, d).join(hinted(dst, by), "dst").select("src", form.alias("callee_raw"), F.col("l_linenumber").alias("line"))
+    return said.join(hinted(src, by), "src").select("file", "src_qname", "callee_raw", "line")
 
 
 SQL["raw_calls"] = """raw_calls AS (SELECT s.file, s.qualified_name AS src_qname, CASE l_linenumber % 3 WHEN 0 THEN 'self.' || t.name WHEN 1 THEN t.name ELSE 'm' || CAST(dst % 5 AS VARCHAR) || '.' || t.name END AS callee_raw, l_linenumber AS line
@@ -90,7 +100,8 @@ SQL["raw_calls"] = """raw_calls AS (SELECT s.file, s.qualified_name AS src_qname
 def import_refs(spark: SparkSession, d: str) -> DataFrame:
     """Every file imports the file of the part that follows one of its own, under one of five names."""
     own = symbols(spark, d).select("seq", "file")
-    return own.select(F.col("file").alias("src_file"), (F.col("seq") + 1).alias("next"), F.concat(F.lit("m"), (F.col("seq") % 5).cast("string")).alias("symbol")).join(own.select(F.col("seq").alias("next"), F.col("file").alias("dst_file")), "next").groupBy("src_file", "dst_file").agg(F.min("symbol").alias("symbol"), F.count("*").alias("count"))
+    next_ = hinted(own.select(F.col("seq").alias("next"), F.col("file").alias("dst_file")), symbol_joins(spark, d))
+    return own.select(F.col("file").alias("src_file"), (F.col("seq") + 1).alias("next"), F.concat(F.lit("m"), (F.col("seq") % 5).cast("string")).alias("symbol")).join(next_, "next").groupBy("src_file", "dst_file").agg(F.min("symbol").alias("symbol"), F.count("*").alias("count"))
 
 
 SQL["import_refs"] = "import_refs AS (SELECT a.file AS src_file, b.file AS dst_file, min('m' || CAST(a.seq % 5 AS VARCHAR)) AS symbol, count(*) AS count FROM symbols a JOIN symbols b ON b.seq = a.seq + 1 GROUP BY 1, 2)"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions import text
-from loomdex.runtime import checkpoint
+from loomdex.runtime import checkpoint, hinted
 
 SCRIPT_ENDS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js")
 
@@ -49,9 +49,9 @@ def import_candidates(imports: DataFrame) -> DataFrame:
     return imports.where("source <> ''").select("file", "seq", F.get(names, F.lit(0)).alias("symbol"), F.posexplode(found).alias("pos", "candidate"))
 
 
-def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
-    """refs: for each import the first candidate that exists; edges counted by (source, target) with the first import's first name."""
-    met = import_candidates(imports).join(files.select(F.col("path").alias("candidate")), "candidate", "left_semi")
+def import_edges(imports: DataFrame, files: DataFrame, by: str | None = None) -> DataFrame:
+    """refs: for each import the first candidate that exists; edges counted by (source, target) with the first import's first name. ``by`` is the joins' hint."""
+    met = import_candidates(imports).join(hinted(files.select(F.col("path").alias("candidate")), by), "candidate", "left_semi")
     first = met.groupBy("file", "seq").agg(F.min_by(F.struct("candidate", "symbol"), "pos").alias("hit"))
     edges = first.groupBy(F.col("file").alias("src_file"), F.col("hit.candidate").alias("dst_file"))
     return edges.agg(F.min_by(F.coalesce("hit.symbol", "hit.candidate"), "seq").alias("symbol"), F.count("*").alias("count")).select("src_file", "dst_file", "symbol", "count")
@@ -62,14 +62,17 @@ def import_map(refs: DataFrame) -> DataFrame:
     return refs.groupBy("src_file", "symbol").agg(F.max("dst_file").alias("dst_file")).select("src_file", "symbol", text.module_prefix(F.col("dst_file")).alias("prefix"))
 
 
-def resolve_calls(raw_calls: DataFrame, symbols: DataFrame, refs: DataFrame) -> DataFrame:
-    """raw_calls with dst_qname, null where a call can't be resolved or its caller is gone.
+def resolve_calls(raw_calls: DataFrame, symbols: DataFrame, refs: DataFrame, by: str | None = None, itself: bool = False) -> DataFrame:
+    """raw_calls with dst_qname, null where a call can't be resolved or its caller is gone; with ``itself`` a call may mean its own caller.
 
     ``self.x`` and ``cls.x`` look beside the caller and nowhere else. A dotted callee takes the import of its first part, then the rest as a bare
     name: a unique one, or the first of the caller's file. A bare name must be unique: overall, then in the caller's file, then in its folder.
 
-    Names are aggregated per name, per name and file, and per name and folder before the joins, so no join multiplies rows.
+    Names are aggregated per name, per name and file, and per name and folder before the joins, so no join multiplies rows. ``by`` is the joins' hint:
+    where symbols are many and the planner can't tell, "merge" keeps it from sending them all through the driver to every task. Calls that a lookup
+    does not concern take a key of their own text there, for those without any would meet in one task.
     """
+    sent = lambda df: hinted(df, by)
     one = symbols.groupBy("qualified_name").agg(F.min("file").alias("file"))
     named = symbols.select("name", "file", "qualified_name", folder_of(F.col("file")).alias("folder")).distinct()
     unique = lambda *keys: named.groupBy("name", *keys).agg(F.count("*").alias("n"), F.min("qualified_name").alias("q"))
@@ -78,19 +81,21 @@ def resolve_calls(raw_calls: DataFrame, symbols: DataFrame, refs: DataFrame) ->
     in_folder = unique("folder").select(F.col("name").alias("bare"), F.col("folder").alias("src_folder"), F.col("n").alias("n_folder"), F.col("q").alias("q_folder"))
     raw = F.col("callee_raw")
     own = raw.rlike(r"^(self|cls)\.")
-    calls = raw_calls.join(one.select(F.col("qualified_name").alias("src_qname"), F.col("file").alias("src_file")), "src_qname", "left")
+    calls = raw_calls.join(sent(one.select(F.col("qualified_name").alias("src_qname"), F.col("file").alias("src_file"))), "src_qname", "left")
     calls = calls.withColumn("src_folder", folder_of(F.col("src_file")))
-    calls = calls.withColumn("beside", F.when(own, F.concat(F.regexp_replace("src_qname", r"\.[^.]*$", ""), F.lit("."), F.regexp_replace(raw, r"^(self|cls)\.", ""))))
-    calls = calls.withColumn("head", F.when(~own, F.substring_index(raw, ".", 1))).withColumn("bare", F.when(~own, F.when(F.contains(raw, F.lit(".")), F.regexp_replace(raw, r"^[^.]*\.", "")).otherwise(raw)))
-    imports = import_map(refs).select("src_file", F.col("symbol").alias("head"), "prefix")
-    calls = calls.join(imports, ["src_file", "head"], "left").withColumn("imported", F.when(F.contains(raw, F.lit(".")), F.concat("prefix", F.lit("."), "bare")))
-    for column in ("beside", "imported"):
-        calls = calls.join(one.select(F.col("qualified_name").alias(column), F.lit(True).alias(f"has_{column}")), column, "left")
-    calls = calls.join(everywhere, "bare", "left").join(in_file, ["bare", "src_file"], "left").join(in_folder, ["bare", "src_folder"], "left")
-    dotted = F.when(F.col("has_imported"), F.col("imported")).when(F.col("n_all") == 1, F.col("q_all")).otherwise(F.col("q_file"))
+    is_dotted, rest = ~own & F.contains(raw, F.lit(".")), F.regexp_replace(raw, r"^[^.]*\.", "")
+    calls = calls.withColumn("head", F.substring_index(raw, ".", 1)).withColumn("bare", F.when(is_dotted, rest).otherwise(raw))
+    calls = calls.join(sent(import_map(refs).select("src_file", F.col("symbol").alias("head"), "prefix")), ["src_file", "head"], "left")
+    beside = F.concat(F.regexp_replace("src_qname", r"\.[^.]*$", ""), F.lit("."), F.regexp_replace(raw, r"^(self|cls)\.", ""))
+    full = F.when(own, beside).when(is_dotted, F.concat("prefix", F.lit("."), "bare"))
+    calls = calls.withColumn("is_full", full.isNotNull()).withColumn("at", F.coalesce(full, raw))
+    calls = calls.join(sent(one.select(F.col("qualified_name").alias("at"), F.lit(True).alias("is_there"))), "at", "left")
+    calls = calls.join(sent(everywhere), "bare", "left").join(sent(in_file), ["bare", "src_file"], "left").join(sent(in_folder), ["bare", "src_folder"], "left")
+    meant = F.when(F.col("is_full") & F.col("is_there"), F.col("at"))
+    dotted = F.coalesce(meant, F.when(F.col("n_all") == 1, F.col("q_all")).otherwise(F.col("q_file")))
     plain = F.when(F.col("n_all") == 1, F.col("q_all")).when(F.col("n_file") == 1, F.col("q_file")).when(F.col("n_folder") == 1, F.col("q_folder"))
-    found = F.when(own, F.when(F.col("has_beside"), F.col("beside"))).when(F.contains(raw, F.lit(".")), dotted).otherwise(plain)
-    dst = F.when(F.col("src_file").isNotNull() & (found != F.col("src_qname")), found)
+    found = F.when(own, meant).when(is_dotted, dotted).otherwise(plain)
+    dst = F.when(F.col("src_file").isNotNull() & (F.lit(itself) | (found != F.col("src_qname"))), found)
     return calls.select(*raw_calls.columns, dst.alias("dst_qname"))
 
 

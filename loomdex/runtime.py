@@ -56,6 +56,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: Rows of a side of a join beyond which it is never sent whole to the driver and every task.
+BROADCAST_ROWS = 1 << 18
+
+
+def join_hint(rows: int) -> str | None:
+    """How a side of so many rows is to be joined: the planner guesses its size by compressed files, of which a few MB may hold millions of rows."""
+    return "merge" if rows > BROADCAST_ROWS else None
+
+
+def hinted(df: DataFrame, by: str | None) -> DataFrame:
+    """``df`` as a side of a join that is done so; without a hint as the planner likes."""
+    return df.hint(by) if by else df
+
+
 #: Rows of a task where a table is dealt by their number.
 TASK_ROWS = 1 << 19
 

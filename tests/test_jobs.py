@@ -161,3 +161,22 @@ def test_module_report_resolves_calls_that_read_alike_once(spark, monkeypatch):
     refs = spark.createDataFrame([], "src_file string, dst_file string, symbol string, count long")
     monkeypatch.setattr(module_report.resolve, "resolve_calls", lambda calls, *rest: seen.append(calls.count()) or real(calls, *rest))
     assert [tuple(r) for r in module_report.module_calls(own, raw, refs).collect()] == [("p", "p.a.main", "p", "p.a.help", 9)] and seen == [1]
+
+
+def test_module_report_resolves_a_text_once_a_file(spark, monkeypatch):
+    from tests.test_operators import symbols
+
+    own, seen, real = symbols(spark, [("p/a.py", f"p.a.{f}", "", "", "") for f in ("help", "main", "more")] + [("q/b.py", "q.b.C.one", "", "", ""), ("q/b.py", "q.b.D.one", "", "", "")]), [], module_report.resolve.resolve_calls
+    raw = spark.createDataFrame([("p/a.py", f"p.a.{f}", "help", k) for k, f in enumerate(("help", "main", "more", "more"))] + [("q/b.py", "q.b.C.one", "self.one", 1), ("q/b.py", "q.b.D.one", "self.two", 1), ("x", "gone.f", "help", 1)], "file string, src_qname string, callee_raw string, line int")
+    refs = spark.createDataFrame([], "src_file string, dst_file string, symbol string, count long")
+    monkeypatch.setattr(module_report.resolve, "resolve_calls", lambda calls, *rest: seen.append(calls.count()) or real(calls, *rest))
+    got = {tuple(r) for r in module_report.module_calls(own, raw, refs).select("module", "src", "dst_module", "dst", "n").collect()}
+    assert seen == [3]  # not one a caller
+    assert got == {("p", "p.a.help", None, None, 1), ("p", "p.a.main", "p", "p.a.help", 1), ("p", "p.a.more", "p", "p.a.help", 2), ("q", "q.b.C.one", None, None, 1), ("q", "q.b.D.one", None, None, 1), ("(none)", "gone.f", None, None, 1)}
+
+
+def test_calls_are_shuffled_without_what_they_do_not_have(spark):
+    from loomdex import bindings
+
+    plan = bindings.raw_calls(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"(Window|Project|RepartitionByExpression)[^\n]*(l_suppkey|l_extendedprice)", plan)
