@@ -589,7 +589,7 @@ def extract_edges(spark, d):  # S9-S12, K4
     from loomdex.sources import extract
 
     got = checkpoint(extract.extract_contents(_sources(spark, d)).select("path", "imports", "calls"))  # parsed once for both
-    return extract.imports_table(got).join(extract.calls_table(got).select("file", "src_qname", "callee_raw"), "file").select(F.regexp_replace("file", r"\.\w+$", "").alias("module"), "source", "src_qname", "callee_raw")
+    return extract.imports_table(got).join(extract.calls_table(got).select("file", "src_qname", "callee_raw").hint("merge"), "file").select(F.regexp_replace("file", r"\.\w+$", "").alias("module"), "source", "src_qname", "callee_raw")
 
 
 def _plans(spark, d):

@@ -490,5 +490,5 @@ def plan_impact(spark, d):  # P18, O12, O6, G5: plans of hundreds of tasks, of w
 def scanned_calls(spark, d):  # L1, K1, K2, K5, S20
     got = checkpoint(extract.extract_contents(catalogue._sources(spark, d)))  # parsed once for all tables
     symbols, files = extract.symbols_table(got), got.select("path")
-    refs = resolve.import_edges(extract.imports_table(got), files)
-    return resolve.call_edges(resolve.resolve_calls(extract.calls_table(got), symbols, refs))
+    refs = resolve.import_edges(extract.imports_table(got), files, "merge")
+    return resolve.call_edges(resolve.resolve_calls(extract.calls_table(got), symbols, refs, "merge"))  # there are as many symbols as calls

@@ -174,3 +174,24 @@ def test_queries_on_sources_parse_once(spark, tmp_path, monkeypatch):
     for query in ("extract_edges", "scanned_calls"):
         plan = catalogue.QUERIES[query](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
         assert "MapInArrow" not in plan  # it was staged before
+
+
+def test_queries_on_sources_send_no_table_whole(spark):
+    """The planner takes what is parsed for as small as the Parquet that its sources come from."""
+    from loomdex import catalogue
+    from tests.test_catalogue import FOLDER
+
+    for query in ("extract_edges", "scanned_calls"):
+        plan = catalogue.QUERIES[query](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_a_joins_hint_alters_no_answer(spark):
+    from loomdex.operators import resolve
+
+    symbols = spark.createDataFrame([("p/a.py", "p.a.C.f", "f"), ("p/a.py", "p.a.g", "g"), ("p/b.py", "p.b.g", "g"), ("q.py", "q.only", "only")], "file string, qualified_name string, name string")
+    refs = spark.createDataFrame([("p/a.py", "p/b.py", "b", 1)], "src_file string, dst_file string, symbol string, count long")
+    raw = spark.createDataFrame([("p.a.C.f", c) for c in ("self.f", "self.none", "b.g", "b.none", "x.g", "g", "only", "p.b.g", "none")] + [("p.a.g", "g"), ("p.a.C.h", "g"), ("q.only", "only")], "src_qname string, callee_raw string")
+    plain, merged, itself = ({tuple(r): r.dst_qname for r in resolve.resolve_calls(raw, symbols, refs, *x).collect()} for x in ((), ("merge",), ("merge", True)))
+    assert plain == merged and {k[1]: v for k, v in plain.items() if k[0] == "p.a.C.f"} == {"self.f": None, "self.none": None, "b.g": "p.b.g", "b.none": None, "x.g": "p.a.g", "g": "p.a.g", "only": "q.only", "p.b.g": None, "none": None}
+    assert {k[:2]: v for k, v in itself.items() if k not in plain} == {("p.a.C.f", "self.f"): "p.a.C.f", ("p.a.g", "g"): "p.a.g", ("q.only", "only"): "q.only"}
